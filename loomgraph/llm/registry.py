@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate
+from loomgraph.llm import decontaminate, pack, tokens
 
 
 def queries():
     return {
+        "op4_count_tokens": tokens.op4_count_tokens,
+        "op5_pack_documents": pack.op5_pack_documents,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
