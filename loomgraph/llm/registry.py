@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, pack, tokens
+from loomgraph.llm import decontaminate, media, pack, tokens
 
 
 def queries():
     return {
+        "op1_media_columns": media.op1_media_columns,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
         "op10_decontaminate": decontaminate.op10_decontaminate,
