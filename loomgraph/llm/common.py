@@ -64,7 +64,7 @@ def ascii_lower(column: Column) -> Column:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of a table; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def plain_columns(df: DataFrame, replaced: list[str]) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, media, pack, tokens
+from loomgraph.llm import decontaminate, media, pack, substrings, tokens
 
 
 def queries():
@@ -10,11 +10,13 @@ def queries():
         "op1_media_columns": media.op1_media_columns,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
+        "op8_remove_substrings": substrings.op8_remove_substrings,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql():
     return {
+        "op8_remove_substrings": substrings.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
     }
