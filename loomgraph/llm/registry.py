@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, media, pack, substrings, tokens
+from loomgraph.llm import decontaminate, lines, media, pack, substrings, tokens
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_media_columns": media.op1_media_columns,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
+        "op7_remove_lines": lines.op7_remove_lines,
         "op8_remove_substrings": substrings.op8_remove_substrings,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
@@ -17,6 +18,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op7_remove_lines": lines.ORACLE_SQL,
         "op8_remove_substrings": substrings.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
     }

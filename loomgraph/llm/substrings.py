@@ -8,7 +8,6 @@ input, not on what is left. See :mod:`loomgraph.llm.runs` for the method.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
