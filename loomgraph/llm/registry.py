@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, lines, media, pack, substrings, tokens
+from loomgraph.llm import decontaminate, lines, media, neardup, pack, substrings, tokens
 
 
 def queries():
     return {
         "op1_media_columns": media.op1_media_columns,
+        "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
         "op7_remove_lines": lines.op7_remove_lines,
@@ -18,6 +19,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_near_duplicates": neardup.ORACLE_SQL,
         "op7_remove_lines": lines.ORACLE_SQL,
         "op8_remove_substrings": substrings.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
