@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, lines, media, neardup, pack, substrings, tokens
+from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, substrings, tokens
 
 
 def queries():
     return {
         "op1_media_columns": media.op1_media_columns,
+        "op2_identify_language": language.op2_identify_language,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
