@@ -17,13 +17,16 @@ against every position, and then compared in the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import ascii_lower, let, materialize, plain_columns, read_table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words once A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 
 #: Benchmark windows up to which they are broadcast (about 100 bytes each); beyond, the joins shuffle.
@@ -34,7 +37,8 @@ OUTPUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    found = F.array_remove(F.split(ascii_lower(text), GAP), "")  # only the ends can be empty
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def _positions(last: Column) -> Column:
@@ -42,34 +46,50 @@ def _positions(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _combined(values: Column, width: int, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` over each ``width`` consecutive values, in about log2(width) passes over the array.
+
+    ``join`` may see a value twice, so it is a minimum, or a hash of which only
+    equality for equal runs is asked.
+    """
+
+    def paired(a: Column, step: int) -> Column:
+        n = F.greatest(F.size(a) - step, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(step + 1), n), join)
+
+    def widen(a: Column, have: int) -> Column:
+        if have == width:
+            return a
+        step = min(have, width - have)
+        return let(paired(a, step), lambda b: widen(b, have + step))
+
+    return let(values, lambda a: widen(a, 1))
+
+
 def _long_spans(word_list: Column, window: int) -> Column:
     """Runs of window starts that share a fingerprint: array of (v, first, last, len)."""
     k = max(1, window // 2)
     per_window = window - k + 1
 
-    def spans(w: Column) -> Column:
-        last = F.size(w) - window
-        hashes = F.transform(_positions(F.size(w) - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)))
+    def spans(minima: Column) -> Column:
+        last = F.size(minima) - 1
+        starts = F.filter(_positions(last), lambda i: (i == 0) | (F.get(minima, i) != F.get(minima, i - 1)))
         return let(
-            hashes,
-            lambda h: let(
-                F.transform(_positions(last), lambda i: F.array_min(F.slice(h, i + 1, per_window))),
-                lambda m: let(
-                    F.filter(_positions(last), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))),
-                    lambda s: F.transform(
-                        s,
-                        lambda first, at: F.struct(
-                            F.get(m, first).alias("v"),
-                            first.alias("first"),
-                            F.coalesce(F.get(s, at + 1) - 1, last).alias("last"),
-                            F.lit(window).alias("len"),
-                        ),
-                    ),
+            starts,
+            lambda s: F.transform(
+                s,
+                lambda first, at: F.struct(
+                    F.get(minima, first).alias("v"),
+                    first.alias("first"),
+                    F.coalesce(F.get(s, at + 1) - 1, last).alias("last"),
+                    F.lit(window).alias("len"),
                 ),
             ),
         )
 
-    return let(word_list, spans)
+    hashes = F.transform(word_list, lambda w: F.xxhash64(w))
+    grams = _combined(hashes, k, lambda a, b: F.xxhash64(a, b))
+    return let(_combined(grams, per_window, lambda a, b: F.least(a, b)), spans)
 
 
 def _short_spans(word_list: Column, length: int) -> Column:
