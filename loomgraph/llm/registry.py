@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, substrings, tokens
+from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_count_tokens": tokens.op4_count_tokens,
         "op5_pack_documents": pack.op5_pack_documents,
+        "op6_score_quality": quality.op6_score_quality,
         "op7_remove_lines": lines.op7_remove_lines,
         "op8_remove_substrings": substrings.op8_remove_substrings,
         "op10_decontaminate": decontaminate.op10_decontaminate,
