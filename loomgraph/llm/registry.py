@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens
+from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_score_quality": quality.op6_score_quality,
         "op7_remove_lines": lines.op7_remove_lines,
         "op8_remove_substrings": substrings.op8_remove_substrings,
+        "op9_score_toxicity": toxicity.op9_score_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
