@@ -19,7 +19,7 @@ REFUSAL_MARKERS = [
 def normalize_answer(text: Column) -> Column:
     """Lower case, then no punctuation, no articles, single spaces, in this order."""
     low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    low = F.regexp_replace(low, r"\b(a|an|the)\b", " ")
+    low = F.regexp_replace(low, r"(?U)\b(a|an|the)\b", " ")
     return F.trim(F.regexp_replace(low, r"\s+", " "))
 
 

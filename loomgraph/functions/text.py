@@ -188,5 +188,5 @@ def confidence(value: Column) -> Column:
     words = F.lower(F.trim(value.cast("string")))
     number = words.try_cast("double")
     spoken = reduce(lambda case, item: case.when(words == item[0], item[1]), list(SPOKEN_CONFIDENCE.items())[1:], F.when(words == "demonstrated", 0.95))
-    clamped = F.when(~F.isnan(number), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
+    clamped = F.when(number.isNotNull() & ~F.isnan(number), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
     return F.coalesce(clamped, spoken, F.lit(0.0))

@@ -108,7 +108,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     state = present.join(start, ["query_id", "node"], "left").join(linked, ["query_id", "node"], "left")
     state = state.select("query_id", "node", F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("linked", F.lit(False)).alias("linked")).withColumn("v", F.col("e"))
     for step in range(steps):
-        sent = state.join(walks, (state["query_id"] == walks["query_id"]) & (state["node"] == walks["src"])).groupBy(walks["query_id"], F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("in"))
+        held = state.select("query_id", F.col("node").alias("src"), "v")
+        sent = held.join(walks, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("in"))
         idle = F.sum(F.when(~F.col("linked"), F.col("v")).otherwise(0.0)).over(W.partitionBy("query_id"))
         moved = state.withColumn("idle", idle).join(sent, ["query_id", "node"], "left")
         state = moved.select("query_id", "node", "e", "linked", ((1 - alpha) * F.col("e") + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("idle") * F.col("e"))).alias("v"))

@@ -76,13 +76,13 @@ k AS (SELECT query_id, src, dst, w / sum(w) OVER (PARTITION BY query_id, src) AS
 n AS (SELECT DISTINCT query_id, src AS node FROM u),
 s AS (SELECT query_id, min(node) AS seed FROM n WHERE node LIKE 'S%' GROUP BY query_id),
 v0 AS (SELECT n.query_id, n.node, CASE WHEN n.node = s.seed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS e, CASE WHEN n.node = s.seed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM n JOIN s USING (query_id)){rounds}
-SELECT query_id, node, round(v, 9) AS score FROM v{steps}"""
+SELECT query_id, node, round(v, 7) AS score FROM v{steps}"""
 
 
 @query("personalized_pagerank", _ppr_sql())
 def personalized_pagerank(spark, sf_dir):
     nodes, edges, seeds = ppr_tables(spark, sf_dir)
-    return graph.personalized_pagerank(nodes, edges, seeds).select("query_id", "node", F.round("score", 9).alias("score"))
+    return graph.personalized_pagerank(nodes, edges, seeds).select("query_id", "node", F.round("score", 7).alias("score"))
 
 
 def _pagerank_sql(steps: int = 24) -> str:
@@ -96,13 +96,13 @@ v{k} AS MATERIALIZED (SELECT v.node, 0.15 / n.n + 0.85 * (coalesce(i.x, 0) + d.m
 k AS MATERIALIZED (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS share FROM l),
 n AS (SELECT count(*)::DOUBLE AS n FROM entities WHERE type <> 'Part'),
 v0 AS (SELECT entity_id AS node, 1.0 / n.n AS v FROM entities, n WHERE type <> 'Part'){rounds}
-SELECT node, round(v, 9) AS score FROM v{steps}"""
+SELECT node, round(v, 7) AS score FROM v{steps}"""
 
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf_dir):
     nodes = fx.entities(spark, sf_dir).filter("type <> 'Part'").select(F.col("entity_id").alias("node"))
-    return graph.pagerank(nodes, fx.place_edges(spark, sf_dir)).select("node", F.round("score", 9).alias("score"))
+    return graph.pagerank(nodes, fx.place_edges(spark, sf_dir)).select("node", F.round("score", 7).alias("score"))
 
 
 @query("connected_components", f"""WITH RECURSIVE {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, dst FROM supply_edges WHERE question_id % 60 = 0),
