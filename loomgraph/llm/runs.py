@@ -9,6 +9,12 @@ a passage that a third of all documents hold is a few rows, not one a document.
 In a bucket, windows are compared in full, not by their hashes, and each
 window's earliest occurrence is found; the others are repeats.
 
+Most runs have a minimiser that no other run has and repeat nothing. A first
+pass sends only the minimisers' hashes and sets, in a bitmap of bounded size, a
+bit for each that occurs twice; runs without their bit stay at home. The bitmap
+lets some others through, but holds no repeat back, so results don't depend on
+its size.
+
 A bucket is worked on alone and dropped: memory follows the size of a bucket,
 and the number of buckets follows the input.
 """
@@ -25,6 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.bitmap import Bitmap, blobs_by_key, named_batches, repeated_hashes
 from loomgraph.llm.common import bound_batches, plan_bytes
 from loomgraph.llm.spans import grams, mix, window_minima
 
@@ -35,6 +42,9 @@ GROUP_CHARACTERS = 6_000_000
 #: Packed blobs below this size are not compressed.
 PLAIN_BYTES = 256
 
+#: Input bytes for each run of words.
+RUN_BYTES = 21
+
 LAST = np.iinfo(np.int64).max  # the order of a document without id: after all others
 
 REPEATS = "_kid long, _th int, _null boolean, first int, n int"
@@ -74,12 +84,16 @@ def _runs(units: Units, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return inside[at], inside[np.concatenate((at[1:] - 1, [len(inside) - 1]))], minima[inside[at]]
 
 
-def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, width: int, k: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, width: int, k: int, buckets: int, shared: Bitmap | None) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed runs) of a group of documents."""
     first, last, minimiser = _runs(units, width, k)
+    hashes = mix(minimiser)
+    if shared is not None:
+        held = shared.holds(hashes)
+        first, last, minimiser, hashes = first[held], last[held], minimiser[held], hashes[held]
     if not len(first):
         return
-    bucket = mix(minimiser) % np.uint64(buckets)
+    bucket = hashes % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
     compress = zstandard.ZstdCompressor(level=3).compress
@@ -175,6 +189,33 @@ def bucket_repeats(blobs: list[bytes], windows: Callable[[bytes], list[bytes]],
                     yield ids[r], hashes[r], nulls[r], at + len(firsts) - run, run
 
 
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[tuple]]]:
+    """Texts and their (kid, th, null), in groups of some characters."""
+    texts: list[bytes] = []
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for kid, th, null, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            texts.append(text.encode())
+            rows.append((kid, th, null))
+            size += len(texts[-1])
+            if size >= GROUP_CHARACTERS:
+                yield texts, rows
+                texts, rows, size = [], [], 0
+    if texts:
+        yield texts, rows
+
+
+def shared_minimisers(listed: DataFrame, units_of: Callable[[list[bytes]], Units], width: int, k: int, size: int) -> Bitmap:
+    """The bitmap of minimisers that occur more than once."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for texts, _ in _text_groups(batches):
+            yield mix(_runs(units_of(texts), width, k)[2])
+
+    return repeated_hashes(listed, hashes, size // RUN_BYTES)
+
+
 def repeats(
     docs: DataFrame,
     id_column: str,
@@ -185,67 +226,41 @@ def repeats(
     k: int,
     within: bool,
 ) -> DataFrame:
-    """Stretches of repeated windows, by row: _kid, _th, _null and an array ``runs`` of (first, n)."""
-    bound_batches(docs.sparkSession)
-    buckets = max(64, plan_bytes(docs) // BUCKET_BYTES)
+    """Stretches of repeated windows, by row: _kid, _th, _null and an array ``runs`` of (first, n).
+
+    With ``within`` a run may repeat a window of its own, so no run is left out beforehand.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    size = plan_bytes(docs)
+    buckets = max(64, size // BUCKET_BYTES)
+    listed = docs.filter(F.col(text_column).isNotNull()).select(*keyed(docs, id_column, text_column), F.col(text_column))
+    shared = None if within else spark.sparkContext.broadcast(shared_minimisers(listed, units_of, width, k, size))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(texts: list[bytes], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            kid, th, null = (np.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int64), strict=True))
-            names, blobs, held = [], [], 0
-            for bucket, blob in _blobs(units_of(texts), kid, th, null, width, k, buckets):
-                names.append(bucket)
-                blobs.append(blob)
-                held += len(blob)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-                    names, blobs, held = [], [], 0
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-        texts: list[bytes] = []
-        rows: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for kid, th, null, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                texts.append(text.encode())
-                rows.append((kid, th, null))
-                size += len(texts[-1])
-                if size >= GROUP_CHARACTERS:
-                    yield from out(texts, rows)
-                    texts, rows, size = [], [], 0
-        if texts:
-            yield from out(texts, rows)
+        def pairs() -> Iterator[tuple[int, bytes]]:
+            for texts, rows in _text_groups(batches):
+                kid, th, null = (np.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int64), strict=True))
+                yield from _blobs(units_of(texts), kid, th, null, width, k, buckets, shared.value if shared else None)
+
+        yield from named_batches(pairs(), "bucket")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["_kid", "_th", "_null", "first", "n"], [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
         rows: list[tuple] = []
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        def buckets_of() -> Iterator[list[bytes]]:
-            own, current = [], None
-            for batch in batches:
-                for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if bucket != current and own:
-                        yield own
-                        own = []
-                    current = bucket
-                    own.append(blob)
-            if own:
-                yield own
-
-        for blobs in buckets_of():
+        for _, blobs in blobs_by_key(batches):
             for row in bucket_repeats(blobs, windows, within):
                 rows.append(row)
                 if len(rows) >= 20_000:
-                    yield batch_of(rows)
-                    rows = []
+                    yield batch_of()
+                    rows.clear()
         if rows:
-            yield batch_of(rows)
+            yield batch_of()
 
-    listed = docs.filter(F.col(text_column).isNotNull()).select(*keyed(docs, id_column, text_column), F.col(text_column))
     packed = listed.mapInArrow(spread, "bucket long, blob binary")
     found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, REPEATS)
     return found.groupBy("_kid", "_th", "_null").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
