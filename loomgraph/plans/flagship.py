@@ -1,9 +1,34 @@
-"""Placeholder until the graph operators exist."""
+"""The flagship query: vector search, graph expansion and personalised PageRank in one plan.
+
+For each query vector the nearest vectors are found exactly, their own nearest
+neighbours span the query's subgraph, a walk restarted at the three best
+spreads over it, and what it scores is fused with the cosine.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.operators import graph, retrieve
+from loomgraph.plans.registry import query
+from loomgraph.sources.tables import read_table
+
+EVERY = 50
+NEAREST, SEEDS, NEIGHBOURS, RETURNED = 12, 3, 4, 10
 
 
+@query("flagship")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.filter(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    near = retrieve.vector_top_k(queries, vectors, NEAREST, threshold=0.05).persist()
+    found = near.select(F.col("vec_id").alias("query_id")).distinct()
+    around = retrieve.vector_top_k(vectors.join(found, F.col("vec_id") == F.col("query_id"), "left_semi").withColumnRenamed("vec_id", "query_id"), vectors, NEIGHBOURS, threshold=0.05, exclude_self=True)
+    edges = near.select("query_id", F.col("vec_id").alias("src")).join(around.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("confidence")), "src")
+    nodes = edges.select("query_id", F.explode(F.array("src", "dst")).alias("node")).union(near.select("query_id", "vec_id")).distinct()
+    seeds = near.filter(F.col("rank") <= SEEDS).select("query_id", F.col("vec_id").alias("node"))
+    walked = graph.personalized_pagerank(nodes, edges, seeds)
+    cosine = near.select("query_id", F.col("vec_id").alias("node"), F.col("score").alias("cosine"))
+    both = walked.join(cosine, ["query_id", "node"], "left").withColumn("fused", F.round(0.5 * F.coalesce("cosine", F.lit(0.0)) + 0.5 * F.col("score"), 6))
+    return retrieve.top_per_query(both.select("query_id", "node", F.round("score", 6).alias("walk"), "fused"), RETURNED, F.desc("fused"), F.col("node"))

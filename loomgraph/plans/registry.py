@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("statistics", "graphs", "scopes", "retrieval", "answers", "building")
+_MODULES: tuple[str, ...] = ("flagship", "statistics", "graphs", "scopes", "retrieval", "answers", "building")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
