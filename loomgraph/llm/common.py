@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 LOCAL_SHARED_DIR = "/tmp/checkpoints/loomgraph"
 
 #: Rows in one Arrow batch handed to Python; the bytes of a batch are bounded as well.
-BATCH_ROWS = "2000"
-BATCH_BYTES = str(16 << 20)
+BATCH_ROWS = "1000"
+BATCH_BYTES = str(4 << 20)
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()

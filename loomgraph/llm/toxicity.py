@@ -16,7 +16,6 @@ the earlier models have not seen (out of fold).
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ LEAST_EVIDENCE = 6.0
 PENALTY = 0.02
 THRESHOLD = 0.5
 #: Words that a worker remembers as having no feature.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 
 OUTPUT = [*(f"p_{name}" for name in CATEGORIES), "toxic_pred"]
 
@@ -127,10 +126,14 @@ class ToxicityChain:
     @staticmethod
     def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         """The features whose share differs most between toxic and other texts."""
-        counts = {y: Counter(f for text, label in zip(texts, labels.tolist(), strict=True) if label == y for f in text.tolist()) for y in (0, 1)}
+        counts = {y: np.unique(np.concatenate([np.zeros(0, np.int64), *(text for text, label in zip(texts, labels.tolist(), strict=True) if label == y)]), return_counts=True) for y in (0, 1)}
         n = {y: int((labels == y).sum()) for y in (0, 1)}
-        all_ = np.array([f for f in counts[1].keys() | counts[0].keys() if counts[1][f] + counts[0][f] >= LEAST_TEXTS], np.int64)
-        one, zero = (np.array([counts[y][f] for f in all_.tolist()], float) for y in (1, 0))
+        all_ = np.union1d(counts[0][0], counts[1][0])
+        one, zero = np.zeros(len(all_)), np.zeros(len(all_))
+        one[np.searchsorted(all_, counts[1][0])] = counts[1][1]
+        zero[np.searchsorted(all_, counts[0][0])] = counts[0][1]
+        enough = one + zero >= LEAST_TEXTS
+        all_, one, zero = all_[enough], one[enough], zero[enough]
         share1, share0 = (one + 0.5) / (n[1] + 1), (zero + 0.5) / (n[0] + 1)
         share = (one + zero + 0.5) / (n[0] + n[1] + 1)
         evidence = 2 * (one * np.log(share1 / share) + zero * np.log(share0 / share))
@@ -158,6 +161,11 @@ class ToxicityChain:
         inside = use[rows]
         return Logistic(len(self.features), dense.shape[1]).fit(place[rows[inside]], columns[inside], dense[use], target[use])
 
+    def forget(self) -> None:
+        """Give back the memory of words met."""
+        self.none.clear()
+        self.some.clear()
+
     def _of_word(self, word: str) -> tuple[int, ...]:
         return tuple(self.place[f] for f in word_features(word) if f in self.place)
 
@@ -231,6 +239,8 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain | None, text_column: st
             found = own.probabilities(texts) if own and texts else np.zeros((len(texts), len(CATEGORIES)))
             arrays = [*batch.columns[1:], *(pa.array(found[:, k]) for k in range(len(CATEGORIES))), pa.array(found[:, -1] >= threshold)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[1:], *OUTPUT])
+        if own:
+            own.forget()
 
     listed = docs.select(F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
     types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in listed.schema.fields[1:])
