@@ -62,7 +62,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
                     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
                     scores = np.round(matrix @ rows.T, 9)
                     if scopes is not None:
-                        scores[scopes[:, None] != part.column(2).to_numpy()[None, :]] = -np.inf
+                        scores[scopes[:, None] != part.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
                     if exclude_self:
                         scores[ids[:, None] == own[None, :]] = -np.inf
                     order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
