@@ -71,6 +71,21 @@ def expand_entities(seeds: DataFrame, edges: DataFrame, hops: int, limit: int =
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
 
 
+def sample_paths(paths: DataFrame, most: int = 3) -> DataFrame:
+    """A few distinct paths to each node of a query, shortest first, as ``a>b>c``."""
+    distinct = paths.select("query_id", "node", "hops", F.array_join("node_ids", ">").alias("path")).distinct()
+    order = W.partitionBy("query_id", "node").orderBy("hops", "path")
+    return distinct.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+
+
+def relation_plan(seeds: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+    """The relation types around each query's seeds, most frequent first."""
+    around = both_ways(edges).join(seeds.select("query_id", F.col("node").alias("src")), "src")
+    counts = around.groupBy("query_id", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("query_id").orderBy(F.desc("n"), "rel_type")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def path_text(node_names: Column, labels: Column) -> Column:
     """``A --LABEL--> B --LABEL--> C``."""
     later = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit(" --"), F.get(labels, i - 1), F.lit("--> "), F.get(node_names, i)))

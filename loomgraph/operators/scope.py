@@ -54,3 +54,27 @@ def chunks_of_entities(mentions: DataFrame, entities: DataFrame, limit: int) ->
     linked = mentions.join(entities, "entity_id").groupBy("query_id", "chunk_id", "position").agg(F.array_sort(F.collect_set("entity_id")).alias("linked"), F.countDistinct("entity_id").alias("links"))
     best = W.partitionBy("query_id").orderBy(F.desc("links"), "position", "chunk_id")
     return linked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+
+
+def leaked(gold: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Whether a gold answer of four characters or more occurs in another context of its question: (conv_id, turn, leaked)."""
+    asked = gold.filter(F.length("gold") > 3)
+    met = asked.join(contexts, "conv_id").filter(F.col("turn") != F.col("place"))
+    return met.groupBy("conv_id", "turn").agg(F.bool_or(F.contains(F.lower("context"), F.lower("gold"))).alias("leaked"))
+
+
+def supported_by_chunks(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges that a query's selected chunks bear out: by place if the edge has places, else by passage, else by question, else always.
+
+    Edges carry query_id and arrays positions, passages, question_ids; chunks
+    carry query_id, position, passage and question_id.
+    """
+    selected = chunks.groupBy("query_id").agg(F.collect_set("position").alias("_p"), F.collect_set("passage").alias("_g"), F.collect_set("question_id").alias("_q"))
+    given = lambda name: F.coalesce(F.size(name), F.lit(0)) > 0
+    borne = (
+        F.when(given("positions"), F.arrays_overlap("positions", "_p"))
+        .when(given("passages"), F.arrays_overlap("passages", "_g"))
+        .when(given("question_ids"), F.arrays_overlap("question_ids", "_q"))
+        .otherwise(True)
+    )
+    return edges.join(selected, "query_id").filter(borne).drop("_p", "_g", "_q")

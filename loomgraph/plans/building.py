@@ -38,13 +38,13 @@ def contradictions(spark, sf_dir):
     return build.contradictions(fx.supply_edges(spark, sf_dir))
 
 
-@query("triple_confidence", r"""WITH g AS (SELECT doc_id, doc_id % 50 AS grp, lower(text) AS text FROM documents WHERE doc_id < 400),
+@query("triple_confidence", r"""WITH g AS (SELECT doc_id, doc_id % 50 AS grp, lower(text) AS text FROM documents),
 t AS (SELECT item_id AS triple_id, lower(split_part(text, ' ', 1)) AS s, lower(split_part(text, ' ', 3)) AS t, item_id % 60 AS grp FROM benchmark),
 j AS (SELECT triple_id, s, t, text, [x FOR x IN regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] AS sents FROM t LEFT JOIN g USING (grp)),
 f AS (SELECT triple_id, count(text) AS n, bool_or(len(list_filter(sents, lambda x: contains(x, s) AND contains(x, t))) > 0) AS a, bool_or(contains(text, s) AND contains(text, t)) AS b, bool_or(contains(text, s)) AS c, bool_or(contains(text, t)) AS d FROM j GROUP BY triple_id)
 SELECT triple_id, CASE WHEN n = 0 THEN 0.5::DOUBLE WHEN a THEN 1.0::DOUBLE WHEN b THEN 0.7::DOUBLE WHEN c AND d THEN 0.4::DOUBLE WHEN c OR d THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence FROM f""")
 def triple_confidence(spark, sf_dir):
-    chunks = read_table(spark, sf_dir, "documents").filter("doc_id < 400").select((F.col("doc_id") % 50).alias("group"), "text")
+    chunks = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("group"), "text")
     word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
     triples = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("triple_id"), word(1).alias("source"), word(3).alias("target"), (F.col("item_id") % 60).alias("group"))
     return build.triple_confidence(triples, chunks)
@@ -56,12 +56,12 @@ def node_specificity(spark, sf_dir):
 
 
 @query("mention_linking", r"""WITH n AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS name FROM benchmark WHERE regexp_matches(lower(split_part(text, ' ', 2)), '^[a-z0-9]{4,}$')),
-c AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents WHERE doc_id < 300)
+c AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents)
 SELECT chunk_id, name AS entity_id FROM c JOIN n ON contains(low, name) WHERE regexp_matches(low, '(^|[^a-z0-9])' || name || '($|[^a-z0-9])')""")
 def mention_linking(spark, sf_dir):
     name = F.lower(F.split_part("text", F.lit(" "), F.lit(2)))
     entities = read_table(spark, sf_dir, "benchmark").select(name.alias("entity_id"), name.alias("name")).filter(F.col("name").rlike("^[a-z0-9]{4,}$")).distinct()
-    chunks = read_table(spark, sf_dir, "documents").filter("doc_id < 300").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return build.mention_links(chunks, entities).select("chunk_id", "entity_id")
 
 
@@ -174,7 +174,7 @@ def seu_ecu(spark, sf_dir):
     return rows.select("question_id", F.round(uncertainty.support_uncertainty(e, c, n), 6).alias("seu"), F.round(uncertainty.conflict_uncertainty(e, c, n), 6).alias("ecu"))
 
 
-@query("graph_path_support", f"""WITH {TRAIL_EDGES}, a AS (SELECT s_suppkey AS query_id, unnest(['P' || (s_suppkey * 7), 'P' || (s_suppkey * 7 + 1), 'S' || (s_suppkey + 1)]) AS node FROM supplier WHERE s_suppkey <= 5),
+@query("graph_path_support", f"""WITH {TRAIL_EDGES}, a AS (SELECT s_suppkey AS query_id, unnest(['P' || (s_suppkey * 7), 'P' || (s_suppkey * 7 + 1), 'S' || (s_suppkey + 1)]) AS node FROM supplier),
 r AS (SELECT DISTINCT query_id, node FROM p)
 SELECT query_id, round(1 - count(r.node) / count(*), 6) AS support_uncertainty FROM a LEFT JOIN r USING (query_id, node) GROUP BY query_id""")
 def graph_path_support(spark, sf_dir):
@@ -192,13 +192,15 @@ def path_disagreement(spark, sf_dir):
     return uncertainty.path_disagreement(graph.expand_paths(seeds, edges, 2)).select("query_id", F.round("disagreement", 6).alias("disagreement"), "ends")
 
 
-@query("competing_alternatives", f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, rel_type, dst FROM supply_edges WHERE question_id % 20 = 0), a AS (SELECT p_partkey AS query_id, 'P' || p_partkey AS node FROM part WHERE p_partkey <= 300),
-t AS (SELECT DISTINCT query_id, src, rel_type FROM e JOIN a ON a.node = e.dst), n AS (SELECT query_id, rel_type, count(DISTINCT dst) AS n FROM e JOIN t USING (src, rel_type) GROUP BY ALL)
+@query("competing_alternatives", f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, rel_type, dst FROM supply_edges), a AS (SELECT p_partkey AS query_id, 'P' || p_partkey AS node FROM part),
+q AS (SELECT query_id, min(src) AS src FROM e JOIN a ON a.node = e.dst GROUP BY query_id), k AS (SELECT query_id, e.* FROM e JOIN q USING (src)),
+t AS (SELECT DISTINCT query_id, rel_type FROM k JOIN a USING (query_id) WHERE a.node = k.dst), n AS (SELECT query_id, rel_type, count(DISTINCT dst) AS n FROM k JOIN t USING (query_id, rel_type) GROUP BY ALL)
 SELECT query_id, round(1 - 1 / (1 + max(n)), 6) AS competition FROM n GROUP BY query_id""")
 def competing_alternatives(spark, sf_dir):
-    edges = fx.supply_edges(spark, sf_dir).filter("question_id % 20 = 0").select("src", "rel_type", "dst").distinct()
-    wanted = read_table(spark, sf_dir, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
-    return uncertainty.competing_alternatives(edges, wanted).select("query_id", F.round("competition", 6).alias("competition"))
+    edges = fx.supply_edges(spark, sf_dir).select("src", "rel_type", "dst").distinct()
+    wanted = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
+    asked = edges.join(wanted, F.col("dst") == F.col("node")).groupBy("query_id").agg(F.min("src").alias("node"))
+    return uncertainty.competing_alternatives(edges, asked, wanted).select("query_id", F.round("competition", 6).alias("competition"))
 
 
 @query("spectral_metrics")

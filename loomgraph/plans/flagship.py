@@ -14,7 +14,7 @@ from loomgraph.operators import graph, retrieve
 from loomgraph.plans.registry import query
 from loomgraph.sources.tables import read_table
 
-EVERY = 50
+EVERY = 100
 NEAREST, SEEDS, NEIGHBOURS, RETURNED = 12, 3, 4, 10
 
 

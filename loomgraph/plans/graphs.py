@@ -17,26 +17,27 @@ def degree_report(spark, sf_dir):
 
 
 def seed_edges(spark, sf_dir):
-    """Edges of the first supplier orders, small enough to enumerate trails; seeds are suppliers 1 to 5."""
-    edges = graph.readable_edges(fx.supply_edges(spark, sf_dir)).filter(F.col("question_id") % 50 == 0)
-    suppliers = read_table(spark, sf_dir, "supplier").filter("s_suppkey <= 5")
+    """All supply edges that are certain enough, and each supplier as a query's seed."""
+    edges = graph.readable_edges(fx.supply_edges(spark, sf_dir))
+    suppliers = read_table(spark, sf_dir, "supplier")
     return edges, suppliers.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
 
 
 TRAIL_EDGES = f"""{fx.SUPPLY_EDGES},
-e AS (SELECT edge_id, src, dst FROM supply_edges WHERE confidence >= 0.4 AND question_id % 50 = 0),
+e AS (SELECT edge_id, src, dst FROM supply_edges WHERE confidence >= 0.4),
 s AS (SELECT edge_id, src AS f, dst AS t FROM e UNION ALL SELECT edge_id, dst, src FROM e),
-seeds AS (SELECT s_suppkey AS query_id, 'S' || s_suppkey AS seed FROM supplier WHERE s_suppkey <= 5),
+seeds AS (SELECT s_suppkey AS query_id, 'S' || s_suppkey AS seed FROM supplier),
 p1 AS (SELECT query_id, seed, s.t AS node, 1 AS hops, s.edge_id AS e1, NULL AS e2, [seed, s.t] AS nodes FROM seeds JOIN s ON s.f = seed),
 p2 AS (SELECT query_id, seed, s.t AS node, 2 AS hops, e1, s.edge_id AS e2, list_append(nodes, s.t) AS nodes FROM p1 JOIN s ON s.f = p1.node AND s.edge_id <> e1),
 p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
 
 
-@query("sample_paths", f"""WITH {TRAIL_EDGES}
-SELECT query_id, node, hops, array_to_string(nodes, '>') AS path FROM p""")
+@query("sample_paths", f"""WITH {TRAIL_EDGES}, d AS (SELECT DISTINCT query_id, node, hops, array_to_string(nodes, '>') AS path FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY hops, path) AS r FROM d)
+SELECT query_id, node, hops, path FROM r WHERE r <= 3""")
 def sample_paths(spark, sf_dir):
     edges, seeds = seed_edges(spark, sf_dir)
-    return graph.expand_paths(seeds, edges, 2).select("query_id", "node", "hops", F.array_join("node_ids", ">").alias("path"))
+    return graph.sample_paths(graph.expand_paths(seeds, edges, 2))
 
 
 @query("expand_entities", f"""WITH {TRAIL_EDGES},
@@ -56,7 +57,7 @@ def reachable_nodes(spark, sf_dir):
 
 
 def ppr_tables(spark, sf_dir):
-    edges = fx.supply_edges(spark, sf_dir).filter((F.col("question_id") < 200) & (F.col("confidence") >= 0.4)).withColumn("query_id", F.col("question_id") % 10)
+    edges = fx.supply_edges(spark, sf_dir).filter(F.col("confidence") >= 0.4).withColumn("query_id", F.col("question_id") % 10)
     nodes = edges.select("query_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     seeds = nodes.filter(F.col("node").startswith("S")).groupBy("query_id").agg(F.min("node").alias("node"))
     return nodes, edges, seeds
@@ -69,7 +70,7 @@ i{k} AS (SELECT v.query_id, k.dst AS node, sum(v.v * k.share) AS x FROM v{k - 1}
 v{k} AS (SELECT v.query_id, v.node, v.e, 0.15 * v.e + 0.85 * coalesce(i.x, 0) AS v FROM v{k - 1} v LEFT JOIN i{k} i ON i.query_id = v.query_id AND i.node = v.node)"""
         for k in range(1, steps + 1)
     )
-    return f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT question_id % 10 AS query_id, src, dst, confidence FROM supply_edges WHERE question_id < 200 AND confidence >= 0.4),
+    return f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT question_id % 10 AS query_id, src, dst, confidence FROM supply_edges WHERE confidence >= 0.4),
 w AS (SELECT query_id, src AS a, dst AS b, max(confidence) AS w FROM e GROUP BY ALL),
 u AS (SELECT query_id, a AS src, b AS dst, w FROM w UNION ALL SELECT query_id, b, a, w FROM w),
 k AS (SELECT query_id, src, dst, w / sum(w) OVER (PARTITION BY query_id, src) AS share FROM u),
@@ -94,32 +95,31 @@ v{k} AS MATERIALIZED (SELECT v.node, 0.15 / n.n + 0.85 * (coalesce(i.x, 0) + d.m
     )
     return f"""WITH {fx.ENTITIES}, {fx.PLACE_EDGES}, l AS (SELECT src, dst, count(*) AS m FROM place_edges GROUP BY ALL),
 k AS MATERIALIZED (SELECT src, dst, m / sum(m) OVER (PARTITION BY src) AS share FROM l),
-n AS (SELECT count(*)::DOUBLE AS n FROM entities WHERE type <> 'Part'),
-v0 AS (SELECT entity_id AS node, 1.0 / n.n AS v FROM entities, n WHERE type <> 'Part'){rounds}
+n AS (SELECT count(*)::DOUBLE AS n FROM entities),
+v0 AS (SELECT entity_id AS node, 1.0 / n.n AS v FROM entities, n){rounds}
 SELECT node, round(v, 7) AS score FROM v{steps}"""
 
 
 @query("pagerank", _pagerank_sql())
 def pagerank(spark, sf_dir):
-    nodes = fx.entities(spark, sf_dir).filter("type <> 'Part'").select(F.col("entity_id").alias("node"))
+    nodes = fx.entities(spark, sf_dir).select(F.col("entity_id").alias("node"))
     return graph.pagerank(nodes, fx.place_edges(spark, sf_dir)).select("node", F.round("score", 7).alias("score"))
 
 
-@query("connected_components", f"""WITH RECURSIVE {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, dst FROM supply_edges WHERE question_id % 60 = 0),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)
-SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
+@query("connected_components", f"""WITH RECURSIVE {fx.ENTITIES}, {fx.SUPPLY_EDGES}, u AS (SELECT src AS a, dst AS b FROM supply_edges WHERE confidence >= 0.95 UNION SELECT dst, src FROM supply_edges WHERE confidence >= 0.95),
+cc(node, component) USING KEY (node) AS (
+  SELECT entity_id, entity_id FROM entities
+  UNION (SELECT u.a, min(f.component) FROM cc f JOIN u ON u.b = f.node JOIN recurring.cc o ON o.node = u.a GROUP BY u.a, o.component HAVING min(f.component) < o.component))
+SELECT node, component FROM cc""")
 def connected_components(spark, sf_dir):
-    edges = fx.supply_edges(spark, sf_dir).filter(F.col("question_id") % 60 == 0)
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    edges = fx.supply_edges(spark, sf_dir).filter(F.col("confidence") >= 0.95)
+    nodes = fx.entities(spark, sf_dir).select(F.col("entity_id").alias("node"))
     return graph.connected_components(nodes, edges)
 
 
-@query("relation_planning", f"""WITH {fx.PLACE_EDGES}, seeds AS (SELECT 'N' || n_nationkey AS node FROM nation WHERE n_regionkey = 1),
-t AS (SELECT rel_type, count(*) AS n FROM (SELECT rel_type, src AS x FROM place_edges UNION ALL SELECT rel_type, dst FROM place_edges) JOIN seeds ON seeds.node = x GROUP BY rel_type)
-SELECT rel_type, CAST(n AS BIGINT) AS n FROM t ORDER BY n DESC, rel_type LIMIT 40""")
+@query("relation_planning", f"""WITH {fx.PLACE_EDGES}, seeds AS (SELECT n_regionkey AS query_id, 'N' || n_nationkey AS node FROM nation),
+t AS (SELECT query_id, rel_type, count(*) AS n FROM (SELECT rel_type, src AS x FROM place_edges UNION ALL SELECT rel_type, dst FROM place_edges) JOIN seeds ON seeds.node = x GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rel_type) AS rank FROM t) SELECT query_id, rel_type, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40""")
 def relation_planning(spark, sf_dir):
-    seeds = read_table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
-    around = graph.both_ways(fx.place_edges(spark, sf_dir)).join(seeds, F.col("src") == F.col("node"), "left_semi")
-    return around.groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rel_type").limit(40)
+    seeds = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.relation_plan(seeds, fx.place_edges(spark, sf_dir))

@@ -29,38 +29,38 @@ def _named(found):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vector_topk", _top("TRUE", 10, 0.08, "q.vec_id % 50 = 0"))
+@query("vector_topk", _top("TRUE", 10, 0.08, "q.vec_id % 100 = 0"))
 def vector_topk(spark, sf_dir):
-    queries = vectors(spark, sf_dir).filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    queries = vectors(spark, sf_dir).filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return _named(retrieve.vector_top_k(queries, vectors(spark, sf_dir), 10))
 
 
-@query("vector_scoped_topk", _top("q.label = v.label", 5, 0.08, "q.vec_id % 50 = 0"))
+@query("vector_scoped_topk", _top("q.label = v.label", 5, 0.08, "q.vec_id % 100 = 0"))
 def vector_scoped_topk(spark, sf_dir):
-    queries = vectors(spark, sf_dir).filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    queries = vectors(spark, sf_dir).filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return _named(retrieve.vector_top_k(queries, vectors(spark, sf_dir), 5, same_scope=True))
 
 
-@query("knn_similar_graph", _top("TRUE", 5, 0.2, "q.vec_id % 20 = 0", "q.vec_id <> v.vec_id"))
+@query("knn_similar_graph", _top("TRUE", 5, 0.2, "TRUE", "q.vec_id <> v.vec_id"))
 def knn_similar_graph(spark, sf_dir):
-    queries = vectors(spark, sf_dir).filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    queries = vectors(spark, sf_dir).withColumnRenamed("vec_id", "query_id")
     return _named(retrieve.vector_top_k(queries, vectors(spark, sf_dir), 5, threshold=0.2, exclude_self=True))
 
 
-@query("text_search_terms", """WITH t AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS x, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS o FROM benchmark WHERE item_id < 20),
+@query("text_search_terms", """WITH t AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS x, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS o FROM benchmark),
 f AS (SELECT query_id, (list_sort([list_position(o, e) FOR e IN x]))[:8] AS ps, o FROM t),
 q AS (SELECT query_id, len(ps) AS n, unnest([o[p] FOR p IN ps]) AS term FROM f),
 m AS (SELECT query_id, doc_id AS chunk_id, n, count(*) AS matched FROM q JOIN documents ON contains(lower(text), term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched / n DESC, chunk_id) AS rank FROM m)
 SELECT query_id, chunk_id, CAST(matched AS BIGINT) AS matched, round(matched / n, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def text_search_terms(spark, sf_dir):
-    queries = read_table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     chunks = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieve.text_search(queries, chunks, 10).select("query_id", "chunk_id", "matched", F.round("score", 6).alias("score"), "rank")
 
 
 @query("symbolic_lookup", f"""WITH {fx.ENTITIES}, q AS (SELECT n_nationkey AS query_id, 'which supplier ' || n_name || ' of region ' || r_name AS q FROM nation JOIN region ON r_regionkey = n_regionkey),
-c AS (SELECT query_id, lower(q) AS q, entity_id, lower(name) AS name FROM q, entities WHERE length(name) >= 4 AND type IN ('Nation', 'Region', 'Supplier')),
+c AS (SELECT query_id, lower(q) AS q, entity_id, lower(name) AS name FROM q, entities WHERE length(name) >= 4),
 s AS (SELECT query_id, entity_id, name, contains(q, name)::INT AS in_question, contains(name, q)::INT AS holds_question,
       len([t FOR t IN list_distinct([x FOR x IN regexp_extract_all(q, '[A-Za-z0-9]+') IF length(x) >= 4 AND x NOT IN ('which', 'what')]) IF contains(name, t)]) AS overlap FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_question DESC, holds_question DESC, overlap DESC, length(name) DESC, entity_id) AS rank FROM s WHERE in_question = 1 OR holds_question = 1 OR overlap >= 2)
@@ -68,27 +68,26 @@ SELECT query_id, entity_id, in_question, CAST(overlap AS INTEGER) AS overlap, CA
 def symbolic_lookup(spark, sf_dir):
     nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
     queries = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("which supplier "), "n_name", F.lit(" of region "), "r_name").alias("question"))
-    named = fx.entities(spark, sf_dir).filter(F.col("type").isin("Nation", "Region", "Supplier"))
-    return retrieve.symbolic_lookup(queries, named).select(F.col("query_id").cast("int").alias("query_id"), "entity_id", "in_question", "overlap", "rank")
+    return retrieve.symbolic_lookup(queries, fx.entities(spark, sf_dir)).select(F.col("query_id").cast("int").alias("query_id"), "entity_id", "in_question", "overlap", "rank")
 
 
 @query("chunk_scores", _ppr_sql().rsplit("SELECT query_id, node", 1)[0].rstrip() + f""",
 {fx.MENTIONS}, b AS (SELECT query_id, node AS entity_id, v / max(v) OVER (PARTITION BY query_id) AS s FROM v5),
-l AS (SELECT question_id % 10 AS query_id, entity_id, chunk_id FROM mentions WHERE question_id < 200)
+l AS (SELECT question_id % 10 AS query_id, entity_id, chunk_id FROM mentions)
 SELECT query_id, chunk_id, round(least(1, avg(s) + 0.05 * (count(*) - 1)), 6) AS score, CAST(count(*) AS BIGINT) AS links FROM l JOIN b USING (query_id, entity_id) GROUP BY ALL""")
 def chunk_scores(spark, sf_dir):
     nodes, edges, seeds = ppr_tables(spark, sf_dir)
     scores = graph.personalized_pagerank(nodes, edges, seeds)
-    linked = fx.mentions(spark, sf_dir).filter("question_id < 200").select((F.col("question_id") % 10).alias("query_id"), "entity_id", "chunk_id")
+    linked = fx.mentions(spark, sf_dir).select((F.col("question_id") % 10).alias("query_id"), "entity_id", "chunk_id")
     return retrieve.chunk_scores(linked, scores).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "links")
 
 
 SCORED = """scored AS (SELECT l_suppkey AS query_id, l_orderkey || ':' || l_linenumber AS chunk_id, l_orderkey % 40 AS passage, CAST(l_linenumber AS INTEGER) AS position, CAST(l_quantity AS INTEGER) AS links,
-       round(1 - 7 * l_discount, 2) AS score, CAST(l_partkey % 4 AS INTEGER) AS hops, CASE WHEN l_partkey % 5 > 0 THEN round(l_tax * 10, 2) END AS cosine FROM lineitem WHERE l_suppkey <= 20)"""
+       round(1 - 7 * l_discount, 2) AS score, CAST(l_partkey % 4 AS INTEGER) AS hops, CASE WHEN l_partkey % 5 > 0 THEN round(l_tax * 10, 2) END AS cosine FROM lineitem)"""
 
 
 def scored_chunks(spark, sf_dir):
-    return read_table(spark, sf_dir, "lineitem").filter("l_suppkey <= 20").select(
+    return read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("query_id"),
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"),
         (F.col("l_orderkey") % 40).alias("passage"),
@@ -143,13 +142,13 @@ def merge_contexts(spark, sf_dir):
     return retrieve.merge_contexts(lists.filter("list_id = 1 AND rank <= 15"), lists.filter("list_id = 3 AND rank <= 30"))
 
 
-@query("max_sim", """WITH q AS (SELECT vec_id % 5 AS query_id, vec_id AS q_token, embedding AS e FROM embeddings WHERE vec_id < 25), c AS (SELECT vec_id // 4 AS chunk_id, embedding AS e FROM embeddings WHERE vec_id < 400),
+@query("max_sim", """WITH q AS (SELECT vec_id // 200 AS query_id, vec_id AS q_token, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id // 4 AS chunk_id, embedding AS e FROM embeddings),
 b AS (SELECT query_id, chunk_id, q_token, max(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])) AS best FROM q, c GROUP BY ALL)
 SELECT query_id, chunk_id, round(avg(best), 6) AS score FROM b GROUP BY ALL""")
 def max_sim(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings")
-    q = rows.filter("vec_id < 25").select((F.col("vec_id") % 5).alias("query_id"), F.col("vec_id").alias("q_token"), F.col("embedding").alias("q_vec"))
-    c = rows.filter("vec_id < 400").select(F.floor(F.col("vec_id") / 4).alias("chunk_id"), F.col("embedding").alias("c_vec"))
+    q = rows.filter("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 200).alias("query_id"), F.col("vec_id").alias("q_token"), F.col("embedding").alias("q_vec"))
+    c = rows.select(F.floor(F.col("vec_id") / 4).alias("chunk_id"), F.col("embedding").alias("c_vec"))
     return retrieve.max_sim(q, c).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 

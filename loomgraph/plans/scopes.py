@@ -38,22 +38,21 @@ def adjacent_chunks(spark, sf_dir):
     return scope.adjacent_chunks(chunks.filter("position = 2"), chunks).select("chunk_id", "question_id", "position")
 
 
-@query("chunks_for_entities", f"""WITH {fx.MENTIONS}, q AS (SELECT s_suppkey AS query_id, 'S' || s_suppkey AS entity_id FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT p_partkey % 20 + 1, 'P' || p_partkey FROM part WHERE p_partkey <= 400),
+@query("chunks_for_entities", f"""WITH {fx.MENTIONS}, q AS (SELECT s_suppkey % 25 AS query_id, 'S' || s_suppkey AS entity_id FROM supplier UNION ALL SELECT p_partkey % 25, 'P' || p_partkey FROM part),
 l AS (SELECT query_id, chunk_id, position, count(DISTINCT entity_id) AS links, array_to_string(list_sort(list_distinct(list(entity_id))), ',') AS linked FROM mentions JOIN q USING (entity_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY links DESC, position, chunk_id) AS rank FROM l)
 SELECT query_id, chunk_id, CAST(links AS BIGINT) AS links, linked, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 25""")
 def chunks_for_entities(spark, sf_dir):
-    suppliers = read_table(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("entity_id"))
-    parts = read_table(spark, sf_dir, "part").filter("p_partkey <= 400").select((F.col("p_partkey") % 20 + 1).alias("query_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    suppliers = read_table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25).alias("query_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("entity_id"))
+    parts = read_table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("query_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("entity_id"))
     found = scope.chunks_of_entities(fx.mentions(spark, sf_dir), suppliers.union(parts), 25)
     return found.select("query_id", "chunk_id", "links", F.array_join("linked", ",").alias("linked"), "rank")
 
 
-@query("leakage_check", """WITH g AS (SELECT doc_id, source, regexp_extract(text, '[A-Za-z]{5,}') AS gold FROM documents WHERE doc_id % 20 = 0)
-SELECT g.doc_id AS question_id, bool_or(contains(lower(d.text), lower(g.gold))) AS leaked FROM g JOIN documents d ON d.source = g.source AND d.doc_id <> g.doc_id AND d.doc_id % 10 = 0
-WHERE length(g.gold) > 3 GROUP BY g.doc_id""")
+@query("leakage_check", """WITH g AS (SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]{5,}') AS gold FROM conversations WHERE role = 'user')
+SELECT g.conv_id, g.turn, bool_or(contains(lower(c.text), lower(g.gold))) AS leaked FROM g JOIN conversations c ON c.conv_id = g.conv_id AND c.turn <> g.turn WHERE length(g.gold) > 3 GROUP BY ALL""")
 def leakage_check(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    gold = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), "source", F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("gold")).filter(F.length("gold") > 3)
-    contexts = docs.filter("doc_id % 10 = 0").select("doc_id", "source", F.lower("text").alias("context"))
-    return gold.join(contexts, "source").filter("question_id <> doc_id").groupBy("question_id").agg(F.bool_or(F.contains("context", F.lower("gold"))).alias("leaked"))
+    turns = read_table(spark, sf_dir, "conversations")
+    gold = turns.filter("role = 'user'").select("conv_id", "turn", F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("gold"))
+    contexts = turns.select("conv_id", F.col("turn").alias("place"), F.col("text").alias("context"))
+    return scope.leaked(gold, contexts)
