@@ -45,7 +45,7 @@ def qualifiers(spark, sf_dir):
     return report.qualifiers(fx.supply_edges(spark, sf_dir))
 
 
-@query("iterative_merge", f"""WITH {LISTS}, f AS (SELECT query_id, chunk_id, list_id AS hop, max(score) AS score FROM l GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_id) = 1),
+@query("iterative_merge", f"""WITH {LISTS}, f AS (SELECT query_id, chunk_id, list_id AS hop, max(score) AS score FROM l GROUP BY query_id, chunk_id, list_id QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_id) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hop, chunk_id) AS rank FROM f) SELECT query_id, chunk_id, hop, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def iterative_merge(spark, sf_dir):
     return report.merge_hops(ranked_lists(spark, sf_dir).withColumnRenamed("list_id", "hop"), 20)
