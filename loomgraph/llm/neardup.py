@@ -14,10 +14,18 @@ the distance meets in a key. At similarity 0.75 a value differs with
 probability 1/4, and a pair exceeds the distance with probability 3e-6.
 
 Pairs of a key's members aren't all emitted. First every class is compared
-with the least class that it meets in any key, and what is confirmed is merged
-into components. Then only pairs that meet and lie in different components are
-compared, since the others change no group. Sizes, then signatures, then the
-full sets decide.
+with the most central class that it meets in any key (the one whose keys are
+shared most often), and what is confirmed is merged into components. Then only
+pairs that meet and lie in different components are compared, since the others
+change no group, and of these only such as can be similar, by two bounds that
+hold for certain. A shingle that no other candidate has is in no intersection.
+And the parities of the numbers of shingles that fall to each of SKETCH_BITS
+places differ in no more places than the sets differ in shingles, which for
+similar sets are at most a seventh of their sizes together. In a few rounds
+each class meets one other of each of its keys, chosen anew, and the nearest of
+these is compared; that merges what is linked many times over, in linear work.
+What then still lies apart is compared pair by pair: by the bounds, by
+signatures, and last by the full sets, so no link is lost.
 """
 
 from __future__ import annotations
@@ -27,11 +35,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, materialize, plain_columns, read_table
+from loomgraph.llm.bitmap import repeated_hashes
+from loomgraph.llm.common import bound_batches, materialize, plain_columns, plan_bytes, read_table
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, mix
 
@@ -45,7 +54,14 @@ SIMILAR = 75
 #: Candidate classes up to which their keys are broadcast to fetch the texts (about 40 bytes each); beyond, the join shuffles.
 BROADCAST_CLASSES = 500_000
 #: Characters of text that are hashed together.
-GROUP_CHARACTERS = 2_000_000
+GROUP_CHARACTERS = 1_000_000
+#: Stored bytes of a text for each of its shingles.
+SHINGLE_BYTES = 4
+
+#: Rounds of comparing with one other class of each key before all pairs that are left.
+ROUNDS = 3
+#: Bits of the parity sketch, 64 in a word.
+SKETCH_BITS = 2048
 
 OUTPUT = ["n_shingles", "component_id", "kept"]
 
@@ -193,13 +209,71 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows whose key is shared by classes of different roots."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def parity_sketch(shingles: np.ndarray) -> list[int]:
+    """The parity of the number of shingles at each place, as words of 64 bits."""
+    places = (mix(shingles + np.uint64(1)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def _bounds(texts: DataFrame) -> DataFrame:
+    """(nid, shared, sketch): how many of a class's shingles another of these classes may have, never too few, and its parity sketch."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        for batch in batches:
+            for rows, group in _grouped(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield rows, shingle_sets(group)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in grouped(batches):
+            yield mix(np.concatenate(sets))
+
+    texts = texts.select("nid", "text")
+    repeated = texts.sparkSession.sparkContext.broadcast(repeated_hashes(texts, hashes, plan_bytes(texts) // SHINGLE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in grouped(batches):
+            held = repeated.value.holds(mix(np.concatenate(sets)))
+            sizes = np.array([len(s) for s in sets])
+            counts = np.bincount(np.repeat(np.arange(len(sets)), sizes), held, minlength=len(sets)).astype(np.int64)
+            sketches = pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(counts), sketches], names=["nid", "shared", "sketch"])
+
+    return texts.mapInArrow(run, "nid long, shared long, sketch array<long>")
+
+
+def _possible(x: list[Column], y: list[Column]) -> tuple[Column, Column]:
+    """Whether two classes, by (n, shared, sketch), can be similar at all; and the least number of shingles in which they differ."""
+    most, sizes = F.least(x[1], y[1]), x[0] + y[0]
+    differ = sum(F.bit_count(x[2][i].bitwiseXOR(y[2][i])) for i in range(SKETCH_BITS // 64))
+    return (100 * most >= SIMILAR * (sizes - most)) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes), differ
+
+
+def _nearest_met(apart: DataFrame, turn: int) -> DataFrame:
+    """(a, b): of the classes drawn one a key, the nearest possible one to each class that has another root."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "nid"), "nid", "n", "root", "shared", "sketch")).over(W.partitionBy("key"))
+    met = apart.withColumn("other", drawn).filter(F.col("root") != F.col("other.root"))
+    possible, differ = _possible([F.col(name) for name in ("n", "shared", "sketch")], [F.col(f"other.{name}") for name in ("n", "shared", "sketch")])
+    met = met.filter(possible).select(F.col("nid").alias("a"), F.struct(differ.alias("d"), F.col("other.nid")).alias("near"))
+    return met.groupBy("a").agg(F.min("near")["nid"].alias("b"))
+
+
 def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(cls, n, group_id) of each distinct text; ``group_id`` is the least id of its component."""
     classes = materialize(text_classes(docs, id_column, text_column), "classes")
     keys = class_keys(classes)
     of_key = W.partitionBy("key")
-    met = keys.withColumn("lead", F.min("nid").over(of_key)).withColumn("last", F.max("nid").over(of_key))
-    met = materialize(met.filter(F.col("lead") < F.col("last")).select("key", "nid", "n", "lead"), "met")
+    met = keys.withColumn("size", F.count(F.lit(1)).over(of_key)).filter(F.col("size") > 1)
+    met = materialize(met, "met")
+    central = met.groupBy("nid").agg(F.sum("size").alias("central"))
+    met = met.join(central, "nid").withColumn("order", F.struct(-F.col("central"), F.col("nid")))
+    met = materialize(met.withColumn("lead", F.min("order").over(of_key)["nid"]).select("key", "nid", "n", "lead", "order"), "met")
 
     need = classes.join(met.select("nid").distinct(), "nid", "left_semi").select("cls", "nid", "rep")
     if need.count() <= BROADCAST_CLASSES:
@@ -208,16 +282,29 @@ def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     texts = own.join(need, "cls").filter(F.col("_id").eqNullSafe(F.col("rep"))).select("nid", "text")
     texts = materialize(texts, "texts")
 
-    first = met.filter(F.col("nid") > F.col("lead")).groupBy(F.col("nid").alias("a")).agg(F.min("lead").alias("b"))
+    ahead = met.select("nid", "order").distinct().select(F.col("nid").alias("lead"), F.col("order").alias("lead_order"))
+    first = met.select("nid", "lead").filter(F.col("nid") != F.col("lead")).distinct().join(ahead, "lead")
+    first = first.groupBy(F.col("nid").alias("a")).agg(F.min("lead_order")["nid"].alias("b"))
     links = materialize(_confirmed(first, texts), "links")
     roots = components(links)
 
     placed = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
-    apart = materialize(placed.join(mixed, "key", "left_semi"), "apart")
+    apart = materialize(_mixed(placed), "apart")
+    bounds = materialize(_bounds(texts.join(apart.select("nid").distinct(), "nid", "left_semi")), "bounds")
+    able = bounds.select("nid", "shared").distinct()
+    apart = _mixed(apart.join(able, "nid").filter(100 * F.col("shared") >= SIMILAR * F.col("n")))
+    apart = materialize(apart.join(bounds.select("nid", "sketch").dropDuplicates(["nid"]), "nid"), "apart")
+    for turn in range(ROUNDS):
+        more = materialize(_confirmed(_nearest_met(apart, turn), texts), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+        apart = apart.drop("root").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        apart = materialize(_mixed(apart), "apart")
     x, y = apart.alias("x"), apart.alias("y")
-    similar_size = 100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") > F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & similar_size)
+    possible, _ = _possible(*[[F.col(f"{side}.{name}") for name in ("n", "shared", "sketch")] for side in "xy"])
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") > F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & possible)
     pairs = pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
     more = materialize(_confirmed(_close_signatures(pairs, classes), texts), "links")
     if not more.isEmpty():
