@@ -17,9 +17,16 @@ that runs again gives the same rows.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
-
+import functools
+import os
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark import TaskContext
@@ -27,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bound_batches, read_table
+from loomgraph.llm.tokens import text_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -35,9 +43,12 @@ TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 16_384
 #: Pieces that wait in a partition's pool before windows are closed.
 POOL = 4_096
-#: Pre-tokens that a worker remembers; when full it starts anew.
-CACHE_ENTRIES = 200_000
-CACHED_CHARACTERS = 64
+#: Stretches of text, and pre-tokens, that a worker remembers in a task, and those it keeps for the next.
+CACHE_ENTRIES, KEPT_ENTRIES = 400_000, 150_000
+CACHED_CHARACTERS = 48
+
+#: Characters of text that are encoded together.
+GROUP_CHARACTERS = 6_000_000
 
 WIDTH = 4  # bytes of an id
 SHIFT = 33  # a partition's own numbers lie below 2 ** SHIFT
@@ -45,44 +56,135 @@ SHIFT = 33  # a partition's own numbers lie below 2 ** SHIFT
 Piece = tuple[int, int, tuple, int, bytes]  # length, order, document, start, ids
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that begin at ``starts``, end to end, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)], ends
+
+
+class IdTable:
+    """Strings and their ids in arrays; when full, it forgets its newer half, as frequent strings are met early."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.strings = pa.array([], pa.large_string())
+        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def of(self, strings: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids) of distinct strings; ``encode`` gives those of strings not known."""
+        at = pc.index_in(strings, value_set=self.strings)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy()
+        starts = np.cumsum(self.sizes) - self.sizes
+        new = strings.filter(pa.array(~known))
+        new_flat, new_sizes = encode(new)
+        sizes, begins = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
+        sizes[known], begins[known] = self.sizes[at[known]], starts[at[known]]
+        sizes[~known], begins[~known] = new_sizes, len(self.flat) + np.cumsum(new_sizes) - new_sizes
+        both = np.concatenate((self.flat, new_flat))
+        out, _ = _gathered(both, begins, sizes)
+        self.strings = pa.concat_arrays([self.strings, new])
+        self.sizes, self.flat = np.concatenate((self.sizes, new_sizes)), both
+        if len(self.strings) > self.entries:
+            self.keep(self.entries // 2)
+        return out, sizes
+
+    def keep(self, entries: int) -> None:
+        self.strings = pa.concat_arrays([self.strings[:entries]])
+        self.sizes = self.sizes[:entries].copy()
+        self.flat = self.flat[: int(self.sizes.sum())].copy()
+
+
 class PieceEncoder:
     """Ids of texts as little-endian 32-bit bytes; equal to the library's, special strings included.
 
-    The pattern cuts a text as the library does, so ids of pre-tokens joined are
-    the ids of the text, and only pre-tokens not met before are encoded.
+    Between two characters that aren't white space, a single space always
+    begins a pre-token, so the ids of a text are those of its stretches, each
+    with the space before it. Stretches met before are looked up; the others
+    are cut into pre-tokens by the vocabulary's pattern, and the library
+    encodes those that are new. Both memories are bounded.
     """
 
+    #: White space beside a space: such a text is cut by the pattern alone.
+    SPACED = re.compile(r" \s|\s ")
+
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = {token.content: number.to_bytes(WIDTH, "little") for number, token in self.library.get_added_tokens_decoder().items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.entries = entries
-
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch(pieces, add_special_tokens=False)
-        return {piece: b"".join(i.to_bytes(WIDTH, "little") for i in ids.ids) for piece, ids in zip(pieces, found, strict=True)}
-
-    def encode(self, text: str) -> bytes:
-        if self.split and any(s in text for s in self.special):
-            parts = self.split.split(text)
-            return b"".join(self.special[part] if part in self.special else self._plain(part) for part in parts)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        pieces = self.pattern.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = self._encode_new(list({piece for piece in pieces if piece not in self.known}))
-            out = b"".join([new[piece] if piece in new else self.known[piece] for piece in pieces])
-            if len(self.known) > self.entries:
-                self.known.clear()
-            self.known.update((piece, ids) for piece, ids in new.items() if len(piece) <= CACHED_CHARACTERS)
-            return out
+        self.pretokens, self.stretches = IdTable(entries), IdTable(entries)
+
+    def rest(self) -> None:
+        """Between tasks, keep what was met first, which is what is frequent."""
+        for table in (self.pretokens, self.stretches):
+            table.keep(KEPT_ENTRIES)
+
+    def _by_library(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = new.to_pylist()
+        flat, sizes = array("I"), np.zeros(len(pieces), np.int64)
+        for at in range(0, len(pieces), 4096):
+            for i, one in enumerate(self.library.encode_batch_fast(pieces[at : at + 4096], add_special_tokens=False), at):
+                ids = one.ids
+                flat.extend(ids)
+                sizes[i] = len(ids)
+        return np.frombuffer(flat, "<u4") if flat else np.zeros(0, "<u4"), sizes
+
+    def _by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids) of texts cut into pre-tokens."""
+        # A space and letters alone are one pre-token.
+        found = [[text] if text[:1] == " " and text[1:].isalpha() else self.find(text) for text in texts]
+        numbers = np.fromiter(map(len, found), np.int64, len(found))
+        coded = pa.array(list(chain.from_iterable(found)), pa.large_string()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        flat, sizes = self.pretokens.of(coded.dictionary, self._by_library)
+        out, ends = _gathered(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        edges = np.concatenate((np.zeros(1, np.int64), ends))[np.concatenate((np.zeros(1, np.int64), np.cumsum(numbers)))]
+        return out, np.diff(edges)
+
+    def _by_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids) of texts cut at spaces; each distinct stretch is looked up once."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges = cut.offsets.to_numpy()
+        heads, head_sizes = self._by_pattern(cut.values.take(pa.array(edges[:-1])).to_pylist())
+        coded = cut.values.dictionary_encode()
+        which = coded.indices.to_numpy()
+        flat, sizes = self.stretches.of(coded.dictionary, lambda new: self._by_pattern([" " + piece for piece in new.to_pylist()]))
+        starts, lengths = (np.cumsum(sizes) - sizes)[which] + len(heads), sizes[which]
+        starts[edges[:-1]], lengths[edges[:-1]] = np.cumsum(head_sizes) - head_sizes, head_sizes  # a text's first stretch has no space before it
+        out, ends = _gathered(np.concatenate((heads, flat)), starts, lengths)
+        return out, np.diff(np.concatenate((np.zeros(1, np.int64), ends))[edges])
+
+    @staticmethod
+    def _apart(ids: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+        body, ends = ids[0].tobytes(), (np.cumsum(ids[1]) * WIDTH).tolist()
+        return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain, odd = [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                parts = self.split.split(text)
+                found = iter(self._apart(self._by_pattern([part for part in parts if part not in self.special])))
+                out[i] = b"".join(self.special[part] if part in self.special else next(found) for part in parts)
+            else:
+                (odd if self.SPACED.search(text) else plain).append(i)
+        for group, way in ((plain, self._by_stretches), (odd, self._by_pattern)):
+            if group:
+                for i, ids in zip(group, self._apart(way([texts[i] for i in group])), strict=True):
+                    out[i] = ids
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for a worker process: what it remembers serves all its tasks."""
+    return PieceEncoder(path)
 
 
 class TierPacker:
@@ -192,7 +294,7 @@ def pack_documents(
     end = END_ID.to_bytes(WIDTH, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = PieceEncoder(path), TierPacker(tiers, pool)
+        encoder, packer = encoder_of(path), TierPacker(tiers, pool)
         base = TaskContext.get().partitionId() << SHIFT
         sequences, groups = 0, 0
         open_groups: dict[int, list[int]] = {}  # by window length: the group and the tokens it has
@@ -223,14 +325,16 @@ def pack_documents(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                lay(packer.add((name, len(ids) // WIDTH), ids))
-                if len(rows) >= 2_000:
-                    yield flushed()
+            names = iter(batch.column(0).to_pylist())
+            for texts in text_groups([text or "" for text in batch.column(1).to_pylist()], GROUP_CHARACTERS):
+                for ids in (ids + end for ids in encoder.encode(texts)):
+                    lay(packer.add((next(names), len(ids) // WIDTH), ids))
+                    if len(rows) >= 2_000:
+                        yield flushed()
         lay(packer.finish())
         if rows:
             yield flushed()
+        encoder.rest()
 
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, {PACKED}")
 
