@@ -116,19 +116,20 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     weights = pairs.groupBy("query_id", "a", "b").agg(F.max("confidence").alias("w"))
     walks = weights.select("query_id", F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(weights.select("query_id", "b", "a", "w"))
     share = F.col("w") / F.sum("w").over(W.partitionBy("query_id", "src"))
-    walks = walks.select("query_id", "src", "dst", share.alias("share"))
+    walks = cut(walks.select("query_id", "src", "dst", share.alias("share")))
     present = nodes.select("query_id", "node").distinct()
     start = present.join(seeds.select("query_id", "node").distinct(), ["query_id", "node"]).withColumn("e", 1.0 / F.count(F.lit(1)).over(W.partitionBy("query_id")))
     linked = walks.select("query_id", F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
     state = present.join(start, ["query_id", "node"], "left").join(linked, ["query_id", "node"], "left")
     state = state.select("query_id", "node", F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("linked", F.lit(False)).alias("linked")).withColumn("v", F.col("e"))
+    state = cut(state)
     for step in range(steps):
         held = state.select("query_id", F.col("node").alias("src"), "v")
         sent = held.join(walks, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("in"))
         idle = F.sum(F.when(~F.col("linked"), F.col("v")).otherwise(0.0)).over(W.partitionBy("query_id"))
         moved = state.withColumn("idle", idle).join(sent, ["query_id", "node"], "left")
         state = moved.select("query_id", "node", "e", "linked", ((1 - alpha) * F.col("e") + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("idle") * F.col("e"))).alias("v"))
-        if step % 3 == 2:
+        if step % 3 == 2 and step < steps - 1:
             state = cut(state)
     return state.select("query_id", "node", F.col("v").alias("score"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, retrieve
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import cut
 from loomgraph.sources.tables import read_table
 
 EVERY = 100
@@ -22,10 +23,12 @@ NEAREST, SEEDS, NEIGHBOURS, RETURNED = 12, 3, 4, 10
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.filter(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
-    near = retrieve.vector_top_k(queries, vectors, NEAREST, threshold=0.05).persist()
+    near = retrieve.vector_top_k(queries, vectors, NEAREST, threshold=0.05)
+    near = cut(near)
     found = near.select(F.col("vec_id").alias("query_id")).distinct()
     around = retrieve.vector_top_k(vectors.join(found, F.col("vec_id") == F.col("query_id"), "left_semi").withColumnRenamed("vec_id", "query_id"), vectors, NEIGHBOURS, threshold=0.05, exclude_self=True)
     edges = near.select("query_id", F.col("vec_id").alias("src")).join(around.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("confidence")), "src")
+    edges = cut(edges)
     nodes = edges.select("query_id", F.explode(F.array("src", "dst")).alias("node")).union(near.select("query_id", "vec_id")).distinct()
     seeds = near.filter(F.col("rank") <= SEEDS).select("query_id", F.col("vec_id").alias("node"))
     walked = graph.personalized_pagerank(nodes, edges, seeds)
