@@ -75,3 +75,23 @@ def test_cosine_of_odd_vectors(spark):
     assert one(spark, cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[0.0, 0.0]) == 0.0
     assert one(spark, cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[1.0]) == 0.0
     assert abs(one(spark, cosine(F.col("a"), F.col("b")), a=[1.0, 1.0], b=[2.0, 2.0]) - 1) < 1e-12
+
+
+def test_sections(spark):
+    from loomgraph.functions import passages as fp
+
+    text = "Intro text\nABSTRACT:\nsome\n2.1 Materials and Methods\nmore\nResults and discussion"
+    assert [tuple(h) for h in one(spark, fp.section_headers(F.col("a")), a=text)] == [(11, "Abstract"), (26, "Methods"), (57, "Results")]
+    assert one(spark, fp.section_headers(F.col("a")), a="none") == []
+
+
+def test_qualifiers_and_titles(spark):
+    from loomgraph.functions import passages as fp
+
+    assert one(spark, fp.qualifier_sentences(F.col("a"), 2), a="Patient one. Nothing. In vivo two! Control three?") == "In vivo two! Control three?"
+    assert one(spark, fp.passage_title(F.col("a"), F.lit(True)), a="Title: Paris \nIt is. A city") == "Paris"
+    assert one(spark, fp.passage_title(F.col("a"), F.lit(True)), a="Paris. A city") == "Paris"
+    assert one(spark, fp.passage_title(F.col("a"), F.lit(False)), a="Paris. A city") is None
+    assert one(spark, fp.title_variants(F.col("a")), a="The Cold (film)") == ["cold_film", "cold"]
+    assert one(spark, fp.scope_key(F.col("a"), F.lit("q1"), F.lit(3)), a="d") == "d/q1/p3"
+    assert one(spark, fp.scope_key(F.col("a"), F.lit("q1"), F.lit(3)), a=" ") is None
