@@ -101,3 +101,50 @@ def support_gate(structural: Column, grounding: Column, certainty: Column, limit
 def hop_bucket(hops: Column) -> Column:
     """1-hop to 4-hop and 5+-hop; null for null or no hops."""
     return F.when(hops >= 5, "5+-hop").when(hops > 0, F.concat(hops.cast("string"), F.lit("-hop")))
+
+
+def strip_wrapper(text: Column) -> Column:
+    """An answer without ``Answer:`` or ``the answer is`` before it, if its first line is so wrapped."""
+    whole = F.trim(F.coalesce(text, F.lit("")))
+    first = F.trim(F.element_at(F.split(whole, "\n"), 1))
+    marked = F.regexp_extract(first, r"(?i)^\s*(?:final answer|answer)\s*[:\-]\s*(.+?)\s*$", 1)
+    told = F.regexp_extract(first, r"(?i)^\s*the answer is\s+(.+?)\s*$", 1)
+    inner = F.when(marked != "", marked).otherwise(told)
+    return F.when(inner != "", F.regexp_replace(inner, r"^[ .]+|[ .]+$", "")).otherwise(whole)
+
+
+# Parts of a guardrail's reply.
+DECISIONS = ["keep", "retry", "abstain"]
+
+
+def guardrail_verdict(raw: Column) -> Column:
+    """keep, retry or abstain: from a JSON reply, from JSON inside a reply, from a word of it, else abstain."""
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    stated = F.lower(F.trim(F.coalesce(F.get_json_object(text, "$.decision"), F.get_json_object(inner, "$.decision"), F.lit(""))))
+    low = F.lower(text)
+    spoken = F.when(F.contains(low, F.lit("abstain")), "abstain").when(F.contains(low, F.lit("retry")), "retry").when(F.contains(low, F.lit("keep")), "keep").otherwise("abstain")
+    return F.when(stated.isin(DECISIONS), stated).otherwise(spoken)
+
+
+def token_coverage_match(hay: Column, needle: Column) -> Column:
+    """Whether a text holds an expected answer: as a phrase between word borders, or by enough of its tokens.
+
+    Three characters or fewer must be a token; three quarters of four tokens or
+    more, 85 % of fewer, are enough. One-word answers aren't matched by likeness
+    here; see :func:`loomgraph.functions.fuzzy.match_ratio`.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    h, n = norm(hay), norm(needle)
+    tokens, own = F.split(n, " "), F.split(h, " ")
+    phrase = F.contains(F.concat(F.lit(" "), h, F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" ")))
+    share = F.size(F.filter(tokens, lambda t: F.array_contains(own, t))) / F.size(tokens)
+    enough = F.when(F.size(tokens) >= 4, share >= 0.75).when(F.size(tokens) > 1, share >= 0.85).otherwise(False)
+    return F.when((h == "") | (n == ""), False).when(phrase, True).when(F.length(n) <= 3, False).otherwise(enough)
+
+
+def answered_correctly(prediction: Column, gold: Column, aliases: Column, task: Column, verdict: Column) -> Column:
+    """Correctness by task: a stated label for binary questions, a judge's verdict where there is one, else the expected text or an alias."""
+    label, wanted = decision_label(prediction), decision_label(gold)
+    text = token_coverage_match(prediction, gold) | F.exists(F.coalesce(aliases, F.array().cast("array<string>")), lambda alias: token_coverage_match(prediction, alias))
+    return F.when((task == "binary") & (wanted != "") & (label != ""), label == wanted).when(verdict.isNotNull(), verdict).otherwise(text)

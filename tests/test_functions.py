@@ -95,3 +95,18 @@ def test_qualifiers_and_titles(spark):
     assert one(spark, fp.title_variants(F.col("a")), a="The Cold (film)") == ["cold_film", "cold"]
     assert one(spark, fp.scope_key(F.col("a"), F.lit("q1"), F.lit(3)), a="d") == "d/q1/p3"
     assert one(spark, fp.scope_key(F.col("a"), F.lit("q1"), F.lit(3)), a=" ") is None
+
+
+def test_wrappers_and_verdicts(spark):
+    assert one(spark, fa.strip_wrapper(F.col("a")), a="Final answer: Paris. \nBecause") == "Paris"
+    assert one(spark, fa.strip_wrapper(F.col("a")), a="Paris") == "Paris"
+    verdict = lambda raw: one(spark, fa.guardrail_verdict(F.col("a")), a=raw)
+    assert [verdict(v) for v in ('{"decision": "Keep"}', 'so {"decision":"retry"} ok', "I would keep it", "?", None)] == ["keep", "retry", "keep", "abstain", "abstain"]
+
+
+def test_expected_text(spark):
+    held = lambda hay, needle: one(spark, fa.token_coverage_match(F.col("a"), F.col("b")), a=hay, b=needle)
+    assert held("It is New-York City!", "new york") and held("the big red house stands", "big red old house stands") and held("yes", "yes")
+    assert not held("eyes", "yes") and not held("red house", "big red house") and not held("", "x")
+    right = lambda p, g, task: one(spark, fa.answered_correctly(F.col("p"), F.col("g"), F.array(F.lit("the USA")), F.lit(task), F.lit(None).cast("boolean")), p=p, g=g)
+    assert right("Yes, it is", "yes", "binary") and not right("No.", "yes", "binary") and right("in the USA", "America", "free_text")
