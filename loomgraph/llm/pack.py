@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bound_batches, read_table
-from loomgraph.llm.tokens import text_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -44,11 +43,11 @@ STEP_TOKENS = 16_384
 #: Pieces that wait in a partition's pool before windows are closed.
 POOL = 4_096
 #: Stretches of text, and pre-tokens, that a worker remembers in a task, and those it keeps for the next.
-CACHE_ENTRIES, KEPT_ENTRIES = 400_000, 150_000
+CACHE_ENTRIES, KEPT_ENTRIES = 600_000, 200_000
 CACHED_CHARACTERS = 48
 
 #: Characters of text that are encoded together.
-GROUP_CHARACTERS = 6_000_000
+GROUP_CHARACTERS = 8_000_000
 
 WIDTH = 4  # bytes of an id
 SHIFT = 33  # a partition's own numbers lie below 2 ** SHIFT
@@ -323,14 +322,28 @@ def pack_documents(
             names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            names = iter(batch.column(0).to_pylist())
-            for texts in text_groups([text or "" for text in batch.column(1).to_pylist()], GROUP_CHARACTERS):
-                for ids in (ids + end for ids in encoder.encode(texts)):
-                    lay(packer.add((next(names), len(ids) // WIDTH), ids))
-                    if len(rows) >= 2_000:
-                        yield flushed()
+        def grouped() -> Iterator[tuple[list, list[str]]]:
+            nonlocal id_type
+            names: list = []
+            texts: list[str] = []
+            size = 0
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    names.append(name)
+                    texts.append(text or "")
+                    size += len(texts[-1])
+                    if size >= GROUP_CHARACTERS:
+                        yield names, texts
+                        names, texts, size = [], [], 0
+            if texts:
+                yield names, texts
+
+        for names, texts in grouped():
+            for name, ids in zip(names, encoder.encode(texts), strict=True):
+                lay(packer.add((name, len(ids) // WIDTH + 1), ids + end))
+                if len(rows) >= 2_000:
+                    yield flushed()
         lay(packer.finish())
         if rows:
             yield flushed()
