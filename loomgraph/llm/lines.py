@@ -8,7 +8,13 @@ Fingerprints travel with the line hashes around them, are joined with the
 places of equal fingerprints, and matches are extended both ways over every
 window that the fingerprint stands for. A line is deleted if a window that
 covers it also starts earlier: in a document of smaller id, or at an earlier
-line of its own document. Repeats of fewer lines than ``width`` stay.
+line of its own document.
+
+A run of fewer lines counts by its words: with ``words``, a run of that many
+words repeats however few lines it has. Its windows are the shortest runs of
+whole lines with enough words, one from each line on and one up to each line,
+so that every line of a repeated run lies in a window that the run holds.
+Repeats of fewer lines than ``width`` and fewer words than ``words`` stay.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from loomgraph.llm.runs import Units, keyed, repeats
 
 #: Lines of the shortest run that counts as repeated.
 WIDTH = 3
+#: Words, by white space, of the shortest run that counts whatever its lines.
+WORDS = 10
 
 OUTPUT = ["n_lines", "n_removed_lines", "kept_text"]
 
@@ -49,50 +57,91 @@ def line_windows(pack: bytes, width: int) -> list[bytes]:
     return [pack[8 * i : 8 * (i + width)] for i in range(len(pack) // 8 - width + 1)]
 
 
-def kept_lines(text: str, runs: list | None, width: int) -> tuple[str, int, int]:
+def word_windows(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last line of the shortest runs of ``least`` words from each line on and up to each line, in order."""
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.array(counts, np.int64))))
+    n = len(counts)
+    ends = np.searchsorted(sums, sums[:-1] + least) - 1  # from each line on
+    starts = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # up to each line
+    ahead = [(i, e) for i, e in enumerate(ends.tolist()) if e < n]
+    return sorted({*ahead, *((s, i) for i, s in enumerate(starts.tolist()) if s >= 0)})
+
+
+def word_units(texts: list[bytes], least: int) -> Units:
+    """Windows by words as units: each is the digest of its lines."""
+    digests: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = [line for line in map(bytes.strip, text.split(b"\n")) if line]
+        spans = word_windows([len(line.split()) for line in own], least)
+        counts[i] = len(spans)
+        digests += [xxhash.xxh3_128_digest(b"\n".join(own[a : b + 1])) for a, b in spans]
+    buffer = b"".join(digests)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+    return Units(np.frombuffer(buffer, "<u8")[::2].copy(), doc, at, lambda first, last: buffer[16 * first : 16 * (last + 1)])
+
+
+def digests_of(pack: bytes) -> list[bytes]:
+    return [pack[i : i + 16] for i in range(0, len(pack), 16)]
+
+
+def kept_lines(text: str, runs: list | None, width: int, worded: list | None = None, words: int | None = None) -> tuple[str, int, int]:
     """The text without the lines of repeated windows, its lines that aren't blank, and those deleted."""
     lines = text.split("\n")
     full = [i for i, line in enumerate(lines) if line.strip(" \t\n\r\x0b\x0c")]
-    if not runs:
+    if not runs and not worded:
         return text, len(full), 0
     gone = np.zeros(len(full) + 1, np.int64)
-    for run in runs:
+    for run in runs or []:
         gone[run["first"]] += 1
         gone[run["first"] + run["n"] + width - 1] -= 1
+    if worded:
+        spans = word_windows([len(lines[i].encode().split()) for i in full], words)
+        for run in worded:
+            for first, last in spans[run["first"] : run["first"] + run["n"]]:
+                gone[first] += 1
+                gone[last + 1] -= 1
     drop = {full[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) > 0).tolist()}
     return "\n".join(line for i, line in enumerate(lines) if i not in drop), len(full), len(drop)
 
 
-def remove_lines(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", words: int | None = WORDS) -> DataFrame:
     """Each row with n_lines (not blank), n_removed_lines and kept_text.
 
     A text without repeats is returned as it is; null stays null and has no
     lines. What is left of a text keeps its blank lines, and may be empty. A
     null id counts as greater than every other; equal ids count as one document
     at one place, so repeated rows leave each other alone. Input columns with
-    the results' names are replaced.
+    the results' names are replaced. Without ``words`` runs count by lines alone.
     """
     found = repeats(docs, id_column, text_column, line_units, lambda pack: line_windows(pack, width), width, 1, within=True)
+    keys = ["_kid", "_th", "_null"]
+    if words is None:
+        found = found.withColumn("worded", F.lit(None).cast("array<struct<first:int,n:int>>"))
+    else:
+        by_words = repeats(docs, id_column, text_column, lambda texts: word_units(texts, words), digests_of, 1, 1, within=True)
+        found = found.join(by_words.withColumnRenamed("runs", "worded"), keys, "full")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, lines, removed = [], [], []
-            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                left, n, gone = kept_lines(text, runs, width) if text is not None else (None, 0, 0)
+            for text, runs, worded in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                left, n, gone = kept_lines(text, runs, width, worded, words) if text is not None else (None, 0, 0)
                 kept.append(left)
                 lines.append(n)
                 removed.append(gone)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[2:], *OUTPUT])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[3:], *OUTPUT])
 
     rows = docs.select(*keyed(docs, id_column, text_column), F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
-    joined = rows.join(found, ["_kid", "_th", "_null"], "left").select("_text", "runs", *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[2:])
+    joined = rows.join(found, keys, "left").select("_text", "runs", "worded", *plain_columns(docs, OUTPUT))
+    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[3:])
     return joined.mapInArrow(apply, f"{types}, n_lines long, n_removed_lines long, kept_text string")
 
 
 def op7_remove_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the kept texts; the operator's own output is the texts."""
-    out = remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Digest of the kept texts; the operator's own output is the texts. Its SQL counts runs by lines alone."""
+    out = remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=None)
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -132,6 +132,15 @@ def test_lines_of_repeated_runs(spark):
     assert [r["n_removed_lines"] for r in rows] == [0, 3, 0, 4]
 
 
+def test_lines_repeated_by_their_words(spark):
+    long, a, b = words(60), words(6), words(6)
+    rows = [(1, f"x\n{long}\ny"), (2, f"own\n {long}"), (3, f"{a}\n\n{b}\nz"), (4, f"u\n{a}\n{b}"), (5, f"{a}\nother"), (6, f"{long}\nshort end\nq"), (7, f"p\n{long}\nshort end"), (8, "")]
+    found = lines.remove_lines(docs(spark, rows)).orderBy("doc_id").collect()
+    assert [r["kept_text"] for r in found] == [rows[0][1], "own", rows[2][1], "u", rows[4][1], "short end\nq", "p", ""]
+    alone = lines.remove_lines(docs(spark, [(1, f"{long}\n{long}\n{long}")])).collect()[0]
+    assert (alone["kept_text"], alone["n_removed_lines"]) == (long, 2)
+
+
 def test_short_items_and_borders(spark):
     items = spark.createDataFrame([(1, "Alpha beta, gamma"), (2, words(9)), (3, "alpha"), (4, "...")], BENCHMARK)
     rows = decontaminate.decontaminate(docs(spark, [(1, "x ALPHA-beta gamma y"), (2, "alphabet"), (3, "Alpha")]), items).orderBy("doc_id").collect()
