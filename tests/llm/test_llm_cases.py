@@ -230,6 +230,16 @@ def test_language_without_letters(spark):
     assert [r["lang_pred"] for r in rows] == ["en", "fr", "und", "und"]
 
 
+def test_every_language_and_4_gram_is_learned(spark):
+    rows = [("hot", " ".join(RNG.choice(VOCAB) + RNG.choice("abcdefgh") * 2 for _ in range(3000))), ("rare", "zyx qvu jkz")] + [(f"l{i}", chr(0x4E00 + i) * 9) for i in range(210)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    texts = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    whole, small = language.fit_languages(frame), language.fit_languages(frame, max_ngrams=5)
+    assert whole.languages == small.languages == sorted(name for name, _ in rows)
+    found = [language.identify(texts, models).orderBy("doc_id").collect() for models in (whole, small)]
+    assert found[0] == found[1] and [r["lang_pred"] for r in found[0]] == [name for name, _ in rows]
+
+
 def test_quality_votes_by_neighbours():
     good = [words(60) for _ in range(60)]
     bad = [" | ".join(RNG.choice(VOCAB).upper() + "!!" for _ in range(60)) for _ in range(20)]
