@@ -87,6 +87,75 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     return top_per_query(scored, k, F.desc("score"), F.col("vec_id"))
 
 
+def _forest(close: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from one member of each component of a matrix of pairs to its others."""
+    open_down, open_across = close.any(axis=1), close.any(axis=0)
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for seed in np.flatnonzero(open_across).tolist():
+        if not open_across[seed]:
+            continue
+        columns = np.array([seed])
+        open_across[seed] = False
+        while len(columns):
+            lines = np.flatnonzero(close[:, columns].any(axis=1) & open_down)
+            open_down[lines] = False
+            columns = np.flatnonzero(close[lines].any(axis=0) & open_across)
+            open_across[columns] = False
+            own = np.concatenate((down[lines], across[columns]))
+            own = own[own != across[seed]]
+            src.append(np.full(len(own), across[seed]))
+            dst.append(own)
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def close_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): links that join vectors (vec_id, embedding, scope) of one scope into the components of all pairs with a cosine from ``threshold`` up.
+
+    Every pair is scored, block against block; of the pairs of two blocks only
+    a spanning forest is handed on, so links grow with the vectors, not with
+    the pairs. A link needn't be a close pair itself, but joins two that close
+    pairs connect.
+    """
+    listed = vectors.select("vec_id", "embedding", "scope").orderBy("vec_id").toLocalIterator()
+    parts: list[DataFrame] = []
+
+    def block_links(block: list) -> DataFrame:
+        matrix = np.array([row["embedding"] for row in block], dtype=np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([row["vec_id"] for row in block]), matrix, np.array([row["scope"] for row in block], dtype=object)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix, scopes = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    own = part.column(0).to_numpy()
+                    rows = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(own), -1)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                    own_scopes = np.array(part.column(2).to_pylist(), dtype=object)
+                    for scope in set(own_scopes.tolist()) - {None}:
+                        mine, theirs = np.flatnonzero(own_scopes == scope), np.flatnonzero(scopes == scope)
+                        for first in range(0, len(theirs), 4096):
+                            some = theirs[first : first + 4096]
+                            src, dst = _forest(np.round(matrix[some] @ rows[mine].T, 9) >= threshold, ids[some], own[mine])
+                            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        return vectors.select("vec_id", "embedding", "scope").mapInArrow(run, "src long, dst long")
+
+    block: list = []
+    for row in listed:
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            parts.append(block_links(block))
+            block = []
+    if block:
+        parts.append(block_links(block))
+    links = vectors.sparkSession.createDataFrame([], "src long, dst long")
+    for part in parts:
+        links = links.unionByName(part)
+    return links
+
+
 def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = 8) -> DataFrame:
     """(query_id, chunk_id, matched, score, rank): the share of a query's first terms that a chunk contains.
 

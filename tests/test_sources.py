@@ -107,3 +107,10 @@ def test_progress_keeps_the_last_lines(spark, tmp_path):
     run = progress.follow(stream, last, str(tmp_path / "check"), once=True)
     run.awaitTermination(60)
     assert [line for _, line in last.lines] == [f"line {i}" for i in range(45, 50)]
+
+
+def test_synonyms_of_dense_groups_meet(spark):
+    dense = [(i, [1.0, 0.0], "x", 0) for i in range(60)] + [(i, [0.75, 0.66], "x", 0) for i in range(60, 120)]
+    link = [(120, [0.93, 0.37], "x", 1)]
+    blobs = spark.createDataFrame(dense + link, "vec_id long, embedding array<double>, scope string, degree int")
+    assert {r["canonical"] for r in linking.synonym_clusters(blobs, 0.9).collect()} == {120}
