@@ -174,24 +174,32 @@ def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int =
 
 
 def symbolic_lookup(queries: DataFrame, entities: DataFrame, k: int = 40) -> DataFrame:
-    """Entities whose name is in the question, holds the question, or shares two content tokens with it.
-
-    Order: name in question, question in name, token overlap, longer name, id.
-    Names below four characters never match. Candidates come from an equi-join
-    on a token of the name, so names are never compared with all questions.
+    """Entities whose name is in the question, holds the question, or has two of its content tokens in it.
+
+    All are conditions on substrings, so every name is held against every
+    question; questions are a bounded set and are broadcast up to QUERY_BLOCK.
+    Entities may carry source_title (four characters or more) and the arrays
+    all_names and synonyms: an entity also matches if one of these is in the
+    question or holds it. Order: name in question, question in name, token
+    overlap, title, longer name, id. Names below four characters never match.
     """
     asked = queries.select("query_id", F.lower(F.trim("question")).alias("q"), content_tokens(F.col("question")).alias("tokens"))
-    words = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-    named = entities.select("entity_id", F.lower("name").alias("name")).filter(F.length("name") >= 4)
-    by_word = named.select("entity_id", "name", F.explode(words(F.col("name"))).alias("word"))
-    met = asked.select("query_id", "q", "tokens", F.explode(words(F.col("q"))).alias("word")).join(by_word, "word").select("query_id", "q", "tokens", "entity_id", "name").distinct()
+    few = asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    either = lambda text: F.contains(F.col("q"), text) | F.contains(text, F.col("q"))
+    title = F.lower("source_title") if "source_title" in entities.columns else F.lit(None).cast("string")
+    others = [F.coalesce(F.transform(name, F.lower), F.array().cast("array<string>")) for name in ("all_names", "synonyms") if name in entities.columns]
+    others = F.concat(*others) if others else F.array().cast("array<string>")
+    named = entities.select("entity_id", F.lower("name").alias("name"), title.alias("title"), others.alias("others")).filter(F.length("name") >= 4)
+    met = named.crossJoin(F.broadcast(asked) if few else asked)
     scored = met.select(
         "query_id", "entity_id", "name",
-        F.contains("q", "name").cast("int").alias("in_question"),
-        F.contains("name", "q").cast("int").alias("holds_question"),
+        F.contains(F.col("q"), F.col("name")).cast("int").alias("in_question"),
+        F.contains(F.col("name"), F.col("q")).cast("int").alias("holds_question"),
         overlap_count(F.col("tokens"), F.col("name")).alias("overlap"),
-    ).filter("in_question = 1 OR holds_question = 1 OR overlap >= 2")
-    return top_per_query(scored, k, F.desc("in_question"), F.desc("holds_question"), F.desc("overlap"), F.desc(F.length("name")), F.col("entity_id"))
+        F.coalesce((F.length("title") >= 4) & either(F.col("title")), F.lit(False)).cast("int").alias("in_title"),
+        F.exists("others", lambda other: F.coalesce(either(other), F.lit(False))).alias("by_other"),
+    ).filter("in_question = 1 OR holds_question = 1 OR overlap >= 2 OR in_title = 1 OR by_other")
+    return top_per_query(scored, k, F.desc("in_question"), F.desc("holds_question"), F.desc("overlap"), F.desc("in_title"), F.desc(F.length("name")), F.col("entity_id")).drop("in_title", "by_other")
 
 
 def chunk_scores(linked: DataFrame, scores: DataFrame) -> DataFrame:

@@ -102,3 +102,12 @@ def test_sections_as_of(spark):
     headers = spark.createDataFrame([(1, 5, "Methods"), (1, 9, "Results")], "doc_id int, pos int, section string")
     positions = spark.createDataFrame([(1, 4), (1, 5), (1, 12)], "doc_id int, pos int")
     assert [r["section"] for r in section_of(positions, headers).orderBy("pos").collect()] == ["Preamble", "Methods", "Results"]
+
+
+def test_symbolic_lookup_by_substrings(spark):
+    asked = spark.createDataFrame([(1, "tell of myocardialinfarction"), (2, "neuro"), (3, "which glob clad words"), (4, "日本語の質問です")], "query_id long, question string")
+    names = [("a", "infarction", None, None), ("b", "neurology", None, None), ("c", "hemoglobin ironclad", None, None), ("d", "日本語の", None, None), ("e", "unlike", "Neuro science", None), ("f", "unlike", None, ["x Glob Clad Words", "glob clad"]), ("g", "abc", "neuro", ["neuro"])]
+    entities = spark.createDataFrame(names, "entity_id string, name string, source_title string, all_names array<string>")
+    found = {(r["query_id"], r["entity_id"]) for r in retrieve.symbolic_lookup(asked, entities).collect()}
+    assert found == {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (2, "e"), (3, "f")}
+    assert {(r["query_id"], r["entity_id"]) for r in retrieve.symbolic_lookup(asked, entities.select("entity_id", "name")).collect()} == {(1, "a"), (2, "b"), (3, "c"), (4, "d")}
