@@ -89,18 +89,21 @@ def perturbation_stability(paths: DataFrame, draws: int = 16, low: float = 0.1,
 def learned_certificate(rows: DataFrame, features: list[str], dataset: str = "dataset") -> DataFrame:
     """Probability that an answer is right, by logistic regression trained on the other datasets.
 
-    Datasets are few; each has its own model.
+    Each dataset has its own model. A row without a dataset trains none, and
+    its probability is null.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     filled = rows.fillna(1.0, features).withColumn("label", F.col("correct").cast("double"))
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(filled).persist()
-    out = None
-    for row in ready.select(dataset).distinct().orderBy(dataset).limit(1_000).collect():
-        rest, own = ready.filter(F.col(dataset) != row[0]), ready.filter(F.col(dataset) == row[0])
-        scored = LogisticRegression(maxIter=50, regParam=0.01).fit(rest).transform(own)
-        part = scored.select("question_id", dataset, "probability")
-        out = part if out is None else out.unionByName(part)
-    return out.select("question_id", dataset, vector_to_array("probability")[1].alias("p_correct"))
+    fitted = []
+    for row in ready.select(dataset).distinct().filter(F.col(dataset).isNotNull()).orderBy(dataset).toLocalIterator():
+        model = LogisticRegression(maxIter=50, regParam=0.01).fit(ready.filter(F.col(dataset) != row[0]))
+        fitted.append((row[0], [float(w) for w in model.coefficients], float(model.intercept)))
+    kind = ready.schema[dataset].dataType.simpleString()
+    models = rows.sparkSession.createDataFrame(fitted, f"`{dataset}` {kind}, _w array<double>, _b double")
+    margin = F.col("_b")
+    for i, feature in enumerate(features):
+        margin = margin + F.col("_w")[i] * F.col(feature)
+    return ready.join(models, dataset, "left").select("question_id", dataset, (1 / (1 + F.exp(-margin))).alias("p_correct"))

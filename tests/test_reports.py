@@ -42,3 +42,10 @@ def test_hops_merge_once(spark):
     rows = [(1, "a", 2, 0.9), (1, "a", 1, 0.3), (1, "a", 1, 0.4), (1, "b", 2, 0.35), (1, "c", 3, 0.1)]
     found = [(r["chunk_id"], r["hop"], r["score"]) for r in report.merge_hops(spark.createDataFrame(rows, "query_id int, chunk_id string, hop int, score double"), 2).orderBy("rank").collect()]
     assert found == [("a", 1, 0.4), ("b", 2, 0.35)]
+
+
+def test_learned_certificate_keeps_rows_without_dataset(spark):
+    rows = [(d * 100 + i, f"d{d}" if d < 2 else None, i % 2 == 0, float(i % 2)) for d in range(3) for i in range(40)]
+    frame = spark.createDataFrame(rows, "question_id long, dataset string, correct boolean, u1 double")
+    found = {r["question_id"]: r["p_correct"] for r in report.learned_certificate(frame, ["u1"]).collect()}
+    assert len(found) == 120 and all((p is None) == (key >= 200) for key, p in found.items())
