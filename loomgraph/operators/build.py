@@ -98,19 +98,6 @@ def voted(samples: DataFrame, keys: list[str], n: int) -> DataFrame:
     return samples.groupBy(*keys).agg(F.countDistinct("sample_id").alias("votes")).filter(F.col("votes") >= n // 2 + 1)
 
 
-def duplicate_names(entities: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs of one type whose names hold one another or are under ``distance`` edits apart.
-
-    Candidates share their type and, so that pairs don't multiply over a type,
-    one of the pieces that names within the distance must have in common.
-    """
-    pieces = distance
-    name = F.lower("name")
-    size = F.ceil(F.length("name") / F.lit(pieces))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(name, 1, 10_000).substr((i * size + 1).cast("int"), size.cast("int")))
-    return entities.select("entity_id", "type", name.alias("name"), F.explode(cut).alias("piece"))
-
-
 def unconnected(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Entities that no edge touches."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("entity_id")).distinct()

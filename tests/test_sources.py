@@ -114,3 +114,10 @@ def test_synonyms_of_dense_groups_meet(spark):
     link = [(120, [0.93, 0.37], "x", 1)]
     blobs = spark.createDataFrame(dense + link, "vec_id long, embedding array<double>, scope string, degree int")
     assert {r["canonical"] for r in linking.synonym_clusters(blobs, 0.9).collect()} == {120}
+
+
+def test_duplicates_of_short_names(spark):
+    names = {"1": "", "2": "a", "3": "xy", "4": "abc", "5": "abcd", "6": "xyzzy", "7": "zz"}
+    nodes = spark.createDataFrame([(key, "t", name) for key, name in names.items()] + [("8", "u", "a")], "node string, type string, name string")
+    found = {(r["a"], r["b"]) for r in linking.duplicate_nodes(nodes).collect()}
+    assert found == {("1", "2"), ("1", "3"), ("1", "7"), ("2", "3"), ("2", "4"), ("2", "7"), ("3", "7"), ("4", "5")}
