@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and its master is local, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/loomgraph"
 
 #: Rows in one Arrow batch handed to Python; the bytes of a batch are bounded as well.
@@ -25,7 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return LOCAL_SHARED_DIR
 
 
 def new_shared_path(spark: SparkSession, tag: str) -> str:
@@ -39,7 +44,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables. Only for those that nothing reads any more but tables that are materialized themselves."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -71,3 +86,16 @@ def plain_columns(df: DataFrame, replaced: list[str]) -> list[Column]:
     """The columns of a table, without those that an operator is about to set."""
     gone = {name.lower() for name in replaced}
     return [F.col(f"`{name}`") for name in df.columns if name.lower() not in gone]
+
+
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): one row an id, with the greatest of its labels; rows without id or without a label of 0 or 1 are left out."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    return known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, text_column: str) -> DataFrame:
+    """(doc_id, label, text) of the chosen (doc_id, label): one row an id however often it occurs, its text of least hash."""
+    own = docs.select("doc_id", F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    met = own.join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text")))["text"].alias("text"))

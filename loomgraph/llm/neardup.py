@@ -25,7 +25,10 @@ similar sets are at most a seventh of their sizes together. In a few rounds
 each class meets one other of each of its keys, chosen anew, and the nearest of
 these is compared; that merges what is linked many times over, in linear work.
 What then still lies apart is compared pair by pair: by the bounds, by
-signatures, and last by the full sets, so no link is lost.
+signatures, and last by the full sets. Members of a hot key pair only where
+they share one of their rarest shingles, as similar sets do, so work doesn't
+grow with the square of a key. So no link between signatures within the
+distance is lost; that is every link but for the probability above.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bitmap import repeated_hashes
-from loomgraph.llm.common import bound_batches, materialize, plain_columns, plan_bytes, read_table
+from loomgraph.llm.common import bound_batches, discard, materialize, plain_columns, plan_bytes, read_table
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, mix
 
@@ -59,7 +62,9 @@ GROUP_CHARACTERS = 1_000_000
 SHINGLE_BYTES = 4
 
 #: Rounds of comparing with one other class of each key before all pairs that are left.
-ROUNDS = 3
+ROUNDS = 2
+#: Members of a key beyond which they pair by their rarest shingles.
+HOT_KEY = 64
 #: Bits of the parity sketch, 64 in a word.
 SKETCH_BITS = 2048
 
@@ -154,19 +159,18 @@ def _class_of(text_column: str):
 
 
 def class_keys(classes: DataFrame) -> DataFrame:
-    """(key, nid, n): the keys that each class is indexed under."""
+    """(key, nid): the keys that each class is indexed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
             keys = signature_keys(values)
-            each = keys.shape[1]
-            nid, n = (np.repeat(batch.column(i).to_numpy(), each) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nid), pa.array(n)], names=["key", "nid", "n"])
+            nid = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nid)], names=["key", "nid"])
 
-    return classes.filter(F.col("n") > 0).select("nid", "n", "sig").mapInArrow(run, "key long, nid long, n long")
+    return classes.filter(F.col("n") > 0).select("nid", "sig").mapInArrow(run, "key long, nid long")
 
 
 def _close_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -209,12 +213,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+# An aggregate that is joined back to its rows by a hot key is written first: a join of two plain tables is what Spark can split.
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows whose key is shared by classes of different roots."""
+    """The rows (key, nid, root) whose key is shared by classes of different roots."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("key")
     return placed.join(mixed, "key", "left_semi")
 
 
+def _placed(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, nid, root) of the keys that still hold different roots."""
+    own = apart.select("key", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    return _mixed(own.select("key", "nid", F.coalesce("root", "nid").alias("root")))
+
+
 def parity_sketch(shingles: np.ndarray) -> list[int]:
     """The parity of the number of shingles at each place, as words of 64 bits."""
     places = (mix(shingles + np.uint64(1)) % np.uint64(SKETCH_BITS)).astype(np.int64)
@@ -255,60 +268,74 @@ def _possible(x: list[Column], y: list[Column]) -> tuple[Column, Column]:
     return (100 * most >= SIMILAR * (sizes - most)) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes), differ
 
 
-def _nearest_met(apart: DataFrame, turn: int) -> DataFrame:
-    """(a, b): of the classes drawn one a key, the nearest possible one to each class that has another root."""
-    drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "nid"), "nid", "n", "root", "shared", "sketch")).over(W.partitionBy("key"))
-    met = apart.withColumn("other", drawn).filter(F.col("root") != F.col("other.root"))
-    possible, differ = _possible([F.col(name) for name in ("n", "shared", "sketch")], [F.col(f"other.{name}") for name in ("n", "shared", "sketch")])
-    met = met.filter(possible).select(F.col("nid").alias("a"), F.struct(differ.alias("d"), F.col("other.nid")).alias("near"))
-    return met.groupBy("a").agg(F.min("near")["nid"].alias("b"))
-
+def _nearest_met(apart: DataFrame, bounds: DataFrame, turn: int) -> DataFrame:
+    """(a, b): of the classes drawn one a key, the nearest possible one to each class that has another root.
 
-def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(cls, n, group_id) of each distinct text; ``group_id`` is the least id of its component."""
-    classes = materialize(text_classes(docs, id_column, text_column), "classes")
+    The draw is the least hash of a key's classes, an aggregate that is joined
+    back, so a hot key is no task's alone.
+    """
+    ticket = F.xxhash64(F.lit(turn), "nid")
+    drawn = apart.groupBy("key").agg(F.min(ticket).alias("ticket"))
+    holders = apart.select("nid", "root").distinct().select(F.col("nid").alias("b"), F.col("root").alias("b_root"), ticket.alias("ticket"))
+    met = apart.join(drawn, "key").select(F.col("nid").alias("a"), F.col("root").alias("a_root"), "ticket").distinct()
+    met = met.join(holders, "ticket").filter(F.col("a_root") != F.col("b_root")).select("a", "b")
+    sides = [bounds.select(F.col("nid").alias(side), F.struct("n", "shared", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
+    possible, differ = _possible(*[[F.col(f"{name}.{field}") for field in ("n", "shared", "sketch")] for name in "xy"])
+    near = met.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b", differ.alias("d"))
+    return near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+
+
+def _keys_that_meet(classes: DataFrame) -> DataFrame:
+    """(key, nid, size): the rows of keys that more than one class has."""
     keys = class_keys(classes)
-    of_key = W.partitionBy("key")
-    met = keys.withColumn("size", F.count(F.lit(1)).over(of_key)).filter(F.col("size") > 1)
-    met = materialize(met, "met")
-    central = met.groupBy("nid").agg(F.sum("size").alias("central"))
-    met = met.join(central, "nid").withColumn("order", F.struct(-F.col("central"), F.col("nid")))
-    met = materialize(met.withColumn("lead", F.min("order").over(of_key)["nid"]).select("key", "nid", "n", "lead", "order"), "met")
-
-    need = classes.join(met.select("nid").distinct(), "nid", "left_semi").select("cls", "nid", "rep")
-    if need.count() <= BROADCAST_CLASSES:
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    return keys.join(materialize(sizes, "sizes"), "key").select("key", "nid", "size")
+
+
+def _leaders(met: DataFrame, central: DataFrame) -> DataFrame:
+    """(a, b): for each class the most central one that it meets in any key."""
+    order = F.struct((-F.col("central")).alias("c"), F.col("nid"))
+    leads = materialize(met.join(central, "nid").groupBy("key").agg(F.min(order).alias("lead")), "leads")
+    first = met.select("key", "nid").join(leads, "key").groupBy(F.col("nid").alias("a")).agg(F.min("lead")["nid"].alias("b"))
+    return first.filter(F.col("a") != F.col("b"))
+
+
+def _needed_texts(docs: DataFrame, classes: DataFrame, central: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(nid, text) of the classes that meet another."""
+    need = classes.select("cls", "nid", "rep").join(central.select("nid"), "nid", "left_semi")
+    wanted = central.count()
+    if wanted <= BROADCAST_CLASSES:
         need = F.broadcast(need)
     own = docs.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), _class_of(text_column).alias("cls"), F.col(text_column).alias("text"))
-    texts = own.join(need, "cls").filter(F.col("_id").eqNullSafe(F.col("rep"))).select("nid", "text")
-    texts = materialize(texts, "texts")
+    texts = materialize(own.join(need, "cls").filter(F.col("_id").eqNullSafe(F.col("rep"))).select("nid", "text"), "texts")
+    if texts.count() > wanted:  # rows that repeat an id and its text
+        once, texts = texts, materialize(texts.dropDuplicates(["nid"]), "texts")
+        discard(once)
+    return texts
 
-    ahead = met.select("nid", "order").distinct().select(F.col("nid").alias("lead"), F.col("order").alias("lead_order"))
-    first = met.select("nid", "lead").filter(F.col("nid") != F.col("lead")).distinct().join(ahead, "lead")
-    first = first.groupBy(F.col("nid").alias("a")).agg(F.min("lead_order")["nid"].alias("b"))
-    links = materialize(_confirmed(first, texts), "links")
+
+def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(cls, n, group_id) of each distinct text; ``group_id`` is the least id of its component."""
+    classes = materialize(text_classes(docs, id_column, text_column), "classes")
+    met = materialize(_keys_that_meet(classes), "met")
+    central = materialize(met.groupBy("nid").agg(F.sum("size").alias("central")), "central")
+    texts = _needed_texts(docs, classes, central, id_column, text_column)
+    links = materialize(_confirmed(_leaders(met, central), texts), "links")
     roots = components(links)
 
-    placed = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root"))
-    apart = materialize(_mixed(placed), "apart")
-    bounds = materialize(_bounds(texts.join(apart.select("nid").distinct(), "nid", "left_semi")), "bounds")
-    able = bounds.select("nid", "shared").distinct()
-    apart = _mixed(apart.join(able, "nid").filter(100 * F.col("shared") >= SIMILAR * F.col("n")))
-    apart = materialize(apart.join(bounds.select("nid", "sketch").dropDuplicates(["nid"]), "nid"), "apart")
-    for turn in range(ROUNDS):
-        more = materialize(_confirmed(_nearest_met(apart, turn), texts), "links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        roots = components(links)
-        apart = apart.drop("root").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        apart = materialize(_mixed(apart), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    possible, _ = _possible(*[[F.col(f"{side}.{name}") for name in ("n", "shared", "sketch")] for side in "xy"])
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") > F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & possible)
-    pairs = pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
-    more = materialize(_confirmed(_close_signatures(pairs, classes), texts), "links")
-    if not more.isEmpty():
+    apart = materialize(_placed(met, roots), "apart")
+    discard(met, central)
+    if not apart.isEmpty():
+        bounds = _bounds(texts.join(apart.select("nid").distinct(), "nid", "left_semi"))
+        able = materialize(bounds.join(classes.select("nid", "n"), "nid").filter(100 * F.col("shared") >= SIMILAR * F.col("n")), "bounds")
+        apart, before = materialize(_mixed(apart.join(able.select("nid"), "nid", "left_semi")), "apart"), apart
+        discard(before)
+        links, apart = _linked_in_rounds(apart, able, texts, links)
+        pairs = materialize(_possible_pairs(apart, able, texts), "pairs")
+        more = materialize(_confirmed(_close_signatures(pairs, classes), texts), "links")
         roots = components(links.union(more))
+        discard(apart, able, pairs, more)
+    discard(texts)
 
     inside = classes.join(roots.withColumnRenamed("node", "nid"), "nid").select("nid", "rep", "root")
     least = inside.groupBy("root").agg(F.min("rep").alias("group_id"))
@@ -316,6 +343,73 @@ def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     return classes.join(named, "nid", "left").select("cls", "n", F.coalesce("group_id", "rep").alias("group_id"))
 
 
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """(nid, token): of each class the rarest shingles among these classes, so many that similar sets share one.
+
+    Similar sets have at least three quarters of each one's shingles in common;
+    so of all but three quarters and one more, in one order for all, they share
+    one at least. Shingles that one class alone has come first and join nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, group in _grouped(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sets = shingle_sets(group)
+                sizes = np.array([len(s) for s in sets])
+                columns = [np.repeat(np.array(rows, np.int64), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["nid", "n", "token"])
+
+    spread = texts.select("nid", "text").mapInArrow(run, "nid long, n long, token long")
+    common = materialize(spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1), "tokens")
+    own = W.partitionBy("nid")
+    ranked = spread.join(common, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("held", F.count(F.lit(1)).over(own))
+    alone = F.col("n") - F.col("held")
+    most = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
+    return ranked.filter(F.col("r") <= most - alone).select("nid", "token")
+
+
+def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different roots that meet in a key and can be similar.
+
+    Classes of a key pair with one another; those of hot keys by their rarest
+    shingles, which similar sets share, so a key's members never pair all with
+    all.
+    """
+    sizes = materialize(apart.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    placed = apart.join(sizes, "key")
+    cold = placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid", "root")
+    met = _met(cold)
+    hot = placed.filter(F.col("size") > HOT_KEY).select("nid", "root").distinct()
+    if not (hot := materialize(hot, "hot")).isEmpty():
+        rare = _rare_shingles(texts.join(hot, "nid", "left_semi")).join(hot, "nid")
+        met = met.union(_met(rare.select(F.col("token").alias("at"), "nid", "root")))
+    sides = [able.select(F.col("nid").alias(side), F.struct("n", "shared", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
+    possible, _ = _possible(*[[F.col(f"{name}.{field}") for field in ("n", "shared", "sketch")] for name in "xy"])
+    return met.distinct().join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
+
+
+def _met(placed: DataFrame) -> DataFrame:
+    """(a, b) of (at, nid, root): the pairs at a place that have different roots."""
+    one, two = (placed.select("at", F.col("nid").alias(side), F.col("root").alias(f"{side}_root")) for side in "ab")
+    return one.join(two, "at").filter((F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root"))).select("a", "b")
+
+
+def _linked_in_rounds(apart: DataFrame, able: DataFrame, texts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with those of the rounds, and the keys that still hold different roots after them."""
+    for turn in range(ROUNDS):
+        pairs = materialize(_nearest_met(apart, able, turn), "pairs")
+        if pairs.isEmpty():
+            break
+        more = materialize(_confirmed(pairs, texts), "links")
+        discard(pairs)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        apart, before = materialize(_placed(apart, components(links)), "apart"), apart
+        discard(before)
+    return links, apart
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row with n_shingles, component_id (the least id of its group) and kept (it has that id).
 

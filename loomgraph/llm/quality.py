@@ -7,19 +7,22 @@ sample, and together reduced to a few latent directions by a singular value
 decomposition of that sample. The labelled vectors are
 broadcast; their number is bounded. Every document's cosines with all of them
 are computed exactly, a block of documents at a time, and the nearest ones vote
-with weights that grow with similarity.
+with weights that grow with similarity. Cosines count to five decimals, and of
+equal ones the neighbour of the lower id is nearer, so a table's layout changes
+no score.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, labelled_ids, labelled_texts, plain_columns, read_table
 from loomgraph.llm.language import id_remainder
 from loomgraph.llm.spans import Words
 from loomgraph.llm.tokens import text_groups
@@ -119,55 +122,75 @@ class NeighbourVote:
         for at in range(0, len(texts), BLOCK):
             counts = text_counts(texts[at : at + BLOCK])
             vectors = self._unit(self._weighted(counts) @ self.directions)
-            cosine = vectors @ self.vectors.T
-            near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** self.sharpness
+            near, cosine = nearest(np.round(vectors @ self.vectors.T, 5), self.neighbours)
+            weight = np.maximum(cosine, 0).astype(np.float64) ** self.sharpness
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
             out[at : at + BLOCK] = np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior)
-        return np.clip(out, 0, 1)
+        return np.clip(np.round(out, 9), 0, 1)
 
 
-def fit_quality(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> NeighbourVote | None:
-    """Learn from at most ``fit_rows`` rows of (doc_id, text, label); None if there are none.
+def nearest(cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the ``k`` greatest values of each row in ascending order, and these values; of equal values the first columns."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k).tolist():
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    near.sort(axis=1)
+    return near, np.take_along_axis(cosine, near, axis=1)
 
-    The sample is the rows of least hash, so it is the same in every run.
-    Only hashed counts of the sample come to the driver.
+
+def fit_quality(labelled: DataFrame) -> NeighbourVote | None:
+    """Learn from all rows of (doc_id, label, text), a bounded sample; None if there are none.
+
+    One task fits the vectors, since the sample is bounded, with its rows in
+    the order of their ids; only the vectors come to the driver.
     """
     bound_batches(labelled.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text or "" for text in batch.column(0).to_pylist()]
+            texts = [text or "" for text in batch.column(2).to_pylist()]
             places, values = [], []
             for at in range(0, len(texts), BLOCK):
                 for row in text_counts(texts[at : at + BLOCK]):
                     full = np.flatnonzero(row)
                     places.append(full.astype("<u2").tobytes())
                     values.append(row[full].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["label", "places", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "label", "places", "counts"])
 
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, places binary, counts binary").collect()
-    if not rows:
-        return None
-    counts = np.zeros((len(rows), BINS + SHAPES**3), np.float32)
-    for i, row in enumerate(rows):
-        counts[i, np.frombuffer(row["places"], "<u2")] = np.frombuffer(row["counts"], "<f4")
-    return NeighbourVote(counts, np.array([row["label"] for row in rows]))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True)]
+        rows.sort(key=lambda row: row[0])
+        if rows:
+            counts = np.zeros((len(rows), BINS + SHAPES**3), np.float32)
+            for i, (_, _, places, values) in enumerate(rows):
+                counts[i, np.frombuffer(places, "<u2")] = np.frombuffer(values, "<f4")
+            model = NeighbourVote(counts, np.array([row[1] for row in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    told = labelled.select("doc_id", "label", "text").mapInArrow(counted, f"doc_id {kind}, label int, places binary, counts binary").repartition(1)
+    fitted = told.mapInArrow(fit, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else None
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(text, label) of at most ``fit_rows`` labelled documents: those of least hash of their id."""
-    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).select("doc_id", F.col(label).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, fit_rows: int = FIT_ROWS, text_column: str = "text") -> DataFrame:
+    """(doc_id, label, text) of at most ``fit_rows`` labelled documents: those of least hash of their id.
+
+    An id with several labels has the greatest of them; however often it is
+    repeated it counts once, with its text of least hash.
+    """
+    chosen = labelled_ids(labels.filter(keep), label)
+    return labelled_texts(docs, chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), text_column)
 
 
 def score_quality(docs: DataFrame, model: NeighbourVote | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Each row with score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null text counts as empty and is scored like any other. Where nothing was
-    learned every score is 1. Input columns with the results' names are replaced.
+    Null text counts as empty and is scored like any other; equal texts get
+    equal scores, so repeated rows and null ids do. Where nothing was learned
+    every score is 1, and where one label alone was, that label. Input columns with the results' names are replaced.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

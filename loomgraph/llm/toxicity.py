@@ -11,11 +11,15 @@ narrower than what ``toxic`` says of a text:
 They are predicted in this order. Each is a logistic regression over the
 features that tell toxic from other texts and over the probabilities of the
 categories before it; when it is trained, those are predictions for rows that
-the earlier models have not seen (out of fold).
+the earlier models have not seen (out of fold). What a fold's models go by, the
+features, the typical words and so the categories, is chosen from the other
+folds alone. The chain is fitted by one task, since the sample is bounded; only
+its weights come to the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, labelled_ids, labelled_texts, plain_columns, read_table
 
 CATEGORIES = ("marked", "dense", "toxic")
 #: Labelled rows of each value that the chain is learned from, in the order of a hash of their ids.
@@ -94,28 +98,83 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+class View:
+    """A sample as some of its rows, ``seen``, have it: their telling features, and the categories by their typical words."""
+
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, seen: np.ndarray):
+        self.seen = seen
+        self.features = telling_features([text for text, own in zip(texts, seen.tolist(), strict=True) if own], labels[seen])
+        self.rows, self.columns = placed_features(texts, self.features)
+        typical = self._typical(labels)
+        found = np.bincount(self.rows, typical[self.columns], minlength=len(texts))
+        toxic = seen & (labels == 1)
+        several = np.median(found[toxic]) if toxic.any() else 0
+        self.targets = [(labels * (found > 0)).astype(float), (labels * (found >= max(1, several))).astype(float), labels.astype(float)]
+
+    def _typical(self, labels: np.ndarray) -> np.ndarray:
+        """1 for whole words that are typical of toxic texts."""
+        size, own = len(self.features), self.seen[self.rows]
+        toxic = labels[self.rows] == 1
+        one = (np.bincount(self.columns[own & toxic], minlength=size) + 0.5) / ((labels[self.seen] == 1).sum() + 1)
+        zero = (np.bincount(self.columns[own & ~toxic], minlength=size) + 0.5) / ((labels[self.seen] == 0).sum() + 1)
+        return ((np.log(one / zero) >= TYPICAL) & (self.features & 3 == 0)).astype(float)
+
+    def model(self, category: int, before: np.ndarray) -> Logistic:
+        place = np.cumsum(self.seen) - 1
+        inside = self.seen[self.rows]
+        return Logistic(len(self.features), before.shape[1]).fit(place[self.rows[inside]], self.columns[inside], before[self.seen], self.targets[category][self.seen])
+
+    def predictions(self, model: Logistic, before: np.ndarray) -> np.ndarray:
+        return sigmoid(model.logits(self.rows, self.columns, before))
+
+
+def telling_features(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features whose share differs most between toxic and other texts."""
+    counts = {y: np.unique(np.concatenate([np.zeros(0, np.int64), *(text for text, label in zip(texts, labels.tolist(), strict=True) if label == y)]), return_counts=True) for y in (0, 1)}
+    n = {y: int((labels == y).sum()) for y in (0, 1)}
+    all_ = np.union1d(counts[0][0], counts[1][0])
+    one, zero = np.zeros(len(all_)), np.zeros(len(all_))
+    one[np.searchsorted(all_, counts[1][0])] = counts[1][1]
+    zero[np.searchsorted(all_, counts[0][0])] = counts[0][1]
+    enough = one + zero >= LEAST_TEXTS
+    all_, one, zero = all_[enough], one[enough], zero[enough]
+    share1, share0 = (one + 0.5) / (n[1] + 1), (zero + 0.5) / (n[0] + 1)
+    share = (one + zero + 0.5) / (n[0] + n[1] + 1)
+    evidence = 2 * (one * np.log(share1 / share) + zero * np.log(share0 / share))
+    telling = (evidence >= LEAST_EVIDENCE) & (share1 > share0)
+    order = np.lexsort((all_, -evidence))
+    return np.sort(all_[order[telling[order]][:MAX_FEATURES]])
+
+
+def placed_features(texts: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in ``features``) of every feature that a text has."""
+    rows = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
+    values = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    if not len(features):
+        return rows[:0], values[:0]
+    at = np.minimum(np.searchsorted(features, values), len(features) - 1)
+    hit = features[at] == values
+    return rows[hit], at[hit]
+
+
 class ToxicityChain:
     """Features that tell toxic texts, and one linear model for each category."""
 
     def __init__(self, texts: list[np.ndarray], labels: np.ndarray):
-        self.features = self._telling(texts, labels)
-        rows, columns = self._placed(texts)
-        typical = self._typical(rows, columns, labels, len(texts))
-        found = np.bincount(rows, typical[columns], minlength=len(texts))
-        several = np.median(found[labels == 1]) if labels.any() else 0
-        targets = [labels * (found > 0), labels * (found >= max(1, several)), labels]
         folds = np.arange(len(texts)) % FOLDS
+        whole = View(texts, labels, np.ones(len(texts), bool))
+        views = [View(texts, labels, folds != fold) for fold in range(FOLDS)]
         before = np.zeros((len(texts), 0))
         self.models: list[Logistic] = []
-        for target in targets:
-            target = target.astype(float)
+        for category in range(len(CATEGORIES)):
             unseen = np.zeros(len(texts))
-            for fold in range(FOLDS):
-                own, rest = folds == fold, folds != fold
-                model = self._trained(rows, columns, before, target, rest)
-                unseen[own] = sigmoid(model.logits(rows, columns, before))[own]
-            self.models.append(self._trained(rows, columns, before, target, np.ones(len(texts), bool)))
+            for fold, view in enumerate(views):
+                own = folds == fold
+                unseen[own] = view.predictions(view.model(category, before), before)[own]
+            self.models.append(whole.model(category, before))
             before = np.column_stack((before, unseen))
+        self.unseen = before  # of the sample's rows, by models that haven't seen them
+        self.features = whole.features
         self.place = {f: i for i, f in enumerate(self.features.tolist())}
         self.none: set[str] = set()
         self.some: dict[str, tuple[int, ...]] = {}
@@ -123,44 +182,6 @@ class ToxicityChain:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"none": set(), "some": {}}
 
-    @staticmethod
-    def _telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-        """The features whose share differs most between toxic and other texts."""
-        counts = {y: np.unique(np.concatenate([np.zeros(0, np.int64), *(text for text, label in zip(texts, labels.tolist(), strict=True) if label == y)]), return_counts=True) for y in (0, 1)}
-        n = {y: int((labels == y).sum()) for y in (0, 1)}
-        all_ = np.union1d(counts[0][0], counts[1][0])
-        one, zero = np.zeros(len(all_)), np.zeros(len(all_))
-        one[np.searchsorted(all_, counts[1][0])] = counts[1][1]
-        zero[np.searchsorted(all_, counts[0][0])] = counts[0][1]
-        enough = one + zero >= LEAST_TEXTS
-        all_, one, zero = all_[enough], one[enough], zero[enough]
-        share1, share0 = (one + 0.5) / (n[1] + 1), (zero + 0.5) / (n[0] + 1)
-        share = (one + zero + 0.5) / (n[0] + n[1] + 1)
-        evidence = 2 * (one * np.log(share1 / share) + zero * np.log(share0 / share))
-        telling = (evidence >= LEAST_EVIDENCE) & (share1 > share0)
-        order = np.lexsort((all_, -evidence))
-        return np.sort(all_[order[telling[order]][:MAX_FEATURES]])
-
-    def _placed(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
-        values = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-        if not len(self.features):
-            return rows[:0], values[:0]
-        at = np.minimum(np.searchsorted(self.features, values), len(self.features) - 1)
-        hit = self.features[at] == values
-        return rows[hit], at[hit]
-
-    def _typical(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
-        size, toxic = len(self.features), labels[rows] == 1
-        one = (np.bincount(columns[toxic], minlength=size) + 0.5) / (labels.sum() + 1)
-        zero = (np.bincount(columns[~toxic], minlength=size) + 0.5) / (n - labels.sum() + 1)
-        return ((np.log(one / zero) >= TYPICAL) & (self.features & 3 == 0)).astype(float)
-
-    def _trained(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, target: np.ndarray, use: np.ndarray) -> Logistic:
-        place = np.cumsum(use) - 1
-        inside = use[rows]
-        return Logistic(len(self.features), dense.shape[1]).fit(place[rows[inside]], columns[inside], dense[use], target[use])
-
     def forget(self) -> None:
         """Give back the memory of words met."""
         self.none.clear()
@@ -197,36 +218,45 @@ class ToxicityChain:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows_each: int = FIT_ROWS_EACH) -> ToxicityChain | None:
-    """Learn from at most ``fit_rows_each`` labelled rows of either value; None unless both occur.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows_each: int = FIT_ROWS_EACH, text_column: str = "text") -> ToxicityChain | None:
+    """Learn from at most ``fit_rows_each`` labelled documents of either value; None unless both occur.
 
-    The sample is the rows of least hash of their id. Only hashed features of
-    the sample come to the driver.
+    The sample is the ids of least hash. An id with several labels is toxic if
+    any says so; however often it is repeated it counts once, with its text of
+    least hash. Null text counts as empty. Nothing of the sample comes to the
+    driver but the fitted weights.
     """
     bound_batches(docs.sparkSession)
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
+    known = labelled_ids(labels, "toxic")
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows_each) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))
+    sample = labelled_texts(docs, parts[0].union(parts[1]), text_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_features(text or "").astype("<i8").tobytes() for text in batch.column(2).to_pylist()]
+            found = [text_features(text).astype("<i8").tobytes() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True)]
+        rows.sort(key=lambda row: row[0])
+        labels_of = np.array([row[1] for row in rows])
+        if len(set(labels_of.tolist())) == 2:
+            chain = ToxicityChain([np.frombuffer(row[2], "<i8") for row in rows], labels_of)
+            chain.unseen = None
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, label int, features binary").collect(), key=lambda row: (row["doc_id"], row["label"]))
-    labels_of = np.array([row["label"] for row in rows])
-    if len(set(labels_of.tolist())) < 2:
-        return None
-    return ToxicityChain([np.frombuffer(row["features"], "<i8") for row in rows], labels_of)
+    told = sample.mapInArrow(features, f"doc_id {kind}, label int, features binary").repartition(1)
+    fitted = told.mapInArrow(fit, "chain binary").collect()
+    return pickle.loads(fitted[0]["chain"]) if fitted else None
 
 
 def score_toxicity(docs: DataFrame, chain: ToxicityChain | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Each row with the probability of each category and toxic_pred (p_toxic >= threshold).
 
     Null text counts as empty, and a text without words has no features. Equal
-    texts get equal results. Where nothing was learned all probabilities are 0.
+    texts get equal results, so repeated rows and null ids do. A probability at
+    the threshold is toxic. Where nothing was learned all probabilities are 0.
     Input columns with the results' names are replaced.
     """
     bound_batches(docs.sparkSession)

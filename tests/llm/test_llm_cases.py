@@ -61,7 +61,10 @@ def test_every_operator_takes_an_empty_table(spark):
     assert media.media_features(media.store_media(docs(spark, []), f"/tmp/checkpoints/loomgraph/test-{random.random()}")).count() == 0
 
 
-def test_near_duplicates_agree_with_all_pairs(spark):
+@pytest.mark.parametrize("hot_key", [1, 64])
+def test_near_duplicates_agree_with_all_pairs(spark, monkeypatch, hot_key):
+    monkeypatch.setattr(neardup, "HOT_KEY", hot_key)
+    monkeypatch.setattr(neardup, "ROUNDS", 0 if hot_key == 1 else neardup.ROUNDS)
     rows = []
     for g in range(12):
         base = [RNG.choice(VOCAB) for _ in range(RNG.choice([3, 5, 40, 150]))]
@@ -107,10 +110,25 @@ def test_bounds_never_exclude_similar_sets(spark):
         assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
-    found = {r["node"]: r["root"] for r in components(links).collect()}
-    assert {found[i] for i in range(201)} == {0} and found[500] == found[400] == 400
+@pytest.mark.parametrize("task_links", [0, 1000])
+def test_components_of_a_long_chain(spark, task_links):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (500, 400), (7, 7)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components(links, task_links=task_links).collect()}
+    assert {found[i] for i in range(201)} == {0} and found[500] == found[400] == 400 and len(found) == 203
+    assert components(links.limit(0), task_links=task_links).count() == 0
+
+
+def test_rare_shingles_meet_in_similar_sets(spark):
+    base = [RNG.choice(VOCAB) for _ in range(200)]
+    rows = [(i, " ".join(RNG.choice(VOCAB) if RNG.random() < 0.01 * (i % 5) else w for w in base)) for i in range(60)]
+    sets = {i: set(neardup.shingle_sets([text])[0].tolist()) for i, text in rows}
+    rare = {}
+    for row in neardup._rare_shingles(spark.createDataFrame(rows, "nid long, text string")).collect():
+        rare.setdefault(row["nid"], set()).add(row["token"])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                assert rare[a] & rare[b]
 
 
 def test_null_ids_never_take_words_from_others(spark):
@@ -248,6 +266,95 @@ def test_quality_votes_by_neighbours():
     assert scores[0] > 0.9 and scores[1] < 0.1 and 0 <= scores[2] <= 1
 
 
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_odd_rows_through_fitted_models(spark):
+    frame = docs(spark)
+    labels = labelled(spark, [(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 1, 1), (5, 0, 1), (5, 1, 0), (None, 1, 1), (6, None, None), (7, 0, 0), (99, 1, 1)])
+    chain = toxicity.fit_toxicity(frame, labels)
+    model = quality.fit_quality(quality.labelled_sample(frame, labels, "quality", F.lit(True)))
+    for out in (toxicity.score_toxicity(frame, chain), quality.score_quality(frame, model)):
+        rows = out.collect()
+        by_text = {}
+        assert len(rows) == len(ODD) and all(by_text.setdefault(row["text"] or "", row[-2:]) == row[-2:] for row in rows)
+    for rows in ([], [(1, 1, 0), (3, 1, 0)]):
+        assert toxicity.fit_toxicity(frame, labelled(spark, rows)) is None
+    assert quality.fit_quality(quality.labelled_sample(frame, labelled(spark, []), "quality", F.lit(True))) is None
+    one = quality.fit_quality(quality.labelled_sample(frame, labelled(spark, [(1, 1, 0), (4, 1, 0)]), "quality", F.lit(True)))
+    assert {row["score"] for row in quality.score_quality(frame, one).collect()} == {1.0}
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    frame = docs(spark, [(i % 2, f"text {i}") for i in range(500)])
+    sample = quality.labelled_sample(frame, labelled(spark, [(0, 1, 0), (1, 0, 1), (1, 1, 0)]), "quality", F.lit(True), fit_rows=2).collect()
+    assert sorted((row["doc_id"], row["label"]) for row in sample) == [(0, 1), (1, 1)]
+
+
+def test_quality_is_the_vote_of_all_cosines():
+    texts = [words(RNG.randrange(5, 60)) + ("!" * (i % 3)) for i in range(80)]
+    model = quality.NeighbourVote(quality.text_counts(texts[:60]), np.array([i % 2 for i in range(60)]))
+    for text, score in zip(texts, model.score(texts), strict=True):
+        vector = quality.NeighbourVote._unit(model._weighted(quality.text_counts([text])) @ model.directions)[0]
+        cosine = [round(float(sum(a * b for a, b in zip(vector.astype(float), row.astype(float)))), 5) for row in model.vectors]
+        near = sorted(range(60), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
+        weight = {i: max(cosine[i], 0) ** quality.SHARPNESS for i in near}
+        assert abs(score - sum(weight[i] * (i % 2) for i in near) / sum(weight.values())) < 2e-2
+    near, values = quality.nearest(np.array([[1, 3, 3, 3, 2.0]]), 2)
+    assert near.tolist() == [[1, 2]] and values.tolist() == [[3, 3]]
+
+
+def test_language_models_are_kneser_ney():
+    texts = ["the cat sat on the mat", "that hat is that", "a cat"]
+    codes, n = np.unique(language.text_grams(texts)[0], return_counts=True)
+    counts = dict(zip(codes.tolist(), n.tolist(), strict=True))
+    alphabet = len({code & 0xFFFF for code in counts}) + 1
+    model = language.KneserNey(codes, n, alphabet)
+
+    def levels():
+        level = counts
+        for size in range(4, 1, -1):
+            ones, twos = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
+            yield size, level, (ones / (ones + 2 * twos) if ones else 0.5)
+            level = {short: sum(code & ((1 << 16 * (size - 1)) - 1) == short for code in level) for short in {code & ((1 << 16 * (size - 1)) - 1) for code in level}}
+        yield 1, level, 0
+
+    table = {size: (level, cut) for size, level, cut in levels()}
+
+    def prob(code, size):
+        level, cut = table[size]
+        if size == 1:
+            return 0.999 * level.get(code & 0xFFFF, 0) / sum(level.values()) + 0.001 / alphabet
+        gram = code & ((1 << 16 * size) - 1)
+        same = {g: v for g, v in level.items() if g >> 16 == gram >> 16}
+        if not same:
+            return prob(code, size - 1)
+        return (max(same.get(gram, 0) - cut, 0) + cut * len(same) * prob(code, size - 1)) / sum(same.values())
+
+    wanted = np.unique(language.text_grams([*texts, "the other cat hid"])[0])
+    assert np.allclose(model.log_prob(wanted), [np.log(prob(code, 4)) for code in wanted.tolist()])
+
+
+def test_toxicity_chain_predicts_unseen_rows_out_of_fold():
+    def made(n, seed):
+        rng = random.Random(seed)
+        texts, labels = [], []
+        for i in range(n):
+            labels.append(int(i % 4 == 0))
+            texts.append(" ".join([*(rng.choice(VOCAB) for _ in range(30)), *(["vile"] if i % 4 == 0 else [])]))
+        return texts, np.array(labels)
+
+    texts, labels = made(240, 1)
+    chain = toxicity.ToxicityChain([toxicity.text_features(t) for t in texts], labels)
+    more, truth = made(100, 2)
+    assert np.mean((chain.probabilities(more)[:, -1] >= 0.5) == truth) >= 0.97
+    assert np.mean((chain.unseen[:, -1] >= 0.5) == labels) >= 0.97
+    noise = np.array([random.Random(i).randrange(2) for i in range(240)])  # labels that texts say nothing of can't be told unseen
+    blind = toxicity.ToxicityChain([toxicity.text_features(" ".join(t.split()[:30])) for t in texts], noise)
+    assert abs(np.mean((blind.unseen[:, -1] >= 0.5) == noise) - 0.5) < 0.12
+
+
 def test_toxicity_chain_learns_marker_words():
     markers = ["vile", "rotten"]
     texts = [words(40) + (f" {RNG.choice(markers)} {words(5)}" if i % 4 == 0 else "") for i in range(200)]
