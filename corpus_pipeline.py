@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, read_table
+from loomgraph.llm.common import discard, materialize, read_table
 from loomgraph.llm.decontaminate import decontaminate
 from loomgraph.llm.lines import remove_lines
 from loomgraph.llm.neardup import near_duplicates
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a later stage has replaced is removed."""
     docs = read_table(spark, sf_dir, "documents")
+    before = []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            discard(*before)
+            before = [docs]
     return docs
