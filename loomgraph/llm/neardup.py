@@ -34,6 +34,7 @@ distance is lost; that is every link but for the probability above.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -62,11 +63,13 @@ GROUP_CHARACTERS = 1_000_000
 SHINGLE_BYTES = 4
 
 #: Rounds of comparing with one other class of each key before all pairs that are left.
-ROUNDS = 2
+ROUNDS = 1
 #: Members of a key beyond which they pair by their rarest shingles.
-HOT_KEY = 64
+HOT_KEY = 32
 #: Bits of the parity sketch, 64 in a word.
 SKETCH_BITS = 2048
+#: Words that it is folded to where a place has many classes.
+SHORT_SKETCH = 8
 
 OUTPUT = ["n_shingles", "component_id", "kept"]
 
@@ -261,10 +264,14 @@ def _bounds(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "nid long, shared long, sketch array<long>")
 
 
-def _possible(x: list[Column], y: list[Column]) -> tuple[Column, Column]:
-    """Whether two classes, by (n, shared, sketch), can be similar at all; and the least number of shingles in which they differ."""
+def _possible(x: list[Column], y: list[Column], words: int = SKETCH_BITS // 64) -> tuple[Column, Column]:
+    """Whether two classes, by (n, shared, sketch), can be similar at all; and the least number of shingles in which they differ.
+
+    A folded sketch, the parities of fewer and larger places, gives a weaker
+    bound, but a sure one.
+    """
     most, sizes = F.least(x[1], y[1]), x[0] + y[0]
-    differ = sum(F.bit_count(x[2][i].bitwiseXOR(y[2][i])) for i in range(SKETCH_BITS // 64))
+    differ = sum(F.bit_count(x[2][i].bitwiseXOR(y[2][i])) for i in range(words))
     return (100 * most >= SIMILAR * (sizes - most)) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes), differ
 
 
@@ -377,21 +384,55 @@ def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> Data
     """
     sizes = materialize(apart.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
     placed = apart.join(sizes, "key")
-    cold = placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid", "root")
-    met = _met(cold)
-    hot = placed.filter(F.col("size") > HOT_KEY).select("nid", "root").distinct()
-    if not (hot := materialize(hot, "hot")).isEmpty():
-        rare = _rare_shingles(texts.join(hot, "nid", "left_semi")).join(hot, "nid")
-        met = met.union(_met(rare.select(F.col("token").alias("at"), "nid", "root")))
-    sides = [able.select(F.col("nid").alias(side), F.struct("n", "shared", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
-    possible, _ = _possible(*[[F.col(f"{name}.{field}") for field in ("n", "shared", "sketch")] for name in "xy"])
-    return met.distinct().join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
+    met = _pairs_of_few(placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid", "root"), able)
+    hot = materialize(placed.filter(F.col("size") > HOT_KEY).select("nid", "root").distinct(), "hot")
+    if not hot.isEmpty():
+        rare = materialize(_rare_shingles(texts.join(hot, "nid", "left_semi")).join(hot, "nid").select(F.col("token").alias("at"), "nid", "root"), "rare")
+        shared = materialize(rare.groupBy("at").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "sizes")
+        rare = rare.join(shared, "at")
+        met = met.union(_pairs_of_few(rare.filter(F.col("size") <= HOT_KEY), able)).union(_pairs_of_many(rare.filter(F.col("size") > HOT_KEY), able))
+    return met.distinct()
+
 
+def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
+    """(a, b) of (at, nid, root): the possible pairs of different roots at places of HOT_KEY classes at most, a place's members as one row."""
 
-def _met(placed: DataFrame) -> DataFrame:
-    """(a, b) of (at, nid, root): the pairs at a place that have different roots."""
-    one, two = (placed.select("at", F.col("nid").alias(side), F.col("root").alias(f"{side}_root")) for side in "ab")
-    return one.join(two, "at").filter((F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root"))).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            members = batch.column(0)
+            of = members.flatten()
+            nid, root, n, shared = (of.field(name).to_numpy() for name in ("nid", "root", "n", "shared"))
+            sketch = of.field("sketch").flatten().to_numpy().reshape(len(nid), -1).view(np.uint64)
+            ends = np.cumsum(members.value_lengths().to_numpy())
+            for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                i, j = np.triu_indices(last - first, 1)
+                i, j = i + first, j + first
+                most, sizes = np.minimum(shared[i], shared[j]), n[i] + n[j]
+                fine = (root[i] != root[j]) & (100 * most >= SIMILAR * (sizes - most))
+                i, j, sizes = i[fine], j[fine], sizes[fine]
+                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                fine = (100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes
+                one, two = nid[i[fine]], nid[j[fine]]
+                found.update(zip(np.maximum(one, two).tolist(), np.minimum(one, two).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = placed.join(able, "nid").groupBy("at").agg(F.collect_list(F.struct("nid", "root", "n", "shared", "sketch")).alias("members"))
+    return rows.filter(F.size("members") > 1).select("members").mapInArrow(run, "a long, b long")
+
+
+def _pairs_of_many(placed: DataFrame, able: DataFrame) -> DataFrame:
+    """(a, b) of (at, nid, root): the possible pairs of different roots at larger places, where the folded sketch is a condition of the join."""
+    words = [F.get("sketch", F.lit(i)) for i in range(SKETCH_BITS // 64)]
+    folded = F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), words[i::SHORT_SKETCH]) for i in range(SHORT_SKETCH)])
+    short = able.select("nid", "n", "shared", folded.alias("sketch"))
+    x, y = (placed.join(short, "nid").alias(side) for side in "xy")
+    possible, _ = _possible(*[[F.col(f"{side}.{name}") for name in ("n", "shared", "sketch")] for side in "xy"], words=SHORT_SKETCH)
+    pairs = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.nid") > F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & possible)
+    pairs = pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
+    sides = [able.select(F.col("nid").alias(side), F.struct("n", "shared", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
+    possible, _ = _possible(*[[F.col(f"{name}.{field}") for field in ("n", "shared", "sketch")] for name in "xy"])
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
 
 
 def _linked_in_rounds(apart: DataFrame, able: DataFrame, texts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
