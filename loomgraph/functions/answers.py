@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import let
+
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 # What marks a provider's failure, and what a refusal says.
@@ -33,22 +35,20 @@ def exact_match(prediction: Column, golds: Column) -> Column:
     return F.exists(given, lambda gold: normalize_answer(prediction) == normalize_answer(gold)).cast("double")
 
 
-def _f1(prediction: Column, gold: Column) -> Column:
-    p, g = answer_tokens(prediction), answer_tokens(gold)
-    p_text, g_text = F.array_join(p, " "), F.array_join(g, " ")
-    special = ["yes", "no", "maybe", "insufficient information"]
-    count = lambda tokens, token: F.size(F.filter(tokens, lambda other: other == token))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, token: n + F.least(count(p, token), count(g, token)))
-    return (
-        F.when(p_text.isin(special) | g_text.isin(special) | (F.size(p) == 0) | (F.size(g) == 0), (p_text == g_text).cast("double"))
-        .otherwise(2.0 * same / (F.size(p) + F.size(g)))
-    )
+def _f1(p: Column, g: Column) -> Column:
+    """F1 of two arrays of tokens, each a lambda's variable."""
+    special = F.array(F.array(F.lit("yes")), F.array(F.lit("no")), F.array(F.lit("maybe")), F.array(F.lit("insufficient"), F.lit("information")))
+    lost = lambda tokens, token: F.size(tokens) - F.size(F.array_remove(tokens, token))
+    same = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, token: n + F.least(lost(p, token), lost(g, token)))
+    plain = F.array_contains(special, p) | F.array_contains(special, g) | (F.size(p) == 0) | (F.size(g) == 0)
+    return F.when(plain, (p == g).cast("double")).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 
 
 def token_f1(prediction: Column, golds: Column) -> Column:
     """The best multiset-token F1 over the gold answers; decision labels must be equal. 0 without a gold answer."""
     given = F.filter(golds, lambda gold: F.length(F.trim(gold)) > 0)
-    return F.coalesce(F.array_max(F.transform(given, lambda gold: _f1(prediction, gold))), F.lit(0.0))
+    best = let(answer_tokens(prediction), lambda p: F.array_max(F.transform(F.transform(given, answer_tokens), lambda g: _f1(p, g))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def leading_label(text: Column, labels: list[str]) -> Column:

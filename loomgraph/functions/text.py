@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words too general to be an entity of a graph.
-GENERAL_WORDS = """
-treatment treatments condition conditions outcome outcomes model models effect effects result results factor
-factors mechanism mechanisms response responses function functions role roles process processes level levels
-system systems study studies analysis analyses approach approaches method methods measure measures group groups
-sample samples data finding findings evidence activity activities expression expressions production change changes
-increase increases decrease decreases type types form forms stage stages state states case cases patient patients
-subject subjects participant participants control controls target targets interaction interactions pathway pathways
-network networks signal signals marker markers indicator indicators test tests assessment assessments evaluation
-evaluations trial trials experiment experiments observation observations report reports review reviews context
-information knowledge concept concepts feature features aspect aspects component components element elements
-structure structures property properties characteristic characteristics parameter parameters variable variables
-value values score scores rate rates ratio ratios index indices mean median range prevalence incidence frequency
-proportion percentage number amount quantity duration period time age size dose concentration threshold limit
-maximum minimum this that these those which what who when where how why other another same different various
-several many few all both each every some any no not yes
-""".split()
+GENERAL_WORDS = [
+    "treatment", "treatments", "condition", "conditions", "outcome", "outcomes", "model", "models", "effect", "effects", "result", "results", "factor",
+    "factors", "mechanism", "mechanisms", "response", "responses", "function", "functions", "role", "roles", "process", "processes", "level", "levels",
+    "system", "systems", "study", "studies", "analysis", "analyses", "approach", "approaches", "method", "methods", "measure", "measures", "group",
+    "groups", "sample", "samples", "data", "finding", "findings", "evidence", "activity", "activities", "expression", "expressions", "production",
+    "change", "changes", "increase", "increases", "decrease", "decreases", "type", "types", "form", "forms", "stage", "stages", "state", "states", "case",
+    "cases", "patient", "patients", "subject", "subjects", "participant", "participants", "control", "controls", "target", "targets", "interaction",
+    "interactions", "pathway", "pathways", "network", "networks", "signal", "signals", "marker", "markers", "indicator", "indicators", "test", "tests",
+    "assessment", "assessments", "evaluation", "evaluations", "trial", "trials", "experiment", "experiments", "observation", "observations", "report",
+    "reports", "review", "reviews", "context", "information", "knowledge", "concept", "concepts", "feature", "features", "aspect", "aspects", "component",
+    "components", "element", "elements", "structure", "structures", "property", "properties", "characteristic", "characteristics", "parameter",
+    "parameters", "variable", "variables", "value", "values", "score", "scores", "rate", "rates", "ratio", "ratios", "index", "indices", "mean", "median",
+    "range", "prevalence", "incidence", "frequency", "proportion", "percentage", "number", "amount", "quantity", "duration", "period", "time", "age",
+    "size", "dose", "concentration", "threshold", "limit", "maximum", "minimum", "this", "that", "these", "those", "which", "what", "who", "when",
+    "where", "how", "why", "other", "another", "same", "different", "various", "several", "many", "few", "all", "both", "each", "every", "some", "any",
+    "no", "not", "yes",
+]
 
 # Question words and relations that don't ground a query.
-QUERY_STOPWORDS = """
-what which where when who whom whose why how does do did done have has had with from that this these those into
-about after before through there their them they would could should question answer answers company county state
-city country province league team film band album series season owner located founded born spouse husband wife
-plays performed performer
-""".split()
+QUERY_STOPWORDS = [
+    "what", "which", "where", "when", "who", "whom", "whose", "why", "how", "does", "do", "did", "done", "have", "has", "had", "with", "from", "that",
+    "this", "these", "those", "into", "about", "after", "before", "through", "there", "their", "them", "they", "would", "could", "should", "question",
+    "answer", "answers", "company", "county", "state", "city", "country", "province", "league", "team", "film", "band", "album", "series", "season",
+    "owner", "located", "founded", "born", "spouse", "husband", "wife", "plays", "performed", "performer",
+]
 
 # What makes a question statistical or semantic.
 STATISTICAL_TERMS = [
@@ -45,6 +47,7 @@ SEMANTIC_TERMS = [
     "model", "interpretation", "understanding", "overview", "context", "background", "history", "development",
     "evolution", "mechanism", "process", "function",
 ]
+# How a question that compares is worded.
 COMPARISON_PATTERN = "|".join(
     [
         r"\b(are|do|did|were|is|have) both\b",
@@ -57,6 +60,11 @@ COMPARISON_PATTERN = "|".join(
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a column once and use it many times, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(text: Column) -> Column:
     """White space runs become one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -111,7 +119,7 @@ def comparison_branches(question: Column) -> Column:
     """The two sides of an "A or B" question, those of four characters or more."""
     text = F.regexp_replace(F.trim(question), r"\?+$", "")
     at = F.regexp_instr(text, F.lit(r"(?i)\bor\b"))
-    left = F.trim(F.substring_index(F.trim(F.substring(text, 1, 1_000_000).substr(F.lit(1), at - 1)), ",", -1))
+    left = F.trim(F.substring_index(F.trim(text.substr(F.lit(1), at - 1)), ",", -1))
     left = F.trim(F.regexp_replace(left, r"(?i)^(which|what|who|where|when|whose|is|are|was|were|has|have|had|does|do|did)\s+", ""))
     right = F.trim(text.substr(at + 2, F.length(text)))
     sides = F.transform(F.array(left, right), lambda side: F.regexp_replace(side, r"^[ ,.;:]+|[ ,.;:]+$", ""))
@@ -123,7 +131,8 @@ def question_type(question: Column) -> Column:
     """comparison, bridge, statistical, semantic or generic, by the first rule that holds."""
     low = F.regexp_replace(F.trim(F.lower(question)), r"\?+$", "")
     contains_any = lambda terms: reduce(lambda a, b: a | b, [F.contains(low, F.lit(term)) for term in terms])
-    later = F.slice(F.split(F.trim(F.regexp_replace(question, r"\s+", " ")), " "), 2, 10_000)
+    words = F.split(F.trim(F.regexp_replace(question, r"\s+", " ")), " ")
+    later = F.slice(words, F.lit(2), F.size(words))
     names = F.size(F.filter(later, lambda word: word.rlike(r"^\p{Lu}\p{L}{2,}$")))
     return (
         F.when(low.rlike(COMPARISON_PATTERN) | (F.size(comparison_branches(question)) == 2), "comparison")

@@ -126,8 +126,8 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     for step in range(steps):
         held = state.select("query_id", F.col("node").alias("src"), "v")
         sent = held.join(walks, ["query_id", "src"]).groupBy("query_id", F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("share")).alias("in"))
-        idle = F.sum(F.when(~F.col("linked"), F.col("v")).otherwise(0.0)).over(W.partitionBy("query_id"))
-        moved = state.withColumn("idle", idle).join(sent, ["query_id", "node"], "left")
+        idle = state.groupBy("query_id").agg(F.sum(F.when(~F.col("linked"), F.col("v")).otherwise(0.0)).alias("idle"))
+        moved = state.join(sent, ["query_id", "node"], "left").join(idle, "query_id")
         state = moved.select("query_id", "node", "e", "linked", ((1 - alpha) * F.col("e") + alpha * (F.coalesce("in", F.lit(0.0)) + F.col("idle") * F.col("e"))).alias("v"))
         if step % 3 == 2 and step < steps - 1:
             state = cut(state)

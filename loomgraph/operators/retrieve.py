@@ -24,11 +24,6 @@ QUERY_BLOCK = 20_000
 HOP_SCORES = {0: 1.0, 1: 0.8, 2: 0.6}
 
 
-def _bounded(n: int, what: str) -> None:
-    if n > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} {what} at once: work off the queries in blocks")
-
-
 def top_per_query(scored: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col(rank) <= k)
 
@@ -156,20 +151,31 @@ def close_links(vectors: DataFrame, threshold: float) -> DataFrame:
     return links
 
 
+def term_hits(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term): the lower-case terms of three letters or digits or more that a chunk's text holds, whatever its case.
+
+    A term lies inside one run of letters and digits of the text. So the
+    distinct runs of all chunks are matched with the terms once, by the first
+    three characters at any place, and what fits is joined back to the chunks.
+    """
+    runs = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("run"))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.col("run").substr(i, F.lit(3))))
+    spread = runs.select("run").distinct().select("run", F.explode(places).alias("gram"))
+    wanted = terms.distinct().withColumn("gram", F.left("term", F.lit(3)))
+    held = spread.join(wanted, "gram").filter(F.contains("run", "term")).select("run", "term")
+    return runs.join(held, "run").select("chunk_id", "term").distinct()
+
+
 def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = 8) -> DataFrame:
     """(query_id, chunk_id, matched, score, rank): the share of a query's first terms that a chunk contains.
 
-    Terms are words of three letters or more. Chunks are matched term by term
-    over the distinct terms of all queries, so a chunk's text is read once.
+    Terms are runs of three letters or digits or more, wherever they stand in a
+    chunk, also inside longer words.
     """
     found = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]{3,}"), F.lit(0))
     terms = queries.select("query_id", F.slice(F.array_distinct(found), 1, most_terms).alias("terms")).filter(F.size("terms") > 0)
     asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    distinct = [row["term"] for row in asked.select("term").distinct().orderBy("term").limit(QUERY_BLOCK + 1).collect()]
-    _bounded(len(distinct), "terms")
-    hits = F.filter(F.array(*map(F.lit, distinct)), lambda term: F.contains(F.col("low"), term)) if distinct else F.array().cast("array<string>")
-    spread = chunks.select("chunk_id", F.lower("text").alias("low")).select("chunk_id", F.explode(hits).alias("term"))
-    matched = spread.join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("matched"))
+    matched = term_hits(asked.select("term"), chunks).join(asked, "term").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("matched"))
     return top_per_query(matched.withColumn("score", F.col("matched") / F.col("n")), k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -204,8 +210,8 @@ def symbolic_lookup(queries: DataFrame, entities: DataFrame, k: int = 40) -> Dat
 
 def chunk_scores(linked: DataFrame, scores: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, links): mean of the linked entities' scores over the query's best, 0.05 more for each further link, at most 1."""
-    best = F.max("score").over(W.partitionBy("query_id"))
-    scaled = scores.withColumn("s", F.when(best > 0, F.col("score") / best).otherwise(0.0)).select("query_id", F.col("node").alias("entity_id"), "s")
+    best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
+    scaled = scores.join(best, "query_id").select("query_id", F.col("node").alias("entity_id"), F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0).alias("s"))
     joined = linked.join(scaled, ["query_id", "entity_id"])
     return joined.groupBy("query_id", "chunk_id").agg(F.least(F.lit(1.0), F.avg("s") + 0.05 * (F.count(F.lit(1)) - 1)).alias("score"), F.count(F.lit(1)).alias("links"))
 
@@ -248,16 +254,16 @@ def max_sim(query_tokens: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
 
     Chunk tokens are (chunk_id, c_vec), of a shortlist if they carry query_id;
     query tokens are (query_id, q_token, q_vec). Without a shortlist every chunk
-    is met with every query token, so these are broadcast and their number is
-    checked.
+    is met with every query token: these are broadcast up to QUERY_BLOCK of them,
+    and shuffled in blocks beyond.
     """
     from loomgraph.functions.vectors import dot
 
     if "query_id" in chunk_tokens.columns:
         pairs = chunk_tokens.join(query_tokens, "query_id")
     else:
-        _bounded(query_tokens.limit(QUERY_BLOCK + 1).count(), "query tokens")
-        pairs = chunk_tokens.join(F.broadcast(query_tokens))
+        few = query_tokens.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+        pairs = chunk_tokens.join(F.broadcast(query_tokens) if few else query_tokens)
     best = pairs.groupBy("query_id", "chunk_id", "q_token").agg(F.max(dot(F.col("q_vec"), F.col("c_vec"))).alias("best"))
     return best.groupBy("query_id", "chunk_id").agg(F.avg("best").alias("score"))
 

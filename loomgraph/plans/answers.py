@@ -19,6 +19,8 @@ def norm(column: str) -> str:
     return NORM.replace("COLUMN", column)
 
 
+ENTITY_KEY = r"regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(name), '\s+', ' ', 'g')), '^(the|an|a|and|or) ', ''), '[,()\[\];:.]', '', 'g'), '[\-/]', '_', 'g')), '\s+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
+
 PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS prediction, u.text AS gold FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"""
 
 
@@ -83,20 +85,31 @@ def valid_entity_names(spark, sf_dir):
     return words.filter(ft.is_entity_name(F.col("name")))
 
 
-@query("content_tokens", """WITH t AS (SELECT item_id, list_distinct([x FOR x IN regexp_extract_all(lower(text), '[A-Za-z0-9]+') IF length(x) >= 4 AND x NOT IN ('what', 'with', 'that', 'this', 'from', 'these', 'those', 'into', 'have', 'there', 'their', 'they', 'them', 'which', 'where', 'when', 'would', 'could', 'should', 'does')]) AS ts FROM benchmark)
-SELECT t.item_id, d.doc_id, CAST(len([x FOR x IN ts IF contains(lower(d.text), x)]) AS INTEGER) AS overlap, CAST(len(ts) AS INTEGER) AS tokens FROM t JOIN documents d ON d.doc_id % 40 = t.item_id""")
+@query("content_tokens", """WITH t AS (SELECT item_id, list_distinct([x FOR x IN regexp_extract_all(lower(text), '[A-Za-z0-9]+') IF length(x) >= 4 AND x NOT IN ('what', 'with', 'that', 'this', 'from', 'these', 'those', 'into', 'have', 'there', 'their', 'they', 'them', 'which', 'where', 'when', 'would', 'could', 'should', 'does')]) AS ts FROM benchmark),
+s AS (SELECT item_id, len(ts) AS tokens, unnest(ts) AS term FROM t), m AS (SELECT item_id, tokens, doc_id, count(*) AS overlap FROM s JOIN documents ON contains(lower(text), term) GROUP BY ALL)
+SELECT item_id, CAST(max(tokens) AS INTEGER) AS tokens, CAST(count(*) AS BIGINT) AS documents, CAST(max(overlap) AS BIGINT) AS most, CAST(sum(overlap) AS BIGINT) AS overlaps FROM m GROUP BY item_id""")
 def content_tokens(spark, sf_dir):
     items = read_table(spark, sf_dir, "benchmark").select("item_id", ft.content_tokens(F.col("text")).alias("ts"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("item_id", "doc_id", ft.overlap_count(F.col("ts"), F.col("text")).alias("overlap"), F.size("ts").alias("tokens"))
+    asked = items.select("item_id", F.size("ts").alias("tokens"), F.explode("ts").alias("term"))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    met = retrieve.term_hits(asked.select("term"), docs).join(asked, "term").groupBy("item_id", "tokens", "chunk_id").agg(F.count(F.lit(1)).alias("overlap"))
+    return met.groupBy("item_id").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("overlap").alias("most"), F.sum("overlap").alias("overlaps"))
+
+
+OPENINGS = ["who was the author of", "which is older,", "how many people like", "describe", "say"]
+ASKED = f"""a AS (SELECT item_id, ({OPENINGS})[item_id % 5 + 1] || ' ' || text || CASE WHEN item_id % 5 = 1 THEN ' or that one' ELSE '' END AS q FROM benchmark), n AS (SELECT item_id, regexp_replace(trim(q), '\\?+$', '') AS t, regexp_replace(trim(lower(q)), '\\?+$', '') AS low FROM a),
+b AS (SELECT *, trim(string_split(trim(regexp_extract(t, '(?is)^(.*?)\\bor\\b(.*)$', 1)), ',')[-1]) AS x, trim(regexp_extract(t, '(?is)^(.*?)\\bor\\b(.*)$', 2)) AS y FROM n),
+s AS (SELECT *, length(regexp_replace(trim(regexp_replace(x, '(?i)^(which|what|who|where|when|whose|is|are|was|were|has|have|had|does|do|did)\\s+', '')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')) >= 4 AND length(regexp_replace(y, '^[ ,.;:]+|[ ,.;:]+$', '', 'g')) >= 4 AND contains(lower(t), ' or ') AS sides,
+  len([w FOR w IN (string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' '))[2:] IF regexp_matches(w, '^\\p{{Lu}}\\p{{L}}{{2,}}$')]) AS names FROM b)"""
+told = lambda terms: " OR ".join(f"contains(low, '{term}')" for term in terms)
 
 
-@query("question_types")
+@query("question_types", f"""WITH {ASKED}, k AS (SELECT item_id, CASE WHEN regexp_matches(low, '{ft.COMPARISON_PATTERN}') OR sides THEN 'comparison' WHEN regexp_matches(low, '^(who|what|which|where|when|whose)') AND names >= 2 THEN 'bridge'
+  WHEN {told(ft.STATISTICAL_TERMS)} THEN 'statistical' WHEN {told(ft.SEMANTIC_TERMS)} THEN 'semantic' ELSE 'generic' END AS kind FROM s)
+SELECT item_id, kind, CASE WHEN kind = 'semantic' THEN 0.10::DOUBLE ELSE 0.08::DOUBLE END AS threshold, CASE kind WHEN 'statistical' THEN 200 WHEN 'semantic' THEN 15 ELSE 20 END AS max_chunks FROM k""")
 def question_types(spark, sf_dir):
-    kinds = ["who was the author of %s", "which is older, %s or that", "how many people like %s", "describe %s", "say %s"]
     items = read_table(spark, sf_dir, "benchmark")
-    first = F.substring_index("text", " ", 6)
-    asked = F.concat_ws(" ", F.element_at(F.array(*[F.lit(k.split("%s")[0].strip()) for k in kinds]), (F.col("item_id") % 5 + 1).cast("int")), first, F.when(F.col("item_id") % 5 == 1, "or that"))
+    asked = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("item_id") % 5 + 1).cast("int")), F.col("text"), F.when(F.col("item_id") % 5 == 1, "or that one"))
     kind = ft.question_type(asked)
     return items.select("item_id", kind.alias("kind"), ft.retrieval_threshold(kind).alias("threshold"), ft.retrieval_limit(kind).alias("max_chunks"))
 
@@ -106,7 +119,8 @@ def hash_ids(spark, sf_dir):
     return fx.entities(spark, sf_dir).select("entity_id", F.md5(F.concat("type", F.lit(":"), F.lower("name"))).alias("content_hash"), F.sha1(F.concat("entity_id", F.lit(":"), "name")).alias("chunk_hash"), F.sha2(F.concat("entity_id", F.lit("::"), "name"), 256).alias("mention_hash"))
 
 
-@query("uuid5_entity_ids")
+@query("uuid5_entity_ids", f"""WITH {fx.ENTITIES}, k AS (SELECT entity_id, name, {ENTITY_KEY} || ':' || type AS key FROM entities), d AS (SELECT entity_id, sha1(from_hex('{ft.OID_NAMESPACE}') || encode(key)) AS d, sha256(entity_id || '||' || name) AS s FROM k)
+SELECT entity_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || printf('%02x', (('0x' || substr(d, 17, 2))::INTEGER & 63) | 128) || substr(d, 19, 2) || '-' || substr(d, 21, 12) AS uuid, CAST(('0x' || left(s, 16))::UBIGINT AS DECIMAL(20, 0)) AS seed FROM d""")
 def uuid5_entity_ids(spark, sf_dir):
     return fx.entities(spark, sf_dir).select("entity_id", ft.uuid5(F.concat(ft.entity_key(F.col("name")), F.lit(":"), "type")).alias("uuid"), ft.stable_seed(F.col("entity_id"), F.col("name")).alias("seed"))
 

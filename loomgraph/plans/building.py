@@ -12,14 +12,14 @@ from loomgraph.plans.registry import query
 from loomgraph.sources.tables import read_table
 
 
-@query("harmonize_entities", """WITH r AS (SELECT split_part(p_name, ' ', 1) AS name, CASE p_size % 4 WHEN 0 THEN 'Concept' ELSE split_part(p_type, ' ', 1) END AS type, p_brand AS description FROM part),
-k AS (SELECT *, lower(name) AS key, type = 'Concept' AS generic FROM r),
+@query("harmonize_entities", """WITH r AS (SELECT p_name AS name, CASE p_size % 4 WHEN 0 THEN 'Concept' ELSE split_part(p_type, ' ', 1) END AS type, p_brand AS description FROM part),
+k AS (SELECT *, replace(lower(name), ' ', '_') AS key, type = 'Concept' AS generic FROM r),
 s AS (SELECT key, type, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, type) AS r FROM k WHERE NOT generic GROUP BY key, type),
 b AS (SELECT k.*, CASE WHEN generic THEN coalesce(s.type, 'Concept') ELSE k.type END AS bucket FROM k LEFT JOIN s ON s.key = k.key AND s.r = 1)
 SELECT key, bucket, CAST(count(*) AS BIGINT) AS mentions, array_to_string(list_sort(list_distinct(list(name))), '|') AS all_names FROM b GROUP BY ALL""")
 def harmonize_entities(spark, sf_dir):
     part = read_table(spark, sf_dir, "part")
-    rows = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), F.when(F.col("p_size") % 4 == 0, "Concept").otherwise(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("type"), F.col("p_brand").alias("description"))
+    rows = part.select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 == 0, "Concept").otherwise(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("type"), F.col("p_brand").alias("description"))
     return build.harmonize_entities(rows).select("key", "bucket", "mentions", F.array_join("all_names", "|").alias("all_names"))
 
 
@@ -55,14 +55,18 @@ def node_specificity(spark, sf_dir):
     return build.node_specificity(fx.mentions(spark, sf_dir)).select("entity_id", "passages", F.round("specificity", 9).alias("specificity"))
 
 
-@query("mention_linking", r"""WITH n AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS name FROM benchmark WHERE regexp_matches(lower(split_part(text, ' ', 2)), '^[a-z0-9]{4,}$')),
-c AS (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents)
-SELECT chunk_id, name AS entity_id FROM c JOIN n ON contains(low, name) WHERE regexp_matches(low, '(^|[^a-z0-9])' || name || '($|[^a-z0-9])')""")
+@query("mention_linking", r"""WITH w AS (SELECT item_id, [x FOR x IN string_split(lower(text), ' ') IF regexp_matches(x, '^[a-z0-9]{4,}$')] AS ws FROM benchmark),
+n AS (SELECT DISTINCT name FROM (SELECT unnest(ws) AS name FROM w UNION ALL SELECT unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM w)),
+c AS (SELECT doc_id AS chunk_id, text, lower(text) AS low FROM documents),
+h AS (SELECT chunk_id, name, text FROM c JOIN n ON contains(low, name) WHERE regexp_matches(low, '(^|[^a-z0-9])' || name || '($|[^a-z0-9])'))
+SELECT chunk_id, name AS entity_id, left(coalesce([s FOR s IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF contains(lower(s), name)][1], left(text, 200)), 500) AS quote FROM h""")
 def mention_linking(spark, sf_dir):
-    name = F.lower(F.split_part("text", F.lit(" "), F.lit(2)))
-    entities = read_table(spark, sf_dir, "benchmark").select(name.alias("entity_id"), name.alias("name")).filter(F.col("name").rlike("^[a-z0-9]{4,}$")).distinct()
+    """Names are the words of all items, and their neighbouring pairs."""
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w.rlike("^[a-z0-9]{4,}$"))
+    pairs = F.zip_with(F.col("ws"), F.slice("ws", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+    names = read_table(spark, sf_dir, "benchmark").select(words.alias("ws")).select(F.explode(F.concat("ws", F.filter(pairs, lambda p: p.isNotNull()))).alias("name")).distinct()
     chunks = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return build.mention_links(chunks, entities).select("chunk_id", "entity_id")
+    return build.mention_links(chunks, names.select(F.col("name").alias("entity_id"), "name"))
 
 
 @query("self_consistency", f"""WITH {fx.SUPPLY_EDGES} SELECT src, dst, CAST(count(DISTINCT position % 5) AS BIGINT) AS votes FROM supply_edges GROUP BY src, dst HAVING count(DISTINCT position % 5) >= 3""")
@@ -115,12 +119,12 @@ def json_props(spark, sf_dir):
     return events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
-CLUSTERED = """samples AS (SELECT conv_id AS question_id, turn AS sample_id, length(text) % 3 AS cluster, left(text, 1) AS text FROM conversations WHERE role = 'assistant')"""
+CLUSTERED = """samples AS (SELECT conv_id AS question_id, turn AS sample_id, length(text) % 3 AS cluster, text FROM conversations WHERE role = 'assistant')"""
 
 
 def clustered(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return turns.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("sample_id"), (F.length("text") % 3).alias("cluster"), F.left("text", F.lit(1)).alias("text"))
+    return turns.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("sample_id"), (F.length("text") % 3).alias("cluster"), "text")
 
 
 @query("discrete_semantic_entropy", f"""WITH {CLUSTERED}, c AS (SELECT question_id, cluster, count(*) AS c FROM samples GROUP BY ALL), p AS (SELECT question_id, c, c / sum(c) OVER (PARTITION BY question_id) AS p FROM c)
