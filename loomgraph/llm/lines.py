@@ -2,24 +2,32 @@
 
 A line's hash is taken without the white space (20, 09-0D) at its ends; blank
 lines have no part in it. A window is ``width`` consecutive lines of a
-document that aren't blank. Of each window the least line hash is kept: a
-fingerprint, so every repeated run of at least ``width`` lines is found.
-Fingerprints travel with the line hashes around them, are joined with the
-places of equal fingerprints, and matches are extended both ways over every
-window that the fingerprint stands for. A line is deleted if a window that
+document that aren't blank. A run of fewer lines counts by its words: with
+``words``, the shortest runs of whole lines with enough words are windows too,
+one from each line on and one up to each line, so that every line of a repeated
+run lies in a window that the run holds. A line is deleted if a window that
 covers it also starts earlier: in a document of smaller id, or at an earlier
-line of its own document.
-
-A run of fewer lines counts by its words: with ``words``, a run of that many
-words repeats however few lines it has. Its windows are the shortest runs of
-whole lines with enough words, one from each line on and one up to each line,
-so that every line of a repeated run lies in a window that the run holds.
-Repeats of fewer lines than ``width`` and fewer words than ``words`` stay.
+line of its own document. Repeats of fewer lines than ``width`` and fewer words
+than ``words`` stay.
+
+Method. Of each window the least line hash is kept: a fingerprint, and each
+repeated run has one at every window's length, so none is missed. Positions of
+fingerprints are joined where fingerprints are equal and the lines agree to
+both sides as far as a window reaches (the number of lines and a hash of them,
+before and after). Of the positions that so match the earliest stays, the others
+are repeats; neighbouring windows put longer matches together. The earliest
+position is an aggregate that is written and joined back, so a line that a third
+of all documents hold is never one task's.
+
+A first pass sends the windows' hashes alone and sets, in a bitmap of bounded
+size, a bit for each that occurs twice; the others stay at home. The bitmap
+holds no repeat back, so results don't depend on its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,121 +35,163 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import plain_columns, read_table
-from loomgraph.llm.runs import Units, keyed, repeats
+from loomgraph.llm.bitmap import repeated_hashes
+from loomgraph.llm.common import bound_batches, materialize, plain_columns, plan_bytes, read_table
+from loomgraph.llm.runs import LAST, keyed, text_groups
+from loomgraph.llm.spans import mix, power_tables
 
 #: Lines of the shortest run that counts as repeated.
 WIDTH = 3
 #: Words, by white space, of the shortest run that counts whatever its lines.
 WORDS = 10
+#: Input bytes for each window.
+WINDOW_BYTES = 25
 
 OUTPUT = ["n_lines", "n_removed_lines", "kept_text"]
 
 
-def line_units(texts: list[bytes]) -> Units:
+@dataclass
+class Windows:
+    """Windows of several documents: the document, first and last line, the fingerprint and what lies before and after it."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    mark: np.ndarray
+    ahead: np.ndarray
+    behind: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    hash: np.ndarray
+
+    def columns(self, held: np.ndarray) -> list[pa.Array]:
+        numbers = [self.mark.view(np.int64), self.ahead, self.behind, self.left.view(np.int64), self.right.view(np.int64), self.first, self.last]
+        return [pa.array(c[held]) for c in numbers]
+
+
+def first_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least value, the first of equal ones, in each stretch."""
+    out, size = first.copy(), last - first + 1
+    step, level = 1, np.arange(len(values))
+    while step <= size.max(initial=0):
+        own = (size >= step) & (size < 2 * step)
+        i, j = level[first[own]], level[last[own] - step + 1]
+        out[own] = np.where(values[i] <= values[j], i, j)
+        i, j = level[:-step], level[step:]
+        level = np.where(values[i] <= values[j], i, j)
+        step *= 2
+    return out
+
+
+def line_windows(texts: list[bytes], width: int, least: int | None) -> Windows:
+    """The windows of texts by lines and, with ``least``, by words."""
     digest = xxhash.xxh3_64_intdigest
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = [digest(line) for line in map(bytes.strip, text.split(b"\n")) if line]
-        counts[i] = len(own)
-        hashes += own
-    packed = np.array(hashes, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
-    buffer = packed.astype("<u8").tobytes()
-    return Units(packed, doc, at, lambda first, last: buffer[8 * first : 8 * (last + 1)])
-
-
-def line_windows(pack: bytes, width: int) -> list[bytes]:
-    return [pack[8 * i : 8 * (i + width)] for i in range(len(pack) // 8 - width + 1)]
-
-
-def word_windows(counts: list[int], least: int) -> list[tuple[int, int]]:
-    """First and last line of the shortest runs of ``least`` words from each line on and up to each line, in order."""
-    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.array(counts, np.int64))))
-    n = len(counts)
-    ends = np.searchsorted(sums, sums[:-1] + least) - 1  # from each line on
-    starts = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # up to each line
-    ahead = [(i, e) for i, e in enumerate(ends.tolist()) if e < n]
-    return sorted({*ahead, *((s, i) for i, s in enumerate(starts.tolist()) if s >= 0)})
-
-
-def word_units(texts: list[bytes], least: int) -> Units:
-    """Windows by words as units: each is the digest of its lines."""
-    digests: list[bytes] = []
+    sizes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = [line for line in map(bytes.strip, text.split(b"\n")) if line]
-        spans = word_windows([len(line.split()) for line in own], least)
-        counts[i] = len(spans)
-        digests += [xxhash.xxh3_128_digest(b"\n".join(own[a : b + 1])) for a, b in spans]
-    buffer = b"".join(digests)
+        counts[i] = len(own)
+        hashes += map(digest, own)
+        sizes += [len(line.split()) for line in own] if least else []
+    values = np.array(hashes, np.uint64)
     doc = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
-    return Units(np.frombuffer(buffer, "<u8")[::2].copy(), doc, at, lambda first, last: buffer[16 * first : 16 * (last + 1)])
-
-
-def digests_of(pack: bytes) -> list[bytes]:
-    return [pack[i : i + 16] for i in range(0, len(pack), 16)]
-
-
-def kept_lines(text: str, runs: list | None, width: int, worded: list | None = None, words: int | None = None) -> tuple[str, int, int]:
+    begin = np.cumsum(counts) - counts
+    end = (begin + counts - 1)[doc]
+    at = np.arange(len(values))
+    fits = at + width - 1 <= end
+    pairs = [(at[fits] << 32) | (at[fits] + width - 1)]
+    if least:
+        sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.array(sizes, np.int64))))
+        last = np.searchsorted(sums, sums[:-1] + least) - 1  # from each line on
+        first = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # up to each line
+        on, upto = last <= end, first >= begin[doc]
+        pairs += [(at[on] << 32) | last[on], (first[upto] << 32) | at[upto]]
+    spans = np.unique(np.concatenate(pairs))
+    a, b = spans >> 32, spans & 0xFFFFFFFF
+    up, down = power_tables(len(values) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+    of = lambda i, j: mix((total[j] - total[i]) * down[i] + (j - i).astype(np.uint64))
+    p = first_minima(values, a, b)
+    start = begin[doc[a]] if len(a) else a
+    return Windows(doc[a], (a - start).astype(np.int32), (b - start).astype(np.int32), values[p], (p - a).astype(np.int32), (b - p).astype(np.int32), of(a, p), of(p + 1, b + 1), of(a, b + 1))
+
+
+def kept_lines(text: str, runs: list | None) -> tuple[str, int, int]:
     """The text without the lines of repeated windows, its lines that aren't blank, and those deleted."""
     lines = text.split("\n")
     full = [i for i, line in enumerate(lines) if line.strip(" \t\n\r\x0b\x0c")]
-    if not runs and not worded:
+    if not runs:
         return text, len(full), 0
     gone = np.zeros(len(full) + 1, np.int64)
-    for run in runs or []:
+    for run in runs:
         gone[run["first"]] += 1
-        gone[run["first"] + run["n"] + width - 1] -= 1
-    if worded:
-        spans = word_windows([len(lines[i].encode().split()) for i in full], words)
-        for run in worded:
-            for first, last in spans[run["first"] : run["first"] + run["n"]]:
-                gone[first] += 1
-                gone[last + 1] -= 1
+        gone[run["last"] + 1] -= 1
     drop = {full[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) > 0).tolist()}
     return "\n".join(line for i, line in enumerate(lines) if i not in drop), len(full), len(drop)
 
 
+def repeated_windows(docs: DataFrame, width: int, words: int | None, id_column: str, text_column: str) -> DataFrame:
+    """Repeated windows, by row: _kid, _th, _null and an array ``runs`` of (first, last)."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    listed = docs.filter(F.col(text_column).isNotNull()).select(*keyed(docs, id_column, text_column), F.col(text_column))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for texts, _ in text_groups(batches):
+            yield line_windows(texts, width, words).hash
+
+    shared = spark.sparkContext.broadcast(repeated_hashes(listed, hashes, plan_bytes(docs) // WINDOW_BYTES))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["mark", "ahead", "behind", "left", "right", "first", "last", "_kid", "_th", "_null"]
+        for texts, rows in text_groups(batches):
+            found = line_windows(texts, width, words)
+            held = np.flatnonzero(shared.value.holds(found.hash))
+            keys = [np.array(column, kind)[found.doc[held]] for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int32, bool), strict=True)]
+            yield pa.RecordBatch.from_arrays([*found.columns(held), *map(pa.array, keys)], names=names)
+
+    types = "mark long, ahead int, behind int, left long, right long, first int, last int, _kid long, _th int, _null boolean"
+    windows = materialize(listed.mapInArrow(spread, types), "line-windows")
+    shared.destroy()
+    same = ["mark", "ahead", "behind", "left", "right"]
+    place = F.struct(F.when(F.col("_null"), F.lit(int(LAST))).otherwise(F.col("_kid")).alias("rank"), F.col("first").alias("at"))
+    firsts = windows.groupBy(*same).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(materialize(firsts, "line-firsts"), same).filter(place > F.col("earliest"))
+    return later.groupBy("_kid", "_th", "_null").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+
+
 def remove_lines(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", words: int | None = WORDS) -> DataFrame:
     """Each row with n_lines (not blank), n_removed_lines and kept_text.
 
     A text without repeats is returned as it is; null stays null and has no
-    lines. What is left of a text keeps its blank lines, and may be empty. A
-    null id counts as greater than every other; equal ids count as one document
-    at one place, so repeated rows leave each other alone. Input columns with
-    the results' names are replaced. Without ``words`` runs count by lines alone.
+    lines. What is left of a text keeps its blank lines, and may be empty. Ids
+    are whole numbers. A null id counts as greater than every other; equal ids
+    count as one document at one place, so repeated rows leave each other
+    alone. Input columns with the results' names are replaced. Without
+    ``words`` runs count by lines alone.
     """
-    found = repeats(docs, id_column, text_column, line_units, lambda pack: line_windows(pack, width), width, 1, within=True)
-    keys = ["_kid", "_th", "_null"]
-    if words is None:
-        found = found.withColumn("worded", F.lit(None).cast("array<struct<first:int,n:int>>"))
-    else:
-        by_words = repeats(docs, id_column, text_column, lambda texts: word_units(texts, words), digests_of, 1, 1, within=True)
-        found = found.join(by_words.withColumnRenamed("runs", "worded"), keys, "full")
+    found = repeated_windows(docs, width, words, id_column, text_column)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, lines, removed = [], [], []
-            for text, runs, worded in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                left, n, gone = kept_lines(text, runs, width, worded, words) if text is not None else (None, 0, 0)
+            for text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, n, gone = kept_lines(text, runs) if text is not None else (None, 0, 0)
                 kept.append(left)
                 lines.append(n)
                 removed.append(gone)
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[3:], *OUTPUT])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*batch.schema.names[2:], *OUTPUT])
 
     rows = docs.select(*keyed(docs, id_column, text_column), F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
-    joined = rows.join(found, keys, "left").select("_text", "runs", "worded", *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[3:])
+    joined = rows.join(found, ["_kid", "_th", "_null"], "left").select("_text", "runs", *plain_columns(docs, OUTPUT))
+    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[2:])
     return joined.mapInArrow(apply, f"{types}, n_lines long, n_removed_lines long, kept_text string")
 
 
 def op7_remove_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the kept texts; the operator's own output is the texts. Its SQL counts runs by lines alone."""
-    out = remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=None)
+    """Digest of the kept texts; the operator's own output is the texts."""
+    out = remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -150,14 +200,17 @@ WITH ln AS (
   SELECT doc_id, k, l, regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
   FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS l
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
-num AS (SELECT doc_id, k, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM ln WHERE s <> ''),
-win AS (
-  SELECT doc_id, n, [s, lead(s, 1) OVER w, lead(s, 2) OVER w] AS run, lead(s, 2) OVER w IS NOT NULL AS whole
-  FROM num WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-rep AS (
-  SELECT doc_id, n FROM (
-    SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS r FROM win WHERE whole) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([n, n + 1, n + 2]) AS n FROM rep),
+num AS (
+  SELECT doc_id, k, s, row_number() OVER w - 1 AS n, sum(wc) OVER w AS upto, sum(wc) OVER w - wc AS before
+  FROM (SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS wc FROM ln WHERE s <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+near AS (SELECT a.doc_id, a.n AS f, b.n AS l FROM num a JOIN num b ON b.doc_id = a.doc_id AND b.n BETWEEN a.n AND a.n + 9 AND b.upto - a.before >= 10),
+span AS (
+  SELECT doc_id, f, min(l) AS l FROM near GROUP BY doc_id, f
+  UNION SELECT doc_id, max(f), l FROM near GROUP BY doc_id, l
+  UNION SELECT a.doc_id, a.n, b.n FROM num a JOIN num b ON b.doc_id = a.doc_id AND b.n = a.n + 2),
+win AS (SELECT span.doc_id, f, l, string_agg(s, chr(10) ORDER BY n) AS run FROM span JOIN num ON num.doc_id = span.doc_id AND n BETWEEN f AND l GROUP BY span.doc_id, f, l),
+rep AS (SELECT doc_id, f, l FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, f) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(f, l + 1)) AS n FROM rep),
 out AS (
   SELECT ln.doc_id, count(num.k) AS n_lines, count(gone.n) AS n_removed_lines,
          coalesce(string_agg(ln.l, chr(10) ORDER BY ln.k) FILTER (gone.n IS NULL), '') AS kept

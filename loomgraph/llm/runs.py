@@ -1,13 +1,15 @@
-"""Repeated runs of units (words or lines) across documents: the engine of line and substring removal.
+"""Repeated runs of words across documents: the engine of substring removal.
 
 A window is ``width`` consecutive units of one document. Each window has a
 minimiser, the least hash among its k-grams; equal windows have equal
 minimisers. Consecutive windows that share one form a run and travel as one
 packed string to the minimiser's bucket, with the document and the place.
-Equal packed strings of a batch travel once, with the list of their places, so
-a passage that a third of all documents hold is a few rows, not one a document.
-In a bucket, windows are compared in full, not by their hashes, and each
-window's earliest occurrence is found; the others are repeats.
+Equal packed strings of a group of documents travel once, with the place of
+least document alone: the group's other places repeat it for certain, and go to
+the result by buckets that have nothing to do with the string. So what a passage
+that a third of all documents hold brings to its bucket is a place for each
+group of documents. In a bucket, windows are compared in full, not by their
+hashes, and each window's earliest document is found; the others are repeats.
 
 Most runs have a minimiser that no other run has and repeat nothing. A first
 pass sends only the minimisers' hashes and sets, in a bitmap of bounded size, a
@@ -84,24 +86,30 @@ def _runs(units: Units, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return inside[at], inside[np.concatenate((at[1:] - 1, [len(inside) - 1]))], minima[inside[at]]
 
 
-def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, width: int, k: int, buckets: int, shared: Bitmap | None) -> Iterator[tuple[int, bytes]]:
+def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, width: int, k: int, buckets: int, shared: Bitmap) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed runs) of a group of documents."""
     first, last, minimiser = _runs(units, width, k)
     hashes = mix(minimiser)
-    if shared is not None:
-        held = shared.holds(hashes)
-        first, last, minimiser, hashes = first[held], last[held], minimiser[held], hashes[held]
+    held = shared.holds(hashes)
+    first, last, minimiser, hashes = first[held], last[held], minimiser[held], hashes[held]
     if not len(first):
         return
     bucket = hashes % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
     compress = zstandard.ZstdCompressor(level=3).compress
+    rank = np.where(null, LAST, kid)[units.doc[first]]
+    sure: list[int] = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         members = order[a:b]
         places: dict[bytes, list[int]] = {}
         for i, f, z in zip(members.tolist(), first[members].tolist(), last[members].tolist(), strict=True):
             places.setdefault(units.pack(f, z + width - 1), []).append(i)
+        for own in places.values():
+            if len(own) > 1:
+                least = min(rank[i] for i in own)
+                sure += [i for i in own if rank[i] > least]
+                own[:] = [i for i in own if rank[i] == least]
         refs = np.array([i for own in places.values() for i in own], np.int64)
         lead = np.array([own[0] for own in places.values()], np.int64)
         start = first[refs]
@@ -119,6 +127,23 @@ def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, widt
             )
         )
         yield int(bucket[order[a]]), b"\0" + body if len(body) < PLAIN_BYTES else b"\1" + compress(body)
+    if sure:
+        start = first[sure]
+        doc = units.doc[start]
+        columns = (kid[doc].astype("<i8"), th[doc].astype("<i4"), null[doc].astype("<i4"), units.at[start].astype("<i4"), (last[sure] - start + 1).astype("<i4"))
+        yield int(mix(kid[doc[:1]].view(np.uint64))[0] % np.uint64(buckets)), b"\2" + compress(struct.pack("<I", len(sure)) + b"".join(c.tobytes() for c in columns))
+
+
+def _sure_repeats(blob: bytes) -> Iterator[tuple[int, int, bool, int, int]]:
+    """What a group of documents knew to be repeats by itself."""
+    body = zstandard.decompress(blob[1:])
+    (n,) = struct.unpack_from("<I", body)
+    columns, at = [], 4
+    for kind in ("<i8", "<i4", "<i4", "<i4", "<i4"):
+        columns.append(np.frombuffer(body, kind, n, at).tolist())
+        at += n * int(kind[2])
+    columns[2] = [value == 1 for value in columns[2]]
+    yield from zip(*columns, strict=True)
 
 
 def _unpacked(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,46 +166,45 @@ def _unpacked(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
     return packs, minimiser, count.astype(np.int64), kid, th, place.astype(np.int64)
 
 
-def bucket_repeats(blobs: list[bytes], windows: Callable[[bytes], list[bytes]], within: bool) -> Iterator[tuple[int, int, bool, int, int]]:
+def bucket_repeats(blobs: list[bytes], windows: Callable[[bytes], list[bytes]]) -> Iterator[tuple[int, int, bool, int, int]]:
     """(kid, th, null, first window, windows) of each stretch of repeats in a bucket.
 
-    A window is a repeat if it also starts in a document of smaller id or, with
-    ``within``, at an earlier place of one document.
+    A window is a repeat if it also starts in a document of smaller id.
     """
+    for blob in blobs:
+        if blob[0] == 2:
+            yield from _sure_repeats(blob)
+    blobs = [blob for blob in blobs if blob[0] != 2]
+    if not blobs:
+        return
     packs, minimiser, count, kid, th, place = _unpacked(blobs)
     null = place & 1 == 1
     place = place >> 1
     rank = np.where(null, LAST, kid)
     starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(count, dtype=np.int64)))
     least = np.minimum.reduceat(rank, starts[:-1])
-    owner = np.repeat(np.arange(len(packs)), count)
-    least_at = np.full(len(packs), LAST)
-    lead = rank == least[owner]
-    np.minimum.at(least_at, owner[lead], place[lead])
-    order = np.lexsort((least_at, least, minimiser))
+    order = np.lexsort((least, minimiser))
     edges = np.concatenate(([0], np.flatnonzero(np.diff(minimiser[order])) + 1, [len(order)]))
     total = np.add.reduceat(count[order], edges[:-1])
     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-    lonely = total == 1 if not within else np.zeros(len(total), bool)  # one place alone repeats nothing
-    if within:  # a run may repeat a window of its own
-        lonely = (total == 1) & np.array([len(set(own)) == len(own) for own in (windows(packs[order[a]]) if b - a == 1 else [] for a, b in spans)], bool)
+    lonely = total == 1  # one place alone repeats nothing
     ids, hashes, nulls, ranks, places = kid.tolist(), th.tolist(), null.tolist(), rank.tolist(), place.tolist()
-    order, least, least_at, starts = order.tolist(), least.tolist(), least_at.tolist(), starts.tolist()
+    order, least, starts = order.tolist(), least.tolist(), starts.tolist()
     for (a, b), skip in zip(spans, lonely.tolist(), strict=True):
         if skip:
             continue
-        seen: dict[bytes, tuple[int, int]] = {}
-        known: dict[bytes, list[tuple[int, int]]] = {}
+        seen: dict[bytes, int] = {}
+        known: dict[bytes, list[int]] = {}
         for p in order[a:b]:
             pack = packs[p]
             firsts = known.get(pack)
             if firsts is None:
-                d, at = least[p], least_at[p]
-                firsts = known[pack] = [seen.setdefault(w, (d, at + i)) for i, w in enumerate(windows(pack))]
+                d = least[p]
+                firsts = known[pack] = [seen.setdefault(w, d) for w in windows(pack)]
             for r in range(starts[p], starts[p + 1]):
                 d, at, run = ranks[r], places[r], 0
-                for i, (fd, fa) in enumerate(firsts):
-                    if fd < d or (within and fd == d and fa < at + i):
+                for i, fd in enumerate(firsts):
+                    if fd < d:
                         run += 1
                     elif run:
                         yield ids[r], hashes[r], nulls[r], at + i - run, run
@@ -189,7 +213,7 @@ def bucket_repeats(blobs: list[bytes], windows: Callable[[bytes], list[bytes]],
                     yield ids[r], hashes[r], nulls[r], at + len(firsts) - run, run
 
 
-def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[tuple]]]:
+def text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[tuple]]]:
     """Texts and their (kid, th, null), in groups of some characters."""
     texts: list[bytes] = []
     rows: list[tuple] = []
@@ -210,7 +234,7 @@ def shared_minimisers(listed: DataFrame, units_of: Callable[[list[bytes]], Units
     """The bitmap of minimisers that occur more than once."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for texts, _ in _text_groups(batches):
+        for texts, _ in text_groups(batches):
             yield mix(_runs(units_of(texts), width, k)[2])
 
     return repeated_hashes(listed, hashes, size // RUN_BYTES)
@@ -224,24 +248,20 @@ def repeats(
     windows: Callable[[bytes], list[bytes]],
     width: int,
     k: int,
-    within: bool,
 ) -> DataFrame:
-    """Stretches of repeated windows, by row: _kid, _th, _null and an array ``runs`` of (first, n).
-
-    With ``within`` a run may repeat a window of its own, so no run is left out beforehand.
-    """
+    """Stretches of repeated windows, by row: _kid, _th, _null and an array ``runs`` of (first, n)."""
     spark = docs.sparkSession
     bound_batches(spark)
     size = plan_bytes(docs)
     buckets = max(64, size // BUCKET_BYTES)
     listed = docs.filter(F.col(text_column).isNotNull()).select(*keyed(docs, id_column, text_column), F.col(text_column))
-    shared = None if within else spark.sparkContext.broadcast(shared_minimisers(listed, units_of, width, k, size))
+    shared = spark.sparkContext.broadcast(shared_minimisers(listed, units_of, width, k, size))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, bytes]]:
-            for texts, rows in _text_groups(batches):
+            for texts, rows in text_groups(batches):
                 kid, th, null = (np.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int64), strict=True))
-                yield from _blobs(units_of(texts), kid, th, null, width, k, buckets, shared.value if shared else None)
+                yield from _blobs(units_of(texts), kid, th, null, width, k, buckets, shared.value)
 
         yield from named_batches(pairs(), "bucket")
 
@@ -253,7 +273,7 @@ def repeats(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for _, blobs in blobs_by_key(batches):
-            for row in bucket_repeats(blobs, windows, within):
+            for row in bucket_repeats(blobs, windows):
                 rows.append(row)
                 if len(rows) >= 20_000:
                     yield batch_of()

@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < length:
         size = 1 << (length - 1).bit_length()
         for k, base in enumerate((_PRIME, _INVERSE)):
@@ -47,7 +47,7 @@ class Words:
         self.count = np.bincount(self.doc, minlength=len(texts))
         first = np.cumsum(self.count) - self.count
         self.at = np.arange(len(self.doc)) - first[self.doc]
-        up, down = _power_tables(len(data))
+        up, down = power_tables(len(data))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)))
         self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 

@@ -46,7 +46,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, id_column: str = "doc
     names are replaced.
     """
     gram = min(GRAM, width)
-    found = repeats(docs, id_column, text_column, word_units, lambda pack: word_windows(pack, width), width, gram, within=False)
+    found = repeats(docs, id_column, text_column, word_units, lambda pack: word_windows(pack, width), width, gram)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
