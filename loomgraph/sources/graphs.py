@@ -9,13 +9,35 @@ from loomgraph.operators.graph import degrees
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Write both tables by kg_name; what a graph had before is replaced, other graphs stay. Keys are kept once."""
-    nodes = nodes.dropDuplicates(["kg_name", "entity_id"])
-    edges = edges.dropDuplicates(["kg_name", "src", "dst", "rel_type"])
+    """Write both tables by kg_name; what a graph had before is replaced, other graphs stay.
+
+    A node is kept once: the one that sorts first of all its columns. An edge is
+    its ends, type, polarity, condition and quantity, as far as there are such
+    columns: edges of one identity are one, with the greatest confidence and
+    the arrays' values of all, each once and sorted; of other columns the least
+    value stays.
+    """
+    rest = _one_of(nodes, ["kg_name", "entity_id"])
+    nodes = nodes.groupBy("kg_name", "entity_id").agg(*rest) if rest else nodes.distinct()
+    keys = [name for name in ("kg_name", "src", "dst", "rel_type", "negated", "condition", "quantitative") if name in edges.columns]
+    edges = edges.groupBy(*keys).agg(*[_merged(edges, name) for name in edges.columns if name not in keys], F.count(F.lit(1)).alias("copies"))
     for table, name in ((nodes, "nodes"), (edges, "edges")):
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kg_name").parquet(f"{path}/{name}")
 
 
+def _one_of(rows: DataFrame, keys: list[str]) -> list:
+    """The other columns of the row that sorts first; maps can't be sorted and are taken from any."""
+    rest = [field for field in rows.schema.fields if field.name not in keys]
+    sortable = [F.col(f.name) for f in rest if not f.dataType.simpleString().startswith("map")]
+    return [F.min_by(f.name, F.struct(*sortable)).alias(f.name) for f in rest] if sortable else [F.any_value(f.name).alias(f.name) for f in rest]
+
+
+def _merged(edges: DataFrame, name: str):
+    if edges.schema[name].dataType.simpleString().startswith("array"):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    return (F.max(name) if name == "confidence" else F.min(name)).alias(name)
+
+
 def read_graph(spark: SparkSession, path: str, kg_name: str) -> tuple[DataFrame, DataFrame]:
     """A graph's nodes, and its edges whose ends are both there."""
     nodes, edges = (spark.read.parquet(f"{path}/{name}").filter(F.col("kg_name") == kg_name) for name in ("nodes", "edges"))
