@@ -33,12 +33,13 @@ def evidence_scope(spark, sf_dir):
     return rows.select("l_orderkey", fp.evidence_scope(F.col("c"), F.col("n"), F.col("s")).alias("scope"))
 
 
-@query("qualifier_sentences")
+@query("qualifier_sentences", rf"""WITH s AS (SELECT doc_id, [x FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF regexp_matches(x, '{fp.QUALIFIER_PATTERN}')] AS l FROM documents)
+SELECT doc_id, array_to_string([trim(x) FOR x IN l[greatest(1, len(l) - 3):]], ' ') AS qualifiers FROM s""")
 def qualifier_sentences(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", fp.qualifier_sentences(F.col("text")).alias("qualifiers"))
 
 
-@query("section_headers")
+@query("section_headers", rf"""SELECT doc_id, CAST(len([l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '{fp.HEADING_LINE}')]) AS INTEGER) AS sections FROM documents""")
 def section_headers(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(fp.section_headers(F.col("text"))).alias("sections"))

@@ -72,7 +72,7 @@ def bioasq(raw: DataFrame) -> DataFrame:
     return _record(
         kept, "bioasq", id=F.col("id"), question=F.col("body"), contexts=F.col("snippets"),
         task_type=F.when(yesno, "binary").otherwise("free_text"), answer=F.when(yesno, F.lower(first)).otherwise(first),
-        long_answer=F.col("ideal_answer"), aliases=F.when(yesno, _texts()).otherwise(F.slice("exact_answer", 2, 10_000)),
+        long_answer=F.col("ideal_answer"), aliases=F.when(yesno, _texts()).otherwise(F.slice("exact_answer", F.lit(2), F.greatest(F.lit(0), F.size("exact_answer") - 1))),
     )
 
 
