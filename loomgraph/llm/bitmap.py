@@ -1,4 +1,4 @@
-"""Bitmaps of bounded size that tell which 64-bit hashes occur more than once in a table."""
+"""Bitmaps and counters of bounded size over the 64-bit hashes of a table: which occur more than once, and how often."""
 
 from __future__ import annotations
 
@@ -99,3 +99,52 @@ def repeated_hashes(table: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]
     for row in sent.mapInArrow(reduce, "slice long, blob binary").collect():
         bits[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(row["blob"], np.uint8)
     return Bitmap(power, bits)
+
+
+#: Counters as powers of two, at most (32 MB), and the slices that they are summed in.
+COUNTERS_POWER, COUNTER_SLICES = 24, 6
+
+
+@dataclass
+class Counters:
+    """How often hashes occur, by their leading bits: never too few, too many where hashes share a counter."""
+
+    power: int
+    counts: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.counts[(hashes >> np.uint64(64 - self.power)).astype(np.int64)]
+
+
+def hash_counters(table: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Counters:
+    """Counters of scrambled hashes of a table's batches; the driver gets two bytes of each counter."""
+    power = min(COUNTERS_POWER, max(LEAST_POWER, (4 * expected).bit_length()))
+    inner = power - COUNTER_SLICES
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[int, bytes]]:
+            for own in hashes(batches):
+                bins, counts = np.unique((own >> np.uint64(64 - power)).astype(np.int64), return_counts=True)
+                edges = np.searchsorted(bins >> inner, np.arange((1 << COUNTER_SLICES) + 1))
+                for part, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    if a < b:
+                        yield part, (bins[a:b] & ((1 << inner) - 1)).astype("<u4").tobytes() + counts[a:b].astype("<u4").tobytes()
+
+        yield from named_batches(pairs(), "slice")
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[tuple[int, bytes]]:
+            for part, blobs in blobs_by_key(batches):
+                total = np.zeros(1 << inner, np.int64)
+                for blob in blobs:
+                    bins, counts = np.frombuffer(blob, "<u4").reshape(2, -1)
+                    total[bins] += counts
+                yield part, np.minimum(total, 65_535).astype("<u2").tobytes()
+
+        yield from named_batches(pairs(), "slice")
+
+    counts = np.zeros(1 << power, np.uint16)
+    sent = table.mapInArrow(spread, "slice long, blob binary").repartition("slice").sortWithinPartitions("slice")
+    for row in sent.mapInArrow(reduce, "slice long, blob binary").collect():
+        counts[row["slice"] << inner : (row["slice"] + 1) << inner] = np.frombuffer(row["blob"], "<u2")
+    return Counters(power, counts)

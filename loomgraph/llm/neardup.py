@@ -40,10 +40,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bitmap import repeated_hashes
+from loomgraph.llm.bitmap import hash_counters, repeated_hashes
 from loomgraph.llm.common import bound_batches, discard, materialize, plain_columns, plan_bytes, read_table
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, mix
@@ -355,24 +354,36 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
 
     Similar sets have at least three quarters of each one's shingles in common;
     so of all but three quarters and one more, in one order for all, they share
-    one at least. Shingles that one class alone has come first and join nothing.
+    one at least. The order is by counters of bounded size, then by hash: any
+    order for all would do, and rare ones first make few meet. Shingles that
+    one class alone has are in the count, but join nothing.
     """
+    texts = texts.select("nid", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         for batch in batches:
             for rows, group in _grouped(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sets = shingle_sets(group)
-                sizes = np.array([len(s) for s in sets])
-                columns = [np.repeat(np.array(rows, np.int64), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names=["nid", "n", "token"])
-
-    spread = texts.select("nid", "text").mapInArrow(run, "nid long, n long, token long")
-    common = materialize(spread.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1), "tokens")
-    own = W.partitionBy("nid")
-    ranked = spread.join(common, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("held", F.count(F.lit(1)).over(own))
-    alone = F.col("n") - F.col("held")
-    most = F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1
-    return ranked.filter(F.col("r") <= most - alone).select("nid", "token")
+                yield rows, shingle_sets(group)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, sets in grouped(batches):
+            yield mix(np.concatenate(sets))
+
+    counters = texts.sparkSession.sparkContext.broadcast(hash_counters(texts, hashes, plan_bytes(texts) // SHINGLE_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in grouped(batches):
+            nids, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for nid, own in zip(rows, sets, strict=True):
+                counts = counters.value.of(mix(own))
+                most = len(own) - -(-len(own) * SIMILAR // 100) + 1
+                first = np.lexsort((own, counts))[:most]
+                shared = own[first[counts[first] > 1]]
+                nids.append(np.full(len(shared), nid))
+                tokens.append(shared)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nids)), pa.array(np.concatenate(tokens).view(np.int64))], names=["nid", "token"])
+
+    return texts.mapInArrow(run, "nid long, token long")
 
 
 def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> DataFrame:

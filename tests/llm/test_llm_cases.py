@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens, toxicity
-from loomgraph.llm.bitmap import repeated_hashes
+from loomgraph.llm.bitmap import hash_counters, repeated_hashes
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, window_minima
 
@@ -195,6 +195,18 @@ def test_repeated_hashes_are_all_held(spark):
     assert held[:500].all() and held[500:].mean() < 0.05
 
 
+def test_counters_never_count_too_few(spark):
+    frame = spark.range(0, 3000, 1, 5).selectExpr("CAST(sqrt(id) AS BIGINT) AS h")
+
+    def hashes(batches):
+        for batch in batches:
+            yield (batch.column(0).to_numpy().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    wanted = np.bincount(np.sqrt(np.arange(3000)).astype(int))
+    found = hash_counters(frame, hashes, 3000).of((np.arange(len(wanted), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    assert (found >= wanted).all() and (found == wanted).mean() > 0.95
+
+
 def test_word_arrays():
     found = Words([b"a bb\tccc", b"", b"\x0b bb a"])
     assert [found.buffer[s:e] for s, e in zip(found.starts, found.ends, strict=True)] == [b"a", b"bb", b"ccc", b"bb", b"a"]
