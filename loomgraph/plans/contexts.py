@@ -195,15 +195,15 @@ def fusion_and_hop_queries(spark, sf_dir):
     )
 
 
-@query("vanilla_retrieval", f"""WITH {COMPARED}, first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM chunks WHERE score >= 0.08),
-sel AS (SELECT * FROM first WHERE r <= 10), beside AS (SELECT c.query_id, c.chunk_id, true AS near FROM chunks c WHERE EXISTS (SELECT 1 FROM sel s WHERE s.query_id = c.query_id AND s.question_id = c.question_id AND s.passage = c.passage AND abs(s.position - c.position) = 1) AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.query_id = c.query_id AND s.chunk_id = c.chunk_id)),
-u AS (SELECT query_id, chunk_id, false AS near FROM sel UNION ALL SELECT * FROM beside), m AS (SELECT marked.*, near FROM marked JOIN u USING (query_id, chunk_id)),
+@query("vanilla_retrieval", f"""WITH {COMPARED}, first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, text) AS r FROM marked WHERE score >= 0.08),
+sel AS (SELECT * EXCLUDE r FROM first WHERE r <= 10), beside AS (SELECT c.*, true AS near FROM marked c WHERE EXISTS (SELECT 1 FROM sel s WHERE s.query_id = c.query_id AND s.question_id = c.question_id AND s.passage = c.passage AND abs(s.position - c.position) = 1) AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.query_id = c.query_id AND s.chunk_id = c.chunk_id)),
+m AS (SELECT *, false AS near FROM sel UNION ALL SELECT * FROM beside),
 o AS (SELECT query_id, chunk_id, near, CAST(row_number() OVER (PARTITION BY query_id ORDER BY branches DESC, overlap DESC, score DESC, near, position, chunk_id) AS INTEGER) AS rank FROM m)
 SELECT query_id, chunk_id, near, rank FROM o WHERE rank <= 8""")
 def vanilla_retrieval(spark, sf_dir):
     """Dense retrieval alone: the best chunks, those beside them, in the question's order, cut."""
     chunks = compared_chunks(spark, sf_dir)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id", "text")
     selected = chunks.filter("score >= 0.08").withColumn("_r", F.row_number().over(best)).filter("_r <= 10").drop("_r")
     place = ["query_id", "question_id", "passage", "position"]
     spots = selected.select(*place[:3], F.explode(F.array(F.col("position") - 1, F.col("position") + 1)).alias("position")).distinct()
