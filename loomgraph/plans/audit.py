@@ -108,10 +108,10 @@ def seeded_subset(spark, sf_dir):
 
 @query("support_grid", """WITH a AS (SELECT l_orderkey AS question_id, l_quantity / 50 AS cosine, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 END AS length FROM lineitem), g AS (SELECT t AS tau, y AS gamma FROM (SELECT unnest([0.4, 0.6, 0.8]::DOUBLE[]) AS t), (SELECT unnest([0.4, 0.7]::DOUBLE[]) AS y)),
 s AS (SELECT tau, gamma, question_id, sum(coalesce(cosine * power(gamma, length - 1), 0)) FILTER (cosine >= tau) AS up, sum(cosine) FILTER (cosine >= tau) AS down FROM a, g GROUP BY ALL)
-SELECT tau, gamma, question_id, round(CASE WHEN down > 0 THEN 1 - up / down END, 6) AS score FROM s""")
+SELECT tau, gamma, question_id, round(CASE WHEN down > 0 THEN 1 - up / down END, 9) AS score FROM s""")
 def support_grid(spark, sf_dir):
     answers = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), (F.col("l_quantity") / 50).alias("cosine"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey") % 4).alias("length"))
-    return audit.support_grid(answers, audit.config_grid(spark, tau=[0.4, 0.6, 0.8], gamma=[0.4, 0.7]).drop("name")).withColumn("score", F.round("score", 6))
+    return audit.support_grid(answers, audit.config_grid(spark, tau=[0.4, 0.6, 0.8], gamma=[0.4, 0.7]).drop("name")).withColumn("score", F.round("score", 9))
 
 
 TOLD = """t AS (SELECT r_regionkey AS text_id, (SELECT trim(regexp_replace(string_agg(lower(n_name), ' to ' ORDER BY n_nationkey), '[^a-z0-9]+', ' ', 'g')) FROM nation WHERE n_regionkey = r_regionkey) AS text FROM region), n AS (SELECT n_nationkey AS entity_id, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS f FROM nation WHERE length(n_name) >= 4),
