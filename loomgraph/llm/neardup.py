@@ -65,6 +65,8 @@ SHINGLE_BYTES = 4
 ROUNDS = 1
 #: Members of a key beyond which they pair by their rarest shingles.
 HOT_KEY = 32
+#: Members of a shingle up to which they travel as one row (300 bytes each), and members that are compared with the others at once.
+PLACE, PAIR_BLOCK = 1024, 64
 #: Bits of the parity sketch, 64 in a word.
 SKETCH_BITS = 2048
 #: Words that it is folded to where a place has many classes.
@@ -260,7 +262,13 @@ def _bounds(texts: DataFrame) -> DataFrame:
             sketches = pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(counts), sketches], names=["nid", "shared", "sketch"])
 
-    return texts.mapInArrow(run, "nid long, shared long, sketch array<long>")
+    return _with_shared(texts.mapInArrow(run, "nid long, shared long, sketch array<long>"), repeated)
+
+
+def _with_shared(table: DataFrame, shared) -> DataFrame:
+    """A table that remembers what was broadcast for it, to be destroyed once it is written."""
+    table._shared = shared
+    return table
 
 
 def _possible(x: list[Column], y: list[Column], words: int = SKETCH_BITS // 64) -> tuple[Column, Column]:
@@ -334,6 +342,7 @@ def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     if not apart.isEmpty():
         bounds = _bounds(texts.join(apart.select("nid").distinct(), "nid", "left_semi"))
         able = materialize(bounds.join(classes.select("nid", "n"), "nid").filter(100 * F.col("shared") >= SIMILAR * F.col("n")), "bounds")
+        bounds._shared.destroy()
         apart, before = materialize(_mixed(apart.join(able.select("nid"), "nid", "left_semi")), "apart"), apart
         discard(before)
         links, apart = _linked_in_rounds(apart, able, texts, links)
@@ -383,7 +392,7 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
                 tokens.append(shared)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nids)), pa.array(np.concatenate(tokens).view(np.int64))], names=["nid", "token"])
 
-    return texts.mapInArrow(run, "nid long, token long")
+    return _with_shared(texts.mapInArrow(run, "nid long, token long"), counters)
 
 
 def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> DataFrame:
@@ -398,15 +407,17 @@ def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> Data
     met = _pairs_of_few(placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid", "root"), able)
     hot = materialize(placed.filter(F.col("size") > HOT_KEY).select("nid", "root").distinct(), "hot")
     if not hot.isEmpty():
-        rare = materialize(_rare_shingles(texts.join(hot, "nid", "left_semi")).join(hot, "nid").select(F.col("token").alias("at"), "nid", "root"), "rare")
+        tokens = _rare_shingles(texts.join(hot, "nid", "left_semi"))
+        rare = materialize(tokens.join(hot, "nid").select(F.col("token").alias("at"), "nid", "root"), "rare")
+        tokens._shared.destroy()
         shared = materialize(rare.groupBy("at").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "sizes")
         rare = rare.join(shared, "at")
-        met = met.union(_pairs_of_few(rare.filter(F.col("size") <= HOT_KEY), able)).union(_pairs_of_many(rare.filter(F.col("size") > HOT_KEY), able))
+        met = met.union(_pairs_of_few(rare.filter(F.col("size") <= PLACE), able)).union(_pairs_of_many(rare.filter(F.col("size") > PLACE), able))
     return met.distinct()
 
 
 def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
-    """(a, b) of (at, nid, root): the possible pairs of different roots at places of HOT_KEY classes at most, a place's members as one row."""
+    """(a, b) of (at, nid, root): the possible pairs of different roots at places of PLACE classes at most, a place's members as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,9 +427,9 @@ def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
             nid, root, n, shared = (of.field(name).to_numpy() for name in ("nid", "root", "n", "shared"))
             sketch = of.field("sketch").flatten().to_numpy().reshape(len(nid), -1).view(np.uint64)
             ends = np.cumsum(members.value_lengths().to_numpy())
-            for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                i, j = np.triu_indices(last - first, 1)
-                i, j = i + first, j + first
+            for at, last in ((at, last) for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for at in range(first, last, PAIR_BLOCK)):
+                i, j = np.nonzero(np.arange(at, min(at + PAIR_BLOCK, last))[:, None] < np.arange(at, last)[None, :])
+                i, j = i + at, j + at
                 most, sizes = np.minimum(shared[i], shared[j]), n[i] + n[j]
                 fine = (root[i] != root[j]) & (100 * most >= SIMILAR * (sizes - most))
                 i, j, sizes = i[fine], j[fine], sizes[fine]
