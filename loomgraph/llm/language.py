@@ -8,7 +8,8 @@ sorted array of hashes with a row of log-probabilities, one for each language;
 the others are worked out from the counts when a text has them, with the same
 result. The language of lowest cross-entropy per character
 is chosen. A text whose cross-entropy lies above what a language's own texts
-show (mean and deviations of a bounded sample) is marked as not accepted.
+show (mean and deviations over all distinct training texts) is marked as not
+accepted.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,16 @@ ORDER = 4
 MAX_NGRAMS = 600_000
 #: Log-probabilities that are worked out beforehand, over all languages.
 MAX_CELLS = 24_000_000
-#: Training texts that the rejection is calibrated on.
-CALIBRATION_ROWS = 600
 #: Deviations above the mean cross-entropy of a language's own texts up to which a text is accepted.
 ACCEPTED_DEVIATIONS = 6.0
-#: Characters that count towards the certainty of a score.
+#: Characters that count towards the certainty of a score, and that a text needs to count towards a limit.
 CERTAIN_CHARACTERS = 40
+#: Texts that a language's mean and deviation need.
+LIMIT_TEXTS = 3
+#: Least deviation of cross-entropy that is believed.
+LEAST_DEVIATION = 0.02
+#: Cross-entropies are summed as whole numbers of this part, so the sums don't depend on their order.
+ENTROPY_UNITS = 1 << 20
 #: 4-grams that a task counts before it hands them on.
 HELD_NGRAMS = 1_500_000
 
@@ -164,24 +170,26 @@ class LanguageModels:
         self.rows = np.stack([model.log_prob(union[order]) for model in self.models], axis=1).astype(np.float32)
         self.limit = np.full(len(languages), np.inf)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text under each language, and the number of characters."""
+    def entropies(self, texts: list[str], of_language: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each text under each language, or the one named, and the number of characters."""
+        which_models = slice(None) if of_language is None else slice(of_language, of_language + 1)
+        models, table = self.models[which_models], self.rows[:, which_models]
         codes, doc = text_grams(texts)
         counts = np.bincount(doc, minlength=len(texts))
-        out = np.full((len(texts), len(self.languages)), np.inf)
+        out = np.full((len(texts), len(models)), np.inf)
         if not len(codes):
             return out, counts
         full = np.flatnonzero(counts)
         out[full] = 0
-        step = max(1, MAX_CELLS // len(self.languages))
+        step = max(1, MAX_CELLS // len(models))
         for first in range(0, len(codes), step):
             part, of = codes[first : first + step], doc[first : first + step]
             at = self.known.find(mix(part))
-            rows = self.rows[at]
+            rows = table[at]
             missed = np.flatnonzero(at < 0)
             if len(missed):
                 new, which = np.unique(part[missed], return_inverse=True)
-                rows[missed] = np.stack([model.log_prob(new) for model in self.models], axis=1)[which]
+                rows[missed] = np.stack([model.log_prob(new) for model in models], axis=1)[which]
             starts = np.flatnonzero(np.diff(of, prepend=-1))
             out[of[starts]] -= np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
         out[full] /= counts[full, None]
@@ -233,22 +241,42 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _calibration_texts(rows: DataFrame, most: int) -> list:
-    """(lang, text) of the distinct texts of least hash. Tasks send hashes alone until the last of these is known."""
-    known = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    least = known.select("h").distinct().orderBy("h").limit(most).collect()
-    if not least:
-        return []
-    chosen = known.filter(F.col("h") <= least[-1]["h"]).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x"))
-    return chosen.select("h", "x.*").orderBy("h").collect()
+def own_entropies(rows: DataFrame, models: Broadcast) -> DataFrame:
+    """(lang, n, total, squares): number and sums, in units, of the cross-entropy of each language's own distinct texts.
 
+    All rows of (lang, text) are scored; texts of fewer than CERTAIN_CHARACTERS
+    characters are left out. Only digests and numbers are shuffled.
+    """
 
-def fit_languages(rows: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModels | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = models.value
+        at = {name: k for k, name in enumerate(own.languages)}
+        for batch in batches:
+            texts, digests = batch.column(1).to_pylist(), batch.column(2)
+            places: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                places.setdefault(lang, []).append(i)
+            for lang in places.keys() & at.keys():
+                parts = [own.entropies(group, at[lang]) for group in text_groups([texts[i] for i in places[lang]])]
+                entropy, counts = (np.concatenate(part) for part in zip(*parts, strict=True))
+                enough = np.flatnonzero(counts >= CERTAIN_CHARACTERS)
+                units = np.rint(entropy[enough, 0] * ENTROPY_UNITS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(enough), pa.string()), digests.take(pa.array(np.array(places[lang])[enough])), pa.array(units)], names=["lang", "digest", "units"])
+
+    known = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.md5("text").alias("digest"))
+    each = known.mapInArrow(run, "lang string, digest string, units long").groupBy("lang", "digest").agg(F.min("units").alias("units"))
+    wide = F.col("units").cast("decimal(18,0)")
+    return each.groupBy("lang").agg(F.count("units").alias("n"), F.sum(wide).alias("total"), F.sum(wide * wide).alias("squares"))
+
+
+def fit_languages(rows: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageModels | None:
     """Models from all rows of (lang, text), or None if there is nothing to learn from.
 
     All counted 4-grams come to the driver, so its memory follows the distinct
     pairs of language and 4-gram, not the texts. ``max_ngrams`` bounds only
-    what is worked out beforehand and changes no result.
+    what is worked out beforehand and changes no result. All rows are then
+    scored under their own language, for the limits of acceptance; a language
+    of fewer than LIMIT_TEXTS distinct texts long enough has none.
     """
     bound_batches(rows.sparkSession)
     grams = materialize(count_grams(rows), "language-grams")
@@ -262,13 +290,13 @@ def fit_languages(rows: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_row
     own = dict(zip(names, np.split(order, np.cumsum(np.bincount(lang.indices.to_numpy()))[:-1]), strict=True))
     languages = sorted(names)
     models = LanguageModels(languages, [(code[own[name]], n[own[name]]) for name in languages], max_ngrams)
-    texts = _calibration_texts(rows, calibration_rows)
-    if texts:
-        entropy, counts = models.entropies([row["text"] for row in texts])
-        for k, name in enumerate(languages):
-            own = np.array([row["lang"] == name for row in texts]) & (counts >= CERTAIN_CHARACTERS)
-            if own.sum() >= 3:
-                models.limit[k] = entropy[own, k].mean() + ACCEPTED_DEVIATIONS * max(entropy[own, k].std(), 0.02)
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    for row in own_entropies(rows, shared).collect():  # one row a language
+        if row["n"] >= LIMIT_TEXTS:
+            n, total, squares = row["n"], int(row["total"]), int(row["squares"])
+            deviation = math.sqrt(n * squares - total * total) / n / ENTROPY_UNITS
+            models.limit[languages.index(row["lang"])] = total / n / ENTROPY_UNITS + ACCEPTED_DEVIATIONS * max(deviation, LEAST_DEVIATION)
+    shared.destroy()
     return models
 
 

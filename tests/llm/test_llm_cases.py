@@ -290,6 +290,21 @@ def test_every_language_and_4_gram_is_learned(spark):
     assert found[0] == found[1] and [r["lang_pred"] for r in found[0]] == [name for name, _ in rows]
 
 
+def test_language_limits_come_from_all_texts(spark):
+    own = random.Random(11)
+    rows = [("many", " ".join(own.choices(["alpha", "beta", "gamma", "delta", "xylo" + "qwz"[i % 3] * (i % 9)], k=20 + i % 50))) for i in range(3000)]
+    rows += [("few", " ".join(own.choices(["uno", "dos", "tres", "cuatro", "cinco"], k=30))) for _ in range(5)] + [("few", "uno dos"), ("two", "ichi ni san " * 9), ("two", "shi go roku " * 9)]
+    frame = spark.createDataFrame([*rows, *rows[:40], *rows[3000:3002] * 20, (None, "x" * 50), ("many", None)], "lang string, text string")
+    models, other = language.fit_languages(frame), language.fit_languages(frame.repartition(3, "text"), max_ngrams=20)
+    for k, name in enumerate(models.languages):
+        entropy, counts = models.entropies(sorted({text for lang, text in rows if lang == name}))
+        each = entropy[counts >= 40, k]
+        assert models.limit[k] == (np.inf if name == "two" else pytest.approx(each.mean() + 6 * max(each.std(), 0.02), abs=1e-5))
+    assert models.limit.tolist() == other.limit.tolist()
+    found = language.identify(spark.createDataFrame([("uno dos tres cuatro " * 5,), ("unodos cuacincotreuat trosunco nidoscitre " * 5,)], "text string"), models).collect()
+    assert [(r["lang_pred"], r["accepted"]) for r in found] == [("few", True), ("few", False)]
+
+
 def test_quality_votes_by_neighbours():
     good = [words(60) for _ in range(60)]
     bad = [" | ".join(RNG.choice(VOCAB).upper() + "!!" for _ in range(60)) for _ in range(20)]
