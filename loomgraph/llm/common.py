@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -88,6 +90,45 @@ def plain_columns(df: DataFrame, replaced: list[str]) -> list[Column]:
     return [F.col(f"`{name}`") for name in df.columns if name.lower() not in gone]
 
 
+#: What an operator's rows carry beside id and text, as one column.
+CARRIED = "carried by the row"
+
+
+def keeping_columns(output: list[str]) -> Callable:
+    """For an operator from documents to documents: it sees doc_id, text and, as one column, whatever else a row has.
+
+    So no name of the input can meet one that the operator uses inside. Rows
+    come back with the input's columns in their order, without those that have
+    one of the ``output`` names (in any case), and then the output.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            bound = signature.bind(docs, *args, **options)
+            bound.apply_defaults()
+            names = bound.arguments
+            key, text = names["id_column"], names["text_column"]
+            gone = {name.lower() for name in output}
+            if (key, text) == ("doc_id", "text") and all(name in (key, text) for name in docs.columns) and not gone & {key, text}:
+                return operator(*bound.args, **bound.kwargs)
+            others = [name for name in docs.columns if name not in (key, text) and name.lower() not in gone]
+            columns = [F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")]
+            if others:
+                columns.append(F.struct(*(F.col(f"`{name}`") for name in others)).alias(CARRIED))
+            names |= {next(iter(signature.parameters)): docs.select(*columns), "id_column": "doc_id", "text_column": "text"}
+            found = operator(*bound.args, **bound.kwargs)
+            back = {key: F.col("doc_id"), text: F.col("text")} | {name: F.col(f"`{CARRIED}`")[name] for name in others}
+            own = [back[name].alias(name) for name in docs.columns if name in back and name.lower() not in gone]
+            return found.select(*own, *(F.col(name) for name in output))
+
+        return run
+
+    return wrap
+
+
 def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, label): one row an id, with the greatest of its labels; rows without id or without a label of 0 or 1 are left out."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())

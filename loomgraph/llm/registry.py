@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens, toxicity
+from loomgraph.llm import decontaminate, language, lines, media, neardup, negatives, pack, periods, quality, substrings, tokens, toxicity, urls
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_remove_substrings": substrings.op8_remove_substrings,
         "op9_score_toxicity": toxicity.op9_score_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_filter_urls": urls.op13_filter_urls,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql():
         "op7_remove_lines": lines.ORACLE_SQL,
         "op8_remove_substrings": substrings.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_periodic_runs": periods.ORACLE_SQL,
+        "op12_hard_negatives": negatives.ORACLE_SQL,
+        "op13_filter_urls": urls.ORACLE_SQL,
     }
