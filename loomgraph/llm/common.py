@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Used only where the session names no shared folder and its master is local, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/loomgraph"
@@ -90,8 +91,15 @@ def plain_columns(df: DataFrame, replaced: list[str]) -> list[Column]:
     return [F.col(f"`{name}`") for name in df.columns if name.lower() not in gone]
 
 
+def with_fields(fields: list[StructField], more: str) -> StructType:
+    """The schema of these fields, whatever their names, and of further ones in Spark's notation."""
+    return StructType([*(StructField(field.name, field.dataType) for field in fields), *StructType.fromDDL(more).fields])
+
+
 #: What an operator's rows carry beside id and text, as one column.
 CARRIED = "carried by the row"
+#: Names that no operator uses inside; rows with others travel as one column.
+PLAIN = {"doc_id", "text", "lang", "source", "n_chars", "held_out"}
 
 
 def keeping_columns(output: list[str]) -> Callable:
@@ -99,29 +107,34 @@ def keeping_columns(output: list[str]) -> Callable:
 
     So no name of the input can meet one that the operator uses inside. Rows
     come back with the input's columns in their order, without those that have
-    one of the ``output`` names (in any case), and then the output.
+    one of the ``output`` names (in any case), and then the output. Tables that
+    have names of ``documents`` alone are handed on as they are.
     """
 
     def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         signature = inspect.signature(operator)
+        own_id = "id_column" in signature.parameters
 
         @functools.wraps(operator)
         def run(docs: DataFrame, *args, **options) -> DataFrame:
             bound = signature.bind(docs, *args, **options)
             bound.apply_defaults()
             names = bound.arguments
-            key, text = names["id_column"], names["text_column"]
+            asked = {"doc_id": names["id_column"], "text": names["text_column"]} if own_id else {"text": names["text_column"]}
             gone = {name.lower() for name in output}
-            if (key, text) == ("doc_id", "text") and all(name in (key, text) for name in docs.columns) and not gone & {key, text}:
+            if all(inside == given for inside, given in asked.items()) and set(docs.columns) <= PLAIN:
                 return operator(*bound.args, **bound.kwargs)
-            others = [name for name in docs.columns if name not in (key, text) and name.lower() not in gone]
-            columns = [F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")]
+            used = {given.lower() for given in asked.values()}
+            others = [name for name in docs.columns if name.lower() not in used | gone]
+            columns = [F.col(f"`{given}`").alias(inside) for inside, given in asked.items()]
             if others:
                 columns.append(F.struct(*(F.col(f"`{name}`") for name in others)).alias(CARRIED))
-            names |= {next(iter(signature.parameters)): docs.select(*columns), "id_column": "doc_id", "text_column": "text"}
+            names |= {next(iter(signature.parameters)): docs.select(*columns), "text_column": "text"}
+            if own_id:
+                names["id_column"] = "doc_id"
             found = operator(*bound.args, **bound.kwargs)
-            back = {key: F.col("doc_id"), text: F.col("text")} | {name: F.col(f"`{CARRIED}`")[name] for name in others}
-            own = [back[name].alias(name) for name in docs.columns if name in back and name.lower() not in gone]
+            back = {given.lower(): F.col(inside) for inside, given in asked.items()} | {name.lower(): F.col(f"`{CARRIED}`")[name] for name in others}
+            own = [back[name.lower()].alias(name) for name in docs.columns if name.lower() not in gone]
             return found.select(*own, *(F.col(name) for name in output))
 
         return run

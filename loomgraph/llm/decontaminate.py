@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ascii_lower, let, materialize, plain_columns, read_table
+from loomgraph.llm.common import ascii_lower, keeping_columns, let, materialize, plain_columns, read_table
 
 #: What lies between words once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,6 +119,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_column: str = "item_
     return runs.groupBy("v", "len", "run").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+@keeping_columns(OUTPUT)
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, materialize, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, keeping_columns, materialize, plain_columns, read_table, with_fields
 from loomgraph.llm.spans import mix
 from loomgraph.llm.tokens import text_groups
 
@@ -300,6 +300,7 @@ def fit_languages(rows: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageMode
     return models
 
 
+@keeping_columns(OUTPUT)
 def identify(docs: DataFrame, models: LanguageModels | None, text_column: str = "text") -> DataFrame:
     """Each row with lang_pred, score (0 to 1) and accepted.
 
@@ -321,8 +322,7 @@ def identify(docs: DataFrame, models: LanguageModels | None, text_column: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=[*batch.schema.names[1:], *OUTPUT])
 
     listed = docs.select(F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in listed.schema.fields[1:])
-    return listed.mapInArrow(run, f"{types}, lang_pred string, score double, accepted boolean")
+    return listed.mapInArrow(run, with_fields(listed.schema.fields[1:], "lang_pred string, score double, accepted boolean"))
 
 
 def id_remainder(id_column: str, parts: int) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bitmap import repeated_hashes
-from loomgraph.llm.common import bound_batches, materialize, plain_columns, plan_bytes, read_table
+from loomgraph.llm.common import bound_batches, keeping_columns, materialize, plain_columns, plan_bytes, read_table, with_fields
 from loomgraph.llm.runs import LAST, keyed, text_groups
 from loomgraph.llm.spans import mix, power_tables
 
@@ -161,6 +161,7 @@ def repeated_windows(docs: DataFrame, width: int, words: int | None, id_column:
     return later.groupBy("_kid", "_th", "_null").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
+@keeping_columns(OUTPUT)
 def remove_lines(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", words: int | None = WORDS) -> DataFrame:
     """Each row with n_lines (not blank), n_removed_lines and kept_text.
 
@@ -185,8 +186,7 @@ def remove_lines(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
 
     rows = docs.select(*keyed(docs, id_column, text_column), F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
     joined = rows.join(found, ["_kid", "_th", "_null"], "left").select("_text", "runs", *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[2:])
-    return joined.mapInArrow(apply, f"{types}, n_lines long, n_removed_lines long, kept_text string")
+    return joined.mapInArrow(apply, with_fields(joined.schema.fields[2:], "n_lines long, n_removed_lines long, kept_text string"))
 
 
 def op7_remove_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

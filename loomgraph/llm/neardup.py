@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bitmap import hash_counters, repeated_hashes
-from loomgraph.llm.common import bound_batches, discard, materialize, plain_columns, plan_bytes, read_table
+from loomgraph.llm.common import bound_batches, discard, keeping_columns, materialize, plain_columns, plan_bytes, read_table
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, mix
 
@@ -473,6 +473,7 @@ def _linked_in_rounds(apart: DataFrame, able: DataFrame, texts: DataFrame, links
     return links, apart
 
 
+@keeping_columns(OUTPUT)
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row with n_shingles, component_id (the least id of its group) and kept (it has that id).
 

@@ -327,10 +327,11 @@ def hard_negatives(
     rotation = principal_axes(second_moments(rows, width))
     row_block, anchor_block = (max(16, min(size, BLOCK_NUMBERS // width)) for size in (row_block, anchor_block))
     parts = max(1, -(-n // (4 * row_block)))
-    row_blocks = _blocks(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id"), row_block, width, "negatives-blocks")
+    by_label = lambda table, count: table.repartitionByRange(count, "label", "id").sortWithinPartitions("label", "id").coalesce(count)
+    row_blocks = _blocks(by_label(rows, parts), row_block, width, "negatives-blocks")
     asked = rows.filter(anchors)
     anchor_parts = max(1, -(-asked.count() // (4 * anchor_block)))
-    asked_blocks = _blocks(asked.repartitionByRange(anchor_parts, "label", "id").sortWithinPartitions("label", "id"), anchor_block, width, "negatives-anchors")
+    asked_blocks = _blocks(by_label(asked, anchor_parts), anchor_block, width, "negatives-anchors")
     slots = max(1, row_blocks.count())
 
     def grid(blocks: DataFrame, fits: Column, tag: str) -> tuple[DataFrame, int]:
@@ -360,7 +361,7 @@ def hard_negatives(
     near = near.withColumn("place", F.row_number().over(first("anchor"))).filter(F.col("place") <= positives)
     chosen = near.groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("positives"))
     told = asked.join(chosen, asked["id"] == chosen["anchor"]).drop("anchor")
-    told_blocks = _blocks(told.repartitionByRange(anchor_parts, "label", "id").sortWithinPartitions("label", "id"), anchor_block, width, "negatives-told", extra=True)
+    told_blocks = _blocks(by_label(told, anchor_parts), anchor_block, width, "negatives-told", extra=True)
 
     differ = (F.size("of_rows") > 1) | (F.size("of_anchors") > 1) | (F.col("of_rows")[0] != F.col("of_anchors")[0])
     others, other_count = grid(told_blocks, differ, "negatives-others")

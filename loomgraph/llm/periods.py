@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, keeping_columns, let, read_table
+from loomgraph.llm.common import bound_batches, keeping_columns, let, read_table, with_fields
 
 #: Words and periods of the shortest run.
 LEAST, REPEATS = 24, 3
@@ -194,7 +194,7 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if repeats < 3:
         raise ValueError("runs of fewer than three periods aren't looked for")
     bound_batches(docs.sparkSession)
-    kept = [name for name in docs.columns if name != text_column]
+    kept = [name for name in docs.columns if name not in (text_column, *OUTPUT)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +210,7 @@ def periodic_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *OUTPUT])
 
     rows = docs.select(text_column, *kept)
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields)
-    return rows.mapInArrow(find, f"{types}, n_runs long, start long, length long, period long, exponent_milli long, runs {RUN}, collapsed_text string")
+    return rows.mapInArrow(find, with_fields(rows.schema.fields, f"n_runs long, start long, length long, period long, exponent_milli long, runs {RUN}, collapsed_text string"))
 
 
 def _looped(text: Column, doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, labelled_ids, labelled_texts, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, keeping_columns, labelled_ids, labelled_texts, plain_columns, read_table, with_fields
 from loomgraph.llm.language import id_remainder
 from loomgraph.llm.spans import Words
 from loomgraph.llm.tokens import text_groups
@@ -185,6 +185,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     return labelled_texts(docs, chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), text_column)
 
 
+@keeping_columns(OUTPUT)
 def score_quality(docs: DataFrame, model: NeighbourVote | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Each row with score (0 to 1) and predicted (1 if score >= threshold).
 
@@ -204,8 +205,7 @@ def score_quality(docs: DataFrame, model: NeighbourVote | None, text_column: str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], *OUTPUT])
 
     listed = docs.select(F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in listed.schema.fields[1:])
-    return listed.mapInArrow(run, f"{types}, score double, predicted int")
+    return listed.mapInArrow(run, with_fields(listed.schema.fields[1:], "score double, predicted int"))
 
 
 def op6_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

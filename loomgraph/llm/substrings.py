@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import plain_columns, read_table
+from loomgraph.llm.common import keeping_columns, plain_columns, read_table, with_fields
 from loomgraph.llm.runs import Units, keyed, repeats
 from loomgraph.llm.spans import Words
 
@@ -37,6 +37,7 @@ def word_windows(pack: bytes, width: int) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+@keeping_columns(OUTPUT)
 def remove_substrings(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row with n_words, n_removed and kept_text (the kept words joined by one space).
 
@@ -70,8 +71,7 @@ def remove_substrings(docs: DataFrame, width: int = WIDTH, id_column: str = "doc
 
     rows = docs.select(*keyed(docs, id_column, text_column), F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
     joined = rows.join(found, ["_kid", "_th", "_null"], "left").select("_text", "runs", *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in joined.schema.fields[2:])
-    return joined.mapInArrow(apply, f"{types}, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(apply, with_fields(joined.schema.fields[2:], "n_words long, n_removed long, kept_text string"))
 
 
 def op8_remove_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, plain_columns, read_table, with_fields
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -181,7 +181,6 @@ def count_tokens(docs: DataFrame, text_column: str = "text", vocabulary: str = V
     kept = [name for name in docs.columns if name.lower() not in OUTPUT]
     at = kept.index(next(name for name in kept if name.lower() == text_column.lower()))
     schema = docs.select(*[F.col(f"`{name}`") for name in kept]).schema
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path)
@@ -192,7 +191,7 @@ def count_tokens(docs: DataFrame, text_column: str = "text", vocabulary: str = V
             arrays = [*batch.columns, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *OUTPUT])
 
-    return docs.select(*plain_columns(docs, OUTPUT)).mapInArrow(run, f"{types}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(*plain_columns(docs, OUTPUT)).mapInArrow(run, with_fields(schema.fields, "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bound_batches, labelled_ids, labelled_texts, plain_columns, read_table
+from loomgraph.llm.common import bound_batches, keeping_columns, labelled_ids, labelled_texts, plain_columns, read_table, with_fields
 
 CATEGORIES = ("marked", "dense", "toxic")
 #: Labelled rows of each value that the chain is learned from, in the order of a hash of their ids.
@@ -251,6 +251,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows_each: int = FIT_RO
     return pickle.loads(fitted[0]["chain"]) if fitted else None
 
 
+@keeping_columns(OUTPUT)
 def score_toxicity(docs: DataFrame, chain: ToxicityChain | None, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Each row with the probability of each category and toxic_pred (p_toxic >= threshold).
 
@@ -273,8 +274,7 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain | None, text_column: st
             own.forget()
 
     listed = docs.select(F.col(text_column).alias("_text"), *plain_columns(docs, OUTPUT))
-    types = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in listed.schema.fields[1:])
-    return listed.mapInArrow(run, ", ".join([types, *(f"p_{name} double" for name in CATEGORIES), "toxic_pred boolean"]))
+    return listed.mapInArrow(run, with_fields(listed.schema.fields[1:], ", ".join([*(f"p_{name} double" for name in CATEGORIES), "toxic_pred boolean"])))
 
 
 def op9_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

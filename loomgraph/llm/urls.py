@@ -136,7 +136,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_column: str = "url", def
     if ranges is None:
         ranges = max(8, min(MOST_RANGES, plan_bytes(pages) // RANGE_BYTES))
     verdicts = judged_places(cut.select("host", "path").distinct(), rules, ranges)
-    joined = cut.join(verdicts, ["host", "path"], "left")
+    joined = cut.join(verdicts.hint("merge"), ["host", "path"], "left")  # verdicts grow with the pages, so they are never broadcast
     kept = [F.col(free)[name].alias(name) for name in pages.columns if name.lower() not in OUTPUT]
     return joined.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, quality, substrings, tokens, toxicity
+from loomgraph.llm import decontaminate, language, lines, media, neardup, pack, periods, quality, substrings, tokens, toxicity
 from loomgraph.llm.bitmap import hash_counters, repeated_hashes
 from loomgraph.llm.graph import components
 from loomgraph.llm.spans import Words, grams, window_minima
@@ -40,6 +40,7 @@ def run_all(spark, frame):
     yield "language", language.identify(frame, language.fit_languages(frame.withColumn("lang", F.lit("en")).select("lang", "text")))
     yield "quality", quality.score_quality(frame, None)
     yield "toxicity", toxicity.score_toxicity(frame, None)
+    yield "periods", periods.periodic_runs(frame)
 
 
 def test_every_operator_takes_odd_rows_and_clashing_names(spark):
@@ -54,6 +55,50 @@ def test_every_operator_takes_odd_rows_and_clashing_names(spark):
             assert by_row.setdefault(key, row) == row, name
 
 
+#: Names that operators use inside.
+INSIDE = ["_text", "_n", "group_id", "_kid", "_th", "_null", "runs", "_id", "_hit", "_items", "_cls", "_own", "_n_words", "bucket", "blob", "w", "s", "v", "n", "cls", "nid", "at", "words", "label", "carried by the row"]
+
+
+def test_every_operator_takes_any_other_column(spark):
+    rows = [row for row in ODD if row[1] != LONG]
+    frame = spark.createDataFrame([(*row, *INSIDE) for row in rows], "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in INSIDE))
+    plain = dict(run_all(spark, frame.select("doc_id", "text")))
+    for name, out in run_all(spark, frame):
+        results = [c for c in plain[name].columns if c not in ("doc_id", "text")]
+        kept = [c for c in INSIDE if c.lower() not in results]
+        assert out.columns == ["doc_id", "text", *kept, *results], name
+        found = out.collect()
+        assert all(row[c] == c for row in found for c in kept), name
+        got = sorted(repr(tuple(row[c] for c in plain[name].columns)) for row in found)
+        assert got == sorted(repr(tuple(row)) for row in plain[name].collect()), name
+
+
+def test_every_operator_takes_columns_of_other_names(spark):
+    rows = [row for row in ODD if row[1] != LONG]
+    frame = spark.createDataFrame([(*row, "x") for row in rows], "_id long, runs string, text string")
+    items = spark.createDataFrame([(1, BASE), (2, "one"), (None, None)], "_hit long, _items string")
+    for out in (
+        decontaminate.decontaminate(frame, items, id_column="_id", text_column="runs", item_id_column="_hit", item_text_column="_items"),
+        *(operator(frame, id_column="_id", text_column="runs") for operator in (substrings.remove_substrings, lines.remove_lines, neardup.near_duplicates)),
+        quality.score_quality(frame, None, "runs"),
+        toxicity.score_toxicity(frame, None, text_column="runs"),
+        language.identify(frame, None, "runs"),
+        tokens.count_tokens(frame, "runs"),
+    ):
+        assert out.columns[:3] == ["_id", "runs", "text"]
+        assert sorted((row[0] is None, row[0] or 0, row[1] or "") for row in out.collect()) == sorted((key is None, key or 0, text or "") for key, text in rows)
+
+
+def test_media_and_packing_take_odd_rows(spark):
+    frame = docs(spark)
+    stored = media.media_features(media.store_media(frame, f"/tmp/checkpoints/loomgraph/test-{random.random()}")).collect()
+    expected = [media.to_payload(text)[1] for _, text in ODD]
+    assert sorted(row["n_bytes"] for row in stored) == sorted(expected) and len({row["payload_sha256"] for row in stored}) == len({media.to_payload(text)[0] for _, text in ODD})
+    packed = pack.pack_documents(frame).collect()
+    assert sum(row["length"] for row in packed if row["doc_id"] in (1, 2, 6)) == sum(row["doc_tokens"] for row in packed if row["doc_id"] in (1, 2, 6) and row["start"] == 0)
+    assert sum(row["start"] == 0 for row in packed) == len(ODD)
+
+
 def test_every_operator_takes_an_empty_table(spark):
     for name, out in run_all(spark, docs(spark, [])):
         assert out.count() == 0, name
