@@ -10,18 +10,25 @@ covers it also starts earlier: in a document of smaller id, or at an earlier
 line of its own document. Repeats of fewer lines than ``width`` and fewer words
 than ``words`` stay.
 
-Method. Of each window the least line hash is kept: a fingerprint, and each
-repeated run has one at every window's length, so none is missed. Positions of
-fingerprints are joined where fingerprints are equal and the lines agree to
-both sides as far as a window reaches (the number of lines and a hash of them,
-before and after). Of the positions that so match the earliest stays, the others
-are repeats; neighbouring windows put longer matches together. The earliest
-position is an aggregate that is written and joined back, so a line that a third
-of all documents hold is never one task's.
+Method. Each window selects the place of its least line hash, a fingerprint:
+equal windows select the same place, so each repeated run has one. Neighbouring
+windows mostly select one place, and a place travels once, with the line hashes
+to both sides as far as its windows reach. Places are joined, by fingerprint,
+with the earliest place of theirs, and the match is extended line by line to
+both sides: the windows inside it are repeats, and since all of them hold the
+place they are one run. A fingerprint's earliest place may have other lines
+around it than a later one; windows that a match leaves out look for the
+earliest place of their own lines, by their hash. Both kinds of earliest place
+are aggregates that are written and joined back, so a line that a third of all
+documents hold is never one task's.
 
 A first pass sends the windows' hashes alone and sets, in a bitmap of bounded
-size, a bit for each that occurs twice; the others stay at home. The bitmap
+size, a bit for each that occurs twice; the others select nothing. The bitmap
 holds no repeat back, so results don't depend on its size.
+
+Lines are compared by hashes of 64 bits. Two different ones of ``n`` distinct
+lines of a corpus share one with a probability of some n * n / 4e19, and matter
+only where the lines around them agree as well or where one line is a window.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bitmap import repeated_hashes
-from loomgraph.llm.common import bound_batches, keeping_columns, materialize, plain_columns, plan_bytes, read_table, with_fields
+from loomgraph.llm.common import bound_batches, discard, keeping_columns, materialize, plain_columns, plan_bytes, read_table, with_fields
 from loomgraph.llm.runs import LAST, keyed, text_groups
 from loomgraph.llm.spans import mix, power_tables
 
@@ -52,21 +59,15 @@ OUTPUT = ["n_lines", "n_removed_lines", "kept_text"]
 
 @dataclass
 class Windows:
-    """Windows of several documents: the document, first and last line, the fingerprint and what lies before and after it."""
+    """Windows of several documents by their number: first and last line, place of the least hash and the hash of all; the documents' lines end to end."""
 
-    doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    mark: np.ndarray
-    ahead: np.ndarray
-    behind: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    place: np.ndarray
     hash: np.ndarray
-
-    def columns(self, held: np.ndarray) -> list[pa.Array]:
-        numbers = [self.mark.view(np.int64), self.ahead, self.behind, self.left.view(np.int64), self.right.view(np.int64), self.first, self.last]
-        return [pa.array(c[held]) for c in numbers]
+    lines: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
 
 
 def first_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -111,10 +112,47 @@ def line_windows(texts: list[bytes], width: int, least: int | None) -> Windows:
     a, b = spans >> 32, spans & 0xFFFFFFFF
     up, down = power_tables(len(values) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
-    of = lambda i, j: mix((total[j] - total[i]) * down[i] + (j - i).astype(np.uint64))
-    p = first_minima(values, a, b)
-    start = begin[doc[a]] if len(a) else a
-    return Windows(doc[a], (a - start).astype(np.int32), (b - start).astype(np.int32), values[p], (p - a).astype(np.int32), (b - p).astype(np.int32), of(a, p), of(p + 1, b + 1), of(a, b + 1))
+    whole = mix((total[b + 1] - total[a]) * down[a] + (b + 1 - a).astype(np.uint64))
+    return Windows(a, b, first_minima(values, a, b), whole, values, doc, begin)
+
+
+def selected_places(windows: Windows, held: np.ndarray) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
+    """(document, place in it, fingerprint, line hashes to the left from the nearest one, to the right, windows) of each place that held windows select.
+
+    Windows are numbers of lines to the left and to the right of the place.
+    """
+    order = held[np.argsort(windows.place[held], kind="stable")]
+    if not len(order):
+        return
+    place = windows.place[order]
+    reach = np.stack((place - windows.first[order], windows.last[order] - place), axis=1).astype("<u4")
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
+    most = np.maximum.reduceat(reach, edges, axis=0).tolist()
+    ends = [*edges[1:].tolist(), len(order)]
+    lines = windows.lines
+    for (left, right), a, b, p in zip(most, edges.tolist(), ends, place[edges].tolist(), strict=True):
+        doc = int(windows.doc[p])
+        yield doc, p - int(windows.begin[doc]), int(lines[p]), lines[p - left : p][::-1].tobytes(), lines[p + 1 : p + 1 + right].tobytes(), reach[a:b].tobytes()
+
+
+def agreeing(one: bytes, two: bytes) -> int:
+    """How many line hashes two sides begin with alike."""
+    n = min(len(one), len(two))
+    if one[:n] == two[:n]:
+        return n // 8
+    return next(k for k in range(0, n, 8) if one[k : k + 8] != two[k : k + 8]) // 8
+
+
+def extended(mark: int, left: bytes, right: bytes, reach: bytes, other_left: bytes, other_right: bytes) -> tuple[tuple[int, int] | None, list[tuple[int, int, bytes]]]:
+    """The lines to both sides of a place that repeat another place's, as far as windows do, and the windows that don't, each with a hash."""
+    near, far = agreeing(left, other_left), agreeing(right, other_right)
+    run, rest = None, []
+    for x, y in np.frombuffer(reach, "<u4").reshape(-1, 2).tolist():
+        if x <= near and y <= far:
+            run = (max(x, run[0]), max(y, run[1])) if run else (x, y)
+        else:
+            rest.append((x, y, xxhash.xxh3_128_digest(b"%d,%d,%d," % (mark, x, y) + left[: 8 * x] + right[: 8 * y])))
+    return run, rest
 
 
 def kept_lines(text: str, runs: list | None) -> tuple[str, int, int]:
@@ -144,21 +182,45 @@ def repeated_windows(docs: DataFrame, width: int, words: int | None, id_column:
     shared = spark.sparkContext.broadcast(repeated_hashes(listed, hashes, plan_bytes(docs) // WINDOW_BYTES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mark", "ahead", "behind", "left", "right", "first", "last", "_kid", "_th", "_null"]
+        names = ["mark", "at", "left", "right", "reach", "_kid", "_th", "_null"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()]
         for texts, rows in text_groups(batches):
             found = line_windows(texts, width, words)
             held = np.flatnonzero(shared.value.holds(found.hash))
-            keys = [np.array(column, kind)[found.doc[held]] for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int32, bool), strict=True)]
-            yield pa.RecordBatch.from_arrays([*found.columns(held), *map(pa.array, keys)], names=names)
+            places = [(mark - (mark >> 63 << 64), at, left, right, reach, *rows[doc]) for doc, at, mark, left, right, reach in selected_places(found, held)]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*places, strict=True) if places else [()] * 8, kinds, strict=True)], names=names)
 
-    types = "mark long, ahead int, behind int, left long, right long, first int, last int, _kid long, _th int, _null boolean"
-    windows = materialize(listed.mapInArrow(spread, types), "line-windows")
+    places = materialize(listed.mapInArrow(spread, "mark long, at int, left binary, right binary, reach binary, _kid long, _th int, _null boolean"), "line-places")
     shared.destroy()
-    same = ["mark", "ahead", "behind", "left", "right"]
-    place = F.struct(F.when(F.col("_null"), F.lit(int(LAST))).otherwise(F.col("_kid")).alias("rank"), F.col("first").alias("at"))
-    firsts = windows.groupBy(*same).agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = windows.join(materialize(firsts, "line-firsts"), same).filter(place > F.col("earliest"))
-    return later.groupBy("_kid", "_th", "_null").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    rank = F.when(F.col("_null"), F.lit(int(LAST))).otherwise(F.col("_kid")).alias("rank")
+    firsts = places.groupBy("mark").agg(F.min(F.struct(rank, "at", "left", "right")).alias("early"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = materialize(firsts, "line-firsts")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_kid", "_th", "_null", "first", "last", "at", "window"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in batches:
+            out = []
+            for mark, at, left, right, reach, kid, th, null, own, early in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                same = (own, at) == (early["rank"], early["at"])
+                if same and (left, right) == (early["left"], early["right"]):
+                    continue  # the earliest place itself
+                run, rest = extended(mark, left, right, reach, *((b"", b"") if same else (early["left"], early["right"])))
+                if run and not same:
+                    out.append((kid, th, null, at - run[0], at + run[1], at, None))
+                out += [(kid, th, null, at - x, at + y, at, window) for x, y, window in rest]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
+
+    met = places.withColumn("rank", rank).join(firsts, "mark").select("mark", "at", "left", "right", "reach", "_kid", "_th", "_null", "rank", "early")
+    found = materialize(met.mapInArrow(extend, "_kid long, _th int, _null boolean, first int, last int, at int, window binary"), "line-runs")
+    place = F.struct(rank, "at")
+    open_ = found.filter("window IS NOT NULL")
+    earliest = open_.groupBy("window").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = open_.join(materialize(earliest, "line-windows"), "window").filter(place > F.col("earliest"))
+    columns = ["_kid", "_th", "_null", "first", "last"]
+    sure = found.filter("window IS NULL").select(columns).unionByName(later.select(columns))
+    discard(places, firsts)
+    return sure.groupBy("_kid", "_th", "_null").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 @keeping_columns(OUTPUT)
