@@ -78,28 +78,6 @@ def node_specificity(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.countDistinct("chunk_id").alias("passages")).withColumn("specificity", 1.0 / F.col("passages"))
 
 
-def mention_links(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """(chunk_id, entity_id, quote): names that occur in a chunk between word borders, with the first sentence that holds them.
-
-    Chunks meet the names' first and last words in equi-joins of ids and words
-    alone; a text is fetched for the pairs that are left, and only there is the
-    whole name searched for.
-    """
-    in_text = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    ends = in_text(F.col("name"))
-    named = entities.select("entity_id", F.lower("name").alias("name"), F.get(ends, F.lit(0)).alias("word"), F.element_at(ends, -1).alias("last")).filter(F.size(ends) > 0)
-    wanted = named.select(F.explode(F.array("word", "last")).alias("word")).distinct()
-    spread = chunks.select("chunk_id", F.explode(F.array_distinct(in_text(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
-    met = spread.join(named, "word")
-    both = met.filter(F.col("word") == F.col("last")).unionByName(met.filter(F.col("word") != F.col("last")).join(spread.withColumnRenamed("word", "last"), ["chunk_id", "last"]))
-    pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("name"), F.lit(r"\E(?![a-z0-9])"))
-    texts = chunks.select("chunk_id", "text", F.lower("text").alias("low"))
-    fits = (F.col("name") == F.col("word")) | (F.contains("low", "name") & F.regexp_like("low", pattern))
-    hit = texts.join(both.select("chunk_id", "entity_id", "name", "word"), "chunk_id").filter(fits)
-    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.contains(F.lower(x), F.col("name")))
-    return hit.select("chunk_id", "entity_id", F.left(F.coalesce(F.get(sentences, F.lit(0)), F.left("text", F.lit(200))), F.lit(500)).alias("quote"))
-
-
 def voted(samples: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Keys that more than half of n samples hold; a sample has one vote."""
     return samples.groupBy(*keys).agg(F.countDistinct("sample_id").alias("votes")).filter(F.col("votes") >= n // 2 + 1)

@@ -1,25 +1,19 @@
 """Vector, lexical and hybrid retrieval over tables of queries and chunks.
 
 A query table has query_id; every cut is per query, with an id as tie-break.
-Exact vector search scores all chunks in scope for every query: blocks of
-vectors against the broadcast queries, whose number is checked, with the best
-of a block kept before anything is shuffled.
+Exact vector search scores all chunks in scope for every query, block against
+block, with the best of a pair of blocks kept before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_tokens, overlap_count
-
-#: Queries that are broadcast as one matrix; more are worked off in such blocks.
-QUERY_BLOCK = 20_000
+from loomgraph.operators.blocks import Block, nearest, on_pairs, packed, paired, products
 
 HOP_SCORES = {0: 1.0, 1: 0.8, 2: 0.6}
 
@@ -35,50 +29,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     with ``same_scope`` both carry ``scope`` and must agree in it. Zero vectors
     score 0. Ties go to the lower id.
     """
-    columns = ["query_id", "embedding", *(["scope"] if same_scope else [])]
-    listed = queries.select(*columns).orderBy("query_id").toLocalIterator()
-    names = ["query_id", "vec_id", "score"]
-    parts: list[DataFrame] = []
-
-    def block_scores(block: list) -> DataFrame:
-        ids = np.array([row["query_id"] for row in block])
-        matrix = np.array([row["embedding"] for row in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        scopes = np.array([row["scope"] for row in block]) if same_scope else None
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, scopes))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, scopes = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    own = part.column(0).to_numpy()
-                    rows = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(own), -1)
-                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                    scores = np.round(matrix @ rows.T, 9)
-                    if scopes is not None:
-                        scores[scopes[:, None] != part.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                    if exclude_self:
-                        scores[ids[:, None] == own[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                    best = np.take_along_axis(scores, order, axis=1)
-                    q, c = np.nonzero(best >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[order[q, c]]), pa.array(best[q, c])], names=names)
-
-        wanted = ["vec_id", "embedding", *(["scope"] if same_scope else [])]
-        return vectors.select(*wanted).mapInArrow(run, "query_id long, vec_id long, score double")
-
-    block: list = []
-    for row in listed:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(block_scores(block))
-            block = []
-    if block or not parts:
-        parts.append(block_scores(block) if block else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    scope = "scope" if same_scope else None
+    pairs = paired(packed(vectors, "vec_id", "embedding", scope), packed(queries, "query_id", "embedding", scope))
+    scored = on_pairs(pairs, lambda rows, asked: nearest(rows, asked, k, threshold, exclude_self, same_scope), "query_id long, vec_id long, score double")
     return top_per_query(scored, k, F.desc("score"), F.col("vec_id"))
 
 
@@ -111,44 +64,16 @@ def close_links(vectors: DataFrame, threshold: float) -> DataFrame:
     the pairs. A link needn't be a close pair itself, but joins two that close
     pairs connect.
     """
-    listed = vectors.select("vec_id", "embedding", "scope").orderBy("vec_id").toLocalIterator()
-    parts: list[DataFrame] = []
-
-    def block_links(block: list) -> DataFrame:
-        matrix = np.array([row["embedding"] for row in block], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([row["vec_id"] for row in block]), matrix, np.array([row["scope"] for row in block], dtype=object)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, scopes = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    own = part.column(0).to_numpy()
-                    rows = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(own), -1)
-                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                    own_scopes = np.array(part.column(2).to_pylist(), dtype=object)
-                    for scope in set(own_scopes.tolist()) - {None}:
-                        mine, theirs = np.flatnonzero(own_scopes == scope), np.flatnonzero(scopes == scope)
-                        for first in range(0, len(theirs), 4096):
-                            some = theirs[first : first + 4096]
-                            src, dst = _forest(np.round(matrix[some] @ rows[mine].T, 9) >= threshold, ids[some], own[mine])
-                            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-        return vectors.select("vec_id", "embedding", "scope").mapInArrow(run, "src long, dst long")
-
-    block: list = []
-    for row in listed:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(block_links(block))
-            block = []
-    if block:
-        parts.append(block_links(block))
-    links = vectors.sparkSession.createDataFrame([], "src long, dst long")
-    for part in parts:
-        links = links.unionByName(part)
-    return links
+    blocks = packed(vectors.filter(F.col("scope").isNotNull()), "vec_id", "embedding", "scope")
+
+    def links(left: Block, right: Block) -> list:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for scope in set(left.scopes.tolist()) & set(right.scopes.tolist()):
+            mine, theirs = np.flatnonzero(left.scopes == scope), np.flatnonzero(right.scopes == scope)
+            found.append(_forest(np.round(left.vectors[mine] @ right.vectors[theirs].T, 9) >= threshold, left.ids[mine], right.ids[theirs]))
+        return [np.concatenate(side) if found else [] for side in (zip(*found, strict=True) if found else ((), ()))]
+
+    return on_pairs(paired(blocks, blocks), links, "src long, dst long")
 
 
 def term_hits(terms: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -179,25 +104,59 @@ def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int =
     return top_per_query(matched.withColumn("score", F.col("matched") / F.col("n")), k, F.desc("score"), F.col("chunk_id"))
 
 
+#: Characters by which names and questions meet.
+NAME_GRAM = 4
+
+
+def _held(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(needle, hay): the needles that stand anywhere in the texts ``hay``; both distinct, blank needles in none.
+
+    Texts are cut into all their runs of NAME_GRAM characters (and of as many as
+    shorter needles have), and needles meet those that begin as they do.
+    """
+    wanted = needles.filter(F.length("needle") > 0).withColumn("gram", F.left("needle", F.lit(NAME_GRAM)))
+    sizes = sorted(row[0] for row in wanted.select(F.length("gram")).distinct().collect())  # NAME_GRAM numbers at most
+    runs_of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - size + 1)), lambda i: F.col("hay").substr(i, F.lit(size)))
+    grams = F.array_distinct(F.concat(*map(runs_of, sizes))) if sizes else F.array().cast("array<string>")
+    return hay.select("hay", F.explode(grams).alias("gram")).join(wanted, "gram").filter(F.contains("hay", "needle")).select("needle", "hay").distinct()
+
+
 def symbolic_lookup(queries: DataFrame, entities: DataFrame, k: int = 40) -> DataFrame:
     """Entities whose name is in the question, holds the question, or has two of its content tokens in it.
 
-    All are conditions on substrings, so every name is held against every
-    question; questions are a bounded set and are broadcast up to QUERY_BLOCK.
     Entities may carry source_title (four characters or more) and the arrays
     all_names and synonyms: an entity also matches if one of these is in the
     question or holds it. Order: name in question, question in name, token
     overlap, title, longer name, id. Names below four characters never match.
+
+    Names and questions meet where the one begins as a run of four characters of
+    the other does, so no name is held against every question. Of a question's
+    tokens the one that most names hold isn't looked for: who has two has
+    another. Blank questions match nothing.
     """
     asked = queries.select("query_id", F.lower(F.trim("question")).alias("q"), content_tokens(F.col("question")).alias("tokens"))
-    few = asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    either = lambda text: F.contains(F.col("q"), text) | F.contains(text, F.col("q"))
     title = F.lower("source_title") if "source_title" in entities.columns else F.lit(None).cast("string")
     others = [F.coalesce(F.transform(name, F.lower), F.array().cast("array<string>")) for name in ("all_names", "synonyms") if name in entities.columns]
     others = F.concat(*others) if others else F.array().cast("array<string>")
     named = entities.select("entity_id", F.lower("name").alias("name"), title.alias("title"), others.alias("others")).filter(F.length("name") >= 4)
-    met = named.crossJoin(F.broadcast(asked) if few else asked)
-    scored = met.select(
+
+    texts = asked.select(F.col("q").alias("hay")).distinct()
+    labels = named.select("entity_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("name", F.when(F.length("title") >= 4, F.col("title"))), "others"), lambda n: n.isNotNull()))).alias("label"))
+    distinct = labels.select("label").distinct()
+    within = _held(distinct.select(F.col("label").alias("needle")), texts).select(F.col("needle").alias("label"), F.col("hay").alias("q"))
+    around = _held(texts.select(F.col("hay").alias("needle")), distinct.select(F.col("label").alias("hay"))).select(F.col("hay").alias("label"), F.col("needle").alias("q"))
+    pairs = within.unionByName(around).distinct()
+    met = pairs.join(labels, "label").join(asked.select("query_id", "q"), "q").select("query_id", "entity_id")
+
+    tokens = asked.select("query_id", F.explode("tokens").alias("token"))
+    holds = _held(tokens.select(F.col("token").alias("needle")).distinct(), named.select(F.col("name").alias("hay")).distinct()).select(F.col("needle").alias("token"), F.col("hay").alias("name"))
+    often = holds.groupBy("token").agg(F.count(F.lit(1)).alias("names"))
+    ranked = tokens.join(often, "token").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("names"), "token")))
+    rarer = ranked.filter("r > 1").select("query_id", "token").join(holds, "token").join(named.select("entity_id", "name"), "name").select("query_id", "entity_id")
+
+    either = lambda text: F.contains(F.col("q"), text) | F.contains(text, F.col("q"))
+    both = met.unionByName(rarer).distinct().join(asked, "query_id").join(named, "entity_id")
+    scored = both.select(
         "query_id", "entity_id", "name",
         F.contains(F.col("q"), F.col("name")).cast("int").alias("in_question"),
         F.contains(F.col("name"), F.col("q")).cast("int").alias("holds_question"),
@@ -254,20 +213,30 @@ def max_sim(query_tokens: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
 
     Chunk tokens are (chunk_id, c_vec), of a shortlist if they carry query_id;
     query tokens are (query_id, q_token, q_vec). Without a shortlist every chunk
-    is met with every query token: these are broadcast up to QUERY_BLOCK of them,
-    and shuffled in blocks beyond.
+    meets every query token, block against block; for a search that doesn't, see
+    :mod:`loomgraph.operators.late`.
     """
     from loomgraph.functions.vectors import dot
 
     if "query_id" in chunk_tokens.columns:
         pairs = chunk_tokens.join(query_tokens, "query_id")
+        best = pairs.groupBy("query_id", "chunk_id", "q_token").agg(F.max(dot(F.col("q_vec"), F.col("c_vec"))).alias("best"))
     else:
-        few = query_tokens.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-        pairs = chunk_tokens.join(F.broadcast(query_tokens) if few else query_tokens)
-    best = pairs.groupBy("query_id", "chunk_id", "q_token").agg(F.max(dot(F.col("q_vec"), F.col("c_vec"))).alias("best"))
+        tokens = query_tokens.withColumn("scope", F.concat_ws(":", "query_id", "q_token"))
+        blocks = paired(packed(chunk_tokens, "chunk_id", "c_vec", normalised=False), packed(tokens, "query_id", "q_vec", "scope", normalised=False))
+        best = on_pairs(blocks, best_of_chunks, "query_id long, q_token long, chunk_id long, best double").groupBy("query_id", "chunk_id", "q_token").agg(F.max("best").alias("best"))
     return best.groupBy("query_id", "chunk_id").agg(F.avg("best").alias("score"))
 
 
+def best_of_chunks(chunks: Block, tokens: Block) -> list:
+    """(query_id, q_token, chunk_id, best): each query token's greatest product with the tokens of each chunk of a block."""
+    order = np.argsort(chunks.ids, kind="stable")
+    own, first = np.unique(chunks.ids[order], return_index=True)
+    best = np.maximum.reduceat(products(tokens, chunks)[:, order], first, axis=1)
+    names = np.array([int(scope.split(":")[1]) for scope in tokens.scopes], np.int64)
+    return [np.repeat(tokens.ids, len(own)), np.repeat(names, len(own)), np.tile(own, len(tokens.ids)), best.ravel()]
+
+
 def gumbel_top_k(ranked: DataFrame, k: int, temperature: float = 0.0, factor: int = 3, most: int = 200, seed: int = 42) -> DataFrame:
     """k of the best min(k * factor, most) chunks: by rank at temperature 0, else by score plus Gumbel noise; rank order is kept.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import build, chunking, graph, uncertainty
+from loomgraph.operators import build, chunking, graph, spans, uncertainty
 from loomgraph.operators.stats import W
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans.graphs import TRAIL_EDGES, seed_edges
@@ -66,7 +66,7 @@ def mention_linking(spark, sf_dir):
     pairs = F.zip_with(F.col("ws"), F.slice("ws", 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
     names = read_table(spark, sf_dir, "benchmark").select(words.alias("ws")).select(F.explode(F.concat("ws", F.filter(pairs, lambda p: p.isNotNull()))).alias("name")).distinct()
     chunks = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return build.mention_links(chunks, names.select(F.col("name").alias("entity_id"), "name"))
+    return spans.mention_links(chunks, names.select(F.col("name").alias("entity_id"), "name"))
 
 
 @query("self_consistency", f"""WITH {fx.SUPPLY_EDGES} SELECT src, dst, CAST(count(DISTINCT position % 5) AS BIGINT) AS votes FROM supply_edges GROUP BY src, dst HAVING count(DISTINCT position % 5) >= 3""")
