@@ -29,8 +29,8 @@ from loomgraph.llm.common import ascii_lower, keeping_columns, let, materialize,
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 
-#: Benchmark windows up to which they are broadcast (about 100 bytes each); beyond, the joins shuffle.
-BROADCAST_WINDOWS = 400_000
+#: Bytes of benchmark windows, and of their items, up to which they are broadcast; beyond, the joins shuffle.
+BROADCAST_BYTES = 48 << 20
 
 OUTPUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
@@ -104,10 +104,10 @@ def _short_spans(word_list: Column, length: int) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Distinct windows of the benchmark: (v, len, run, items).
+    """Distinct windows of the benchmark's items: (v, len, run, item).
 
-    ``run`` is the words joined by a space, ``v`` its fingerprint and ``items``
-    the ids, as strings, of all items that hold it. Items of equal id count as
+    ``run`` is the words joined by a space, ``v`` its fingerprint and ``item``
+    the id, as a string, of an item that holds it. Items of equal id count as
     one; a null id counts as the id ``null``.
     """
     listed = items.select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("item"), words(F.col(text_column)).alias("w")).filter(F.size("w") > 0)
@@ -115,8 +115,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_column: str = "item_
         F.array(F.struct(F.xxhash64("w").alias("v"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.size("w").alias("len")))
     )
     spread = listed.select("item", "w", F.explode(spans).alias("s")).select("item", "w", "s.v", "s.len", F.explode(F.sequence("s.first", "s.last")).alias("at"))
-    runs = spread.select("item", "v", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("run"))
-    return runs.groupBy("v", "len", "run").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spread.select("v", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("run"), "item").distinct()
 
 
 @keeping_columns(OUTPUT)
@@ -128,7 +127,7 @@ def decontaminate(
     text_column: str = "text",
     item_id_column: str = "item_id",
     item_text_column: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Each document's row with n_words, n_hit, n_items, items_sha256 and contaminated.
 
@@ -136,8 +135,11 @@ def decontaminate(
     ids as well; an empty benchmark hits nothing. Columns of the input that
     have one of the names of the results are replaced by them.
     """
-    windows = materialize(item_windows(items, window, item_id_column, item_text_column), "bench-windows")
-    small = windows.count() <= broadcast_windows
+    held = materialize(item_windows(items, window, item_id_column, item_text_column), "bench-items")
+    windows = materialize(held.select("v", "len", "run").distinct().withColumn("wid", F.monotonically_increasing_id()), "bench-windows")
+    owners = held.join(windows, ["v", "len", "run"]).select("wid", "item")
+    size = lambda table, text: table.agg(F.sum(F.octet_length(text) + 48)).first()[0] or 0
+    small = size(held, "run") <= broadcast_bytes
     fit = F.broadcast if small else (lambda table: table)
     lengths = sorted(row[0] for row in windows.filter(F.col("len") < window).select("len").distinct().collect())  # below ``window`` values
 
@@ -148,11 +150,13 @@ def decontaminate(
     hits = spans.join(fit(windows.select("v", "len").distinct()), ["v", "len"], "left_semi")
     runs = hits.select("_id", "_th", "v", "len", "first", "span", F.explode(_positions(F.size("span") - F.col("len"))).alias("step"))
     runs = runs.select("_id", "_th", "v", "len", (F.col("first") + F.col("step")).alias("at"), F.array_join(F.slice("span", F.col("step") + 1, F.col("len")), " ").alias("run"))
-    sure = runs.join(fit(windows), ["v", "len", "run"]).select("_id", "_th", "at", (F.col("at") + F.col("len")).alias("end"), "items")
+    sure = runs.join(fit(windows), ["v", "len", "run"]).select("_id", "_th", "at", (F.col("at") + F.col("len")).alias("end"), "wid")
 
     before = W.partitionBy("_id", "_th").orderBy("at", "end").rowsBetween(W.unboundedPreceding, -1)
     covered = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(before), F.lit(0))))
-    per_doc = sure.withColumn("new", covered).groupBy("_id", "_th").agg(F.sum("new").alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
+    per_doc = sure.withColumn("new", covered).groupBy("_id", "_th").agg(F.sum("new").alias("_hit"), F.collect_set("wid").alias("_wids"))
+    named = per_doc.select("_id", "_th", "_hit", F.explode("_wids").alias("wid")).join(fit(owners), "wid")
+    per_doc = named.groupBy("_id", "_th").agg(F.max("_hit").alias("_hit"), F.array_sort(F.collect_set("item")).alias("_items"))
 
     left = docs.withColumn("_n_words", F.size(words(F.col(text_column)))).withColumn("_own", F.xxhash64(F.col(text_column)))
     joined = left.join(per_doc, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left")
