@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Bits as powers of two: about five for each hash expected, and 2 ** 30 (128 MB) at most.
 LEAST_POWER, MOST_POWER = 20, 30
+#: Bits for frequent hashes: 2 MB at most.
+MOST_FREQUENT_POWER = 24
 #: Hashes that a slice of the hash space is made for, and the most slices.
 SLICE_HASHES, MOST_SLICES = 50_000, 1 << 16
 
@@ -21,6 +23,7 @@ class Bitmap:
 
     power: int
     bits: np.ndarray
+    frequent: Bitmap | None = None
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes >> np.uint64(64 - self.power)).astype(np.int64)
@@ -68,37 +71,46 @@ def hash_slices(hashes: np.ndarray, power: int) -> Iterator[tuple[int, bytes]]:
             yield int(part[a]), rest[a:b].tobytes()
 
 
-def slice_bits(blobs: list[bytes], power: int) -> bytes:
-    """The bits, ``2 ** power`` of them, of what occurs more than once in a slice."""
+def slice_bits(blobs: list[bytes], power: int, least: int = 2) -> bytes:
+    """The bits, ``2 ** power`` of them, of what occurs ``least`` times or more in a slice."""
     values = np.sort(np.concatenate([np.frombuffer(blob, "<u4") for blob in blobs]))
-    twice = np.unique(values[1:][values[1:] == values[:-1]]) >> np.uint32(32 - power)
+    often = np.unique(values[least - 1 :][values[least - 1 :] == values[: len(values) - least + 1]]) >> np.uint32(32 - power)
     bits = np.zeros(1 << power, np.uint8)
-    bits[twice] = 1
+    bits[often] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def repeated_hashes(table: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Bitmap:
+def repeated_hashes(table: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, frequent: int | None = None) -> Bitmap:
     """The bitmap of hashes that occur more than once, from scrambled hashes of a table's batches.
 
     Four bytes of each distinct hash of a group travel; the driver gets the
     bits alone. Slices of the hash space are counted apart, in memory that
-    follows ``expected`` hashes over the number of slices.
+    follows ``expected`` hashes over the number of slices. With ``frequent``, the
+    bitmap's own ``frequent`` one has the hashes that so many travel of.
     """
     power = min(MOST_POWER, max(LEAST_POWER, (5 * expected).bit_length()))
     slices = max(6, (min(MOST_SLICES, expected // SLICE_HASHES + 1) - 1).bit_length())
+    often = min(power, max(MOST_FREQUENT_POWER, slices + 3))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from named_batches((pair for own in hashes(batches) for pair in hash_slices(own, slices)), "slice")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from named_batches(((key, slice_bits(blobs, power - slices)) for key, blobs in blobs_by_key(batches)), "slice")
+        def pairs() -> Iterator[tuple[int, bytes]]:
+            for key, blobs in blobs_by_key(batches):
+                yield key, slice_bits(blobs, power - slices)
+                if frequent and sum(map(len, blobs)) >= 4 * frequent:
+                    yield key + (1 << slices), slice_bits(blobs, often - slices, frequent)
+
+        yield from named_batches(pairs(), "slice")
 
     sent = table.mapInArrow(spread, "slice long, blob binary").repartition("slice").sortWithinPartitions("slice")
-    bits = np.zeros(1 << power - 3, np.uint8)
-    each = 1 << power - slices - 3
+    found = Bitmap(power, np.zeros(1 << power - 3, np.uint8), Bitmap(often, np.zeros(1 << often - 3, np.uint8)) if frequent else None)
     for row in sent.mapInArrow(reduce, "slice long, blob binary").collect():
-        bits[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(row["blob"], np.uint8)
-    return Bitmap(power, bits)
+        own = found.frequent if row["slice"] >> slices else found
+        each, at = 1 << own.power - slices - 3, row["slice"] & ((1 << slices) - 1)
+        own.bits[at * each : (at + 1) * each] = np.frombuffer(row["blob"], np.uint8)
+    return found
 
 
 #: Counters as powers of two, at most (32 MB), and the slices that they are summed in.

@@ -17,6 +17,11 @@ bit for each that occurs twice; runs without their bit stay at home. The bitmap
 lets some others through, but holds no repeat back, so results don't depend on
 its size.
 
+A minimiser that is common in many different contexts would bring all of them to
+one bucket. The first pass finds those that more than ``FREQUENT`` groups'
+worth of runs have; their runs travel window by window, each to the bucket of
+its own words' hash, so a bucket's load doesn't follow a minimiser's.
+
 A bucket is worked on alone and dropped: memory follows the size of a bucket,
 and the number of buckets follows the input.
 """
@@ -44,6 +49,9 @@ GROUP_CHARACTERS = 2_000_000
 #: Packed blobs below this size are not compressed.
 PLAIN_BYTES = 256
 
+#: Runs, two for each group of documents at most, from which a minimiser's windows travel apart.
+FREQUENT = 400
+
 #: Input bytes for each run of words.
 RUN_BYTES = 21
 
@@ -92,6 +100,12 @@ def _blobs(units: Units, kid: np.ndarray, th: np.ndarray, null: np.ndarray, widt
     hashes = mix(minimiser)
     held = shared.holds(hashes)
     first, last, minimiser, hashes = first[held], last[held], minimiser[held], hashes[held]
+    if shared.frequent is not None and (apart := shared.frequent.holds(hashes)).any():
+        count = (last - first + 1)[apart]
+        each = np.repeat(first[apart], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        own = mix(grams(units.hash, width)[each])
+        first, last, minimiser = np.concatenate((first[~apart], each)), np.concatenate((last[~apart], each)), np.concatenate((minimiser[~apart], own))
+        hashes = np.concatenate((hashes[~apart], mix(own)))
     if not len(first):
         return
     bucket = hashes % np.uint64(buckets)
@@ -237,7 +251,7 @@ def shared_minimisers(listed: DataFrame, units_of: Callable[[list[bytes]], Units
         for texts, _ in text_groups(batches):
             yield mix(_runs(units_of(texts), width, k)[2])
 
-    return repeated_hashes(listed, hashes, size // RUN_BYTES)
+    return repeated_hashes(listed, hashes, size // RUN_BYTES, FREQUENT)
 
 
 def repeats(

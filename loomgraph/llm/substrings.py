@@ -41,7 +41,7 @@ def word_windows(pack: bytes, width: int) -> list[bytes]:
 def remove_substrings(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row with n_words, n_removed and kept_text (the kept words joined by one space).
 
-    Null text has no words. A null id counts as greater than every other, so
+    Null text has no words. Ids are whole numbers, or texts of them. A null id counts as greater than every other, so
     such a row keeps what no identified document has, and two such rows leave
     each other alone, as do rows of one id. Input columns with the results'
     names are replaced.

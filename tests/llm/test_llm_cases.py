@@ -55,6 +55,32 @@ def test_every_operator_takes_odd_rows_and_clashing_names(spark):
             assert by_row.setdefault(key, row) == row, name
 
 
+def test_frequent_minimisers_change_no_result(spark, monkeypatch):
+    from loomgraph.llm import runs
+
+    shared = words(20)
+    rows = [(k, " ".join([words(RNG.randrange(5, 30)), *shared.split()[k % 7 :], "w1 " * RNG.randrange(0, 40), words(10)])) for k in range(60)]
+    frame = docs(spark, rows).repartition(8)
+    found = []
+    for frequent in (None, 1, 2):
+        monkeypatch.setattr(runs, "FREQUENT", frequent)
+        found.append(sorted(tuple(row) for row in substrings.remove_substrings(frame).select("doc_id", "n_removed", "kept_text").collect()))
+    assert found[0] == found[1] == found[2] and sum(row[1] for row in found[0]) > 100
+
+
+def test_frequent_hashes_are_found(spark):
+    values = np.concatenate((np.arange(1, 2000, dtype=np.uint64) << np.uint64(40), np.full(3, 5, np.uint64) << np.uint64(50)))
+    table = spark.range(0, 12, 1, 12)
+
+    def hashes(batches):
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                yield values if key < 6 else values[-3:]
+
+    found = repeated_hashes(table, hashes, 10_000, frequent=14)
+    assert found.holds(values).all() and found.frequent.holds(values[-3:]).all() and found.frequent.holds(values[:-3]).mean() < 0.05
+
+
 #: Names that operators use inside.
 INSIDE = ["_text", "_n", "group_id", "_kid", "_th", "_null", "runs", "_id", "_hit", "_items", "_cls", "_own", "_n_words", "bucket", "blob", "w", "s", "v", "n", "cls", "nid", "at", "words", "label", "carried by the row"]
 
