@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
-#: Used only where the session names no folder, as in tests.
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no folder and its master is local, as in tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/loomgraph"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session, and a local one for local masters alone."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return LOCAL_CHECKPOINT_DIR
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """A table written to the shared folder and read again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir: survives lost executors, unlike a local one."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR)
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
