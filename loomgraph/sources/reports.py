@@ -14,7 +14,6 @@ REPORT_FIELDS = [
 ]
 REPORT_WORDS = ["history", "hospital", "medication", "diagnosis", "complaint"]
 LEAST_COLUMNS, LEAST_LENGTH, LEAST_WORDS, MOST_ERRORS = 25, 100, 3, 2
-SAMPLE_ROWS = 5
 
 
 def delimited(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
@@ -44,11 +43,11 @@ def field_mapping(names: list[str], fields: list[str] | None = None) -> dict[str
 def check_reports(spark: SparkSession, path: str, delimiter: str = "|") -> dict:
     """Whether a file looks like one of medical reports: enough columns, long last ones, telling names; more than two faults make it invalid.
 
-    The lengths are those of the first few rows.
+    The length is the mean of all rows.
     """
     rows = delimited(spark, path, delimiter)
     names = rows.columns
-    sample = rows.limit(SAMPLE_ROWS).agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(F.coalesce(F.col(f"`{names[-1]}`"), F.lit("nan")))).alias("length")).first()
+    sample = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length(F.coalesce(F.col(f"`{names[-1]}`"), F.lit("nan")))).alias("length")).first()
     if not sample["n"]:
         return {"is_valid": False, "error": "no rows", "delimiter": delimiter}
     faults = {

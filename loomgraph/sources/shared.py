@@ -20,9 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINT_DIR
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """A table written to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
