@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.functions.fuzzy import match_ratio
+from loomgraph.operators.alike import similar_names
 
 #: Rows up to which an ontology table is broadcast.
 SMALL = 50_000
@@ -34,10 +34,10 @@ def match_types(names: DataFrame, types: DataFrame, least: float = 0.80) -> Data
     """(raw, type_id, score): each distinct raw name's type, by equal id or label, else the most alike from ``least`` up; null if none."""
     raw = names.select("raw").distinct().withColumn("key", identifier(F.col("raw"))).filter("key <> ''")
     forms = types.select(F.col("id").alias("type_id"), F.explode(F.array_distinct(F.array(identifier(F.col("id")), identifier(F.col("label"))))).alias("form")).filter("form <> ''")
-    scored = raw.join(_small(forms)).withColumn("score", F.when(F.col("key") == F.col("form"), 2.0).otherwise(match_ratio("key", "form")))  # an ontology against spellings
-    best = scored.groupBy("raw").agg(F.max(F.struct("score", F.struct((-F.ascii("type_id")).alias("a"), "type_id"))).alias("b"))
-    fine = F.col("b.score") >= least
-    return best.select("raw", F.when(fine, F.col("b.col2.type_id")).alias("type_id"), F.when(fine, F.least(F.col("b.score"), F.lit(1.0))).alias("score"))
+    alike = similar_names(raw.select(F.col("key").alias("name")), forms.select(F.col("form").alias("name")), least).select(F.col("a").alias("key"), F.col("b").alias("form"), F.when(F.col("a") == F.col("b"), 2.0).otherwise(F.col("ratio")).alias("score"))
+    met = alike.join(forms, "form").groupBy("key").agg(F.max(F.struct("score", F.struct((-F.ascii("type_id")).alias("a"), "type_id"))).alias("b"))
+    best = raw.join(met, "key", "left")
+    return best.select("raw", F.col("b.col2.type_id").alias("type_id"), F.when(F.col("b.score").isNotNull(), F.least(F.col("b.score"), F.lit(1.0))).alias("score"))
 
 
 def coerce_types(entities: DataFrame, types: DataFrame, least: float = 0.80) -> DataFrame:
@@ -68,8 +68,10 @@ def canonical_relations(edges: DataFrame, relations: DataFrame, least: float = 0
     asked = edges.select("rel_type", "source_type", "target_type").distinct()
     forms = relations.select(F.col("id").alias("relation"), "domain", "range", F.explode(F.array_distinct(F.array(identifier(F.col("id")), identifier(F.col("label"))))).alias("form"))
     fits = (F.col("domain").isNull() | (F.lower("domain") == F.lower("source_type"))) & (F.col("range").isNull() | (F.lower("range") == F.lower("target_type")))
-    scored = asked.withColumn("key", identifier(F.col("rel_type"))).join(_small(forms)).withColumn("fits", F.coalesce(fits, F.lit(False)))
-    alike = match_ratio("key", "form") + F.when(F.col("fits"), boost).otherwise(0.0)
+    keyed = asked.withColumn("key", identifier(F.col("rel_type")))
+    near = similar_names(keyed.select(F.col("key").alias("name")), forms.select(F.col("form").alias("name")), least - boost).select(F.col("a").alias("key"), F.col("b").alias("form"), "ratio")
+    scored = keyed.join(near, "key", "left").join(forms, "form", "left").withColumn("fits", F.coalesce(fits & F.col("relation").isNotNull(), F.lit(False)))
+    alike = F.coalesce("ratio", F.lit(0.0)) + F.when(F.col("fits"), boost).otherwise(0.0)
     score = F.when((F.col("key") == F.col("form")) & F.col("fits"), 9.0).when(F.col("key") == F.col("form"), 8.0).otherwise(alike)
     order = W.partitionBy("rel_type", "source_type", "target_type").orderBy(F.desc("score"), "relation")
     best = scored.withColumn("score", score).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
