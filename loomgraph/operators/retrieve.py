@@ -7,6 +7,8 @@ block, with the best of a pair of blocks kept before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,21 +58,41 @@ def _forest(close: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np
     return np.concatenate(src), np.concatenate(dst)
 
 
-def close_links(vectors: DataFrame, threshold: float) -> DataFrame:
+def close_links(vectors: DataFrame, threshold: float, agree: Callable[[str, str], bool] | None = None) -> DataFrame:
     """(src, dst): links that join vectors (vec_id, embedding, scope) of one scope into the components of all pairs with a cosine from ``threshold`` up.
 
-    Every pair is scored, block against block; of the pairs of two blocks only
-    a spanning forest is handed on, so links grow with the vectors, not with
-    the pairs. A link needn't be a close pair itself, but joins two that close
-    pairs connect.
+    With ``agree``, vectors carry ``key`` as well, and the keys of a pair must
+    agree; it is asked once for each two different keys of a pair of blocks that
+    any close pair has. Every pair is scored, block against block; of the pairs
+    of two blocks only a spanning forest is handed on, so links grow with the
+    vectors, not with the pairs. A link needn't be a close pair itself, but joins
+    two that close pairs connect.
     """
-    blocks = packed(vectors.filter(F.col("scope").isNotNull()), "vec_id", "embedding", "scope")
+    scope = F.col("scope").cast("string")
+    told = F.concat_ws("\x00", scope, F.coalesce("key", F.lit(""))) if agree else scope
+    blocks = packed(vectors.filter(F.col("scope").isNotNull()).select("vec_id", "embedding", told.alias("scope")), "vec_id", "embedding", "scope")
+
+    def allowed(close: np.ndarray, down: list[str], across: list[str]) -> np.ndarray:
+        """The close pairs whose keys agree."""
+        rows, at_row = np.unique(down, return_inverse=True)
+        columns, at_column = np.unique(across, return_inverse=True)
+        asked = np.zeros((len(rows), len(columns)), bool)
+        i, j = np.nonzero(close)
+        asked[at_row[i], at_column[j]] = True
+        for x, y in zip(*np.nonzero(asked), strict=True):
+            asked[x, y] = agree(str(rows[x]), str(columns[y]))
+        return close & asked[at_row[:, None], at_column[None, :]]
 
     def links(left: Block, right: Block) -> list:
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for scope in set(left.scopes.tolist()) & set(right.scopes.tolist()):
-            mine, theirs = np.flatnonzero(left.scopes == scope), np.flatnonzero(right.scopes == scope)
-            found.append(_forest(np.round(left.vectors[mine] @ right.vectors[theirs].T, 9) >= threshold, left.ids[mine], right.ids[theirs]))
+        sides = [[text.split("\x00", 1) for text in block.scopes.tolist()] for block in (left, right)]
+        scopes = [np.array([parts[0] for parts in side], object) for side in sides]
+        for scope in set(scopes[0].tolist()) & set(scopes[1].tolist()):
+            mine, theirs = np.flatnonzero(scopes[0] == scope), np.flatnonzero(scopes[1] == scope)
+            close = np.round(left.vectors[mine] @ right.vectors[theirs].T, 9) >= threshold
+            if agree and close.any():
+                close = allowed(close, [sides[0][k][1] for k in mine.tolist()], [sides[1][k][1] for k in theirs.tolist()])
+            found.append(_forest(close, left.ids[mine], right.ids[theirs]))
         return [np.concatenate(side) if found else [] for side in (zip(*found, strict=True) if found else ((), ()))]
 
     return on_pairs(paired(blocks, blocks), links, "src long, dst long")

@@ -102,3 +102,14 @@ def test_end_names_that_no_key_stands_for(spark):
 def test_null_ratio(spark):
     rows = spark.createDataFrame([("", ""), (None, "a"), ("ab", "ac")], "a string, b string").select(fuzzy.match_ratio(F.col("a"), F.col("b")))
     assert [row[0] for row in rows.collect()] == [1.0, None, 0.5]
+
+
+def test_keys_agree_as_names_do(spark):
+    from loomgraph.functions.text import entity_key
+    from loomgraph.operators import linking
+
+    words = ["tumor", "necrosis", "factor", "tnf", "il6", "a", "tumors", "b2"]
+    pairs = [(" ".join(RNG.sample(words, RNG.randrange(0, 4))), " ".join(RNG.sample(words, RNG.randrange(1, 4)))) for _ in range(300)]
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", entity_key(F.col("a")).alias("x"), entity_key(F.col("b")).alias("y"), linking.may_be_synonyms(F.col("a"), F.col("b")).alias("agree"))
+    for row in frame.collect():
+        assert linking.keys_agree(row["x"], row["y"]) == row["agree"], row
