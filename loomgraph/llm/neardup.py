@@ -62,7 +62,7 @@ GROUP_CHARACTERS = 1_000_000
 SHINGLE_BYTES = 4
 
 #: Rounds of comparing with one other class of each key before all pairs that are left.
-ROUNDS = 1
+ROUNDS = 3
 #: Members of a key beyond which they pair by their rarest shingles.
 HOT_KEY = 32
 #: Members of a shingle up to which they travel as one row (300 bytes each), and members that are compared with the others at once.
