@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.functions.fuzzy import match_ratio
 from loomgraph.operators.alike import similar_names
+from loomgraph.operators.retrieve import held_texts, vector_top_k
 
 #: Rows up to which an ontology table is broadcast.
 SMALL = 50_000
@@ -49,6 +51,76 @@ def coerce_types(entities: DataFrame, types: DataFrame, least: float = 0.80) ->
     return typed.withColumn("type_id", F.coalesce("_by_type", "_by_name", "_generic")).filter("type_id IS NOT NULL").drop("_by_type", "_by_name", "_generic", "_key")
 
 
+#: Cosine from which a class's vector types an entity.
+LEAST_COSINE = 0.50
+# Words that tell a type, and a relation, where nothing else does.
+TYPE_WORDS = {
+    "Disease": ["disease", "cancer", "tumor", "syndrome", "disorder", "carcinoma", "malignancy"],
+    "Treatment": ["drug", "medication", "treatment", "therapy", "surgery", "chemotherapy", "radiotherapy"],
+    "Patient": ["patient", "person", "individual", "male", "female"],
+    "Physician": ["doctor", "physician", "surgeon", "specialist", "oncologist", "urologist"],
+    "Hospital": ["hospital", "clinic", "center", "institute", "department"],
+    "Symptom": ["symptom", "sign", "manifestation", "pain", "fever"],
+    "Biomarker": ["gene", "mutation", "protein", "biomarker", "receptor", "marker"],
+    "ClinicalFinding": ["score", "grade", "stage", "classification", "risk"],
+}
+FALLBACK_TYPE, FALLBACK_RELATION = "Concept", "RELATED_TO"
+
+
+def _holds_any(text: Column, words: list[str]) -> Column:
+    return text.rlike("|".join(words))
+
+
+def classified_entities(entities: DataFrame, classes: DataFrame) -> DataFrame:
+    """(entity_id, class_id, by): a class for every entity (entity_id, number, name, embedding) by the first step that finds one.
+
+    ``classes`` is (id, label, number, embedding), numbers in the ontology's
+    order. Steps: the class of the nearest vector from a cosine of .5 up; the
+    first class whose id or label stands in the name; what a word of the name
+    tells, if the ontology has it; the ontology's generic class; else what the
+    word tells. Each step gets only the entities that the one before left.
+    """
+    asked = entities.filter(F.col("embedding").isNotNull()).select(F.col("number").alias("query_id"), "embedding")
+    vectors = classes.filter(F.col("embedding").isNotNull()).select(F.col("number").alias("vec_id"), "embedding")
+    near = vector_top_k(asked, vectors, 1, threshold=LEAST_COSINE).select(F.col("query_id").alias("number"), F.col("vec_id").alias("class_number"))
+    by_vector = entities.join(near, "number").join(classes.select(F.col("number").alias("class_number"), F.col("id").alias("class_id")), "class_number").select("entity_id", "class_id", F.lit("vector").alias("by"))
+
+    left = entities.join(by_vector.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lower("name").alias("name"))
+    forms = classes.select("number", F.col("id").alias("class_id"), F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("label")))).alias("form")).filter("form <> ''")
+    held = held_texts(forms.select(F.col("form").alias("needle")).distinct(), left.select(F.col("name").alias("hay")).distinct()).select(F.col("needle").alias("form"), F.col("hay").alias("name"))
+    first = held.join(forms, "form").groupBy("name").agg(F.min_by("class_id", "number").alias("class_id"))
+    by_name = left.join(first, "name").select("entity_id", "class_id", F.lit("name").alias("by"))
+
+    rest = left.join(by_name.select("entity_id"), "entity_id", "left_anti")
+    told = F.lit(FALLBACK_TYPE)
+    for name, words in reversed(TYPE_WORDS.items()):
+        told = F.when(_holds_any(F.col("name"), words), name).otherwise(told)
+    known = classes.select(identifier(F.col("id")).alias("key"), "number", F.col("id").alias("own")).groupBy("key").agg(F.min_by("own", "number").alias("own"))
+    generic = classes.filter(identifier(F.col("id")).isin(GENERIC_TYPES)).agg(F.min_by("id", "number").alias("generic"))
+    word = rest.withColumn("told", told).withColumn("key", identifier(F.col("told"))).join(known, "key", "left").join(F.broadcast(generic))  # one row
+    by = F.when(F.col("own").isNotNull(), "word").when(F.col("generic").isNotNull(), "generic").otherwise("fallback")
+    return by_vector.unionByName(by_name).unionByName(word.select("entity_id", F.coalesce("own", "generic", "told").alias("class_id"), by.alias("by")))
+
+
+def classified_relations(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """(pair_id, relation): a relation for each pair (pair_id, source, target, source_type, target_type).
+
+    Of the ontology's relations that fit the types the one whose label is most
+    like the two names, ties by id; where none fits, what words of the names tell.
+    """
+    typed = pairs.select("source_type", "target_type").distinct()
+    fits = compatible_relations(typed, relations).join(relations.select(F.col("id").alias("relation"), "label"), "relation")
+    met = pairs.join(fits, ["source_type", "target_type"])
+    scored = met.withColumn("ratio", match_ratio(F.lower("label"), F.lower(F.concat_ws(" ", "source", "target"))))
+    order = W.partitionBy("pair_id").orderBy(F.desc("ratio"), "relation")
+    best = scored.withColumn("r", F.row_number().over(order)).filter("r = 1").select("pair_id", F.upper(F.translate("relation", " -", "__")).alias("relation"))
+    rest = pairs.join(best.select("pair_id"), "pair_id", "left_anti")
+    a, b = F.lower("source"), F.lower("target")
+    cure = ["treatment", "therapy", "drug"]
+    told = F.when(_holds_any(a, cure) | _holds_any(b, cure), "TREATS").when(_holds_any(a, ["disease", "cancer"]) & _holds_any(b, ["symptom", "sign"]), "HAS_SYMPTOM").when(_holds_any(a, ["physician", "doctor"]) & _holds_any(b, ["patient", "person"]), "DIAGNOSES").otherwise(FALLBACK_RELATION)
+    return best.unionByName(rest.select("pair_id", told.alias("relation")))
+
+
 def compatible_relations(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     """(source_type, target_type, relation, fit): relations whose domain and range are open or equal; 0 both equal, 1 one, 2 both open."""
     lower = lambda name: F.lower(F.col(name))

@@ -130,7 +130,7 @@ def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int =
 NAME_GRAM = 4
 
 
-def _held(needles: DataFrame, hay: DataFrame) -> DataFrame:
+def held_texts(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, hay): the needles that stand anywhere in the texts ``hay``; both distinct, blank needles in none.
 
     Texts are cut into all their runs of NAME_GRAM characters (and of as many as
@@ -165,13 +165,13 @@ def symbolic_lookup(queries: DataFrame, entities: DataFrame, k: int = 40) -> Dat
     texts = asked.select(F.col("q").alias("hay")).distinct()
     labels = named.select("entity_id", F.explode(F.array_distinct(F.filter(F.concat(F.array("name", F.when(F.length("title") >= 4, F.col("title"))), "others"), lambda n: n.isNotNull()))).alias("label"))
     distinct = labels.select("label").distinct()
-    within = _held(distinct.select(F.col("label").alias("needle")), texts).select(F.col("needle").alias("label"), F.col("hay").alias("q"))
-    around = _held(texts.select(F.col("hay").alias("needle")), distinct.select(F.col("label").alias("hay"))).select(F.col("hay").alias("label"), F.col("needle").alias("q"))
+    within = held_texts(distinct.select(F.col("label").alias("needle")), texts).select(F.col("needle").alias("label"), F.col("hay").alias("q"))
+    around = held_texts(texts.select(F.col("hay").alias("needle")), distinct.select(F.col("label").alias("hay"))).select(F.col("hay").alias("label"), F.col("needle").alias("q"))
     pairs = within.unionByName(around).distinct()
     met = pairs.join(labels, "label").join(asked.select("query_id", "q"), "q").select("query_id", "entity_id")
 
     tokens = asked.select("query_id", F.explode("tokens").alias("token"))
-    holds = _held(tokens.select(F.col("token").alias("needle")).distinct(), named.select(F.col("name").alias("hay")).distinct()).select(F.col("needle").alias("token"), F.col("hay").alias("name"))
+    holds = held_texts(tokens.select(F.col("token").alias("needle")).distinct(), named.select(F.col("name").alias("hay")).distinct()).select(F.col("needle").alias("token"), F.col("hay").alias("name"))
     often = holds.groupBy("token").agg(F.count(F.lit(1)).alias("names"))
     ranked = tokens.join(often, "token").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("names"), "token")))
     rarer = ranked.filter("r > 1").select("query_id", "token").join(holds, "token").join(named.select("entity_id", "name"), "name").select("query_id", "entity_id")

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("flagship", "statistics", "graphs", "scopes", "retrieval", "answers", "building", "extras", "reports", "trust", "wording", "contexts", "inventory", "audit", "records", "grounding", "searching", "entity_first", "files", "coreference", "parsing")
+_MODULES: tuple[str, ...] = ("flagship", "statistics", "graphs", "scopes", "retrieval", "answers", "building", "extras", "reports", "trust", "wording", "contexts", "inventory", "audit", "records", "grounding", "searching", "entity_first", "files", "coreference", "parsing", "evidence")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
