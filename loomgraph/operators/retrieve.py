@@ -266,6 +266,7 @@ def gumbel_top_k(ranked: DataFrame, k: int, temperature: float = 0.0, factor: in
     """
     if temperature <= 0:
         return ranked.filter(F.col("rank") <= k)
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "query_id", "chunk_id"), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+    unit = (F.conv(F.substring(drawn, 1, 10), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 40))
     noisy = ranked.filter(F.col("rank") <= min(k * factor, most)).withColumn("_key", F.col("score") / temperature - F.log(-F.log(unit)))
     return top_per_query(noisy, k, F.desc("_key"), F.col("chunk_id"), rank="_r").drop("_r", "_key")

@@ -145,7 +145,12 @@ def p_true(spark, sf_dir):
     return uncertainty.p_true(clustered(spark, sf_dir)).select("question_id", F.round("p_true", 6).alias("p_true"))
 
 
-@query("lexical_clusters")
+@query("lexical_clusters", r"""WITH RECURSIVE t AS (SELECT conv_id AS q, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role = 'assistant'),
+r AS (
+  SELECT q, turn, i, [w] AS heads, 0 AS label FROM t WHERE i = 0
+  UNION ALL SELECT q, turn, i, CASE WHEN k IS NULL THEN list_append(heads, w) ELSE heads END, coalesce(k - 1, len(heads))
+  FROM (SELECT t.q, t.turn, t.i, t.w, heads, nullif(list_position([len(list_distinct(list_concat(h, t.w))) = 0 OR len(list_intersect(h, t.w)) / len(list_distinct(list_concat(h, t.w))) >= 0.45 FOR h IN heads], TRUE), 0) AS k FROM r JOIN t ON t.q = r.q AND t.i = r.i + 1))
+SELECT q AS question_id, turn AS sample_id, CAST(label AS INTEGER) AS cluster FROM r""")
 def lexical_clusters(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return uncertainty.lexical_clusters(turns.select(F.col("conv_id").alias("question_id"), F.col("turn").alias("sample_id"), "text")).select("question_id", "sample_id", "cluster")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import QUERY_STOPWORDS
 from loomgraph.operators import entity_first, spans
 from loomgraph.operators.stats import W
+from loomgraph.plans.fixtures import walks_sql
 from loomgraph.plans.registry import query
 from loomgraph.sources.shared import stored
 from loomgraph.sources.tables import read_table
@@ -47,22 +48,6 @@ def questions(spark, sf_dir):
 _STOP = ", ".join(f"'{word}'" for word in QUERY_STOPWORDS if len(word) >= 4)
 
 
-def _walks(steps: int = 5) -> str:
-    rounds = "".join(
-        f""",
-i{k} AS (SELECT v.q, k.d AS node, sum(v.v * k.share) AS x FROM v{k - 1} v JOIN k ON k.q = v.q AND k.s = v.node GROUP BY v.q, k.d),
-z{k} AS (SELECT q, sum(CASE WHEN linked THEN 0 ELSE v END) AS idle FROM v{k - 1} GROUP BY q),
-v{k} AS MATERIALIZED (SELECT v.q, v.node, v.e, v.linked, 0.15 * v.e + 0.85 * (coalesce(i.x, 0) + z.idle * v.e) AS v FROM v{k - 1} v JOIN z{k} z ON z.q = v.q LEFT JOIN i{k} i ON i.q = v.q AND i.node = v.node)"""
-        for k in range(1, steps + 1)
-    )
-    return f"""u AS (SELECT q, least(src, dst) AS a, greatest(src, dst) AS b, max(confidence) AS w FROM among WHERE src <> dst GROUP BY ALL),
-k AS MATERIALIZED (SELECT q, s, d, w / sum(w) OVER (PARTITION BY q, s) AS share FROM (SELECT q, a AS s, b AS d, w FROM u UNION ALL SELECT q, b, a, w FROM u)),
-n0 AS (SELECT q, node, hops = 0 AS seed FROM ent WHERE q IN (SELECT q FROM among)),
-v0 AS MATERIALIZED (SELECT n0.q, n0.node, CASE WHEN seed THEN 1.0::DOUBLE / sum(seed::INT) OVER (PARTITION BY n0.q) ELSE 0.0::DOUBLE END AS e, (n0.q, n0.node) IN (SELECT (q, s) FROM k) AS linked,
-       CASE WHEN seed THEN 1.0::DOUBLE / sum(seed::INT) OVER (PARTITION BY n0.q) ELSE 0.0::DOUBLE END AS v FROM n0){rounds},
-walk AS (SELECT q, node, v / max(v) OVER (PARTITION BY q) AS share FROM v{steps})"""
-
-
 CONTEXT = rf"""ws AS (SELECT item_id, text, [x FOR x IN string_split(lower(text), ' ') IF regexp_matches(x, '^[a-z0-9]{{5,}}$')] AS w FROM benchmark),
 nm AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS number FROM (SELECT DISTINCT unnest(w) AS name FROM ws)),
 ents AS MATERIALIZED (SELECT 'W:' || name AS id, name, number, embedding AS vec FROM nm LEFT JOIN embeddings ON vec_id = number),
@@ -97,7 +82,7 @@ ent AS MATERIALIZED (
   SELECT q, node, 0 AS hops FROM seed UNION ALL
   SELECT q, node, hops FROM (SELECT nb.*, most, row_number() OVER (PARTITION BY nb.q ORDER BY seeds DESC, hops, node) AS r FROM nb JOIN qs ON qs.q = nb.q) WHERE r <= most),
 among AS MATERIALIZED (SELECT x.q, edg.* FROM edg JOIN ent x ON x.node = src JOIN ent y ON y.q = x.q AND y.node = dst WHERE confidence >= 0.4),
-{_walks()},
+{walks_sql()},
 cc AS (
   SELECT q, m.c, count(*) AS links, min(hops) AS hops, any_value(position) AS position FROM men m JOIN ent ON ent.node = m.id JOIN chk ON chk.c = m.c GROUP BY q, m.c
   QUALIFY row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, any_value(position), m.c) <= 200),

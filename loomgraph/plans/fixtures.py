@@ -120,3 +120,20 @@ def graph_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRAPH_STATES = """graph_states AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events)"""
+
+
+def walks_sql(steps: int = 5) -> str:
+    """Restarted walks from the nodes of no hops among ``ent`` (q, node, hops) over ``among`` (q, src, dst, confidence): v1, v2, ..., and ``walk``, shares of the best."""
+    rounds = "".join(
+        f""",
+i{k} AS (SELECT v.q, k.d AS node, sum(v.v * k.share) AS x FROM v{k - 1} v JOIN k ON k.q = v.q AND k.s = v.node GROUP BY v.q, k.d),
+z{k} AS (SELECT q, sum(CASE WHEN linked THEN 0 ELSE v END) AS idle FROM v{k - 1} GROUP BY q),
+v{k} AS MATERIALIZED (SELECT v.q, v.node, v.e, v.linked, 0.15 * v.e + 0.85 * (coalesce(i.x, 0) + z.idle * v.e) AS v FROM v{k - 1} v JOIN z{k} z ON z.q = v.q LEFT JOIN i{k} i ON i.q = v.q AND i.node = v.node)"""
+        for k in range(1, steps + 1)
+    )
+    return f"""u AS (SELECT q, least(src, dst) AS a, greatest(src, dst) AS b, max(confidence) AS w FROM among WHERE src <> dst GROUP BY ALL),
+k AS MATERIALIZED (SELECT q, s, d, w / sum(w) OVER (PARTITION BY q, s) AS share FROM (SELECT q, a AS s, b AS d, w FROM u UNION ALL SELECT q, b, a, w FROM u)),
+n0 AS (SELECT q, node, hops = 0 AS seed FROM ent WHERE q IN (SELECT q FROM among)),
+v0 AS MATERIALIZED (SELECT n0.q, n0.node, CASE WHEN seed THEN 1.0::DOUBLE / sum(seed::INT) OVER (PARTITION BY n0.q) ELSE 0.0::DOUBLE END AS e, (n0.q, n0.node) IN (SELECT (q, s) FROM k) AS linked,
+       CASE WHEN seed THEN 1.0::DOUBLE / sum(seed::INT) OVER (PARTITION BY n0.q) ELSE 0.0::DOUBLE END AS v FROM n0){rounds},
+walk AS (SELECT q, node, v / max(v) OVER (PARTITION BY q) AS share FROM v{steps})"""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, retrieve
+from loomgraph.plans.fixtures import walks_sql
 from loomgraph.plans.registry import query
 from loomgraph.sources.shared import cut
 from loomgraph.sources.tables import read_table
@@ -19,7 +20,16 @@ EVERY = 100
 NEAREST, SEEDS, NEIGHBOURS, RETURNED = 12, 3, 4, 10
 
 
-@query("flagship")
+_COSINE = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9)"
+
+
+@query("flagship", f"""WITH near AS MATERIALIZED (SELECT a.vec_id AS q, b.vec_id AS v, {_COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % {EVERY} = 0 AND {_COSINE} >= 0.05 QUALIFY rank <= {NEAREST}),
+around AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst, {_COSINE} AS confidence FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT v FROM near)) a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_COSINE} >= 0.05 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) <= {NEIGHBOURS}),
+among AS MATERIALIZED (SELECT q, src, dst, confidence FROM near JOIN around ON src = v),
+ent AS MATERIALIZED (SELECT DISTINCT n.q, n.node, CASE WHEN s.rank <= {SEEDS} THEN 0 ELSE 1 END AS hops FROM (SELECT q, src AS node FROM among UNION SELECT q, dst FROM among UNION SELECT q, v FROM near) n LEFT JOIN near s ON s.q = n.q AND s.v = n.node AND s.rank <= {SEEDS}),
+{walks_sql()},
+fin AS (SELECT v.q, v.node, round(v.v, 6) AS walk, round(0.5 * coalesce(near.score, 0) + 0.5 * v.v, 6) AS fused FROM v5 v LEFT JOIN near ON near.q = v.q AND near.v = v.node)
+SELECT q AS query_id, node, walk, fused, CAST(row_number() OVER (PARTITION BY q ORDER BY fused DESC, node) AS INTEGER) AS rank FROM fin QUALIFY rank <= {RETURNED}""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.filter(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")

@@ -167,7 +167,7 @@ def scope_violations(spark, sf_dir):
     return inventory.scope_violations(retrieved, chunks(spark, sf_dir))
 
 
-@query("supported_paths", f"""WITH {TRAIL_EDGES}, ok AS (SELECT edge_id FROM supply_edges WHERE confidence >= 0.7) SELECT query_id, e1 || coalesce('+' || e2, '') AS path_id FROM p WHERE e1 IN (SELECT edge_id FROM ok) AND (e2 IS NULL OR e2 IN (SELECT edge_id FROM ok))""")
+@query("supported_paths", f"""WITH {TRAIL_EDGES.replace("confidence >= 0.4", "confidence >= 0.4 AND edge_id IN (SELECT edge_id FROM supply_edges WHERE confidence >= 0.7)")} SELECT query_id, e1 || coalesce('+' || e2, '') AS path_id FROM p""")
 def supported_paths(spark, sf_dir):
     edges, seeds = seed_edges(spark, sf_dir)
     paths = graph.expand_paths(seeds, edges, 2)

@@ -157,6 +157,7 @@ def gumbel_sample_cold(spark, sf_dir):
     return retrieve.gumbel_top_k(ranked_lists(spark, sf_dir).filter("list_id = 1"), 10).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("gumbel_sample_warm")
+@query("gumbel_sample_warm", f"""WITH {LISTS}, n AS (SELECT *, score / 0.5 - ln(-ln((CAST('0x' || substr(md5('42|' || query_id || '|' || chunk_id), 1, 10) AS BIGINT) + 0.5) / 1099511627776.0::DOUBLE)) AS key FROM l WHERE list_id = 1 AND rank <= 30)
+SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY key DESC, chunk_id) <= 10""")
 def gumbel_sample_warm(spark, sf_dir):
     return retrieve.gumbel_top_k(ranked_lists(spark, sf_dir).filter("list_id = 1"), 10, temperature=0.5).select("query_id", "chunk_id", "score", "rank")
