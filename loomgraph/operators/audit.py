@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.naming import span_match, surface_forms, text_spans
+from loomgraph.functions.text import structural_text
+from loomgraph.operators.retrieve import held_texts
 
 
 def clean_headline(runs: DataFrame) -> DataFrame:
@@ -148,14 +150,14 @@ def support_grid(answers: DataFrame, grid: DataFrame) -> DataFrame:
 def text_entities(texts: DataFrame, entities: DataFrame, least: int = 4, most: int = 5) -> DataFrame:
     """(text_id, entity_id, score, rank): the entities (entity_id, names) that a text names most surely.
 
-    A text and an entity meet by a word of a name, so only names that the text
-    shares a whole word with are scored; the rest would score nothing but for
-    letters inside words.
+    A text and an entity meet where a form of its names stands in the text, also
+    inside a word; what doesn't would score nothing.
     """
-    asked = texts.withColumn("spans", text_spans(F.col("text"), least))
+    asked = texts.withColumn("spans", text_spans(F.col("text"), least)).withColumn("hay", structural_text(F.col("text")))
     named = entities.select("entity_id", surface_forms(least, F.col("names")).alias("forms"))
-    words = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda f: F.split(f, " "))))
-    met = asked.select("text_id", F.explode(words(F.col("spans"))).alias("word")).join(named.select("entity_id", F.explode(words(F.col("forms"))).alias("word")), "word").select("text_id", "entity_id").distinct()
+    forms = named.select("entity_id", F.explode("forms").alias("needle"))
+    held = held_texts(forms.select("needle").distinct(), asked.select("hay").distinct())
+    met = held.join(asked.select("text_id", "hay"), "hay").join(forms, "needle").select("text_id", "entity_id").distinct()
     scored = met.join(asked, "text_id").join(named, "entity_id").withColumn("score", span_match(F.col("text"), F.col("spans"), F.col("forms"))).filter("score > 0")
     order = W.partitionBy("text_id").orderBy(F.desc("score"), F.desc(F.length(F.get("forms", F.lit(0)))), "entity_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("text_id", "entity_id", "score", "rank")

@@ -170,12 +170,12 @@ def walk_starts(spark, sf_dir):
 @query("walked_chunks", _ppr_sql().rsplit("SELECT query_id, node", 1)[0].rstrip() + f""",
 {fx.MENTIONS}, b AS (SELECT query_id, node AS entity_id, v / max(v) OVER (PARTITION BY query_id) AS s, v >= 0.005 AS strong FROM v5),
 ww AS (SELECT query_id, chunk_id, least(1, avg(s) + 0.05 * (count(*) - 1)) AS walk, bool_or(strong) AS strong FROM (SELECT DISTINCT chunk_id, entity_id FROM mentions) JOIN b USING (entity_id) GROUP BY ALL),
-c AS (SELECT l_orderkey % 10 AS query_id, l_orderkey || ':' || l_linenumber AS chunk_id, round(1 - 7 * l_discount, 2) AS cosine FROM lineitem WHERE l_linenumber <= 2)
+c AS (SELECT l_orderkey % 10 AS query_id, l_orderkey || ':' || l_linenumber AS chunk_id, round(1 - 7 * l_discount, 2) AS cosine FROM lineitem WHERE l_discount <= 0.04)
 SELECT query_id, chunk_id, round(CASE WHEN cosine IS NULL THEN 0.3 * walk ELSE 0.5 * cosine + 0.5 * coalesce(walk, 0) END, 6) AS score FROM c FULL JOIN ww USING (query_id, chunk_id) WHERE cosine IS NOT NULL OR strong""")
 def walked_chunks(spark, sf_dir):
     nodes, edges, seeds = ppr_tables(spark, sf_dir)
     walks = graph.personalized_pagerank(nodes, edges, seeds)
-    lines = read_table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    lines = read_table(spark, sf_dir, "lineitem").filter("l_discount <= 0.04")  # those that are near enough
     chunks = lines.select((F.col("l_orderkey") % 10).alias("query_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"), F.round(1 - 7 * F.col("l_discount"), 2).alias("cosine"))
     return context.walked_chunks(chunks, fx.mentions(spark, sf_dir), walks).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 

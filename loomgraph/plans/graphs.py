@@ -117,9 +117,11 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(nodes, edges)
 
 
-@query("relation_planning", f"""WITH {fx.PLACE_EDGES}, seeds AS (SELECT n_regionkey AS query_id, 'N' || n_nationkey AS node FROM nation),
-t AS (SELECT query_id, rel_type, count(*) AS n FROM (SELECT rel_type, src AS x FROM place_edges UNION ALL SELECT rel_type, dst FROM place_edges) JOIN seeds ON seeds.node = x GROUP BY ALL),
+@query("relation_planning", f"""WITH {fx.PLACE_EDGES}, {fx.SUPPLY_EDGES}, al AS (SELECT src, dst, rel_type FROM place_edges UNION ALL SELECT src, dst, CASE WHEN position % 2 = 0 THEN 'STOCKS' ELSE rel_type END FROM supply_edges),
+t AS (SELECT CAST(substr(x, 2) AS BIGINT) AS query_id, rel_type, count(*) AS n FROM (SELECT rel_type, src AS x FROM al UNION ALL SELECT rel_type, dst FROM al) WHERE x LIKE 'S%' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rel_type) AS rank FROM t) SELECT query_id, rel_type, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40""")
 def relation_planning(spark, sf_dir):
-    seeds = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
-    return graph.relation_plan(seeds, fx.place_edges(spark, sf_dir))
+    """Each supplier is a question's seed."""
+    supply = fx.supply_edges(spark, sf_dir).select("src", "dst", F.when(F.col("position") % 2 == 0, "STOCKS").otherwise(F.col("rel_type")).alias("rel_type"))
+    seeds = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("query_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graph.relation_plan(seeds, fx.place_edges(spark, sf_dir).unionByName(supply))
\ No newline at end of file

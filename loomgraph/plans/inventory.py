@@ -92,11 +92,15 @@ def verification_chunks(spark, sf_dir):
     return inventory.verification_chunks(rows.select(key.alias("edge_id"), key.alias("kg_name"), places.alias("positions")).distinct(), own)
 
 
-@query("local_provenance", f"""WITH {CHUNKS}, e AS (SELECT p_partkey AS edge_id, p_size % 9 AS position FROM part), c AS (SELECT * FROM chunks WHERE document <= 3000)
-SELECT edge_id, md5(array_to_string(list_sort(list_distinct(list(question_id::VARCHAR))), ',')) AS questions, md5(array_to_string(list_sort(list_distinct(list(question_id || '::p' || passage))), ',')) AS passages FROM e JOIN c USING (position) GROUP BY edge_id""")
+@query("local_provenance", """WITH e AS (SELECT DISTINCT l_partkey AS edge_id, l_orderkey * 10 + l_linenumber AS position FROM lineitem), c AS (SELECT l_orderkey * 10 + l_linenumber AS position, CASE WHEN l_orderkey % 7 > 0 THEN l_orderkey END AS question_id, l_orderkey % 3 AS passage FROM lineitem)
+SELECT edge_id, md5(array_to_string(list_sort(list_distinct(list(question_id::VARCHAR))), ',')) AS questions, md5(array_to_string(list_sort(list_distinct(list(question_id || '::p' || passage))), ',')) AS passages FROM e JOIN c USING (position) WHERE question_id IS NOT NULL GROUP BY edge_id""")
 def local_provenance(spark, sf_dir):
-    edges = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("edge_id"), F.array((F.col("p_size") % 9).cast("int")).alias("positions"))
-    out = inventory.local_provenance(edges, chunks(spark, sf_dir).filter("document <= 3000"))  # one document's chunks
+    """A part's edge has the places of all its line items; places are one of a kind across questions."""
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    lines = read_table(spark, sf_dir, "lineitem")
+    edges = lines.groupBy(F.col("l_partkey").alias("edge_id")).agg(F.collect_set(place).alias("positions"))
+    own = lines.select(place.alias("position"), F.when(F.col("l_orderkey") % 7 > 0, F.col("l_orderkey")).alias("question_id"), (F.col("l_orderkey") % 3).alias("passage"))
+    out = inventory.local_provenance(edges, own)
     return out.select("edge_id", F.md5(F.array_join("question_ids", ",")).alias("questions"), F.md5(F.array_join("passage_keys", ",")).alias("passages"))
 
 
