@@ -21,13 +21,13 @@ change no group, and of these only such as can be similar, by two bounds that
 hold for certain. A shingle that no other candidate has is in no intersection.
 And the parities of the numbers of shingles that fall to each of SKETCH_BITS
 places differ in no more places than the sets differ in shingles, which for
-similar sets are at most a seventh of their sizes together. In a few rounds
-each class meets one other of each of its keys, chosen anew, and the nearest of
-these is compared; that merges what is linked many times over, in linear work.
+similar sets are at most a seventh of their sizes together. Members of a hot key
+meet only where they share one of their rarest shingles, as similar sets do, so
+work doesn't grow with the square of a key. Where classes meet, each is first
+compared with the nearest possible one before it alone, by these parities; that
+merges what is linked many times over, and hands on no more pairs than classes.
 What then still lies apart is compared pair by pair: by the bounds, by
-signatures, and last by the full sets. Members of a hot key pair only where
-they share one of their rarest shingles, as similar sets do, so work doesn't
-grow with the square of a key. So no link between signatures within the
+signatures, and last by the full sets. So no link between signatures within the
 distance is lost; that is every link but for the probability above.
 """
 
@@ -61,8 +61,6 @@ GROUP_CHARACTERS = 1_000_000
 #: Stored bytes of a text for each of its shingles.
 SHINGLE_BYTES = 4
 
-#: Rounds of comparing with one other class of each key before all pairs that are left.
-ROUNDS = 3
 #: Members of a key beyond which they pair by their rarest shingles.
 HOT_KEY = 32
 #: Members of a shingle up to which they travel as one row (300 bytes each), and members that are compared with the others at once.
@@ -282,23 +280,6 @@ def _possible(x: list[Column], y: list[Column], words: int = SKETCH_BITS // 64)
     return (100 * most >= SIMILAR * (sizes - most)) & ((100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes), differ
 
 
-def _nearest_met(apart: DataFrame, bounds: DataFrame, turn: int) -> DataFrame:
-    """(a, b): of the classes drawn one a key, the nearest possible one to each class that has another root.
-
-    The draw is the least hash of a key's classes, an aggregate that is joined
-    back, so a hot key is no task's alone.
-    """
-    ticket = F.xxhash64(F.lit(turn), "nid")
-    drawn = apart.groupBy("key").agg(F.min(ticket).alias("ticket"))
-    holders = apart.select("nid", "root").distinct().select(F.col("nid").alias("b"), F.col("root").alias("b_root"), ticket.alias("ticket"))
-    met = apart.join(drawn, "key").select(F.col("nid").alias("a"), F.col("root").alias("a_root"), "ticket").distinct()
-    met = met.join(holders, "ticket").filter(F.col("a_root") != F.col("b_root")).select("a", "b")
-    sides = [bounds.select(F.col("nid").alias(side), F.struct("n", "shared", "sketch").alias(name)) for side, name in (("a", "x"), ("b", "y"))]
-    possible, differ = _possible(*[[F.col(f"{name}.{field}") for field in ("n", "shared", "sketch")] for name in "xy"])
-    near = met.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b", differ.alias("d"))
-    return near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-
-
 def _keys_that_meet(classes: DataFrame) -> DataFrame:
     """(key, nid, size): the rows of keys that more than one class has."""
     keys = class_keys(classes)
@@ -345,11 +326,16 @@ def class_groups(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
         bounds._shared.destroy()
         apart, before = materialize(_mixed(apart.join(able.select("nid"), "nid", "left_semi")), "apart"), apart
         discard(before)
-        links, apart = _linked_in_rounds(apart, able, texts, links)
-        pairs = materialize(_possible_pairs(apart, able, texts), "pairs")
-        more = materialize(_confirmed(_close_signatures(pairs, classes), texts), "links")
-        roots = components(links.union(more))
-        discard(apart, able, pairs, more)
+        places = _places(apart, able, texts)
+        discard(apart)
+        for nearest in (True, False):
+            pairs = materialize(_possible_pairs(places, roots, able, nearest), "pairs")
+            if pairs.isEmpty():
+                break
+            links = links.union(materialize(_confirmed(pairs if nearest else _close_signatures(pairs, classes), texts), "links"))
+            roots = components(links)
+            discard(pairs)
+        discard(places, able)
     discard(texts)
 
     inside = classes.join(roots.withColumnRenamed("node", "nid"), "nid").select("nid", "rep", "root")
@@ -395,29 +381,32 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
     return _with_shared(texts.mapInArrow(run, "nid long, token long"), counters)
 
 
-def _possible_pairs(apart: DataFrame, able: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different roots that meet in a key and can be similar.
-
-    Classes of a key pair with one another; those of hot keys by their rarest
-    shingles, which similar sets share, so a key's members never pair all with
-    all.
-    """
+def _places(apart: DataFrame, able: DataFrame, texts: DataFrame) -> DataFrame:
+    """(at, nid): where classes meet: at keys, and those of hot keys at their rarest shingles, which similar sets share."""
     sizes = materialize(apart.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
     placed = apart.join(sizes, "key")
-    met = _pairs_of_few(placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid", "root"), able)
-    hot = materialize(placed.filter(F.col("size") > HOT_KEY).select("nid", "root").distinct(), "hot")
-    if not hot.isEmpty():
-        tokens = _rare_shingles(texts.join(hot, "nid", "left_semi"))
-        rare = materialize(tokens.join(hot, "nid").select(F.col("token").alias("at"), "nid", "root"), "rare")
-        tokens._shared.destroy()
-        shared = materialize(rare.groupBy("at").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "sizes")
-        rare = rare.join(shared, "at")
-        met = met.union(_pairs_of_few(rare.filter(F.col("size") <= PLACE), able)).union(_pairs_of_many(rare.filter(F.col("size") > PLACE), able))
-    return met.distinct()
+    few = placed.filter(F.col("size") <= HOT_KEY).select(F.col("key").alias("at"), "nid")
+    hot = materialize(placed.filter(F.col("size") > HOT_KEY).select("nid").distinct(), "hot")
+    if hot.isEmpty():
+        return materialize(few, "places")
+    tokens = _rare_shingles(texts.join(hot, "nid", "left_semi"))
+    places = materialize(few.union(tokens.select(F.col("token").alias("at"), "nid")), "places")
+    tokens._shared.destroy()
+    discard(sizes, hot)
+    return places
 
 
-def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
-    """(a, b) of (at, nid, root): the possible pairs of different roots at places of PLACE classes at most, a place's members as one row."""
+def _possible_pairs(places: DataFrame, roots: DataFrame, able: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b): pairs of classes of different roots that meet at a place and can be similar; of each class only the nearest one before it, if asked, and at places of PLACE classes at most."""
+    placed = places.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("at", "nid", F.coalesce("root", "nid").alias("root"))
+    sizes = placed.groupBy("at").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter(F.col("r1") < F.col("r2")).select("at", "size")
+    mixed = placed.join(materialize(sizes, "sizes"), "at")
+    met = _pairs_of_few(mixed.filter(F.col("size") <= PLACE), able, nearest)
+    return met.distinct() if nearest else met.union(_pairs_of_many(mixed.filter(F.col("size") > PLACE).select("at", "nid", "root"), able)).distinct()
+
+
+def _pairs_of_few(placed: DataFrame, able: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b) of (at, nid, root): the possible pairs of different roots at places of PLACE classes at most, a place's members as one row; with ``nearest`` one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,6 +416,7 @@ def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
             nid, root, n, shared = (of.field(name).to_numpy() for name in ("nid", "root", "n", "shared"))
             sketch = of.field("sketch").flatten().to_numpy().reshape(len(nid), -1).view(np.uint64)
             ends = np.cumsum(members.value_lengths().to_numpy())
+            least, near = np.full(len(nid), np.iinfo(np.int64).max), np.full(len(nid), -1)
             for at, last in ((at, last) for first, last in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) for at in range(first, last, PAIR_BLOCK)):
                 i, j = np.nonzero(np.arange(at, min(at + PAIR_BLOCK, last))[:, None] < np.arange(at, last)[None, :])
                 i, j = i + at, j + at
@@ -435,8 +425,18 @@ def _pairs_of_few(placed: DataFrame, able: DataFrame) -> DataFrame:
                 i, j, sizes = i[fine], j[fine], sizes[fine]
                 differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
                 fine = (100 + SIMILAR) * differ <= (100 - SIMILAR) * sizes
-                one, two = nid[i[fine]], nid[j[fine]]
-                found.update(zip(np.maximum(one, two).tolist(), np.minimum(one, two).tolist(), strict=True))
+                i, j, differ = i[fine], j[fine], differ[fine]
+                if nearest:
+                    order = np.lexsort((nid[i], differ, j))
+                    own, first = np.unique(j[order], return_index=True)
+                    i, differ = i[order][first], differ[order][first]
+                    better = differ < least[own]
+                    least[own[better]], near[own[better]] = differ[better], i[better]
+                else:
+                    found.update(zip(np.maximum(nid[i], nid[j]).tolist(), np.minimum(nid[i], nid[j]).tolist(), strict=True))
+            if nearest:
+                j = np.flatnonzero(near >= 0)
+                found.update(zip(np.maximum(nid[near[j]], nid[j]).tolist(), np.minimum(nid[near[j]], nid[j]).tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     rows = placed.join(able, "nid").groupBy("at").agg(F.collect_list(F.struct("nid", "root", "n", "shared", "sketch")).alias("members"))
@@ -457,22 +457,6 @@ def _pairs_of_many(placed: DataFrame, able: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
 
 
-def _linked_in_rounds(apart: DataFrame, able: DataFrame, texts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links with those of the rounds, and the keys that still hold different roots after them."""
-    for turn in range(ROUNDS):
-        pairs = materialize(_nearest_met(apart, able, turn), "pairs")
-        if pairs.isEmpty():
-            break
-        more = materialize(_confirmed(pairs, texts), "links")
-        discard(pairs)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        apart, before = materialize(_placed(apart, components(links)), "apart"), apart
-        discard(before)
-    return links, apart
-
-
 @keeping_columns(OUTPUT)
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each row with n_shingles, component_id (the least id of its group) and kept (it has that id).

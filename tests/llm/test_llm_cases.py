@@ -136,7 +136,6 @@ def test_every_operator_takes_an_empty_table(spark):
 def test_near_duplicates_agree_with_all_pairs(spark, monkeypatch, hot_key):
     monkeypatch.setattr(neardup, "HOT_KEY", hot_key)
     monkeypatch.setattr(neardup, "PLACE", 2 if hot_key == 1 else neardup.PLACE)
-    monkeypatch.setattr(neardup, "ROUNDS", 0 if hot_key == 1 else neardup.ROUNDS)
     rows = []
     for g in range(12):
         base = [RNG.choice(VOCAB) for _ in range(RNG.choice([3, 5, 40, 150]))]
