@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomgraph.functions.answers import leading_label, strip_wrapper
+from loomgraph.functions.text import let
 
 # How a question that wants yes or no begins.
 BINARY_OPENINGS = ["is ", "are ", "does ", "do ", "can ", "should ", "was ", "were ", "has ", "have ", "did "]
@@ -79,45 +82,56 @@ def number_span(text: Column, question: Column) -> Column:
 
 def without_club(text: Column, question: Column) -> Column:
     """A club's name without FC and the like, if the question is about a club and the answer is short."""
-    whole = _clean(text)
-    cut = whole
-    for pattern in CLUB_PATTERNS:
-        cut = F.regexp_replace(cut, f"(?i){pattern}", "")
-    cut = _bare(cut)
-    asked = F.contains(F.lower(_clean(question)), F.lit("club")) & (_word_count(whole) <= 6)
-    return F.when(asked & (cut != ""), cut).otherwise(whole)
+    asked = F.contains(F.lower(_clean(question)), F.lit("club"))
+
+    def cut(whole: Column) -> Column:
+        bare = whole
+        for pattern in CLUB_PATTERNS:
+            bare = F.regexp_replace(bare, f"(?i){pattern}", "")
+        short = F.when(asked & (_word_count(whole) <= 6), let(_bare(bare), lambda found: F.when(found != "", found)))
+        return F.coalesce(short, whole)
+
+    return let(_clean(text), cut)
 
 
 def subject_before_copula(text: Column) -> Column:
     """What stands before is, was and the like, if it has at most eight words; else empty."""
-    subject = F.regexp_replace(F.trim(F.regexp_extract(_clean(text), f"(?i){COPULA_PATTERN}", 1)), r"^[ ,.;:]+|[ ,.;:]+$", "")
-    return F.when(_word_count(subject).between(1, 8), subject).otherwise(F.lit(""))
+    found = F.regexp_replace(F.trim(F.regexp_extract(_clean(text), f"(?i){COPULA_PATTERN}", 1)), r"^[ ,.;:]+|[ ,.;:]+$", "")
+    return let(found, lambda subject: F.when(_word_count(subject).between(1, 8), subject).otherwise(F.lit("")))
 
 
 def _first_given(*choices: Column) -> Column:
-    """The first choice that isn't empty."""
-    return F.coalesce(*[F.when(choice != "", choice) for choice in choices], F.lit(""))
+    """The first choice that isn't empty; each is worked out once."""
+    return F.coalesce(F.get(F.filter(F.array(*choices), lambda choice: choice != ""), F.lit(0)), F.lit(""))
+
+
+def _short_form(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """What ``body`` makes of an answer without its wrapper, its first line and that line's first sentence, each worked out once; a blank answer stays."""
+    lined = lambda whole: let(first_line(whole), lambda line: let(first_sentence(line), lambda sentence: body(whole, line, sentence)))
+    return let(strip_wrapper(text), lambda whole: F.when(whole == "", whole).otherwise(lined(whole)))
 
 
 def multihop_answer(text: Column, question: Column, task: Column) -> Column:
     """A short answer to a question over several passages: a label, a date, a short first sentence, else the first line."""
-    whole = strip_wrapper(text)
-    line = first_line(whole)
-    sentence = first_sentence(line)
-    short = without_club(F.when(_word_count(sentence).between(1, 6), _bare(sentence)).otherwise(line), question)
-    label = F.when((task == "binary") | asks_yes_or_no(question), leading_label(whole, SHORT_LABELS)).otherwise(F.lit(""))
-    return F.when(whole == "", whole).otherwise(_first_given(label, date_span(whole, question), short))
+
+    def short_form(whole: Column, line: Column, sentence: Column) -> Column:
+        short = let(F.when(_word_count(sentence).between(1, 6), _bare(sentence)).otherwise(line), lambda found: without_club(found, question))
+        label = F.when((task == "binary") | asks_yes_or_no(question), leading_label(whole, SHORT_LABELS)).otherwise(F.lit(""))
+        return _first_given(label, date_span(whole, question), short)
+
+    return _short_form(text, short_form)
 
 
 def factoid_answer(text: Column, question: Column, task: Column) -> Column:
     """A fact: a label, a date, a count, the subject of its first sentence, its first clause or the first line."""
-    whole = strip_wrapper(text)
-    line = first_line(whole)
-    sentence = first_sentence(line)
-    clause = F.trim(F.element_at(F.split(sentence, r"\s*[,:;]\s*", 2), 1))
-    label = F.when(task == "binary", leading_label(whole, SHORT_LABELS)).otherwise(F.lit(""))
-    short = F.when(_word_count(clause).between(1, 8), _bare(clause)).when(_word_count(sentence).between(1, 8), _bare(sentence)).otherwise(line)
-    return F.when(whole == "", whole).otherwise(_first_given(label, date_span(whole, question), number_span(whole, question), subject_before_copula(sentence), short))
+
+    def short_form(whole: Column, line: Column, sentence: Column) -> Column:
+        label = F.when(task == "binary", leading_label(whole, SHORT_LABELS)).otherwise(F.lit(""))
+        told = lambda clause: F.when(_word_count(clause).between(1, 8), _bare(clause)).when(_word_count(sentence).between(1, 8), _bare(sentence)).otherwise(line)
+        short = let(F.trim(F.element_at(F.split(sentence, r"\s*[,:;]\s*", 2), 1)), told)
+        return _first_given(label, date_span(whole, question), number_span(whole, question), subject_before_copula(sentence), short)
+
+    return _short_form(text, short_form)
 
 
 def recommendation_answer(text: Column) -> Column:
@@ -129,7 +143,12 @@ def recommendation_answer(text: Column) -> Column:
 
 def contracted_answer(dataset: Column, task: Column, text: Column, question: Column) -> Column:
     """The answer as its dataset's contract has it; a label only where one is stated, free text as it is but for its wrapper."""
-    name, kind, whole = F.lower(_clean(dataset)), F.lower(_clean(task)), _clean(text)
+    given = F.struct(F.lower(_clean(dataset)).alias("name"), F.lower(_clean(task)).alias("kind"), _clean(text).alias("whole"), question.alias("question"))
+    return let(given, _contracted)
+
+
+def _contracted(given: Column) -> Column:
+    name, kind, whole, question = (given[key] for key in ("name", "kind", "whole", "question"))
     labelled = lambda labels: _first_given(leading_label(whole, labels), whole)
     return (
         F.when(whole == "", whole)
