@@ -10,6 +10,9 @@ every few rounds, and never gather a node's neighbours.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,24 +107,85 @@ def reach(sources: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen.filter("hops > 0")
 
 
-def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int = 5) -> DataFrame:
+#: Edges of a query's subgraph up to which one task walks it (some 100 bytes each); larger ones are walked over the cluster, with the same result.
+WALKED_EDGES = 1_000_000
+
+
+def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int = 5, walked_edges: int = WALKED_EDGES) -> DataFrame:
     """(query_id, node, score) by ``steps`` rounds of restarted walks.
 
     The weight of a pair is the greatest confidence of its edges, either way;
     loops are left out. A node without neighbours gives its mass to the seeds.
     ``nodes`` and ``edges`` carry query_id, one subgraph a query; a query
     without a seed among its nodes scores 0.
+
+    A query's subgraph of ``walked_edges`` at most is hashed to one task, which
+    walks all rounds; only larger ones shuffle in each round.
     """
-    pairs = edges.filter(F.col("src") != F.col("dst")).select("query_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "confidence")
-    weights = pairs.groupBy("query_id", "a", "b").agg(F.max("confidence").alias("w"))
+    sizes = edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.filter(F.col("n") > walked_edges).select("query_id"))
+    told = nodes.select("query_id", "node").distinct().join(seeds.select("query_id", "node").distinct().withColumn("seed", F.lit(True)), ["query_id", "node"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    pairs = edges.filter(F.col("src") != F.col("dst")).select("query_id", "src", "dst", F.col("confidence").cast("double").alias("confidence"))
+    if large.isEmpty():
+        return _walked_in_tasks(told, pairs, alpha, steps)
+    apart = lambda rows, how: rows.join(large, "query_id", how)
+    small = _walked_in_tasks(apart(told, "left_anti"), apart(pairs, "left_anti"), alpha, steps)
+    return small.unionByName(_walked_in_rounds(apart(told, "left_semi"), apart(pairs, "left_semi"), alpha, steps))
+
+
+def _walked_in_tasks(told: DataFrame, pairs: DataFrame, alpha: float, steps: int) -> DataFrame:
+    """Walks of queries each of which one task holds."""
+    kind = {field.name: field.dataType.simpleString() for field in told.schema.fields}
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = left.column("node").combine_chunks()
+        at = lambda column: pc.index_in(right.column(column), value_set=names).fill_null(-1).to_numpy().astype(np.int64) if right.num_rows else np.zeros(0, np.int64)
+        both = pa.chunked_array([*right.column("src").chunks, *right.column("dst").chunks]).combine_chunks().dictionary_encode() if right.num_rows else None
+        e, v = _restart(left), None
+        src, dst = at("src"), at("dst")
+        if both is not None:
+            codes = both.indices.to_numpy().astype(np.int64)
+            x, y = codes[: right.num_rows], codes[right.num_rows :]
+            weight = right.column("confidence").to_numpy()
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((-weight, high, low))
+            first = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
+            best = order[first]
+            a, b, w = np.concatenate((src[best], dst[best])), np.concatenate((dst[best], src[best])), np.tile(weight[best], 2)
+            own = np.concatenate((x[best], y[best]))
+            share = w / np.bincount(own, w)[own]
+            linked = np.zeros(len(names), bool)
+            linked[a[a >= 0]] = True
+            inside = (a >= 0) & (b >= 0)
+            a, b, share = a[inside], b[inside], share[inside]
+        else:
+            a = b = np.zeros(0, np.int64)
+            share, linked = np.zeros(0), np.zeros(len(names), bool)
+        v = e.copy()
+        for _ in range(steps):
+            v = (1 - alpha) * e + alpha * (np.bincount(b, v[a] * share, minlength=len(v)) + v[~linked].sum() * e)
+        return pa.table({"query_id": left.column("query_id"), "node": names, "score": pa.array(v)})
+
+    def _restart(left: pa.Table) -> np.ndarray:
+        e = left.column("seed").to_numpy().astype(np.float64)
+        return e / max(e.sum(), 1.0)
+
+    renamed = pairs.select(F.col("query_id").alias("of"), *(F.col(name).alias(name) for name in ("src", "dst", "confidence")))
+    grouped = told.groupBy("query_id").cogroup(renamed.groupBy("of"))
+    walked = grouped.applyInArrow(lambda left, right: walk(left, right) if left.num_rows else left.select(["query_id", "node"]).append_column("score", pa.array([], pa.float64())), f"query_id {kind['query_id']}, node {kind['node']}, score double")
+    return walked
+
+
+def _walked_in_rounds(told: DataFrame, pairs: DataFrame, alpha: float, steps: int) -> DataFrame:
+    """Walks of queries that are larger, each round over the cluster."""
+    weights = pairs.select("query_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "confidence").groupBy("query_id", "a", "b").agg(F.max("confidence").alias("w"))
     walks = weights.select("query_id", F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(weights.select("query_id", "b", "a", "w"))
     share = F.col("w") / F.sum("w").over(W.partitionBy("query_id", "src"))
     walks = cut(walks.select("query_id", "src", "dst", share.alias("share")))
-    present = nodes.select("query_id", "node").distinct()
-    start = present.join(seeds.select("query_id", "node").distinct(), ["query_id", "node"]).withColumn("e", 1.0 / F.count(F.lit(1)).over(W.partitionBy("query_id")))
     linked = walks.select("query_id", F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
-    state = present.join(start, ["query_id", "node"], "left").join(linked, ["query_id", "node"], "left")
-    state = state.select("query_id", "node", F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("linked", F.lit(False)).alias("linked")).withColumn("v", F.col("e"))
+    chosen = F.sum(F.col("seed").cast("int")).over(W.partitionBy("query_id"))
+    state = told.withColumn("e", F.when(F.col("seed"), 1.0 / chosen).otherwise(0.0)).join(linked, ["query_id", "node"], "left")
+    state = state.select("query_id", "node", "e", F.coalesce("linked", F.lit(False)).alias("linked")).withColumn("v", F.col("e"))
     state = cut(state)
     for step in range(steps):
         held = state.select("query_id", F.col("node").alias("src"), "v")

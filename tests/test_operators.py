@@ -111,3 +111,15 @@ def test_symbolic_lookup_by_substrings(spark):
     found = {(r["query_id"], r["entity_id"]) for r in retrieve.symbolic_lookup(asked, entities).collect()}
     assert found == {(1, "a"), (2, "b"), (3, "c"), (4, "d"), (2, "e"), (3, "f")}
     assert {(r["query_id"], r["entity_id"]) for r in retrieve.symbolic_lookup(asked, entities.select("entity_id", "name")).collect()} == {(1, "a"), (2, "b"), (3, "c"), (4, "d")}
+
+
+def test_walks_are_the_same_in_a_task_and_over_the_cluster(spark):
+    import random
+
+    rng = random.Random(2)
+    nodes = [(q, f"n{k}") for q in range(6) for k in range(12)]
+    edges = [(rng.randrange(6), f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", rng.choice([0.4, 0.5, 0.9])) for _ in range(150)] + [(9, "n1", "n2", 0.5)]
+    seeds = [(q, f"n{rng.randrange(12)}") for q in range(5) for _ in range(2)]
+    tables = [spark.createDataFrame(nodes, "query_id long, node string"), spark.createDataFrame(edges, "query_id long, src string, dst string, confidence double"), spark.createDataFrame(seeds, "query_id long, node string")]
+    found = [{(r["query_id"], r["node"]): round(r["score"], 12) for r in graph.personalized_pagerank(*tables, walked_edges=limit).collect()} for limit in (10**6, 0, 24)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(nodes) and sum(found[0].values()) > 3
