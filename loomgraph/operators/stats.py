@@ -4,7 +4,8 @@ Every function takes a long table of rows with a group, a boolean that says
 whether the answer is wrong, and an uncertainty, and returns one row a group.
 Rows with a null uncertainty are left out. Where a statistic is undefined the
 result is null. Ties are broken by the id column, so results are deterministic.
-Groups are data-sized: everything is windows and aggregates on the group key.
+Groups are data-sized: ranks and running sums are worked out by ranges of the
+score (see :mod:`loomgraph.operators.running`), everything else by aggregates.
 """
 
 from __future__ import annotations
@@ -13,33 +14,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.running import ranked_values, running_sums
 
-def midrank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The average rank of equal values within a group, from 1."""
-    ordered, equal = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(equal) - 1) / 2.0)
+
+def _in_order(df: DataFrame, keys: list[str], order: list[Column], **sums: Column) -> DataFrame:
+    """The rows with their place in their group, its size and running sums."""
+    rows = running_sums(df, keys, order, place=F.lit(1), **sums)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    return rows.alias("r").join(sizes.alias("s"), [F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}")) for key in keys]).select("r.*", "s.size")
 
 
 def auroc(df: DataFrame, keys: list[str], wrong: str = "wrong", score: str = "u") -> DataFrame:
     """Probability that a wrong answer is more uncertain than a right one, ties by half; null unless both occur."""
-    ranked = midrank(df.filter(F.col(score).isNotNull()), keys, score, "_rank")
-    n1 = F.sum(F.col(wrong).cast("long"))
-    n0 = F.count(F.lit(1)) - n1
-    ranks = F.sum(F.when(F.col(wrong), F.col("_rank")).otherwise(0.0))
-    return ranked.groupBy(*keys).agg(F.when((n1 > 0) & (n0 > 0), (ranks - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"), F.count(F.lit(1)).alias("n"))
+    told = F.col(wrong).cast("long")
+    values = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(told).alias("w"), F.sum(1 - told).alias("r"))
+    below = running_sums(values, keys, [F.col(score)], upto=F.col("r"))
+    hits = F.sum(F.col("w") * (F.col("upto") - F.col("r") / 2.0))
+    n1, n0 = F.sum("w"), F.sum("r")
+    return below.groupBy(*keys).agg(F.when((n1 > 0) & (n0 > 0), hits / (n1 * n0)).alias("auroc"), (n1 + n0).alias("n"))
 
 
 def aurec(df: DataFrame, keys: list[str], wrong: str = "wrong", score: str = "u", id_column: str = "question_id") -> DataFrame:
     """Mean error rate of the least uncertain k answers, over every k."""
-    upto = W.partitionBy(*keys).orderBy(score, id_column).rowsBetween(W.unboundedPreceding, 0)
-    return df.filter(F.col(score).isNotNull()).withColumn("_rate", F.avg(F.col(wrong).cast("double")).over(upto)).groupBy(*keys).agg(F.avg("_rate").alias("aurec"))
+    rows = running_sums(df.filter(F.col(score).isNotNull()).select(*keys, score, id_column, wrong), keys, [F.col(score), F.col(id_column)], place=F.lit(1), upto=F.col(wrong).cast("long"))
+    return rows.groupBy(*keys).agg(F.avg(F.col("upto") / F.col("place")).alias("aurec"))
 
 
 def ppv_at(df: DataFrame, keys: list[str], fractions: list[float], wrong: str = "wrong", score: str = "u", id_column: str = "question_id") -> DataFrame:
     """Share of wrong answers among the most uncertain n * f, rounded up; null below four answers."""
-    group = W.partitionBy(*keys)
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(group.orderBy(F.desc(score), id_column))).withColumn("_n", F.count(F.lit(1)).over(group))
-    share = lambda f: F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * f)), F.col(wrong).cast("double")))
+    ranked = _in_order(df.filter(F.col(score).isNotNull()).select(*keys, score, id_column, wrong), keys, [F.desc(score), F.col(id_column)])
+    share = lambda f: F.avg(F.when(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * f)), F.col(wrong).cast("double")))
     columns = [F.when(F.count(F.lit(1)) >= 4, share(f)).alias(f"ppv_{round(100 * f)}") for f in fractions]
     return ranked.groupBy(*keys).agg(*columns, F.avg(F.col(wrong).cast("double")).alias("base_error"))
 
@@ -71,23 +75,30 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
 
 def selective_risk(df: DataFrame, keys: list[str], coverages: list[float], wrong: str = "wrong", score: str = "u", id_column: str = "question_id") -> DataFrame:
     """Error rate among the least uncertain answers at each coverage; the number is rounded half to even."""
-    group = W.partitionBy(*keys)
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(group.orderBy(score, id_column))).withColumn("_n", F.count(F.lit(1)).over(group))
-    kept = lambda c: F.greatest(F.lit(1), F.bround(F.col("_n") * c, 0))
-    return ranked.groupBy(*keys).agg(*[F.avg(F.when(F.col("_r") <= kept(c), F.col(wrong).cast("double"))).alias(f"risk_{round(100 * c)}") for c in coverages])
+    ranked = _in_order(df.filter(F.col(score).isNotNull()).select(*keys, score, id_column, wrong), keys, [F.col(score), F.col(id_column)])
+    kept = lambda c: F.greatest(F.lit(1), F.bround(F.col("size") * c, 0))
+    return ranked.groupBy(*keys).agg(*[F.avg(F.when(F.col("place") <= kept(c), F.col(wrong).cast("double"))).alias(f"risk_{round(100 * c)}") for c in coverages])
 
 
 def percentile_rank(df: DataFrame, keys: list[str], score: str, out: str, id_column: str = "question_id") -> DataFrame:
     """i / (n - 1) in a stable sort; ties get ranks in the order of their id."""
-    group = W.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(group)
-    return df.withColumn(out, F.when(n > 1, (F.row_number().over(group.orderBy(score, id_column)) - 1) / (n - 1)).otherwise(0.0))
+    ranked = _in_order(df, keys, [F.col(score), F.col(id_column)])
+    share = F.when(F.col("size") > 1, (F.col("place") - 1) / (F.col("size") - 1)).otherwise(0.0)
+    return ranked.select(*df.columns, share.alias(out))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation on midranks, over rows where both are given."""
-    ranked = midrank(midrank(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "_x"), keys, y, "_y")
-    return ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = rows.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    for name in "xy":
+        ranks = ranked_values(rows, keys, name, f"{name}_rank")
+        pairs = pairs.alias("p").join(ranks.alias("k"), [*(F.col(f"p.{key}").eqNullSafe(F.col(f"k.{key}")) for key in keys), F.col(f"p.{name}") == F.col(f"k.{name}")]).select("p.*", f"k.{name}_rank")
+    weighed = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    n, mean = F.sum("n"), (F.sum("n") + 1) / 2.0  # of midranks
+    spread = lambda a: weighed(f"{a}_rank", f"{a}_rank") - n * mean * mean
+    across = weighed("x_rank", "y_rank") - n * mean * mean
+    return pairs.groupBy(*keys).agg(F.when((spread("x") > 0) & (spread("y") > 0), across / F.sqrt(spread("x") * spread("y"))).alias("rho"), n.alias("n"))
 
 
 def mantel_haenszel(df: DataFrame, keys: list[str], stratum: str, exposed: str, outcome: str) -> DataFrame:
