@@ -69,6 +69,54 @@ def decision_label(text: Column) -> Column:
     )
 
 
+# Wordings that leave a question open, affirm it or deny it, and what affirms or denies where nothing else does.
+OPEN_PATTERNS = [
+    r"\bnot enough information\b", r"\binsufficient (data|evidence|information)\b", r"\bcannot (determine|conclude|say)\b", r"\binconclusive\b",
+    r"\bunclear\b", r"\bno direct information\b", r"\bcontext does not provide\b", r"\bsubject of investigation\b",
+]
+AFFIRMING_PATTERNS = [
+    r"\b(correlated|associated|connected)\b", r"\bcorrelated closely\b", r"\bcomparable\b", r"\bviable alternative\b", r"\bsuitable as an alternative\b",
+    r"\b(beneficial|valuable|effective)\b", r"\bindicat(es|ing)\b", r"\bsupport(s|ed|ive)\b", r"\bsignificant (association|correlation|benefit)\b",
+]
+DENYING_PATTERNS = [
+    r"\bno evidence\b", r"\bno (association|correlation|connection|benefit)\b", r"\bnot (associated|correlated|connected|beneficial|effective|suitable)\b",
+    r"\bfailed to (show|demonstrate)\b", r"\bdoes not (support|indicate|show|demonstrate)\b", r"\bpoor (patient survival|prognosis|outcome)\b",
+    r"\bworse (survival|prognosis|outcome)\b", r"\bdoes not contain (any information|information)\b",
+]
+TIED_AFFIRMING = r"\b(comparable|viable alternative|correlated|associated|beneficial|effective)\b"
+TIED_DENYING = r"\b(no evidence|not associated|not correlated|not beneficial|not effective)\b"
+QUESTION_OPENINGS = r"^(is|are|does|do|can|should|was|were|has|have) "
+# Datasets whose answers are scored by words alone.
+WORD_SCORED_DATASETS = ["hotpotqa", "2wikimultihopqa", "musique", "multihoprag"]
+
+
+def is_word_scored(dataset: Column) -> Column:
+    """Whether a dataset's answers are scored by exact match and word overlap."""
+    return F.coalesce(F.lower(F.trim(dataset)).isin(WORD_SCORED_DATASETS), F.lit(False))
+
+
+def inferred_decision(response: Column, question: Column) -> Column:
+    """yes, no or maybe of a free answer: what it states, also after "so" and the like; maybe where it says that too little is known; else by
+    which there are more of, wordings that affirm or that deny; where as many, for a question of yes or no, by the plainest of them. Empty if nothing tells."""
+    flat = lambda text: F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", " "))
+
+    def told(t: Column) -> Column:
+        leads = lambda words: F.left(t, F.lit(220)).rlike(rf"^\s*({words})\b") | t.rlike(rf"\b(answer|conclusion)\s*(is|:)\s*({words})\b")
+        so = lambda words: t.rlike(rf"\b(so|therefore|thus|hence|in summary|in conclusion),?\s*({words})\b")
+        count = lambda patterns: sum(t.rlike(pattern).cast("int") for pattern in patterns)
+        asked = flat(question).rlike(QUESTION_OPENINGS)
+        by_words = let(
+            F.struct(count(AFFIRMING_PATTERNS).alias("yes"), count(DENYING_PATTERNS).alias("no")),
+            lambda n: F.when(n["yes"] > n["no"], "yes").when(n["no"] > n["yes"], "no").when(asked & t.rlike(TIED_AFFIRMING), "yes").when(asked & t.rlike(TIED_DENYING), "no").otherwise(""),
+        )
+        return (
+            F.when(leads("yes|true"), "yes").when(leads("no|false"), "no").when(so("yes|true"), "yes").when(so("no|false"), "no").when(leads("maybe|uncertain"), "maybe")
+            .when(t.rlike("|".join(OPEN_PATTERNS)), "maybe").otherwise(by_words)
+        )
+
+    return let(flat(response), told)
+
+
 def is_abstention(text: Column) -> Column:
     """The no-answer label alone, whatever stops follow it."""
     return F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"[\s.!?]+$", "").isin("insufficient information", "context insufficient")

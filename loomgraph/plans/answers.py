@@ -56,6 +56,32 @@ def decision_labels(spark, sf_dir):
     return turns.select("conv_id", "turn", fa.decision_label(text).alias("label"))
 
 
+SAYINGS = ["Yes. ", "Thus, no ", "It is unclear whether ", "The two are correlated and not effective, no evidence. ", "This supports it; comparable. ", "It failed to show benefit. ", "Not associated, yet associated. ", ""]
+
+
+def _counted(patterns) -> str:
+    return " + ".join(f"regexp_matches(x, '{pattern}')::INT" for pattern in patterns)
+
+
+@query("inferred_decisions", rf"""WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace(([{", ".join("'" + s + "'" for s in SAYINGS)}])[turn % {len(SAYINGS)} + 1] || text, '\s+', ' ', 'g'))) AS x, conv_id % 2 = 0 AS asked FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, {_counted(fa.AFFIRMING_PATTERNS)} AS y, {_counted(fa.DENYING_PATTERNS)} AS n FROM t)
+SELECT conv_id, turn, CASE WHEN regexp_matches(left(x, 220), '^\s*(yes|true)\b') OR regexp_matches(x, '\b(answer|conclusion)\s*(is|:)\s*(yes|true)\b') THEN 'yes' WHEN regexp_matches(left(x, 220), '^\s*(no|false)\b') OR regexp_matches(x, '\b(answer|conclusion)\s*(is|:)\s*(no|false)\b') THEN 'no'
+ WHEN regexp_matches(x, '\b(so|therefore|thus|hence|in summary|in conclusion),?\s*(yes|true)\b') THEN 'yes' WHEN regexp_matches(x, '\b(so|therefore|thus|hence|in summary|in conclusion),?\s*(no|false)\b') THEN 'no' WHEN regexp_matches(left(x, 220), '^\s*(maybe|uncertain)\b') THEN 'maybe'
+ WHEN {" OR ".join(f"regexp_matches(x, '{pattern}')" for pattern in fa.OPEN_PATTERNS)} THEN 'maybe' WHEN y > n THEN 'yes' WHEN n > y THEN 'no' WHEN asked AND regexp_matches(x, '{fa.TIED_AFFIRMING}') THEN 'yes' WHEN asked AND regexp_matches(x, '{fa.TIED_DENYING}') THEN 'no' ELSE '' END AS decision FROM c""")
+def inferred_decisions(spark, sf_dir):
+    turns = read_table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    said = F.concat(F.get(F.array(*map(F.lit, SAYINGS)), (F.col("turn") % len(SAYINGS)).cast("int")), F.col("text"))
+    asked = F.when(F.col("conv_id") % 2 == 0, "Is it so?").otherwise("Why so?")
+    return turns.select("conv_id", "turn", fa.inferred_decision(said, asked).alias("decision"))
+
+
+@query("word_scored_datasets", "SELECT DISTINCT source AS dataset, FALSE AS scored FROM documents UNION ALL SELECT ' MuSiQue ', TRUE FROM documents WHERE doc_id = 0")
+def word_scored_datasets(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    names = docs.select(F.col("source").alias("dataset")).distinct().unionByName(docs.filter("doc_id = 0").select(F.lit(" MuSiQue ").alias("dataset")))
+    return names.select("dataset", fa.is_word_scored(F.col("dataset")).alias("scored"))
+
+
 @query("generation_failures", """WITH t AS (SELECT conv_id, turn, trim(lower(CASE turn % 3 WHEN 0 THEN 'Not enough information. ' || text WHEN 1 THEN 'Insufficient information.' ELSE text END)) AS x FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, x = '' OR contains(x, '429') OR x = 'insufficient information.' OR contains(x, 'not enough information') OR contains(x, 'timed out') AS failed FROM t""")
 def generation_failures(spark, sf_dir):

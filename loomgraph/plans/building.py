@@ -38,6 +38,31 @@ def contradictions(spark, sf_dir):
     return build.contradictions(fx.supply_edges(spark, sf_dir))
 
 
+@query("flagged_contradictions", f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT *, CASE position % 3 WHEN 0 THEN ' 5 MG' WHEN 1 THEN '5 mg ' END AS quantity FROM supply_edges),
+g AS (SELECT src, dst, rel_type, lower(trim(condition)) AS c, lower(trim(coalesce(quantity, ''))) AS u, count(DISTINCT negated) AS n FROM e GROUP BY ALL)
+SELECT edge_id, e.src, e.dst, confidence, g.n = 2 AS contradicted FROM e JOIN g ON g.src = e.src AND g.dst = e.dst AND g.c = lower(trim(condition)) AND g.u = lower(trim(coalesce(quantity, '')))""")
+def flagged_contradictions(spark, sf_dir):
+    quantity = F.when(F.col("position") % 3 == 0, " 5 MG").when(F.col("position") % 3 == 1, "5 mg ")
+    out = build.flagged_contradictions(fx.supply_edges(spark, sf_dir).withColumn("quantitative", quantity))
+    return out.select("edge_id", "src", "dst", "confidence", "contradicted")
+
+
+@query("titled_entities", """WITH r AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'result' ELSE split_part(p_name, ' ', 1) END AS name, CASE p_size % 4 WHEN 0 THEN 'Concept' WHEN 1 THEN 'Person' ELSE 'Place' END AS type, CASE p_size % 3 WHEN 0 THEN ' HotpotQA' ELSE 'bioasq' END AS ds,
+  CASE p_size % 5 WHEN 0 THEN upper(split_part(p_name, ' ', 1)) || ' (thing)' ELSE 'Other' END AS title, 's' || p_partkey % 3 AS scope FROM part),
+k AS (SELECT *, lower(name) AS key, type = 'Concept' AS generic, CASE WHEN ds = ' HotpotQA' AND title <> 'Other' THEN scope END AS ts FROM r WHERE name <> 'result' AND length(name) >= 3),
+m AS (SELECT key, count(DISTINCT ts) AS n FROM k GROUP BY key), q AS (SELECT k.*, CASE WHEN n > 1 THEN ts END AS t FROM k JOIN m USING (key)),
+s AS (SELECT key, t, type, row_number() OVER (PARTITION BY key, t ORDER BY count(*) DESC, type) AS r FROM q WHERE NOT generic GROUP BY key, t, type),
+b AS (SELECT q.*, CASE WHEN generic THEN coalesce(s.type, 'Concept') ELSE q.type END AS bucket FROM q LEFT JOIN s ON s.key = q.key AND s.t IS NOT DISTINCT FROM q.t AND s.r = 1)
+SELECT key, bucket, t AS title_scope, CAST(count(*) AS BIGINT) AS mentions FROM b GROUP BY key, bucket, t""")
+def titled_entities(spark, sf_dir):
+    size, first = F.col("p_size"), F.split_part("p_name", F.lit(" "), F.lit(1))
+    rows = read_table(spark, sf_dir, "part").select(
+        F.when(size % 6 == 0, "result").otherwise(first).alias("name"), F.when(size % 4 == 0, "Concept").when(size % 4 == 1, "Person").otherwise("Place").alias("type"), F.lit(None).cast("string").alias("description"),
+        F.when(size % 3 == 0, " HotpotQA").otherwise("bioasq").alias("dataset"), F.when(size % 5 == 0, F.concat(F.upper(first), F.lit(" (thing)"))).otherwise("Other").alias("source_title"), F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")).alias("scope_key"),
+    )
+    return build.harmonize_entities(rows).select("key", "bucket", "title_scope", "mentions")
+
+
 @query("triple_confidence", r"""WITH g AS (SELECT doc_id, doc_id % 50 AS grp, lower(text) AS text FROM documents),
 t AS (SELECT item_id AS triple_id, lower(split_part(text, ' ', 1)) AS s, lower(split_part(text, ' ', 3)) AS t, item_id % 60 AS grp FROM benchmark),
 j AS (SELECT triple_id, s, t, text, [x FOR x IN regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))] AS sents FROM t LEFT JOIN g USING (grp)),
