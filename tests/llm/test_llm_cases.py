@@ -472,6 +472,83 @@ def test_toxicity_chain_predicts_unseen_rows_out_of_fold():
     assert abs(np.mean((blind.unseen[:, -1] >= 0.5) == noise) - 0.5) < 0.12
 
 
+def plain_chain(texts, labels, asked):
+    """The chain worked out word by word with whole matrices: features, categories, folds and models."""
+    import math
+    import re
+
+    def features(text):
+        return {f for word in set(re.findall(r"[^\W\d_]+", text.lower())) for f in toxicity.word_features(word)}
+
+    rows = [features(text) for text in texts]
+
+    def view(seen):
+        own = [(rows[i], labels[i]) for i in seen]
+        n1, n0 = sum(y for _, y in own), sum(1 - y for _, y in own)
+        told = {}
+        for f in {f for row, _ in own for f in row}:
+            one, zero = sum(f in row for row, y in own if y), sum(f in row for row, y in own if not y)
+            a, b, c = (one + 0.5) / (n1 + 1), (zero + 0.5) / (n0 + 1), (one + zero + 0.5) / (n0 + n1 + 1)
+            evidence = 2 * (one * math.log(a / c) + zero * math.log(b / c))
+            if one + zero >= toxicity.LEAST_TEXTS and evidence >= toxicity.LEAST_EVIDENCE and a > b:
+                told[f] = (evidence, math.log(a / b) >= toxicity.TYPICAL and f & 3 == 0)
+        kept = sorted(sorted(told, key=lambda f: (-told[f][0], f))[: toxicity.MAX_FEATURES])
+        found = [sum(told[f][1] for f in kept if f in row) for row in rows]
+        several = np.median([found[i] for i in seen if labels[i]]) if n1 else 0
+        targets = [[y * (k > 0) for y, k in zip(labels, found, strict=True)], [y * (k >= max(1, several)) for y, k in zip(labels, found, strict=True)], labels]
+        return kept, np.array(targets, float)
+
+    def matrix(kept, given):
+        return np.array([[float(f in row) for f in kept] for row in given]).reshape(len(given), len(kept))
+
+    def fit(x, width, y):
+        n, share = len(y), np.mean(y)
+        weight = np.array([0.5 / max(share, 1e-9) if v else 0.5 / max(1 - share, 1e-9) for v in y]) / n
+        rate = 4.0 / max(1.0, min(x[:, :width].sum(axis=1).max(initial=0) + x.shape[1] - width + 1, 64))
+        x = np.column_stack((x, np.ones(n)))
+        here = ahead = np.zeros(x.shape[1])
+        for step in range(250):
+            slope = x.T @ (weight * (1 / (1 + np.exp(-x @ ahead)) - y))
+            slope[:-1] += toxicity.PENALTY / math.sqrt(n) * ahead[:-1]
+            after = ahead - rate * slope
+            ahead, here = after + step / (step + 3) * (after - here), after
+        return here
+
+    said = lambda model, x: 1 / (1 + np.exp(-np.column_stack((x, np.ones(len(x)))) @ model))
+    everyone = list(range(len(texts)))
+    kept, targets = view(everyone)
+    folds = [view([i for i in everyone if i % toxicity.FOLDS != fold]) for fold in range(toxicity.FOLDS)]
+    before, out = np.zeros((len(texts), 0)), np.zeros((len(asked), 0))
+    new = [features(text) for text in asked]
+    for category in range(len(toxicity.CATEGORIES)):
+        unseen = np.zeros(len(texts))
+        for fold, (own, aims) in enumerate(folds):
+            inside = [i for i in everyone if i % toxicity.FOLDS != fold]
+            x = np.column_stack((matrix(own, rows), before))
+            model = fit(x[inside], len(own), aims[category][inside])
+            outside = [i for i in everyone if i % toxicity.FOLDS == fold]
+            unseen[outside] = said(model, x[outside])
+        model = fit(np.column_stack((matrix(kept, rows), before)), len(kept), targets[category])
+        out = np.column_stack((out, said(model, np.column_stack((matrix(kept, new), out)))))
+        before = np.column_stack((before, unseen))
+    return out
+
+
+def test_toxicity_chain_is_what_plain_matrices_give():
+    rng = random.Random(21)
+    vocab = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    texts, labels = [], []
+    for i in range(72):
+        label = int(rng.random() < 0.4)
+        bad = rng.sample(["scum", "vermin", "filthy"], rng.randrange(1, 4)) if label else (["filthy"] if rng.random() < 0.1 else [])
+        texts.append(" ".join([*rng.sample(vocab, 12), *bad]))
+        labels.append(label)
+    asked = [*texts[:10], "scum vermin", "", "wordaa filthy", "Vermins! scummy 12"]
+    chain = toxicity.ToxicityChain([toxicity.text_features(text) for text in texts], np.array(labels))
+    found, expected = chain.probabilities(asked), plain_chain(texts, labels, asked)
+    assert np.allclose(found, expected, atol=1e-9) and found[10, -1] > 0.5 > found[11, -1]
+
+
 def test_toxicity_chain_learns_marker_words():
     markers = ["vile", "rotten"]
     texts = [words(40) + (f" {RNG.choice(markers)} {words(5)}" if i % 4 == 0 else "") for i in range(200)]

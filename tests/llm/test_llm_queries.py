@@ -90,6 +90,8 @@ def test_toxicity_finds_what_it_learned(spark):
     labels = {row["doc_id"]: row["toxic"] for row in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = [row for row in QUERIES["op9_score_toxicity"](spark, DATA).collect() if row["doc_id"] in labels]
     clean = [row["toxic_pred"] for row in rows if labels[row["doc_id"]] == 0]
+    mean = {label: np.mean([row["p_toxic"] for row in rows if labels[row["doc_id"]] == label]) for label in (0, 1)}
+    assert mean[1] > 2 * mean[0] and any(row["toxic_pred"] for row in rows if labels[row["doc_id"]] == 1)
     assert np.mean(clean) <= 0.05 and all(0 <= row[f"p_{name}"] <= 1 for row in rows for name in ("marked", "dense", "toxic"))
 
 
