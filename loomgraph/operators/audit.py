@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.naming import span_match, surface_forms, text_spans
 from loomgraph.functions.text import structural_text
+from loomgraph.operators.alike import similar_names
 from loomgraph.operators.retrieve import held_texts
 
 
@@ -147,18 +148,33 @@ def support_grid(answers: DataFrame, grid: DataFrame) -> DataFrame:
     return met.groupBy("tau", "gamma", "question_id").agg(F.when(down > 0, 1 - up / down).alias("score"))
 
 
+#: Ratio from which a span is a misspelled form of a name.
+MISSPELLED = 0.92
+
+
 def text_entities(texts: DataFrame, entities: DataFrame, least: int = 4, most: int = 5) -> DataFrame:
     """(text_id, entity_id, score, rank): the entities (entity_id, names) that a text names most surely.
 
-    A text and an entity meet where a form of its names stands in the text, also
-    inside a word; what doesn't would score nothing.
+    A form of a name that is one of the text's spans scores 5 and more, one that
+    stands in the text, also inside a word, 4 and more, and one that is spelled
+    like a span of about as many words 3 and the ratio. Texts and names meet by
+    what they hold and by a join of similar spellings, not all with all.
     """
     asked = texts.withColumn("spans", text_spans(F.col("text"), least)).withColumn("hay", structural_text(F.col("text")))
     named = entities.select("entity_id", surface_forms(least, F.col("names")).alias("forms"))
     forms = named.select("entity_id", F.explode("forms").alias("needle"))
     held = held_texts(forms.select("needle").distinct(), asked.select("hay").distinct())
     met = held.join(asked.select("text_id", "hay"), "hay").join(forms, "needle").select("text_id", "entity_id").distinct()
-    scored = met.join(asked, "text_id").join(named, "entity_id").withColumn("score", span_match(F.col("text"), F.col("spans"), F.col("forms"))).filter("score > 0")
+    sure = met.join(asked, "text_id").join(named, "entity_id").withColumn("score", span_match(F.col("text"), F.col("spans"), F.col("forms"))).filter("score > 0").select("text_id", "entity_id", "score")
+
+    spans = asked.select("text_id", F.posexplode("spans").alias("at", "span"))
+    alike = similar_names(spans.select(F.col("span").alias("name")), forms.select(F.col("needle").alias("name")), MISSPELLED).filter(F.col("a") != F.col("b"))
+    words = lambda name: F.size(F.split(name, " "))
+    near = alike.filter(F.abs(words("a") - words("b")) <= 1).join(spans, F.col("a") == F.col("span"))
+    first = near.groupBy("text_id", "b").agg(F.min_by("ratio", "at").alias("ratio"))
+    like = first.join(forms, F.col("b") == F.col("needle")).groupBy("text_id", "entity_id").agg((3 + F.max("ratio")).alias("score"))
+
+    scored = sure.unionByName(like).groupBy("text_id", "entity_id").agg(F.max("score").alias("score")).join(named, "entity_id")
     order = W.partitionBy("text_id").orderBy(F.desc("score"), F.desc(F.length(F.get("forms", F.lit(0)))), "entity_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("text_id", "entity_id", "score", "rank")
 

@@ -113,3 +113,14 @@ def test_keys_agree_as_names_do(spark):
     frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", entity_key(F.col("a")).alias("x"), entity_key(F.col("b")).alias("y"), linking.may_be_synonyms(F.col("a"), F.col("b")).alias("agree"))
     for row in frame.collect():
         assert linking.keys_agree(row["x"], row["y"]) == row["agree"], row
+
+
+def test_texts_name_entities_also_misspelled(spark):
+    from loomgraph.operators import audit
+
+    texts = spark.createDataFrame([(1, "Interleukin sixx treats it"), (2, "superinterleukins"), (3, "TBK1 kinases"), (4, "")], "text_id int, text string")
+    names = [("a", ["interleukin six"]), ("b", ["interleukin"]), ("c", ["TBK1 kinase", "NAK"]), ("d", ["treats itt"])]
+    found = audit.text_entities(texts, spark.createDataFrame(names, "entity_id string, names array<string>"))
+    scores = {(row["text_id"], row["entity_id"]): row["score"] for row in found.collect()}
+    assert scores.keys() == {(1, "a"), (1, "b"), (1, "d"), (2, "b"), (3, "c")}
+    assert 4 < scores[1, "a"] < 5 and scores[1, "b"] > 5 and 4 < scores[3, "c"] < 5 and abs(scores[1, "d"] - 3 - ratio("treats it", "treats itt")) < 1e-9
