@@ -37,6 +37,25 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     return top_per_query(scored, k, F.desc("score"), F.col("vec_id"))
 
 
+def scoped_span_search(queries: DataFrame, spans: DataFrame, parents: DataFrame, k: int, threshold: float = 0.08) -> DataFrame:
+    """(query_id, chunk_id, score, rank, level): the nearest chunks of each query's scope by their spans, or by themselves where the scope has no spans.
+
+    ``queries`` is (query_id, embedding, scope), ``spans`` (span_id, chunk_id,
+    embedding, scope) and ``parents`` (chunk_id, embedding, scope). A chunk has
+    the score of its best span; only queries whose scope has no span at all go
+    to the chunks' own vectors. Ties go to the lower id.
+    """
+    scopes = spans.select("scope").distinct()
+    by_spans, by_chunks = queries.join(scopes, "scope", "left_semi"), queries.join(scopes, "scope", "left_anti")
+    own = spans.select(F.col("span_id").alias("vec_id"), "embedding", "scope")
+    most = spans.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    met = vector_top_k(by_spans, own, k * most, threshold, same_scope=True).join(spans.select(F.col("span_id").alias("vec_id"), "chunk_id"), "vec_id")
+    best = met.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).withColumn("level", F.lit("span"))
+    whole = vector_top_k(by_chunks, parents.select(F.col("chunk_id").alias("vec_id"), "embedding", "scope"), k, threshold, same_scope=True)
+    both = best.unionByName(whole.select("query_id", F.col("vec_id").alias("chunk_id"), "score", F.lit("chunk").alias("level")))
+    return top_per_query(both, k, F.desc("score"), F.col("chunk_id"))
+
+
 def _forest(close: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from one member of each component of a matrix of pairs to its others."""
     open_down, open_across = close.any(axis=1), close.any(axis=0)

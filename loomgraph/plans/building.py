@@ -226,14 +226,21 @@ def path_disagreement(spark, sf_dir):
     return uncertainty.path_disagreement(graph.expand_paths(seeds, edges, 2)).select("query_id", F.round("disagreement", 6).alias("disagreement"), "ends")
 
 
-@query("competing_alternatives", f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, rel_type, dst FROM supply_edges), a AS (SELECT p_partkey AS query_id, 'P' || p_partkey AS node FROM part),
-q AS (SELECT query_id, min(src) AS src FROM e JOIN a ON a.node = e.dst GROUP BY query_id), k AS (SELECT query_id, e.* FROM e JOIN q USING (src)),
-t AS (SELECT DISTINCT query_id, rel_type FROM k JOIN a USING (query_id) WHERE a.node = k.dst), n AS (SELECT query_id, rel_type, count(DISTINCT dst) AS n FROM k JOIN t USING (query_id, rel_type) GROUP BY ALL)
-SELECT query_id, round(1 - 1 / (1 + max(n)), 6) AS competition FROM n GROUP BY query_id""")
+@query("competing_alternatives", f"""WITH {fx.SUPPLY_EDGES}, e AS (SELECT DISTINCT src, rel_type, dst FROM supply_edges), s AS (SELECT dst, min(src) AS src FROM e GROUP BY dst),
+q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN 'P' || p_partkey WHEN p_partkey % 3 = 1 THEN src ELSE 'nobody' END AS node FROM part LEFT JOIN s ON dst = 'P' || p_partkey),
+a AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN src ELSE 'P' || p_partkey END AS node FROM part LEFT JOIN s ON dst = 'P' || p_partkey),
+w AS (SELECT src AS f, dst AS t, rel_type, 0 AS d FROM e UNION ALL SELECT dst, src, rel_type, 1 FROM e),
+k AS (SELECT q.query_id, d, rel_type, t FROM w JOIN q ON q.node = f WHERE t <> q.node), ty AS (SELECT DISTINCT k.query_id, d, rel_type FROM k JOIN a ON a.query_id = k.query_id AND a.node = t), c AS (SELECT query_id, min(d) AS d FROM ty GROUP BY query_id),
+n AS (SELECT k.query_id, k.rel_type, count(DISTINCT t) AS n FROM k JOIN ty USING (query_id, d, rel_type) JOIN c USING (query_id, d) GROUP BY k.query_id, k.rel_type), m AS (SELECT query_id, max(n) AS n FROM n GROUP BY query_id)
+SELECT q.query_id, coalesce(round(1 - 1 / (1 + n), 6), 0) AS competition FROM q LEFT JOIN m ON m.query_id = q.query_id WHERE node IS NOT NULL""")
 def competing_alternatives(spark, sf_dir):
+    """Questions name a part's first supplier, the part itself or nobody; answers are the part, or for those that name it the supplier."""
     edges = fx.supply_edges(spark, sf_dir).select("src", "rel_type", "dst").distinct()
-    wanted = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
-    asked = edges.join(wanted, F.col("dst") == F.col("node")).groupBy("query_id").agg(F.min("src").alias("node"))
+    key, part = F.col("p_partkey"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    rows = read_table(spark, sf_dir, "part").select(key.alias("query_id"), part.alias("dst")).join(edges.groupBy("dst").agg(F.min("src").alias("src")), "dst", "left")
+    k = F.col("query_id") % 3
+    asked = rows.select("query_id", F.when(k == 0, F.col("dst")).when(k == 1, F.col("src")).otherwise("nobody").alias("node")).filter("node IS NOT NULL")
+    wanted = rows.select("query_id", F.when(k == 0, F.col("src")).otherwise(F.col("dst")).alias("node"))
     return uncertainty.competing_alternatives(edges, asked, wanted).select("query_id", F.round("competition", 6).alias("competition"))
 
 
