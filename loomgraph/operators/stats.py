@@ -10,11 +10,18 @@ score (see :mod:`loomgraph.operators.running`), everything else by aggregates.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomgraph.operators.running import ranked_values, running_sums
+from loomgraph.sources.shared import stored
 
 
 def _in_order(df: DataFrame, keys: list[str], order: list[Column], **sums: Column) -> DataFrame:
@@ -118,24 +125,79 @@ def kappa(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     return df.groupBy(*keys).agg(observed.alias("agreement"), F.when(chance < 1, (observed - chance) / (1 - chance)).otherwise(1.0).alias("kappa"))
 
 
-def bootstrap_auroc(df: DataFrame, keys: list[str], wrong: str = "wrong", score: str = "u", draws: int = 200, seed: int = 42) -> DataFrame:
+#: Poisson(1) as steps of its distribution function: a draw above so many of them counts a row so often.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+#: Draws that one digest of a row gives weights for.
+DRAWS_EACH = 4
+
+
+def row_weights(ids: list, draws: int, seed: int) -> np.ndarray:
+    """How often each row counts in each draw, from a digest of seed, number of four draws and id: one line a row."""
+    blocks = -(-draws // DRAWS_EACH)
+    digests = b"".join(hashlib.md5(f"{seed}|{block}|{key}".encode()).digest() for key in ids for block in range(blocks))
+    unit = (np.frombuffer(digests, ">u4").reshape(len(ids), blocks * DRAWS_EACH)[:, :draws] + 0.5) / 2.0**32
+    return (unit[:, :, None] > np.array(POISSON)).sum(axis=2)
+
+
+def bootstrap_auroc(df: DataFrame, keys: list[str], wrong: str = "wrong", score: str = "u", draws: int = 200, seed: int = 42, id_column: str = "question_id") -> DataFrame:
     """2.5 and 97.5 percentiles of the AUROC over resamples of each group.
 
     A row's weight in a draw is Poisson(1) (the bootstrap of data too large to
     draw with replacement), taken from a hash of the draw and the row's id, so
-    it is the same in every run and on any partitioning. All draws of a group
-    are ranked in one pass over windows of (group, draw).
+    it is the same in every run and on any partitioning. Rows are dealt out by
+    ranges of the score once and read in order; each range adds up, for all
+    draws together, its own pairs and weights, and pairs across ranges follow
+    from the ranges' totals.
     """
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "_draw", "question_id"), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((unit > step).cast("int") for step in steps)
-    drawn = df.filter(F.col(score).isNotNull()).select(*keys, "question_id", wrong, score, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw")).withColumn("_w", weight).filter("_w > 0")
-    below = W.partitionBy(*keys, "_draw").orderBy(score).rangeBetween(W.unboundedPreceding, W.currentRow)
-    equal = W.partitionBy(*keys, "_draw", score)
-    right = F.col("_w") * (~F.col(wrong)).cast("int")
-    ranked = drawn.withColumn("_below", F.sum(right).over(below)).withColumn("_equal", F.sum(right).over(equal))
-    hits = F.sum(F.when(F.col(wrong), F.col("_w") * (F.col("_below") - 0.5 * F.col("_equal"))))
-    one, zero = F.sum(F.col("_w") * F.col(wrong).cast("int")), F.sum(right)
-    per_draw = ranked.groupBy(*keys, "_draw").agg(F.when((one > 0) & (zero > 0), hits / (one * zero)).alias("auroc"))
+    rows = df.filter(F.col(score).isNotNull()).select(*keys, F.col(score).cast("double").alias("score"), F.col(wrong).cast("boolean").alias("wrong"), F.col(id_column).cast("string").alias("id"))
+    sorted_rows = rows.repartitionByRange(*keys, "score").sortWithinPartitions(*keys, "score")
+    kinds = ", ".join(f"`{key}` {rows.schema[key].dataType.simpleString()}" for key in keys)
+    width = len(keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, out = None, []
+        hits = right = ones = equal_right = equal_ones = np.zeros(draws)
+        last = None
+
+        def close() -> None:
+            """Count the rows of the last score, whose right ones stand half below its wrong ones."""
+            nonlocal hits, right, ones, equal_right, equal_ones
+            hits = hits + equal_ones * (right + equal_right / 2.0)
+            right, ones = right + equal_right, ones + equal_ones
+            equal_right = equal_ones = np.zeros(draws)
+
+        def end() -> None:
+            nonlocal hits, right, ones
+            close()
+            if group is not None:
+                out.append((*group, hits.tolist(), ones.tolist(), right.tolist()))
+            hits = right = ones = np.zeros(draws)
+
+        for batch in batches:
+            columns = [column.to_pylist() for column in batch.columns]
+            weights = row_weights(columns[width + 2], draws, seed)
+            for k, (value, is_wrong) in enumerate(zip(columns[width], columns[width + 1], strict=True)):
+                own = tuple(column[k] for column in columns[:width])
+                if own != group:
+                    end()
+                    group, last = own, value
+                elif value != last:
+                    close()
+                    last = value
+                if is_wrong:
+                    equal_ones = equal_ones + weights[k]
+                else:
+                    equal_right = equal_right + weights[k]
+        end()
+        named = zip(*out, strict=True) if out else ([] for _ in range(width + 3))
+        types = [sorted_types[key] for key in keys] + [pa.list_(pa.float64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(named, types, strict=True)], names=[*keys, "hits", "ones", "rights"])
+
+    sorted_types = {field.name: field.type for field in to_arrow_schema(rows.select(*keys).schema)}
+    parts = stored(sorted_rows.mapInArrow(add, f"{kinds}, hits array<double>, ones array<double>, rights array<double>").withColumn("range", F.spark_partition_id()), "draws")
+    each = parts.select(*keys, "range", F.posexplode(F.arrays_zip("hits", "ones", "rights")).alias("draw", "x")).select(*keys, "range", "draw", "x.*")
+    below = F.coalesce(F.sum("rights").over(W.partitionBy(*keys, "draw").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    one, zero = F.sum("ones"), F.sum("rights")
+    per_draw = each.withColumn("below", below).groupBy(*keys, "draw").agg(F.when((one > 0) & (zero > 0), F.sum(F.col("hits") + F.col("ones") * F.col("below")) / (one * zero)).alias("auroc"))
     ends = F.percentile("auroc", [0.025, 0.5, 0.975])
     return per_draw.groupBy(*keys).agg(ends.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))

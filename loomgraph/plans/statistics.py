@@ -162,9 +162,16 @@ def cohens_kappa(spark, sf_dir):
     return stats.kappa(fx.eval_rows(spark, sf_dir), ["dataset"], "correct", "kg_correct").select("dataset", F.round("agreement", 6).alias("agreement"), (F.round("kappa", 6) + 0.0).alias("kappa"))
 
 
-@query("bootstrap_auroc")
+@query("bootstrap_auroc", f"""{WITH},
+d AS (SELECT task_type, wrong, u1, 4 * j + k AS draw, (CAST('0x' || substr(md5('42|' || j || '|' || question_id), 8 * k + 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM answered, (SELECT unnest(range(50)) AS j), (SELECT unnest(range(4)) AS k) WHERE u1 IS NOT NULL),
+w AS (SELECT *, {" + ".join(f"(u > {step}::DOUBLE)::INT" for step in stats.POISSON)} AS w FROM d),
+v AS (SELECT task_type, draw, u1, sum(w) FILTER (wrong) AS one, sum(w) FILTER (NOT wrong) AS zero FROM w GROUP BY task_type, draw, u1),
+c AS (SELECT task_type, draw, coalesce(one, 0) AS one, coalesce(zero, 0) AS zero, coalesce(sum(zero) OVER (PARTITION BY task_type, draw ORDER BY u1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v),
+a AS (SELECT task_type, draw, CASE WHEN sum(one) > 0 AND sum(zero) > 0 THEN sum(one * (below + zero / 2.0::DOUBLE)) / (sum(one) * sum(zero)) END AS auroc FROM c GROUP BY task_type, draw)
+SELECT task_type, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.5), 6) AS median, round(quantile_cont(auroc, 0.975), 6) AS high FROM a GROUP BY task_type""")
 def bootstrap_auroc(spark, sf_dir):
-    return stats.bootstrap_auroc(answered(spark, sf_dir), ["task_type"], score="u1")
+    out = stats.bootstrap_auroc(answered(spark, sf_dir), ["task_type"], score="u1")
+    return out.select("task_type", *[F.round(name, 6).alias(name) for name in ("low", "median", "high")])
 
 
 @query("auroc_matrix", f"""{WITH},
