@@ -405,7 +405,7 @@ def _possible_pairs(places: DataFrame, roots: DataFrame, able: DataFrame, neares
     return met.distinct() if nearest else met.union(_pairs_of_many(mixed.filter(F.col("size") > PLACE).select("at", "nid", "root"), able)).distinct()
 
 
-def _pairs_of_few(placed: DataFrame, able: DataFrame, nearest: bool) -> DataFrame:
+def _pairs_of_few(placed: DataFrame, able: DataFrame, nearest: bool = False) -> DataFrame:
     """(a, b) of (at, nid, root): the possible pairs of different roots at places of PLACE classes at most, a place's members as one row; with ``nearest`` one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

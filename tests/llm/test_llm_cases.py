@@ -198,6 +198,12 @@ def test_possible_pairs_are_those_of_the_whole_sketch(spark):
     wanted = {(a, b) for a in sketch for b in sketch if a > b and a // 2 != b // 2 and places[a] & places[b] and 175 * int(np.bitwise_count(sketch[a] ^ sketch[b]).sum()) <= 25 * 300}
     for pairs in (neardup._pairs_of_few, neardup._pairs_of_many):
         assert {tuple(row) for row in pairs(placed, able).collect()} == wanted
+    near = [tuple(row) for row in neardup._pairs_of_few(placed, able, nearest=True).collect()]
+    assert set(near) <= wanted and len(near) <= len(at)
+    for place in range(50):  # of the possible pairs of a place each class has its nearest to one that comes before it
+        own = [n for n in places if place in places[n]]
+        possible = {pair for pair in wanted if set(pair) <= set(own)}
+        assert not possible or possible & set(near)
 
 
 @pytest.mark.parametrize("task_links", [0, 1000])
