@@ -56,6 +56,30 @@ def stages(spark, tmp_path_factory):
     return found
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    sf_dir = str(tmp_path_factory.mktemp("tables"))
+    rows, labels, items = made()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    return sf_dir, spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows if k is not None and k < 10 or k in (500, 501, 504)], SCHEMA.rsplit(",", 1)[0])
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_and_any_other_column(spark, tables, name):
+    sf_dir, docs = tables
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain = stage(spark, docs, sf_dir)
+    more = docs
+    for other in ("_text", "runs", "_cls", "_n_words", "score", "kept_text", "carried by the row"):
+        more = more.withColumn(other, docs["lang"])
+    found = stage(spark, more, sf_dir)
+    assert found.columns == plain.columns
+    if name != "packing":  # sequences follow partitions
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+
+
 def key(row):
     return (row[0], row[1] or "")
 
