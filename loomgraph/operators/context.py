@@ -169,6 +169,13 @@ def context_totals(selected: DataFrame, entities: DataFrame, edges: DataFrame) -
     return own.join(count(entities, "entities"), "query_id", "left").join(count(edges, "relations"), "query_id", "left").fillna(0, ["entities", "relations"])
 
 
+def result_texts(selected: DataFrame) -> DataFrame:
+    """(query_id, texts): the texts of each query's chosen chunks (query_id, rank, text) in their order, blank and repeated ones left out."""
+    told = selected.filter(F.trim("text") != "")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"])
+    return told.groupBy("query_id").agg(F.array_distinct(ordered).alias("texts"))
+
+
 def _told(rows: DataFrame, line: Column, separator: str) -> DataFrame:
     """(query_id, told): the lines of a query's chunks in the order of their ranks."""
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda r: r["line"]), separator).alias("told"))

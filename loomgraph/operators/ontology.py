@@ -157,3 +157,13 @@ def enforce_schema(entities: DataFrame, edges: DataFrame, types: DataFrame) -> t
     kept = coerce_types(entities, types)
     ids = kept.select("entity_id")
     return kept, edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+
+
+def typed_view(entities: DataFrame, edges: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A graph as an ontology's view shows it: nodes (entity_id, label, type) with the ontology's types, and the edges (src, dst, label) between them.
+
+    A node's label is its name, else its id; an edge's is its type in words.
+    """
+    kept, inside = enforce_schema(entities, edges, types)
+    label = F.coalesce(F.when(F.trim("name") != "", F.trim("name")), F.col("entity_id"))
+    return kept.select("entity_id", label.alias("label"), F.col("type_id").alias("type")), inside.select("src", "dst", F.lower(F.translate("rel_type", "_", " ")).alias("label"))

@@ -81,6 +81,11 @@ def selected_scopes(spark, sf_dir):
     return out.select("query_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positions", "question_ids", "passage_keys")])
 
 
+@query("result_texts", f"""WITH {COMPARED}, t AS (SELECT query_id, text, min(rank) AS r FROM ranked WHERE rank <= 12 GROUP BY query_id, text) SELECT query_id, md5(string_agg(text, '|' ORDER BY r)) AS texts FROM t GROUP BY query_id""")
+def result_texts(spark, sf_dir):
+    return context.result_texts(selected_chunks(spark, sf_dir, 12)).select("query_id", F.md5(F.array_join("texts", "|")).alias("texts"))
+
+
 @query("told_blocks", f"""WITH {COMPARED} SELECT query_id, md5('PASSAGES:' || chr(10) || string_agg('[' || rank || '] ' || trim(text), chr(10) || chr(10) ORDER BY rank)) AS passages,
 md5(string_agg('[' || rank || '] ' || document || ': ' || left(text, 320), chr(10) ORDER BY rank) FILTER (rank <= 8)) AS guardrail, md5(string_agg('[Source: ' || document || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rank)) AS sources FROM ranked WHERE rank <= 12 GROUP BY query_id""")
 def told_blocks(spark, sf_dir):

@@ -149,6 +149,12 @@ def gold(records: DataFrame) -> DataFrame:
     return records.select("id", "dataset", F.col("answer").alias("short_answer"), "long_answer", "aliases")
 
 
+def eval_records(asked: DataFrame, known: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Questions as a system sees them joined with their gold answers, by dataset and id; only the chosen ones (dataset, id), if told. Questions without a gold answer aren't evaluated."""
+    joined = asked.join(known, ["dataset", "id"])
+    return joined if chosen is None else joined.join(chosen.select("dataset", "id"), ["dataset", "id"], "left_semi")
+
+
 def passages(records: DataFrame, per_question: bool = True) -> DataFrame:
     """(question_id, passage_index, title, text): contexts as passages; equal texts once a question, or once over all."""
     from loomgraph.operators.chunking import first_passages
