@@ -199,3 +199,13 @@ def confidence(value: Column) -> Column:
     spoken = reduce(lambda case, item: case.when(words == item[0], item[1]), list(SPOKEN_CONFIDENCE.items())[1:], F.when(words == "demonstrated", 0.95))
     clamped = F.when(number.isNotNull() & ~F.isnan(number), F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
     return F.coalesce(clamped, spoken, F.lit(0.0))
+
+
+def shortened(text: Column, fewer: Column, most: int) -> Column:
+    """The distinct texts that taking ``fewer`` characters (``most`` at most, and fewer than there are) out of a text leaves."""
+    drop = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v))))
+    out, left = F.when(fewer == 0, F.array(text)), F.array(text)
+    for k in range(1, most + 1):
+        left = F.array_distinct(F.flatten(F.transform(left, drop)))
+        out = out.when(fewer == k, left)
+    return out

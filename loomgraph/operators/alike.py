@@ -7,18 +7,26 @@ by their occurrence ("a1", "a2") and ordered by how rare they are; two names
 with enough in common share one among the first few of either. So names meet
 in an equi-join on those, are held to the bounds by built-in functions, and the
 ratio is worked out for what is left. No pair above the threshold is lost.
+
+Letters are few, so names of one length are met by most others through them.
+Where the threshold leaves few characters to take out of two lengths until the
+names are one text, names meet on what is left instead: hardly any others do.
 """
 
 from __future__ import annotations
 
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.fuzzy import match_ratio
 from loomgraph.functions.naming import candidate_names
-from loomgraph.functions.text import entity_key, name_variants
+from loomgraph.functions.text import entity_key, name_variants, shortened
 
+#: Shortened forms of a name, at most, by which names of two lengths meet; where there are more they meet by letters.
+FORMS = 500
 #: Rounding of bounds on whole numbers of letters.
 SLACK = 1e-9
 # Scores of an endpoint that one name holds the other, and of shared words; what resolves an end, and by how much.
@@ -40,8 +48,39 @@ def possible_ratio(a: Column, b: Column, least: float) -> Column:
 
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, ratio): the names of two tables (name) whose ratio is ``least`` (above 0) or more; each name once, blank and null ones in no pair."""
-    named = lambda rows: rows.select("name").filter(F.col("name") != "").distinct().withColumn("letters", numbered_letters(F.col("name")))
-    sides = {"a": named(left), "b": named(right)}
+    named = lambda rows: rows.select("name").filter(F.col("name") != "").distinct()
+    names = {"a": named(left), "b": named(right)}
+    lengths = {side: sorted(row[0] for row in rows.select(F.length("name")).distinct().collect()) for side, rows in names.items()}  # one number a length
+    few, many = [], []
+    for n in lengths["a"]:
+        for m in lengths["b"]:
+            common = max(1, ceil(least * (n + m) / 2 - SLACK))
+            if common <= min(n, m):
+                (few if max(comb(n, common), comb(m, common)) <= FORMS else many).append((n, m, common))
+    near = _met_shortened(names, few)
+    if many:
+        near = near.unionByName(_met_by_letters(names, many, least))
+    return near.withColumn("ratio", match_ratio("a", "b")).filter(F.col("ratio") >= least)
+
+
+def _met_shortened(names: dict[str, DataFrame], few: list[tuple[int, int, int]]) -> DataFrame:
+    """(a, b): names of the given pairs of lengths that have the given number of characters in common, in order."""
+    spark = names["a"].sparkSession
+    kinds = F.broadcast(spark.createDataFrame(few, "n int, m int, common int"))  # pairs of lengths
+
+    def forms(side: str, own: str) -> DataFrame:
+        most = max([(n, m)[own == "m"] - common for n, m, common in few], default=0)
+        rows = names[side].withColumn(own, F.length("name")).join(kinds, own)
+        return rows.select(F.col("name").alias(side), "n", "m", F.explode(shortened(F.col("name"), F.col(own) - F.col("common"), most)).alias("form"))
+
+    return forms("a", "n").join(forms("b", "m"), ["n", "m", "form"]).select("a", "b").distinct()
+
+
+def _met_by_letters(names: dict[str, DataFrame], many: list[tuple[int, int, int]], least: float) -> DataFrame:
+    """(a, b): names of the given pairs of lengths whose letters allow the ratio."""
+    spark = names["a"].sparkSession
+    kinds = F.broadcast(spark.createDataFrame(many, "n int, m int, common int"))
+    sides = {side: names[side].join(kinds.select(F.col(own).alias("_n")).distinct(), F.length("name") == F.col("_n")).select("name", numbered_letters(F.col("name")).alias("letters")) for side, own in (("a", "n"), ("b", "m"))}
     often = sides["a"].select(F.explode("letters").alias("letter")).unionByName(sides["b"].select(F.explode("letters").alias("letter"))).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
 
     def prefixes(side: str) -> DataFrame:
@@ -53,10 +92,10 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         return ranked.filter(F.col("r") <= F.col("first")).select(F.col("name").alias(side), "letter")
 
     met = prefixes("a").join(prefixes("b"), "letter").select("a", "b").distinct()
+    met = met.join(kinds, (F.length("a") == F.col("n")) & (F.length("b") == F.col("m")), "left_semi")
     for side in "ab":
         met = met.join(sides[side].select(F.col("name").alias(side), F.col("letters").alias(f"letters_{side}")), side)
-    near = met.filter(possible_ratio(F.col("letters_a"), F.col("letters_b"), least)).select("a", "b")
-    return near.withColumn("ratio", match_ratio("a", "b")).filter(F.col("ratio") >= least)
+    return met.filter(possible_ratio(F.col("letters_a"), F.col("letters_b"), least)).select("a", "b")
 
 
 def end_score(raw: Column, candidate: Column, ratio: Column) -> Column:
