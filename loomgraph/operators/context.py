@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import comparison_branches, content_tokens, overlap_count, squeeze
 from loomgraph.operators.retrieve import top_per_query
 from loomgraph.operators.scope import supported_by_chunks
+from loomgraph.sources.shared import cut
 
 #: Cosines from which an entity is linked to a mention, or to a whole question.
 MENTION_LINK, QUESTION_LINK = 0.72, 0.55
@@ -126,10 +127,15 @@ def walked_chunks(chunks: DataFrame, mentions: DataFrame, walks: DataFrame) -> D
     query's best, 0.05 more for each further entity, at most 1. Only entities
     of LEAST_WALK or more bring new chunks.
     """
+    walks = cut(walks)
     best = walks.groupBy("query_id").agg(F.max("score").alias("best"))
     scaled = walks.join(best, "query_id").filter("best > 0").select("query_id", F.col("node").alias("entity_id"), (F.col("score") / F.col("best")).alias("s"), (F.col("score") >= LEAST_WALK).alias("strong"))
-    told = mentions.select("chunk_id", "entity_id").distinct().join(scaled, "entity_id")
-    share = told.groupBy("query_id", "chunk_id").agg(F.least(F.lit(1.0), F.avg("s") + 0.05 * (F.count(F.lit(1)) - 1)).alias("walk"), F.bool_or("strong").alias("strong"))
+    told = mentions.select("chunk_id", "entity_id").distinct()
+    # scores of a walk sum to 1, so strong entities are few; other chunks than theirs and the retrieved ones aren't asked for
+    reached = told.join(scaled.filter("strong").select("query_id", "entity_id"), "entity_id").select("query_id", "chunk_id")
+    wanted = chunks.select("query_id", "chunk_id").unionByName(reached).distinct()
+    met = wanted.join(told, "chunk_id").join(scaled, ["query_id", "entity_id"])
+    share = met.groupBy("query_id", "chunk_id").agg(F.least(F.lit(1.0), F.avg("s") + 0.05 * (F.count(F.lit(1)) - 1)).alias("walk"), F.bool_or("strong").alias("strong"))
     both = chunks.select("query_id", "chunk_id", "cosine").join(share, ["query_id", "chunk_id"], "full")
     score = F.when(F.col("cosine").isNull(), 0.3 * F.col("walk")).otherwise(0.5 * F.col("cosine") + 0.5 * F.coalesce("walk", F.lit(0.0)))
     return both.filter(F.col("cosine").isNotNull() | F.col("strong")).select("query_id", "chunk_id", score.alias("score"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import content_tokens, overlap_count
 from loomgraph.operators.blocks import Block, nearest, on_pairs, packed, paired, products
+from loomgraph.sources.shared import cut
 
 HOP_SCORES = {0: 1.0, 1: 0.8, 2: 0.6}
 
@@ -210,6 +211,7 @@ def symbolic_lookup(queries: DataFrame, entities: DataFrame, k: int = 40) -> Dat
 
 def chunk_scores(linked: DataFrame, scores: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, links): mean of the linked entities' scores over the query's best, 0.05 more for each further link, at most 1."""
+    scores = cut(scores)  # read twice
     best = scores.groupBy("query_id").agg(F.max("score").alias("best"))
     scaled = scores.join(best, "query_id").select("query_id", F.col("node").alias("entity_id"), F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0).alias("s"))
     joined = linked.join(scaled, ["query_id", "entity_id"])
