@@ -14,6 +14,8 @@ from loomgraph.operators.blocks import bound_batches, matrix, unit_rows
 
 #: Triples of a question that count, at most.
 TRIPLES = 20
+#: Sampled graph states that a partition is given.
+STATES_EACH = 250_000
 # What makes a run's answer calm and unsupported, and so worth an intervention.
 CALM, UNSUPPORTED = 1e-9, 0.5
 
@@ -61,26 +63,30 @@ def evidence_entropy(triples: DataFrame, questions: DataFrame, most: int = TRIPL
 
 def dominant_anchors(states: DataFrame) -> DataFrame:
     """(question_id, anchor, states): the seed that most of a question's sampled graph states (question_id, sample_id, seeds) hold, ties by id."""
-    counts = states.select("question_id", "sample_id", F.explode(F.array_distinct("seeds")).alias("anchor")).groupBy("question_id", "anchor").agg(F.countDistinct("sample_id").alias("states"))
-    best = W.partitionBy("question_id").orderBy(F.desc("states"), "anchor")
-    return counts.filter(F.trim("anchor") != "").withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
+    return covering_anchors(states, 1).select("question_id", "anchor", F.col("covered").alias("states"))
 
 
 def covering_anchors(states: DataFrame, most: int = 3) -> DataFrame:
     """(question_id, turn, anchor, covered): seeds chosen one after the other, each holding most of the sampled states that those before it don't.
 
     ``states`` is (question_id, sample_id, seeds). There are ``most`` turns at
-    most, each an aggregate over what is left; ties go to the lower id, and
-    a question ends when no state with a seed is left.
+    most; ties go to the lower id, and a question ends when no state with a
+    seed is left. Rows travel once, to their question's partition, of which
+    there are as many as states ask for; turns are windows within it.
     """
-    left = states.select("question_id", "sample_id", F.explode(F.array_distinct("seeds")).alias("anchor")).filter(F.trim("anchor") != "")
-    out = None
+    parts = max(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-states.count() // STATES_EACH))
+    each = states.select("question_id", "sample_id", F.explode(F.array_distinct("seeds")).alias("anchor")).filter(F.trim("anchor") != "")
+    rows = each.repartition(parts, "question_id").distinct().withColumn("_left", F.lit(True))
+    own = W.partitionBy("question_id")
     for turn in range(1, most + 1):
-        chosen = dominant_anchors(left.groupBy("question_id", "sample_id").agg(F.collect_list("anchor").alias("seeds"))).select("question_id", F.lit(turn).alias("turn"), "anchor", F.col("states").alias("covered"))
-        out = chosen if out is None else out.unionByName(chosen)
-        held = left.join(chosen.select("question_id", "anchor"), ["question_id", "anchor"], "left_semi").select("question_id", "sample_id")
-        left = left.join(held, ["question_id", "sample_id"], "left_anti")
-    return out
+        rows = rows.withColumn("_n", F.count(F.when(F.col("_left"), 1)).over(W.partitionBy("question_id", "anchor")))
+        rows = rows.withColumn(f"_{turn}", F.min(F.when(F.col("_left"), F.struct((-F.col("_n")).alias("n"), "anchor"))).over(own))
+        if turn < most:
+            holds = F.max(F.coalesce(F.col("anchor") == F.col(f"_{turn}.anchor"), F.lit(False))).over(W.partitionBy("question_id", "sample_id"))
+            rows = rows.withColumn("_left", F.col("_left") & ~holds)
+    chosen = rows.groupBy("question_id").agg(*[F.first(f"_{turn}").alias(f"_{turn}") for turn in range(1, most + 1)])
+    turns = F.array(*[F.struct(F.lit(turn).alias("turn"), F.col(f"_{turn}.anchor").alias("anchor"), (-F.col(f"_{turn}.n")).alias("covered")) for turn in range(1, most + 1)])
+    return chosen.select("question_id", F.explode(turns).alias("t")).select("question_id", "t.*").filter("anchor IS NOT NULL")
 
 
 def masking_candidates(runs: DataFrame, states: DataFrame, sd_threshold: float = CALM, seu_threshold: float = UNSUPPORTED, wrong_only: bool = True, populated_route: bool = True) -> DataFrame:
