@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,16 +13,31 @@ def supported_entities(entities: DataFrame, mentions: DataFrame, questions: Data
     return entities.join(seen, "entity_id", "left_semi")
 
 
+#: Mentions that a partition is given where a question's are dealt to one.
+MENTIONS_EACH = 200_000
+
+
+def _question_parts(mentions: DataFrame) -> int:
+    """How many partitions questions are dealt to."""
+    return max(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mentions.count() // MENTIONS_EACH))
+
+
 def near_mentions(mentions: DataFrame) -> DataFrame:
     """(question_id, a, b): entities that occur in chunks at most one place apart in one passage.
 
-    A range join as an equi-join: each mention of one side is put at its own
-    place and both beside it.
+    Mentions travel once, to their question's partition. There each place takes
+    the entities of the places beside it, and pairs are made and told apart;
+    none of them travels.
     """
-    places = mentions.select("question_id", F.coalesce("passage", F.lit(-1)).alias("passage"), "entity_id", "position").distinct()
-    left = places.select("question_id", "passage", F.col("entity_id").alias("a"), F.explode(F.array(F.col("position") - 1, F.col("position"), F.col("position") + 1)).alias("position"))
-    right = places.select("question_id", "passage", F.col("entity_id").alias("b"), "position")
-    return left.join(right, ["question_id", "passage", "position"]).filter(F.col("a") != F.col("b")).select("question_id", "a", "b").distinct()
+    passage = F.coalesce("passage", F.lit(-1)).alias("passage")
+    given = mentions.filter(F.col("question_id").isNotNull() & F.col("entity_id").isNotNull() & F.col("position").isNotNull())
+    dealt = given.select("question_id", passage, "position", "entity_id").repartition(_question_parts(mentions), "question_id")
+    places = dealt.groupBy("question_id", "passage", "position").agg(F.collect_set("entity_id").alias("here"))
+    w = W.partitionBy("question_id", "passage").orderBy("position")
+    beside = lambda of, step: F.when(of(F.col("position")).over(w) == F.col("position") + step, of(F.col("here")).over(w)).otherwise(F.array())
+    near = places.select("question_id", "here", F.array_distinct(F.concat("here", beside(F.lag, -1), beside(F.lead, 1))).alias("near"))
+    pairs = near.select("question_id", "near", F.explode("here").alias("a")).select("question_id", "a", F.explode("near").alias("b"))
+    return pairs.filter(F.col("a") != F.col("b")).distinct()
 
 
 def scoped_edges(edges: DataFrame, mentions: DataFrame, min_confidence: float = 0.4, limit: int | None = None) -> DataFrame:
@@ -30,8 +46,6 @@ def scoped_edges(edges: DataFrame, mentions: DataFrame, min_confidence: float =
     Done once on edges, so that paths are expanded over what is in scope only.
     With a limit, the most certain edges of each question stay, ties by id.
     """
-    from pyspark.sql import Window as W
-
     sure = edges.filter(F.col("confidence") >= min_confidence)
     near = near_mentions(mentions).withColumnsRenamed({"a": "src", "b": "dst"})
     kept = sure.join(near, ["question_id", "src", "dst"], "left_semi")
@@ -49,8 +63,6 @@ def adjacent_chunks(selected: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def chunks_of_entities(mentions: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
     """The chunks that mention most of the given entities of a query, ties by place: linked ids and their number."""
-    from pyspark.sql import Window as W
-
     linked = mentions.join(entities, "entity_id").groupBy("query_id", "chunk_id", "position").agg(F.array_sort(F.collect_set("entity_id")).alias("linked"), F.countDistinct("entity_id").alias("links"))
     best = W.partitionBy("query_id").orderBy(F.desc("links"), "position", "chunk_id")
     return linked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
