@@ -41,14 +41,23 @@ def near_mentions(mentions: DataFrame) -> DataFrame:
 
 
 def scoped_edges(edges: DataFrame, mentions: DataFrame, min_confidence: float = 0.4, limit: int | None = None) -> DataFrame:
-    """Edges that a question may use: certain enough, and named by it or with both ends near each other in it.
+    """Edges that a question may use: certain enough, and with both ends near each other in it.
 
     Done once on edges, so that paths are expanded over what is in scope only.
-    With a limit, the most certain edges of each question stay, ties by id.
+    Edges and mentions travel once, to their question's partition, where an edge
+    takes the places of its two ends; near pairs aren't listed. With a limit, the
+    most certain edges of each question stay, ties by id.
     """
-    sure = edges.filter(F.col("confidence") >= min_confidence)
-    near = near_mentions(mentions).withColumnsRenamed({"a": "src", "b": "dst"})
-    kept = sure.join(near, ["question_id", "src", "dst"], "left_semi")
+    sure = edges.filter((F.col("confidence") >= min_confidence) & F.col("question_id").isNotNull() & (F.col("src") != F.col("dst")))
+    asked = sure.select("question_id", F.col("src").alias("_node"), F.lit(None).alias("_place"), F.struct(*edges.columns).alias("_edge"))
+    place = F.struct(F.coalesce("passage", F.lit(-1)).alias("passage"), F.col("position").alias("position"))
+    told = mentions.filter(F.col("position").isNotNull()).select("question_id", F.col("entity_id").alias("_node"), place.alias("_place"), F.lit(None).alias("_edge"))
+    rows = told.unionByName(asked).repartition(_question_parts(mentions), "question_id")
+    at_node = F.collect_set("_place").over(W.partitionBy("question_id", "_node"))
+    rows = rows.withColumn("_from", at_node).withColumn("_node", F.coalesce("_edge.dst", "_node")).withColumn("_from", F.when(F.col("_edge").isNotNull(), F.col("_from")))
+    rows = rows.withColumn("_to", at_node).filter(F.col("_edge").isNotNull())
+    around = F.flatten(F.transform("_from", lambda p: F.array(*[p.withField("position", p["position"] + step) for step in (-1, 0, 1)])))
+    kept = rows.filter(F.size(F.array_intersect(around, F.col("_to"))) > 0).select("_edge.*")
     if limit is None:
         return kept
     best = W.partitionBy("question_id").orderBy(F.desc("confidence"), "edge_id")

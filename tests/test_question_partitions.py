@@ -31,3 +31,11 @@ def test_near_mentions_travel_once(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == near
 
 
+def test_scoped_edges_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scope, "MENTIONS_EACH", 7, raising=False)
+    rows, near = drawn()
+    ends = [(q, a, b) for q in (1, 2, 3, None) for a in ("a", "b", "c", "f", None) for b in ("a", "b", "d", "e")]
+    edges = [(f"e{k}", *end, confidence) for k, end in enumerate(ends) for confidence in (0.3, 0.5, 0.5, None)]
+    found = scope.scoped_edges(spark.createDataFrame(edges, "edge_id string, question_id long, src string, dst string, confidence double"), spark.createDataFrame(rows, SCHEMA))
+    assert found.columns == ["edge_id", "question_id", "src", "dst", "confidence"] and shuffles(found) == 1
+    assert sorted(tuple(r) for r in found.collect()) == sorted(e for e in edges if e[4] == 0.5 and e[1:4] in near)
