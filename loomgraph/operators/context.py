@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import comparison_branches, content_tokens, overlap_count, squeeze
 from loomgraph.operators.retrieve import top_per_query
 from loomgraph.operators.scope import supported_by_chunks
-from loomgraph.sources.shared import cut
+from loomgraph.sources.shared import cut, stored
 
 #: Cosines from which an entity is linked to a mention, or to a whole question.
 MENTION_LINK, QUESTION_LINK = 0.72, 0.55
@@ -69,16 +69,25 @@ def sufficient(chunks: DataFrame, least: int = 2) -> DataFrame:
     return chunks.join(enough, "query_id", "left_semi")
 
 
-def branch_matches(question: Column, *texts: Column) -> Column:
+def with_question_parts(queries: DataFrame) -> DataFrame:
+    """Questions with their ``sides`` and ``tokens``: joined to chunks, these spare working them out for each chunk."""
+    return queries.withColumns({"sides": comparison_branches(F.col("question")), "tokens": content_tokens(F.col("question"))})
+
+
+def branch_matches(sides: Column, *texts: Column) -> Column:
     """How many sides of an "A or B" question the texts hold."""
     hay = F.lower(F.concat_ws(" ", *texts))
-    return F.size(F.filter(comparison_branches(question), lambda side: F.contains(hay, F.lower(side))))
+    return F.size(F.filter(sides, lambda side: F.contains(hay, F.lower(side))))
 
 
 def sorted_for_query(chunks: DataFrame, most: int | None = None) -> DataFrame:
-    """Chunks with their rank: most sides of a comparison, most content tokens, most linked entities, best score, not adjacent, first place, id."""
-    question, texts = F.col("question"), (F.col("document"), F.col("text"))
-    marked = chunks.withColumn("branches", branch_matches(question, *texts)).withColumn("overlap", overlap_count(content_tokens(question), *texts))
+    """Chunks with their rank: most sides of a comparison, most content tokens, most linked entities, best score, not adjacent, first place, id.
+
+    Chunks may carry ``sides`` and ``tokens`` of their questions.
+    """
+    texts = (F.col("document"), F.col("text"))
+    given = chunks if {"sides", "tokens"} <= set(chunks.columns) else with_question_parts(chunks)
+    marked = given.withColumn("branches", branch_matches(F.col("sides"), *texts)).withColumn("overlap", overlap_count(F.col("tokens"), *texts)).drop("sides", "tokens")
     order = [F.desc("branches"), F.desc("overlap"), F.desc("links"), F.desc("score"), F.coalesce(F.col("adjacent").cast("int"), F.lit(0)), F.coalesce("position", F.lit(0)), F.col("chunk_id")]
     ranked = marked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     return ranked if most is None else ranked.filter(F.col("rank") <= most)
@@ -160,9 +169,12 @@ def selected_scopes(selected: DataFrame) -> DataFrame:
     return selected.groupBy("query_id").agg(*[F.array_sort(F.collect_set(c)).alias(name) for c, name in ((F.col("position"), "positions"), (question, "question_ids"), (passage, "passage_keys"))])
 
 
-def pruned_edges(edges: DataFrame, selected: DataFrame, mentions: DataFrame) -> DataFrame:
-    """The edges of each query's context that its selected chunks leave: both ends retained, and borne out by the chunks."""
-    kept = retained_entities(selected, mentions)
+def pruned_edges(edges: DataFrame, selected: DataFrame, mentions: DataFrame, retained: DataFrame | None = None) -> DataFrame:
+    """The edges of each query's context that its selected chunks leave: both ends retained, and borne out by the chunks.
+
+    ``selected`` and ``retained``, the entities that it mentions, are read several times, so let them be stored tables.
+    """
+    kept = stored(retained_entities(selected, mentions), "context-retained") if retained is None else retained
     ends = [kept.withColumnRenamed("entity_id", end) for end in ("src", "dst")]
     inside = edges.join(ends[0], ["query_id", "src"], "left_semi").join(ends[1], ["query_id", "dst"], "left_semi")
     return supported_by_chunks(inside, selected)

@@ -9,6 +9,7 @@ from loomgraph.operators.stats import W
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans.graphs import _ppr_sql, ppr_tables
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import stored
 from loomgraph.sources.tables import read_table
 
 COMPARED = """compared AS (SELECT s_suppkey AS query_id, 'Which is it, ' || split_part(p_type, ' ', 2) || ' or ' || split_part(p_name, ' ', 1) || '?' AS question, lower(split_part(p_type, ' ', 2)) AS x, lower(split_part(p_name, ' ', 1)) AS y FROM supplier JOIN part ON p_partkey = s_suppkey),
@@ -27,7 +28,7 @@ def compared_chunks(spark, sf_dir):
         F.col("l_suppkey").alias("query_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("question_id"), (F.col("l_orderkey") % 3).alias("passage"), F.col("l_linenumber").cast("int").alias("position"),
         (F.col("l_quantity").cast("int") % 3).alias("links"), F.round(1 - 7 * F.col("l_discount"), 2).alias("score"), (F.col("l_returnflag") == "R").alias("adjacent"), F.col("p_brand").alias("document"), F.concat_ws(" ", "p_name", "p_type").alias("text"),
     )
-    return rows.join(asked, "query_id")
+    return rows.join(context.with_question_parts(asked), "query_id")
 
 
 def selected_chunks(spark, sf_dir, most: int = 5):
@@ -51,11 +52,12 @@ kept AS (SELECT query_id, edge_id FROM (SELECT CAST(substr(src, 2) AS BIGINT) AS
 
 
 def pruned(spark, sf_dir):
-    selected, mentions = selected_chunks(spark, sf_dir), fx.mentions(spark, sf_dir)
+    selected, mentions = stored(selected_chunks(spark, sf_dir), "context-selected"), fx.mentions(spark, sf_dir)
     edges = fx.supply_edges(spark, sf_dir).select(
         F.expr("CAST(substr(src, 2) AS BIGINT)").alias("query_id"), "edge_id", "src", "dst", F.array("position").alias("positions"), F.array().cast("array<bigint>").alias("passages"), F.array("question_id").alias("question_ids"),
     )
-    return selected, context.retained_entities(selected, mentions), context.pruned_edges(edges, selected, mentions)
+    retained = stored(context.retained_entities(selected, mentions), "context-retained")
+    return selected, retained, context.pruned_edges(edges, selected, mentions, retained)
 
 
 @query("context_pruning", f"""WITH {PRUNED} SELECT query_id, edge_id FROM kept""")
