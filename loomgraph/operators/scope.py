@@ -71,10 +71,14 @@ def adjacent_chunks(selected: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunks_of_entities(mentions: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
-    """The chunks that mention most of the given entities of a query, ties by place: linked ids and their number."""
-    linked = mentions.join(entities, "entity_id").groupBy("query_id", "chunk_id", "position").agg(F.array_sort(F.collect_set("entity_id")).alias("linked"), F.countDistinct("entity_id").alias("links"))
+    """The chunks that mention most of the given entities of a query, ties by place: linked ids and their number.
+
+    The number is that of the ids gathered, so rows aren't told apart a second time to count them.
+    """
+    linked = mentions.join(entities, "entity_id").groupBy("query_id", "chunk_id", "position").agg(F.array_sort(F.collect_set("entity_id")).alias("linked"))
     best = W.partitionBy("query_id").orderBy(F.desc("links"), "position", "chunk_id")
-    return linked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    ranked = linked.withColumn("links", F.size("linked").cast("long")).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= limit)
 
 
 def leaked(gold: DataFrame, contexts: DataFrame) -> DataFrame:
