@@ -124,13 +124,15 @@ def term_hits(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     A term lies inside one run of letters and digits of the text. So the
     distinct runs of all chunks are matched with the terms once, by the first
     three characters at any place, and what fits is joined back to the chunks.
+    Rows lie in their chunk's partition, so what counts them by chunk doesn't
+    send them again.
     """
     runs = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("run"))
     places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.col("run").substr(i, F.lit(3))))
     spread = runs.select("run").distinct().select("run", F.explode(places).alias("gram"))
     wanted = terms.distinct().withColumn("gram", F.left("term", F.lit(3)))
     held = spread.join(wanted, "gram").filter(F.contains("run", "term")).select("run", "term")
-    return runs.join(held, "run").select("chunk_id", "term").distinct()
+    return runs.join(held, "run").select("chunk_id", "term").repartition("chunk_id").distinct()
 
 
 def text_search(queries: DataFrame, chunks: DataFrame, k: int, most_terms: int = 8) -> DataFrame:
