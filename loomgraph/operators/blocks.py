@@ -9,6 +9,7 @@ vector passes through the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 BLOCK_NUMBERS, BLOCK_ROWS = 1 << 18, 4096
 #: Bytes of blocks that a worker gets at once.
 BATCH_BYTES = str(16 << 20)
+#: Inner products (eight bytes each) that a worker holds at once, or those of one row.
+PRODUCTS_HELD = 1 << 20
 #: Slots for each core of the session.
 SLOTS_EACH = 2
 
@@ -98,6 +101,16 @@ class Block:
         self.scopes = np.array(scopes, object) if scopes is not None else None
 
 
+    def slices(self, other: Block) -> Iterator[Block]:
+        """The block in slices, whose products with another block's vectors are few enough to be held."""
+        size = max(1, PRODUCTS_HELD // max(1, len(other.ids)))
+        for at in range(0, len(self.ids), size):
+            part = copy(self)
+            part.ids, part.vectors = self.ids[at : at + size], self.vectors[at : at + size]
+            part.scopes = None if self.scopes is None else self.scopes[at : at + size]
+            yield part
+
+
 def products(left: Block, right: Block) -> np.ndarray:
     """Inner products of each two vectors; of different widths the shorter counts as if zeros followed."""
     width = min(left.vectors.shape[1], right.vectors.shape[1])
@@ -137,6 +150,11 @@ def on_pairs(pairs: DataFrame, work: Callable[[Block, Block], list], types: str)
 
 def nearest(vectors: Block, queries: Block, k: int, threshold: float, exclude_self: bool, same_scope: bool) -> list:
     """(query_id, vec_id, score) of each query's ``k`` nearest vectors of a block, from ``threshold`` up; ties go to the lower id."""
+    found = [_nearest(vectors, part, k, threshold, exclude_self, same_scope) for part in queries.slices(vectors)]
+    return [np.concatenate(column) for column in zip(*found, strict=True)]
+
+
+def _nearest(vectors: Block, queries: Block, k: int, threshold: float, exclude_self: bool, same_scope: bool) -> list:
     scores = np.round(products(queries, vectors), 9)
     if same_scope:
         agree = (queries.scopes[:, None] == vectors.scopes[None, :]) & (queries.scopes != None)[:, None]  # noqa: E711

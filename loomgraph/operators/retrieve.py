@@ -277,7 +277,7 @@ def best_of_chunks(chunks: Block, tokens: Block) -> list:
     """(query_id, q_token, chunk_id, best): each query token's greatest product with the tokens of each chunk of a block."""
     order = np.argsort(chunks.ids, kind="stable")
     own, first = np.unique(chunks.ids[order], return_index=True)
-    best = np.maximum.reduceat(products(tokens, chunks)[:, order], first, axis=1)
+    best = np.concatenate([np.maximum.reduceat(products(part, chunks)[:, order], first, axis=1) for part in tokens.slices(chunks)])
     names = np.array([int(scope.split(":")[1]) for scope in tokens.scopes], np.int64)
     return [np.repeat(tokens.ids, len(own)), np.repeat(names, len(own)), np.tile(own, len(tokens.ids)), best.ravel()]
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.blocks import bound_batches
 from loomgraph.operators.inventory import merged_spans, restoration_status
 
 #: Spans of one candidate, at most.
@@ -28,6 +29,8 @@ MOST_SPANS = 12
 BROADCAST_BYTES = 2 << 20
 #: Characters of a quote, and of a text's beginning where no sentence holds the name.
 QUOTE, HEAD = 500, 200
+#: Characters of quotes that a worker holds before it hands them on.
+QUOTES_HELD = 1 << 20
 
 SPAN = "struct<text:string,start:bigint,end:bigint,chunk_position:int,local_start:int,local_end:int>"
 
@@ -243,29 +246,50 @@ _PLAIN = r"[a-z0-9]"
 _machines: dict[str, Automaton] = {}
 
 
-def named_places(chunks: DataFrame, names: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def quote_batches(ids: pa.Array, found: Iterable[list[tuple[str, str]]], held: int = QUOTES_HELD) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, name, quote) of the names and quotes found in each text, handed on whenever ``held`` characters of quotes are there."""
+    at: list[int] = []
+    names: list[str] = []
+    quotes: list[str] = []
+    size = 0
+    batch = lambda: pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(quotes, pa.string())], names=["chunk_id", "name", "quote"])
+    for k, own in enumerate(found):
+        for name, quote in own:
+            at.append(k)
+            names.append(name)
+            quotes.append(quote)
+            size += len(quote)
+            if size >= held:
+                yield batch()
+                at, names, quotes, size = [], [], [], 0
+    if at:
+        yield batch()
+
+
+def named_places(chunks: DataFrame, names: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, quotes: bool = True) -> DataFrame:
     """(chunk_id, name, quote): the names (name, in lower case, each once) that stand in a chunk's text, with the first sentence that holds each.
 
     A name needs a letter or digit, and no letter or digit may touch it. Names
     of ``broadcast_bytes`` in all go to every worker as one automaton. Of more,
     each chunk gets those whose first and last word it has, by joins on words,
-    and an automaton of its own; the result is the same.
+    and an automaton of its own; the result is the same. Without ``quotes``
+    names of one word are joined with the words of the chunks, and no worker is
+    needed for them.
     """
     names = names.filter(F.col("name").rlike(_PLAIN))
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-    types = f"chunk_id {kind}, name string, quote string"
     texts = chunks.filter(F.col("text").isNotNull()).select("chunk_id", "text")
-    size = names.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
-
-    def rows(ids: pa.Array, found: Iterable[list[tuple[str, str]]]) -> pa.RecordBatch:
-        at, listed, quotes = [], [], []
-        for k, own in enumerate(found):
-            for name, quote in own:
-                at.append(k)
-                listed.append(name)
-                quotes.append(quote)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(listed, pa.string()), pa.array(quotes, pa.string())], names=["chunk_id", "name", "quote"])
+    alone, bytes_of = F.col("name").rlike(rf"\A{_PLAIN}+\z"), F.octet_length("name") + 16
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"{_PLAIN}+"), F.lit(0))
+    if not quotes:
+        size, rest = names.agg(F.coalesce(F.sum(F.when(alone, bytes_of)), F.lit(0)), F.count_if(~alone)).first()
+        single = F.broadcast(names.filter(alone)) if size <= broadcast_bytes else names.filter(alone)
+        met = texts.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("name")).join(single, "name").select("chunk_id", "name")
+        return met.unionByName(named_places(chunks, names.filter(~alone), broadcast_bytes).select("chunk_id", "name")) if rest else met
 
+    bound_batches(chunks.sparkSession)
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    types = f"chunk_id {kind}, name string, quote string"
+    size = names.agg(F.sum(bytes_of)).first()[0] or 0
     if size <= broadcast_bytes:
         shared = chunks.sparkSession.sparkContext.broadcast(sorted(row["name"] for row in names.collect()))
         own = uuid.uuid4().hex
@@ -277,11 +301,10 @@ def named_places(chunks: DataFrame, names: DataFrame, broadcast_bytes: int = BRO
                 _machines[own] = Automaton(listed, Tokens(_PLAIN))
             machine = _machines[own]
             for batch in batches:
-                yield rows(batch.column(0), ([(listed[number], quote) for number, quote in _linked(text, machine, listed)] for text in batch.column(1).to_pylist()))
+                yield from quote_batches(batch.column(0), ([(listed[number], quote) for number, quote in _linked(text.as_py(), machine, listed)] for text in batch.column(1)))
 
         return texts.mapInArrow(all_names, types)
 
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"{_PLAIN}+"), F.lit(0))
     ends = names.select("name", words(F.col("name")).alias("w")).select("name", F.get("w", F.lit(0)).alias("word"), F.element_at("w", -1).alias("last"))
     wanted = ends.select(F.explode(F.array("word", "last")).alias("word")).distinct()
     spread = texts.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
@@ -292,13 +315,13 @@ def named_places(chunks: DataFrame, names: DataFrame, broadcast_bytes: int = BRO
     def own_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(_PLAIN)
         for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield rows(batch.column(0), ([(names[number], quote) for number, quote in _linked(text, Automaton(names, tokens), names)] for text, names in pairs))
+            pairs = ((text.as_py(), names.as_py()) for text, names in zip(batch.column(1), batch.column(2), strict=True))
+            yield from quote_batches(batch.column(0), ([(names[number], quote) for number, quote in _linked(text, Automaton(names, tokens), names)] for text, names in pairs))
 
     return texts.join(listed, "chunk_id").select("chunk_id", "text", "names").mapInArrow(own_names, types)
 
 
-def mention_links(chunks: DataFrame, entities: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(chunk_id, entity_id, quote): the entities (entity_id, name) whose name stands in a chunk, with the first sentence that holds it."""
+def mention_links(chunks: DataFrame, entities: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, quotes: bool = True) -> DataFrame:
+    """(chunk_id, entity_id and, unless not wanted, quote): the entities (entity_id, name) whose name stands in a chunk, with the first sentence that holds it."""
     named = entities.select("entity_id", F.lower("name").alias("name")).filter(F.col("name").isNotNull()).distinct()
-    return named_places(chunks, named.select("name").distinct(), broadcast_bytes).join(named, "name").select("chunk_id", "entity_id", "quote")
+    return named_places(chunks, named.select("name").distinct(), broadcast_bytes, quotes).join(named, "name").select("chunk_id", "entity_id", *(["quote"] if quotes else []))

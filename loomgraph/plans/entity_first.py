@@ -30,7 +30,7 @@ def store_of(spark, sf_dir) -> entity_first.Store:
     chunks = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(
         F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("document"), F.floor(F.col("doc_id") / 3).alias("passage"), (F.col("doc_id") % 3).cast("int").alias("position"), "embedding",
     )
-    mentions = stored(spans.mention_links(chunks.select("chunk_id", "text"), entities).select("chunk_id", "entity_id"), "fixture-mentions")
+    mentions = stored(spans.mention_links(chunks.select("chunk_id", "text"), entities, quotes=False), "fixture-mentions")
     return entity_first.Store(entities, edges, mentions, chunks)
 
 
