@@ -67,3 +67,8 @@ def test_large_walks_gather_no_query_in_one_task(spark):
     finally:
         graph.cut = kept
     assert plans and not any("windowspecdefinition(query_id#" in line and ", src#" not in line for plan in plans for line in plan.splitlines() if "Window" in line)
+
+
+def test_duplicates_send_nothing_through_the_driver(spark):
+    names = spark.range(40).selectExpr("concat('n', id) AS node", "concat('T', id % 2) AS type", "concat('Customer#', lpad(string(id), 9, '0')) AS name")
+    assert "Broadcast" not in linking.duplicate_nodes(names)._jdf.queryExecution().executedPlan().toString()
