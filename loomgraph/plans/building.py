@@ -216,7 +216,7 @@ def graph_path_support(spark, sf_dir):
     k = F.col("query_id")
     part = lambda n: F.concat(F.lit("P"), n.cast("string"))
     wanted = seeds.select("query_id", F.explode(F.array(part(k * 7), part(k * 7 + 1), F.concat(F.lit("S"), (k + 1).cast("string")))).alias("node"))
-    return uncertainty.graph_path_support(wanted, graph.reach(seeds, edges, 2)).select("query_id", F.round("support_uncertainty", 6).alias("support_uncertainty"))
+    return uncertainty.graph_path_support(wanted, graph.reached_among(seeds, edges, wanted, 2)).select("query_id", F.round("support_uncertainty", 6).alias("support_uncertainty"))
 
 
 @query("path_disagreement", f"""WITH {TRAIL_EDGES}, c AS (SELECT query_id, node, count(*) AS c FROM p GROUP BY ALL), q AS (SELECT query_id, c / sum(c) OVER (PARTITION BY query_id) AS x FROM c)
